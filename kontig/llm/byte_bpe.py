@@ -17,6 +17,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from kontig.llm.common import drop_clashes
 
 #: Pre-tokens that a Python worker remembers before it starts anew (about 150 bytes each).
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 300_000
 #: Leaves of one array of trees: few enough that it stays in a core's cache.
 TREE_LEAVES = 1 << 17
 #: Letters and the whole alphabet of texts that the quicker form of the pattern splits alike.
@@ -95,15 +96,19 @@ class SegmentTreeBpe:
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.latin = latin_form(pattern)
+        self.cache: dict[str, tuple[int, ...]] = {}
+
+    @cached_property
+    def pairs(self) -> PairTable:
+        """Built when something is encoded."""
         pairs = {}
-        for token, rank in ranks.items():
+        for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << _SHIFT | right] = rank
-        self.pairs = PairTable(pairs)
-        self.latin = latin_form(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        return PairTable(pairs)
 
     def _merge_class(self, pieces: list[bytes], leaves: int) -> list[tuple[int, ...]]:
         """Ids of pieces with at most ``leaves`` bytes (a power of two)."""
@@ -207,7 +212,7 @@ def codec(path: str, pattern: str) -> SegmentTreeBpe:
 
 
 #: Texts are split and merged in groups of about so many characters, which bounds a worker's memory.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 
 
 def _groups(column: pa.Array) -> Iterator[list]:
@@ -231,14 +236,14 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
     def run(batches):
         bpe = codec(rank_file, pattern)
         for batch in batches:
-            flat, ends = [], [0]
+            done = 0
             for group in _groups(batch.column(at)):
-                for ids in bpe.encode_batch(group):
-                    flat.append(np.frombuffer(ids, np.int32))
-                    ends.append(ends[-1] + len(ids))
-            values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids_col])
+                flat = [np.frombuffer(ids, np.int32) for ids in bpe.encode_batch(group)]
+                ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
+                part = batch.slice(done, len(group))
+                done += len(group)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, ids_col])
 
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(run, schema)
