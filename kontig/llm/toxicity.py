@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
 A text is a bag of sentences, a sentence a bag of *units*: white-space words, lower-cased, where a run
-of single characters ("i d i o t") is one unit. The kernel of two units counts their common
+of single characters ("i d i o t", "i.d.i.o.t") is one unit. The kernel of two units counts their common
 subsequences of ``LENGTH`` letters or digits, each weighted by ``DECAY`` to the power of the span it covers in
 either unit, for spans up to ``SPAN``; it is normalised. Punctuation only widens spans, so gaps and
 inserted characters cost decay only.
@@ -10,7 +10,8 @@ Units beyond ``UNIT_CHARS`` characters are cut into overlapping ones; nothing is
 Nyström landmarks are units of the training sample: those that set toxic from clean texts apart and
 frequent clean ones, chosen to differ from each other. A linear support vector machine (squared
 hinge) is trained in the landmark space on labelled sentences by multiple instances: a toxic text
-must hold a unit beyond the margin, a clean text none; disguised forms of the units found so, with a
+must hold a unit beyond the margin, a clean text none, and units that are far more frequent in
+toxic texts are toxic themselves; disguised forms of the units found so, with a
 character put in, are trained on at a lower cost. As the machine is linear in the landmark
 kernels, its weights fold into one weight per landmark subsequence, so a unit is scored by
 looking up its subsequences. A text scores as its worst sentence, a sentence as its worst unit,
@@ -40,9 +41,11 @@ from pyspark.sql import types as T
 
 from kontig.llm.common import drop_clashes
 
-LENGTH, SPAN, DECAY = 3, 5, 0.7
-LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 96, 1_500, 65_536
+LENGTH, SPAN, DECAY = 4, 6, 0.7
+LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 160, 1_500, 65_536
 UNIT_CHARS = 24
+#: Cost of all clean units against that of all toxic ones.
+CLEAN_COST = 4.0
 #: Of the logistic curve, per unit of the decision.
 SLOPE = 6.0
 #: Units whose decision a Python worker remembers before it starts anew (about 150 bytes each).
@@ -50,6 +53,7 @@ CACHE_ENTRIES = 400_000
 GROUP_CHARS = 1_000_000
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
+_DOTTED = re.compile(r"(?:[^\W_][\W_]){3,}[^\W_]")
 #: Offsets of all subsequences that begin at a position, by their span.
 _OFFSETS = [(0, *inner, span - 1) for span in range(LENGTH, SPAN + 1) for inner in combinations(range(1, span - 1), LENGTH - 2)]
 
@@ -62,6 +66,8 @@ def units_of(text: str | None) -> set[str]:
     units = set(low.split())
     if _SPACED.search(low):
         units.update("".join(m.group().split()) for m in _SPACED.finditer(low))
+    for m in _DOTTED.finditer(low):
+        units.add(re.sub(r"[\W_]", "", m.group()))
     long = [u for u in units if len(u) > UNIT_CHARS]
     for u in long:
         units.discard(u)
@@ -149,9 +155,17 @@ class Model:
 EMPTY = Model(Table(np.empty(0, np.uint64), np.zeros((0, 1))), 0.0, 0.0, -30.0)
 
 
+def _odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    return float(np.log((toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))))
+
+
+def _telling(toxic: int, clean: int, n_toxic: int, n_clean: int) -> bool:
+    """Whether a unit is so much more frequent in toxic texts that chance can't explain it."""
+    return toxic >= max(3, 0.005 * n_toxic) and _odds(toxic, clean, n_toxic, n_clean) > 2
+
+
 def _landmarks(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
-    odds = {u: n * np.log((n + 0.5) / (n_toxic + 1) / ((clean[u] + 0.5) / (n_clean + 1))) for u, n in toxic.items() if n >= 2 and len(u) >= LENGTH}
-    told = sorted((u for u in odds if odds[u] > 0), key=lambda u: (-odds[u], u))[:1500]
+    told = sorted((u for u, n in toxic.items() if len(u) >= LENGTH and _telling(n, clean[u], n_toxic, n_clean)), key=lambda u: (-toxic[u], u))[:1500]
     common = sorted((u for u in clean if len(u) >= LENGTH), key=lambda u: (-clean[u], u))[:300]
     chosen: list[str] = []
     for pool, most in ((told, LANDMARKS * 3 // 4), (common, LANDMARKS)):
@@ -180,13 +194,21 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) ->
     w = np.zeros(z.shape[1])
     reg = np.eye(len(w)) * ridge
     reg[-1, -1] = 1e-3
-    for _ in range(50):
+
+    def loss(v: np.ndarray) -> float:
+        return float(v @ reg @ v + cost @ np.maximum(0, 1 - y * (z @ v)) ** 2)
+
+    now = loss(w)
+    for _ in range(100):
         active = y * (z @ w) < 1
         za = z[active]
-        new = np.linalg.solve(reg + (za * cost[active, None]).T @ za, (za * cost[active, None]).T @ y[active])
-        if np.allclose(new, w, atol=1e-8):
+        step = np.linalg.solve(reg + (za * cost[active, None]).T @ za, (za * cost[active, None]).T @ y[active]) - w
+        size = 1.0
+        while (then := loss(w + size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - then < 1e-7 * now:
             break
-        w = new
+        w, now = w + size * step, then
     return w
 
 
@@ -225,19 +247,25 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     phi = (table.kernels(units) @ root).astype(np.float32)
     members = [np.array(sorted(at[u] for u in bag), int) for bag in bags]
     clean_units = np.array(sorted(at[u] for u in clean), int)
-    odds = np.array([np.log((toxic[u] + 0.5) / (n1 + 1) / ((clean[u] + 0.5) / (n0 + 1))) if toxic[u] > 1 else -9.0 for u in units])
+    known = [u for u in sorted(toxic) if len(u) >= LENGTH and _telling(toxic[u], clean[u], n1, n0)]
+    known_rows, known_cost = np.array([at[u] for u in known], int), [10.0 * np.sqrt(toxic[u]) for u in known]
+    odds = np.array([_odds(toxic[u], clean[u], n1, n0) if toxic[u] > 1 else -9.0 for u in units])
     score = odds * np.linalg.norm(phi, axis=1)
     w = np.zeros(phi.shape[1] + 1)
     rng = np.random.default_rng(0)
+    frequency = np.array([clean[units[i]] for i in clean_units], float)
+    clean_cost = CLEAN_COST * sum(known_cost) * frequency / frequency.sum()
     for turn in range(6):
         witness = np.array([m[np.argmax(score[m])] for m, label in zip(members, labels, strict=True) if label == 1 and len(m)])
-        x, cost = phi[np.concatenate([witness, clean_units])].astype(float), [10.0] * len(witness)
+        x = phi[np.concatenate([known_rows, witness, clean_units])].astype(float)
+        cost = known_cost + [0.1] * len(witness)
         if turn >= 3:
-            disguised = _disguised([units[i] for i in witness if score[i] > 0 and len(units[i]) > LENGTH + 1], rng)
+            disguised = _disguised([u for u in known if len(u) > LENGTH], rng)
             x = np.concatenate([table.kernels(disguised) @ root, x])
-            cost = [2.0] * len(disguised) + cost
+            cost = [1.0] * len(disguised) + cost
         sign = np.concatenate([np.ones(len(cost)), -np.ones(len(clean_units))])
-        w = _svm(x, sign, np.concatenate([cost, np.full(len(clean_units), 40.0 * len(witness) / len(clean_units))]))
+        clean_cost = np.where((turn > 0) & (score[clean_units] > 0), 4, 1) * clean_cost  # the hard ones count more each time
+        w = _svm(x, sign, np.concatenate([cost, clean_cost]))
         score = phi @ w[:-1] + w[-1]
     best = np.array([score[m].max() if len(m) else w[-1] for m in members])
     cut = _threshold(best, y)
