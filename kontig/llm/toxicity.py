@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from kontig.llm.common import drop_clashes
 
 LENGTH, SPAN, DECAY = 4, 6, 0.7
-LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 160, 1_500, 65_536
+LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 160, 800, 65_536
 UNIT_CHARS = 24
 #: Cost of all clean units against that of all toxic ones.
 CLEAN_COST = 4.0
