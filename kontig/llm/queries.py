@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontig.llm import byte_bpe, chat_format, decontaminate, sharding, token_count, toxicity, url_filter
+from kontig.llm import byte_bpe, chat_format, decontaminate, ngram_join, sharding, token_count, toxicity, url_filter
 from kontig.llm.common import table, utf8_size
 
 
@@ -76,6 +76,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -130,6 +134,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_join": op6_ngram_join,
     "op7_url_filter": op7_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
