@@ -1,17 +1,61 @@
-"""The training-data pipeline over documents; its stages follow as their operators are finished."""
+"""The training-data pipeline over documents: toxicity, near duplicates, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. A stage
+judges what its predecessor kept. Rows with a null doc_id can't be told apart by key: they pass the
+second and third stage. Rows that repeat a doc_id stay or go together.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kontig.llm import byte_bpe, decontaminate, ngram_join, toxicity
+from kontig.llm.common import small, table, written
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel machine does not reject."""
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model, score_col="_toxic").where("_toxic < 0.5").select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle Jaccard of 0.75 or more, the one with the smallest doc_id."""
+    linked = ngram_join.link_documents(docs)
+    others = written(linked.where("doc_id != component_id").select("doc_id").distinct(), "others")
+    return docs.join(small(others, others.count(), 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text; ``whole`` says whether they decode to the text's bytes."""
+    rank_file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    sized = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
+    encoded = byte_bpe.encode(sized, rank_file, pattern).drop("text")
+    decoded = byte_bpe.decode(encoded, rank_file, pattern)
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("_sha")).alias("whole"))
+
 
-from kontig.llm.common import table
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("decontamination", remove_leaks),
+    ("byte_bpe", encode),
+]
 
-STAGES: list = []
+#: The first and last stage are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -190,7 +190,9 @@ def _disguised(units: list[str], rng: np.random.Generator) -> list[str]:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights and bias (last) of the squared hinge machine by Newton steps."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.empty((len(x), x.shape[1] + 1), np.float32)
+    z[:, :-1], z[:, -1] = x, 1
+    del x
     w = np.zeros(z.shape[1])
     reg = np.eye(len(w)) * ridge
     reg[-1, -1] = 1e-3
@@ -202,7 +204,8 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) ->
     for _ in range(100):
         active = y * (z @ w) < 1
         za = z[active]
-        step = np.linalg.solve(reg + (za * cost[active, None]).T @ za, (za * cost[active, None]).T @ y[active]) - w
+        weighted = za * cost[active, None].astype(np.float32)
+        step = np.linalg.solve(reg + weighted.T @ za, weighted.T @ y[active]) - w
         size = 1.0
         while (then := loss(w + size * step)) > now and size > 1e-6:
             size /= 2
@@ -244,7 +247,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
     units = sorted(set(toxic) | set(clean))
     at = {u: i for i, u in enumerate(units)}
-    phi = (table.kernels(units) @ root).astype(np.float32)
+    phi = np.concatenate([(table.kernels(units[a : a + 4096]) @ root).astype(np.float32) for a in range(0, len(units), 4096)])
     members = [np.array(sorted(at[u] for u in bag), int) for bag in bags]
     clean_units = np.array(sorted(at[u] for u in clean), int)
     known = [u for u in sorted(toxic) if len(u) >= LENGTH and _telling(toxic[u], clean[u], n1, n0)]
@@ -257,11 +260,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     clean_cost = CLEAN_COST * sum(known_cost) * frequency / frequency.sum()
     for turn in range(6):
         witness = np.array([m[np.argmax(score[m])] for m, label in zip(members, labels, strict=True) if label == 1 and len(m)])
-        x = phi[np.concatenate([known_rows, witness, clean_units])].astype(float)
+        x = phi[np.concatenate([known_rows, witness, clean_units])]
         cost = known_cost + [0.1] * len(witness)
         if turn >= 3:
             disguised = _disguised([u for u in known if len(u) > LENGTH], rng)
-            x = np.concatenate([table.kernels(disguised) @ root, x])
+            x = np.concatenate([(table.kernels(disguised) @ root).astype(np.float32), x])
             cost = [1.0] * len(disguised) + cost
         sign = np.concatenate([np.ones(len(cost)), -np.ones(len(clean_units))])
         clean_cost = np.where((turn > 0) & (score[clean_units] > 0), 4, 1) * clean_cost  # the hard ones count more each time
