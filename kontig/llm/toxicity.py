@@ -130,8 +130,9 @@ class Table:
     def kernels(self, units: list[str]) -> np.ndarray:
         """Sum of weight times value over the subsequences of each unit, [units, columns]."""
         out = np.zeros((len(units), self.values.shape[1]))
-        for a in range(0, len(units), 4096):
-            code, weight = features(units[a : a + 4096])
+        step = max(64, 65_536 // max(16, out.shape[1]))  # bounds the products of a block
+        for a in range(0, len(units), step):
+            code, weight = features(units[a : a + step])
             at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
             row, col = np.nonzero((self.codes[at] == code) & (weight > 0)) if len(self.codes) else (np.empty(0, int),) * 2
             np.add.at(out, a + row, weight[row, col, None] * self.values[at[row, col]])
