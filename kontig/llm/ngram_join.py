@@ -5,6 +5,10 @@ classes link when 100 * |intersection| >= 75 * |union|. Hash order is a global o
 two linked classes share one of the first n - ceil(0.75 n) + 1 shingles of each (prefix filter):
 these are posted in inverted lists.
 
+All shingles below a fixed hash bound are posted as well. A class with ``rest`` shingles above it shares
+at most its lists' occurrences plus the smaller ``rest`` with any other: classes whose shared lists can't
+add up to three quarters of their size are out before anything is compared.
+
 1. Stars. Each class is compared with the class that leads most of its lists (the smallest member). What
    links becomes a star with exact distances to its leader.
 2. T-occurrence search. Lists whose members are all connected need no search. The others hold few
@@ -49,6 +53,8 @@ WORDS, PERCENT = 5, 75
 SHORT_STARS = 64
 #: Long shingles put aside in one round; the most frequent come first.
 MAX_LONG = 500_000
+#: Shingles up to this hash (0.3 of all) are posted whatever their place.
+BOUND = int(-(2**63) + 0.3 * 2**64)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -78,31 +84,34 @@ def least_overlap(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def prefix(h: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The posted shingles, and whether only long lists are left to complete them."""
+def posting(h: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The posted shingles, and whether there are too few short lists for a whole prefix."""
     take = len(h) - least_overlap(len(h)) + 1
-    rest = h[~np.isin(h, long)] if len(long) else h
-    return rest[:take], len(rest) < take
+    short = h[~np.isin(h, long)] if len(long) else h
+    posted = short[: max(take, int(np.searchsorted(short, BOUND, "right")))]
+    return posted, len(short) < take
 
 
 def _classes(docs: DataFrame, long: np.ndarray) -> DataFrame:
-    """(doc_id, text) to (doc_id, n, c, posted, dense)."""
+    """(doc_id, text) to (doc_id, n, rest, c, posted, dense). ``rest`` counts the shingles above BOUND and the long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            ns, cs, dense, flat, ends = [], [], [], [], [0]
+            ns, rests, cs, dense, flat, ends = [], [], [], [], [], [0]
             for value in batch.column(1):
                 h = shingles(value.as_py())
-                posted, only_long = prefix(h, long)
+                posted, only_long = posting(h, long)
                 ns.append(len(h))
+                rests.append(len(h) - int(np.searchsorted(posted, BOUND, "right")))
                 cs.append(class_id(h) if len(h) else None)
                 dense.append(only_long)
                 flat.append(posted)
                 ends.append(ends[-1] + len(posted))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), lists, pa.array(dense, pa.bool_())], ["doc_id", "n", "c", "posted", "dense"])
+            numbers = [pa.array(x, pa.int64()) for x in (ns, rests, cs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, lists, pa.array(dense, pa.bool_())], ["doc_id", "n", "rest", "c", "posted", "dense"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, posted array<long>, dense boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, rest long, c long, posted array<long>, dense boolean")
 
 
 def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,59 +157,67 @@ def _labels(edges: DataFrame) -> DataFrame:
     return written(connected_components(edges, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("label")), "labels")
 
 
-def _search(lists: DataFrame) -> DataFrame:
-    """T-occurrence search: (c, n, longs, lists array<array<struct<s, lo, hi>>>) to pairs (a class, b star)."""
+def _search(queries: DataFrame) -> DataFrame:
+    """T-occurrence search: (c, n, rest, longs, lists array<array<struct<s, lo, hi, rest>>>) to pairs (a class, b star)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             a, b = [], []
-            for c, n, longs, found in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                short = [sorted((e["s"], e["lo"], e["hi"]) for e in entries) for entries in found]
-                for (s, lo, hi), same in groupby(heapq.merge(*short)):
-                    most = max(n, hi)  # sizes of the star's members: lo to hi
-                    # linked pairs overlap in PERCENT / (100 + PERCENT) of both sizes; beyond the prefixes at most this much is shared
-                    beyond = least_overlap(most) - 1
-                    needed = -(-PERCENT * (n + max(lo, least_overlap(n))) // (100 + PERCENT)) - beyond - longs
+            for c, n, rest, longs, found in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                short = [sorted((e["s"], e["lo"], e["hi"], e["rest"]) for e in entries) for entries in found]
+                for (s, lo, hi, star_rest), same in groupby(heapq.merge(*short)):
+                    # a linked pair overlaps in PERCENT / (100 + PERCENT) of both sizes; outside the lists at most this much is shared
+                    needed = -(-PERCENT * (n + max(lo, least_overlap(n))) // (100 + PERCENT)) - min(rest, star_rest) - longs
                     if 100 * hi >= PERCENT * n and 100 * n >= PERCENT * lo and sum(1 for _ in same) >= needed:
                         a.append(c)
                         b.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return lists.select("c", "n", "longs", "lists").mapInArrow(run, "a long, b long")
+    return queries.select("c", "n", "rest", "longs", "lists").mapInArrow(run, "a long, b long")
 
 
 def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links found by the lists of ``active`` (c, n, posted), and its long lists (h)."""
-    posted = active.select("c", "n", F.explode("posted").alias("h"))
+    """Links found by the lists of ``active`` (c, n, rest, posted), and its long lists (h)."""
+    # one of each class; both uses below read the same exchange
+    posted = active.select("c", "posted").dropDuplicates(["c"]).select("c", F.explode("posted").alias("h"))
+    classes = active.select("c", "n", "rest").dropDuplicates(["c"])
     frequent = posted.groupBy("h").count().where("count > 1").select("h")
-    shared = written(posted.join(frequent, "h"), "shared")
-
-    # stars: the leader of most lists of a class, by the smallest (n, c) of a list
-    leaders = shared.groupBy("h").agg(F.min(F.struct("n", "c")).alias("lead"))
-    led = shared.join(leaders, "h").where(F.col("c") != F.col("lead.c")).groupBy("c", F.col("lead.c").alias("s")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("lead.n").alias("m"))
-    best = led.where(f"100 * m >= {PERCENT} * n").groupBy("c").agg(F.max_by("s", F.struct("k", "s")).alias("s"))
-    stars = written(_compare(docs, reps, best.select(F.col("c").alias("a"), F.col("s").alias("b"))), "stars")
+    common = written(posted.join(frequent, "h"), "common")
+    # the exact bound on what a class can share with any other
+    able = common.groupBy("c").agg(F.count("*").alias("k")).join(classes, "c")
+    able = written(able.where(f"k + rest >= ceil({PERCENT} * n / 100)").select("c", "n", "rest"), "able")
+    shared = common.join(able, "c")
+    again = shared.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("n", "c")).alias("lead")).where("k > 1")
+    shared = written(shared.join(again.select("h", "lead"), "h"), "shared")
+
+    # stars: the leader of most lists of a class, by the smallest (n, c) of a list; a pair with few such lists is left to the search
+    led = shared.where(F.col("c") != F.col("lead.c")).groupBy("c", F.col("lead.c").alias("s")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("lead.n").alias("m"))
+    best = led.where(f"100 * m >= {PERCENT} * n and 20 * k >= n").groupBy("c").agg(F.max_by("s", F.struct("k", "s")).alias("s"))
+    stars = written(_compare(docs, reps, written(best.select(F.col("c").alias("a"), F.col("s").alias("b")), "best")), "stars")
     linked = stars.where(_LINKED).select("a", "b", F.expr(_DISTANCE).alias("d"))
     edges = linked.select("a", "b") if edges is None else edges.select("a", "b").union(linked.select("a", "b"))
     labels = _labels(edges)
 
-    member = shared.join(linked.select(F.col("a").alias("c"), "b", "d"), "c", "left").join(labels, "c", "left")
-    member = member.select("h", "c", "n", F.coalesce("b", "c").alias("s"), F.coalesce("label", "c").alias("label"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    # what each list holds, star by star
-    by_star = member.groupBy("h", "s", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    named = able.join(linked.select(F.col("a").alias("c"), "b"), "c", "left").join(labels, "c", "left")
+    named = written(named.select("c", "n", "rest", F.coalesce("b", "c").alias("s"), F.coalesce("label", "c").alias("label")), "named")
+    member = shared.select("h", "c").join(named, "c")
+    # what each list holds, star by star; sizes are those of all members of the star
+    sizes = named.groupBy("s").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
+    by_star = written(member.select("h", "s", "label").distinct(), "by_star")
     width = by_star.groupBy("h").agg(F.count("*").alias("stars"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("h", "stars")
     width = written(width, "width")
     long = written(width.where(f"stars > {SHORT_STARS}").orderBy(F.desc("stars"), "h").limit(MAX_LONG).select("h"), "long")
-    short = width.join(small(long, long.count(), 1_000_000), "h", "left_anti")
-    entries = by_star.join(short.select("h"), "h").groupBy("h").agg(F.collect_list(F.struct("s", "lo", "hi")).alias("entries"))
-    asked = member.join(short.select("h"), "h").select("h", "c", "n").join(entries, "h")
-    longs = member.join(small(long, long.count(), 1_000_000), "h").groupBy("c").agg(F.count("*").alias("longs"))
-    queries = asked.groupBy("c").agg(F.max("n").alias("n"), F.collect_list("entries").alias("lists")).join(longs, "c", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
-    hits = _search(queries)
+    n_long = long.count()
+    short = width.join(small(long, n_long, 1_000_000), "h", "left_anti").select("h")
+    # ``long`` holds the widest lists; any that are left over are searched as short ones
+    entries = by_star.join(short, "h").join(sizes, "s").groupBy("h").agg(F.collect_list(F.struct("s", "lo", "hi", "rest")).alias("entries"))
+    asked = shared.select("h", "c").join(entries, "h").groupBy("c").agg(F.collect_list("entries").alias("lists"))
+    longs = shared.select("h", "c").join(small(long, n_long, 1_000_000), "h").groupBy("c").agg(F.count("*").alias("longs"))
+    queries = asked.join(named.select("c", "n", "rest"), "c").join(longs, "c", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
+    hits = _search(queries.where(f"size(lists) + longs + rest >= ceil({PERCENT} * n / 100)"))
 
     # only stars of other components matter
-    where = member.select("c", "label").distinct()
-    far = hits.join(where.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(where.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
+    far = hits.join(named.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
     tested = written(_compare(docs, reps, written(far.select("a", "b").distinct(), "hits")), "tested")
     more = tested.where(_LINKED).select("a", "b")
     # members of a star that the triangle inequality leaves open
@@ -226,14 +243,14 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     table = written(_classes(docs, none).drop("dense"), "classes")
     members = table.select("doc_id", "n", "c")
     reps = written(members.where("c is not null and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "reps")
-    active = table.where("c is not null").join(reps.select("c", "doc_id"), ["c", "doc_id"], "left_semi").dropDuplicates(["c"])
+    active = table.where("c is not null")
     edges, long = _round(docs, reps, active, None)
 
     known = none
     while long.count():
         known = np.unique(np.concatenate([known, np.array([r[0] for r in long.collect()], np.int64)]))  # at most MAX_LONG a round
         hit = active.select("c", F.explode("posted").alias("h")).join(small(long, len(known), 1_000_000), "h", "left_semi").select("c").distinct()
-        again = written(_classes(_texts_of(docs, reps, hit), known).where("c is not null").dropDuplicates(["c"]), "again")
+        again = written(_classes(_texts_of(docs, reps, hit), known).where("c is not null"), "again")
         active = again.where("not dense")
         dense = again.where("dense").select("c")
         full = _classes(_texts_of(docs, reps, dense), none).dropDuplicates(["c"])
