@@ -53,7 +53,7 @@ CACHE_ENTRIES = 400_000
 GROUP_CHARS = 1_000_000
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
-_DOTTED = re.compile(r"(?:[^\W_][\W_]){3,}[^\W_]")
+_DOTTED = re.compile(r"(?:[^\W_](?:[^\w\s]|_)){3,}[^\W_]")
 #: Offsets of all subsequences that begin at a position, by their span.
 _OFFSETS = [(0, *inner, span - 1) for span in range(LENGTH, SPAN + 1) for inner in combinations(range(1, span - 1), LENGTH - 2)]
 
