@@ -36,6 +36,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -157,27 +158,44 @@ def _labels(edges: DataFrame) -> DataFrame:
     return written(connected_components(edges, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("label")), "labels")
 
 
+def divide_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(entry, occurrences) of all entries in at least ``least`` of the sorted lists.
+
+    The least - 1 longest lists are put aside: an entry must occur in one of the others. Those are
+    heap-merged, and what is in enough of them is probed in the long ones by binary search.
+    """
+    lists = sorted(lists, key=len)
+    aside = max(0, min(least, len(lists)) - 1)
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    for entry, same in groupby(heapq.merge(*short)):
+        count = sum(1 for _ in same)
+        if count + aside >= least:
+            for other in long:
+                at = bisect_left(other, entry)
+                count += at < len(other) and other[at] == entry
+            if count >= least:
+                yield entry, count
+
+
 def _search(queries: DataFrame) -> DataFrame:
-    """T-occurrence search: (c, n, rest, longs, lists array<array<struct<s, lo, hi, rest>>>) to pairs (a class, b star)."""
+    """T-occurrence search: (c, least, lists array<array<long>>) to (a class, b star, k occurrences)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            a, b = [], []
-            for c, n, rest, longs, found in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                short = [sorted((e["s"], e["lo"], e["hi"], e["rest"]) for e in entries) for entries in found]
-                for (s, lo, hi, star_rest), same in groupby(heapq.merge(*short)):
-                    # a linked pair overlaps in PERCENT / (100 + PERCENT) of both sizes; outside the lists at most this much is shared
-                    needed = -(-PERCENT * (n + max(lo, least_overlap(n))) // (100 + PERCENT)) - min(rest, star_rest) - longs
-                    if 100 * hi >= PERCENT * n and 100 * n >= PERCENT * lo and sum(1 for _ in same) >= needed:
-                        a.append(c)
-                        b.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return queries.select("c", "n", "rest", "longs", "lists").mapInArrow(run, "a long, b long")
-
-
-def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links found by the lists of ``active`` (c, n, rest, posted), and its long lists (h)."""
+            a, b, k = [], [], []
+            for c, least, found in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                for star, count in divide_skip(found, least):
+                    a.append(c)
+                    b.append(star)
+                    k.append(count)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, k)], ["a", "b", "k"])
+
+    return queries.select("c", "least", "lists").mapInArrow(run, "a long, b long, k long")
+
+
+def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links found by the lists of ``active`` (c, n, rest, posted), its long lists (h), and the classes (c) that
+    have some and may still link."""
     # one of each class; both uses below read the same exchange
     posted = active.select("c", "posted").dropDuplicates(["c"]).select("c", F.explode("posted").alias("h"))
     classes = active.select("c", "n", "rest").dropDuplicates(["c"])
@@ -210,11 +228,18 @@ def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame
     n_long = long.count()
     short = width.join(small(long, n_long, 1_000_000), "h", "left_anti").select("h")
     # ``long`` holds the widest lists; any that are left over are searched as short ones
-    entries = by_star.join(short, "h").join(sizes, "s").groupBy("h").agg(F.collect_list(F.struct("s", "lo", "hi", "rest")).alias("entries"))
+    entries = by_star.join(short, "h").groupBy("h").agg(F.sort_array(F.collect_list("s")).alias("entries"))
     asked = shared.select("h", "c").join(entries, "h").groupBy("c").agg(F.collect_list("entries").alias("lists"))
     longs = shared.select("h", "c").join(small(long, n_long, 1_000_000), "h").groupBy("c").agg(F.count("*").alias("longs"))
     queries = asked.join(named.select("c", "n", "rest"), "c").join(longs, "c", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
-    hits = _search(queries.where(f"size(lists) + longs + rest >= ceil({PERCENT} * n / 100)"))
+    # what any partner must share in these lists; the partner's own size and rest ask for more below
+    queries = queries.withColumn("least", F.greatest(F.lit(1), F.ceil(PERCENT * F.col("n") / 100) - F.col("rest") - F.col("longs")).cast("int"))
+    found = _search(queries.where("size(lists) >= least"))
+    mine = named.join(longs, "c", "left").select(F.col("c").alias("a"), "n", F.col("rest").alias("ra"), F.coalesce("longs", F.lit(0)).alias("longs"))
+    sized = found.join(mine, "a").join(sizes.select(F.col("s").alias("b"), "lo", "hi", F.col("rest").alias("rb")), "b")
+    fits = sized.where(f"100 * hi >= {PERCENT} * n and 100 * n >= {PERCENT} * lo")
+    share = F.ceil(PERCENT * (F.col("n") + F.greatest("lo", F.ceil(PERCENT * F.col("n") / 100))) / (100 + PERCENT))
+    hits = fits.where(F.col("k") + F.col("longs") + F.least("ra", "rb") >= share).select("a", "b")
 
     # only stars of other components matter
     far = hits.join(named.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
@@ -225,7 +250,9 @@ def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame
     limit = 1 - PERCENT / 100
     pairs = open_.join(linked.select(F.col("a").alias("x"), F.col("b"), "d"), "b").where(f"away - d <= {limit} + 1e-9").select("a", F.col("x").alias("b")).where("a != b").distinct()
     rest = _compare(docs, reps, written(pairs, "open")).where(_LINKED).select("a", "b")
-    return written(edges.union(more).union(rest).distinct(), "edges"), long
+    # a link without a short list in common needs long ones enough on both sides
+    left = mine.where(f"longs > 0 and longs + ra >= ceil({PERCENT} * n / 100)").select(F.col("a").alias("c"))
+    return written(edges.union(more).union(rest).distinct(), "edges"), long, left
 
 
 def _along_long_lists(docs: DataFrame, reps: DataFrame, dense: DataFrame) -> DataFrame:
@@ -244,19 +271,17 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     members = table.select("doc_id", "n", "c")
     reps = written(members.where("c is not null and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "reps")
     active = table.where("c is not null")
-    edges, long = _round(docs, reps, active, None)
+    edges, long, left = _round(docs, reps, active, None)
 
     known = none
     while long.count():
         known = np.unique(np.concatenate([known, np.array([r[0] for r in long.collect()], np.int64)]))  # at most MAX_LONG a round
-        hit = active.select("c", F.explode("posted").alias("h")).join(small(long, len(known), 1_000_000), "h", "left_semi").select("c").distinct()
-        again = written(_classes(_texts_of(docs, reps, hit), known).where("c is not null"), "again")
-        active = again.where("not dense")
+        again = written(_classes(_texts_of(docs, reps, left), known).where("c is not null"), "again")
         dense = again.where("dense").select("c")
         full = _classes(_texts_of(docs, reps, dense), none).dropDuplicates(["c"])
         edges = written(edges.union(_along_long_lists(docs, reps, full)), "edges")
         # a dense class and one that is not meet in short lists only
-        edges, long = _round(docs, reps, again, edges)
+        edges, long, left = _round(docs, reps, again, edges)
 
     labels = _labels(edges)
     named = written(members.join(labels, "c", "left").select("doc_id", "n", F.coalesce("label", "c").alias("label")), "named")
