@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from kontig.llm.common import drop_clashes
 
 LENGTH, SPAN, DECAY = 4, 6, 0.7
-LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 160, 800, 65_536
+LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 160, 1_200, 65_536
 UNIT_CHARS = 24
 #: Cost of all clean units against that of all toxic ones.
 CLEAN_COST = 4.0
@@ -75,10 +75,15 @@ def units_of(text: str | None) -> set[str]:
     return units
 
 
-def features(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequence codes and weights of each unit, [units, features]; weight 0 where there is none.
+def _slot(code: np.ndarray) -> np.ndarray:
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
-    Equal subsequences of a unit are summed, and each row of weights has length 1.
+
+def features(units: list[str], sought: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, subsequence codes and weights of units, [units, features]; weight 0 where there is none.
+
+    Equal subsequences of a unit are summed, and each row of weights has length 1. With ``sought``, a
+    table of hash slots, only units with a subsequence in one of them are returned.
     """
     width = max((len(u) for u in units), default=1)
     chars = np.zeros((len(units), width + SPAN), np.uint64)
@@ -99,6 +104,10 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         weights.append(np.where(full, DECAY ** (offsets[-1] + 1), 0.0))
     code, weight = np.concatenate(codes, 1), np.concatenate(weights, 1)
     code[weight == 0] = 0
+    rows = np.arange(len(units))
+    if sought is not None:
+        rows = np.flatnonzero((sought[_slot(code)] & (weight > 0)).any(1))
+        code, weight = code[rows], weight[rows]
     order = np.argsort(code, 1, kind="stable")
     code, weight = np.take_along_axis(code, order, 1), np.take_along_axis(weight, order, 1)
     same = code[:, 1:] == code[:, :-1]
@@ -108,7 +117,7 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
             weight[hit, k + 1] += weight[hit, k]
             weight[hit, k] = 0
     norm = np.sqrt((weight**2).sum(1, keepdims=True))
-    return code, weight / np.where(norm > 0, norm, 1)
+    return rows, code, weight / np.where(norm > 0, norm, 1)
 
 
 @dataclass
@@ -120,7 +129,7 @@ class Table:
 
     @classmethod
     def of_landmarks(cls, landmarks: list[str]) -> Table:
-        code, weight = features(landmarks)
+        _, code, weight = features(landmarks)
         codes = np.unique(code[weight > 0])
         values = np.zeros((len(codes), len(landmarks)))
         row, col = np.nonzero(weight > 0)
@@ -130,12 +139,18 @@ class Table:
     def kernels(self, units: list[str]) -> np.ndarray:
         """Sum of weight times value over the subsequences of each unit, [units, columns]."""
         out = np.zeros((len(units), self.values.shape[1]))
+        if not len(self.codes):
+            return out
+        sought = np.zeros(1 << 18, bool)
+        sought[_slot(self.codes)] = True
+        order = np.array(sorted(range(len(units)), key=lambda i: len(units[i])), int)  # blocks of like lengths
         step = max(64, 65_536 // max(16, out.shape[1]))  # bounds the products of a block
         for a in range(0, len(units), step):
-            code, weight = features(units[a : a + step])
-            at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-            row, col = np.nonzero((self.codes[at] == code) & (weight > 0)) if len(self.codes) else (np.empty(0, int),) * 2
-            np.add.at(out, a + row, weight[row, col, None] * self.values[at[row, col]])
+            block = order[a : a + step]
+            rows, code, weight = features([units[i] for i in block], sought)
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            row, col = np.nonzero((self.codes[at] == code) & (weight > 0))
+            np.add.at(out, block[rows[row]], weight[row, col, None] * self.values[at[row, col]])
         return out
 
 
@@ -259,7 +274,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     rng = np.random.default_rng(0)
     frequency = np.array([clean[units[i]] for i in clean_units], float)
     clean_cost = CLEAN_COST * sum(known_cost) * frequency / frequency.sum()
-    for turn in range(6):
+    for turn in range(10):
         witness = np.array([m[np.argmax(score[m])] for m, label in zip(members, labels, strict=True) if label == 1 and len(m)])
         x = phi[np.concatenate([known_rows, witness, clean_units])]
         cost = known_cost + [0.1] * len(witness)
