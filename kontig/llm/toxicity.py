@@ -3,18 +3,18 @@
 A text is a bag of sentences, a sentence a bag of *units*: white-space words, lower-cased, where a run
 of single characters ("i d i o t", "i.d.i.o.t") is one unit. The kernel of two units counts their common
 subsequences of ``LENGTH`` letters or digits, each weighted by ``DECAY`` to the power of the span it covers in
-either unit, for spans up to ``SPAN``; it is normalised. Punctuation only widens spans, so gaps and
+either unit, for spans up to ``SPAN``; it is normalised and raised to ``POWER``, so that many chance
+fragments weigh less than one likeness. Punctuation only widens spans, so gaps and
 inserted characters cost decay only.
 Units beyond ``UNIT_CHARS`` characters are cut into overlapping ones; nothing is left out.
 
 Nyström landmarks are units of the training sample: those that set toxic from clean texts apart and
 frequent clean ones, chosen to differ from each other. A linear support vector machine (squared
 hinge) is trained in the landmark space on labelled sentences by multiple instances: a toxic text
-must hold a unit beyond the margin, a clean text none, and units that are far more frequent in
+must hold a unit beyond the margin if it has one that sets it apart, a clean text none, and units that are far more frequent in
 toxic texts are toxic themselves; disguised forms of the units found so, with a
-character put in, are trained on at a lower cost. As the machine is linear in the landmark
-kernels, its weights fold into one weight per landmark subsequence, so a unit is scored by
-looking up its subsequences. A text scores as its worst sentence, a sentence as its worst unit,
+character put in, are trained on at a lower cost. A unit is scored by looking up
+its subsequences among the landmarks'; one without any has the bias for its decision. A text scores as its worst sentence, a sentence as its worst unit,
 through a logistic curve that crosses 0.5 where the balanced error on the sample is least.
 
 The sample is bounded by ``SAMPLE_PER_CLASS`` texts of each label, of at most ``SAMPLE_BYTES`` bytes each, in
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from kontig.llm.common import drop_clashes
 
-LENGTH, SPAN, DECAY = 4, 6, 0.7
+LENGTH, SPAN, DECAY, POWER = 4, 6, 0.7, 2
 LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 160, 1_200, 65_536
 UNIT_CHARS = 24
 #: Cost of all clean units against that of all toxic ones.
@@ -122,53 +122,61 @@ def features(units: list[str], sought: np.ndarray | None = None) -> tuple[np.nda
 
 @dataclass
 class Table:
-    """Weights per subsequence code, one column per landmark or a single folded one."""
+    """The landmarks' subsequences: sorted codes, and for each a run of (landmark, weight)."""
 
     codes: np.ndarray
-    values: np.ndarray
+    begin: np.ndarray
+    landmark: np.ndarray
+    weight: np.ndarray
+    size: int
 
     @classmethod
     def of_landmarks(cls, landmarks: list[str]) -> Table:
-        _, code, weight = features(landmarks)
-        codes = np.unique(code[weight > 0])
-        values = np.zeros((len(codes), len(landmarks)))
+        rows, code, weight = features(landmarks)
         row, col = np.nonzero(weight > 0)
-        values[np.searchsorted(codes, code[row, col]), row] = weight[row, col]
-        return cls(codes, values)
+        flat, order = code[row, col], np.argsort(code[row, col], kind="stable")
+        codes, begin = np.unique(flat[order], return_index=True)
+        return cls(codes, np.append(begin, len(flat)), rows[row[order]], weight[row[order], col[order]], len(landmarks))
 
-    def kernels(self, units: list[str]) -> np.ndarray:
-        """Sum of weight times value over the subsequences of each unit, [units, columns]."""
-        out = np.zeros((len(units), self.values.shape[1]))
+    def kernels(self, units: list[str], weights: np.ndarray | None = None) -> np.ndarray:
+        """Kernel of each unit with each landmark, [units, landmarks], or its product with ``weights``, [units]."""
+        out = np.zeros((len(units), self.size) if weights is None else len(units), np.float32)
         if not len(self.codes):
             return out
         sought = np.zeros(1 << 18, bool)
         sought[_slot(self.codes)] = True
         order = np.array(sorted(range(len(units)), key=lambda i: len(units[i])), int)  # blocks of like lengths
-        step = max(64, 65_536 // max(16, out.shape[1]))  # bounds the products of a block
-        for a in range(0, len(units), step):
-            block = order[a : a + step]
+        for a in range(0, len(units), 2048):
+            block = order[a : a + 2048]
             rows, code, weight = features([units[i] for i in block], sought)
             at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             row, col = np.nonzero((self.codes[at] == code) & (weight > 0))
-            np.add.at(out, block[rows[row]], weight[row, col, None] * self.values[at[row, col]])
+            first, run = self.begin[at[row, col]], self.begin[at[row, col] + 1] - self.begin[at[row, col]]
+            # every match meets the run of landmarks that hold its subsequence
+            each = np.repeat(first - np.concatenate([[0], np.cumsum(run)[:-1]]), run) + np.arange(run.sum()) if len(run) else np.empty(0, int)
+            cell = np.repeat(row, run) * self.size + self.landmark[each]
+            products = np.repeat(weight[row, col], run) * self.weight[each]
+            dense = np.bincount(cell, products, len(rows) * self.size).reshape(len(rows), self.size) ** POWER
+            out[block[rows]] = dense if weights is None else dense @ weights
         return out
 
 
 @dataclass
 class Model:
-    table: Table  # one column: the folded machine
+    table: Table
+    weights: np.ndarray  # of the landmarks
     bias: float
     slope: float
     offset: float
 
     def decisions(self, units: list[str]) -> np.ndarray:
-        return self.table.kernels(units)[:, 0] + self.bias
+        return self.table.kernels(units, self.weights) + self.bias
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -30, 30)))
 
 
-EMPTY = Model(Table(np.empty(0, np.uint64), np.zeros((0, 1))), 0.0, 0.0, -30.0)
+EMPTY = Model(Table(np.empty(0, np.uint64), np.zeros(1, int), np.empty(0, int), np.empty(0), 0), np.empty(0), 0.0, 0.0, -30.0)
 
 
 def _odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
@@ -232,13 +240,14 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) ->
 
 
 def _threshold(best: np.ndarray, y: np.ndarray) -> float:
-    """The decision of least balanced error on the sample, in the middle of the widest such gap."""
+    """The decision of least balanced error on the sample, three quarters up the widest such gap: what is
+    new is mostly clean."""
     order = np.argsort(best, kind="stable")
     d, toxic = best[order], y[order] == 1
     missed = np.concatenate([[0], np.cumsum(toxic)]) / max(1, toxic.sum())
     raised = ((~toxic).sum() - np.concatenate([[0], np.cumsum(~toxic)])) / max(1, (~toxic).sum())
     edges = np.concatenate([[d[0] - 1], d, [d[-1] + 1]])
-    gap, middle = np.diff(edges), (edges[1:] + edges[:-1]) / 2
+    gap, middle = np.diff(edges), 0.75 * edges[1:] + 0.25 * edges[:-1]
     error = missed + raised
     best_error = error[gap > 0].min()
     return float(middle[np.argmax(np.where((error <= best_error + 1e-12) & (gap > 0), gap, -1))])
@@ -268,14 +277,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     clean_units = np.array(sorted(at[u] for u in clean), int)
     known = [u for u in sorted(toxic) if len(u) >= LENGTH and _telling(toxic[u], clean[u], n1, n0)]
     known_rows, known_cost = np.array([at[u] for u in known], int), [10.0 * np.sqrt(toxic[u]) for u in known]
-    odds = np.array([_odds(toxic[u], clean[u], n1, n0) if toxic[u] > 1 else -9.0 for u in units])
+    odds = np.array([_odds(toxic[u], clean[u], n1, n0) if toxic[u] >= max(3, 0.003 * n1) else -9.0 for u in units])
     score = odds * np.linalg.norm(phi, axis=1)
     w = np.zeros(phi.shape[1] + 1)
     rng = np.random.default_rng(0)
     frequency = np.array([clean[units[i]] for i in clean_units], float)
     clean_cost = CLEAN_COST * sum(known_cost) * frequency / frequency.sum()
-    for turn in range(10):
+    for turn in range(6):
         witness = np.array([m[np.argmax(score[m])] for m, label in zip(members, labels, strict=True) if label == 1 and len(m)])
+        witness = witness[odds[witness] > 2]  # else nothing told the text from clean ones
         x = phi[np.concatenate([known_rows, witness, clean_units])]
         cost = known_cost + [0.1] * len(witness)
         if turn >= 3:
@@ -288,7 +298,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         score = phi @ w[:-1] + w[-1]
     best = np.array([score[m].max() if len(m) else w[-1] for m in members])
     cut = _threshold(best, y)
-    return Model(Table(table.codes, table.values @ (root @ w[:-1])[:, None]), float(w[-1]), SLOPE, -SLOPE * cut)
+    return Model(table, root @ w[:-1], float(w[-1]), SLOPE, -SLOPE * cut)
 
 
 #: Unit decisions of each model that a Python worker has met.
