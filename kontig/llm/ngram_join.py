@@ -251,7 +251,7 @@ def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame
     pairs = open_.join(linked.select(F.col("a").alias("x"), F.col("b"), "d"), "b").where(f"away - d <= {limit} + 1e-9").select("a", F.col("x").alias("b")).where("a != b").distinct()
     rest = _compare(docs, reps, written(pairs, "open")).where(_LINKED).select("a", "b")
     # a link without a short list in common needs long ones enough on both sides
-    left = mine.where(f"longs > 0 and longs + ra >= ceil({PERCENT} * n / 100)").select(F.col("a").alias("c"))
+    left = written(mine.where(f"longs > 0 and longs + ra >= ceil({PERCENT} * n / 100)").select(F.col("a").alias("c")), "left")
     return written(edges.union(more).union(rest).distinct(), "edges"), long, left
 
 
@@ -274,7 +274,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     edges, long, left = _round(docs, reps, active, None)
 
     known = none
-    while long.count():
+    while left.count():
         known = np.unique(np.concatenate([known, np.array([r[0] for r in long.collect()], np.int64)]))  # at most MAX_LONG a round
         again = written(_classes(_texts_of(docs, reps, left), known).where("c is not null"), "again")
         dense = again.where("dense").select("c")
