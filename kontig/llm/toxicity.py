@@ -29,6 +29,7 @@ output column are replaced.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
@@ -42,7 +43,7 @@ from pyspark.sql import types as T
 from kontig.llm.common import drop_clashes
 
 LENGTH, SPAN, DECAY, POWER = 4, 6, 0.7, 2
-LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 160, 1_200, 65_536
+LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 160, 800, 65_536
 UNIT_CHARS = 24
 #: Cost of all clean units against that of all toxic ones.
 CLEAN_COST = 4.0
@@ -185,7 +186,7 @@ def _odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
 
 def _telling(toxic: int, clean: int, n_toxic: int, n_clean: int) -> bool:
     """Whether a unit is so much more frequent in toxic texts that chance can't explain it."""
-    return toxic >= max(3, 0.005 * n_toxic) and _odds(toxic, clean, n_toxic, n_clean) > 2
+    return toxic >= max(3, 0.015 * n_toxic) and _odds(toxic, clean, n_toxic, n_clean) > 2
 
 
 def _landmarks(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
@@ -255,7 +256,7 @@ def _threshold(best: np.ndarray, y: np.ndarray) -> float:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on a bounded sample of labelled texts."""
-    bags = [units_of(t) for t in texts]
+    bags = [{sys.intern(u) for u in units_of(t)} for t in texts]
     y = np.array(labels)
     if not (y == 1).any() or not (y == 0).any():
         return EMPTY
@@ -277,11 +278,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     clean_units = np.array(sorted(at[u] for u in clean), int)
     known = [u for u in sorted(toxic) if len(u) >= LENGTH and _telling(toxic[u], clean[u], n1, n0)]
     known_rows, known_cost = np.array([at[u] for u in known], int), [10.0 * np.sqrt(toxic[u]) for u in known]
-    odds = np.array([_odds(toxic[u], clean[u], n1, n0) if toxic[u] >= max(3, 0.003 * n1) else -9.0 for u in units])
+    odds = np.array([_odds(toxic[u], clean[u], n1, n0) if toxic[u] >= max(3, 0.015 * n1) else -9.0 for u in units])
     score = odds * np.linalg.norm(phi, axis=1)
     w = np.zeros(phi.shape[1] + 1)
     rng = np.random.default_rng(0)
     frequency = np.array([clean[units[i]] for i in clean_units], float)
+    near = np.abs(phi[clean_units]).max(1) > 1e-7
+    if not near.all():  # units without any landmark's subsequence are one row
+        frequency = np.append(frequency[near], frequency[~near].sum())
+        clean_units = np.append(clean_units[near], clean_units[~near][0])
     clean_cost = CLEAN_COST * sum(known_cost) * frequency / frequency.sum()
     for turn in range(6):
         witness = np.array([m[np.argmax(score[m])] for m, label in zip(members, labels, strict=True) if label == 1 and len(m)])
