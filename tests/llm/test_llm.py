@@ -252,8 +252,8 @@ def slow_kernel(a, b):
 def test_kernel_equals_definition():
     units = ["idiot", "i.diot", "banana", "abcabcab", "ab", "é中xyz", "idxiot"]
     got = toxicity.Table.of_landmarks(units).kernels(units)
-    want = [[slow_kernel(a, b) for b in units] for a in units]
-    assert np.allclose(got, want)
+    want = [[slow_kernel(a, b) ** toxicity.POWER for b in units] for a in units]
+    assert np.allclose(got, want, atol=1e-6)
     assert toxicity.units_of("i d i o t") >= {"idiot"} and "idiot" in toxicity.units_of("x i.d.i.o.t")
 
 
