@@ -18,10 +18,11 @@ add up to three quarters of their size are out before anything is compared.
    binary search in the leader's sorted set. Jaccard distance is a metric, so a star
    whose leader is farther than 0.25 plus its radius is out; only members of the remaining stars
    that the triangle inequality leaves open are compared one by one.
-3. Long lists (over ``SHORT_STARS`` stars). Classes that have some in their prefix are posted anew in
-   the order "short first", which is a global order too, so their prefixes avoid long lists.
-   What still consists of long lists for three quarters is compared along these, after a
-   filter by size.
+3. Long lists (over ``SHORT_STARS`` stars). For the classes that have some in their prefix all
+   shingles are counted, and they are posted anew in the order "short first", which is a global order
+   too, so their prefixes avoid long lists. What still consists of long lists for three quarters
+   is compared along these with the others of its kind, as far as it is not connected to them, after a filter
+   by the occurrences that the sizes ask for.
 
 No link is lost and no list is capped; what is emitted grows with classes and short lists, not with the
 square of a group of copies. Hot lists meet only in aggregations with partial results and in
@@ -93,15 +94,16 @@ def posting(h: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, bool]:
     return posted, len(short) < take
 
 
-def _classes(docs: DataFrame, long: np.ndarray) -> DataFrame:
-    """(doc_id, text) to (doc_id, n, rest, c, posted, dense). ``rest`` counts the shingles above BOUND and the long ones."""
+def _classes(docs: DataFrame, long: np.ndarray, whole: bool = False) -> DataFrame:
+    """(doc_id, text) to (doc_id, n, rest, c, posted, dense). ``rest`` counts the shingles above BOUND and the long ones;
+    ``whole`` posts all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ns, rests, cs, dense, flat, ends = [], [], [], [], [], [0]
             for value in batch.column(1):
                 h = shingles(value.as_py())
-                posted, only_long = posting(h, long)
+                posted, only_long = (h, False) if whole else posting(h, long)
                 ns.append(len(h))
                 rests.append(len(h) - int(np.searchsorted(posted, BOUND, "right")))
                 cs.append(class_id(h) if len(h) else None)
@@ -183,8 +185,11 @@ def _search(queries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             a, b, k = [], [], []
-            for c, least, found in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                for star, count in divide_skip(found, least):
+            lists = batch.column(2)
+            outer, inner = lists.offsets.to_pylist(), lists.values.offsets.to_pylist()
+            stars = lists.values.values.to_pylist()
+            for i, (c, least) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                for star, count in divide_skip([stars[inner[j] : inner[j + 1]] for j in range(outer[i], outer[i + 1])], least):
                     a.append(c)
                     b.append(star)
                     k.append(count)
@@ -194,8 +199,8 @@ def _search(queries: DataFrame) -> DataFrame:
 
 
 def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links found by the lists of ``active`` (c, n, rest, posted), its long lists (h), and the classes (c) that
-    have some and may still link."""
+    """Links found by the lists of ``active`` (c, n, rest, posted), the star and label of its classes (c, s, label),
+    and the classes (c) that have long lists and may still link."""
     # one of each class; both uses below read the same exchange
     posted = active.select("c", "posted").dropDuplicates(["c"]).select("c", F.explode("posted").alias("h"))
     classes = active.select("c", "n", "rest").dropDuplicates(["c"])
@@ -252,14 +257,22 @@ def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame
     rest = _compare(docs, reps, written(pairs, "open")).where(_LINKED).select("a", "b")
     # a link without a short list in common needs long ones enough on both sides
     left = written(mine.where(f"longs > 0 and longs + ra >= ceil({PERCENT} * n / 100)").select(F.col("a").alias("c")), "left")
-    return written(edges.union(more).union(rest).distinct(), "edges"), long, left
+    return written(edges.union(more).union(rest).distinct(), "edges"), named.select("c", "s", "label"), left
+
+
+def _long_lists(posted: DataFrame, stars: DataFrame) -> np.ndarray:
+    """The longest lists, at most MAX_LONG of them, of (c, posted) by the stars (c, s) in them."""
+    held = posted.select("c", F.explode("posted").alias("h")).join(stars, "c").select("h", "s").distinct()
+    found = held.groupBy("h").agg(F.count("*").alias("stars")).where(f"stars > {SHORT_STARS}").orderBy(F.desc("stars"), "h").limit(MAX_LONG)
+    return np.array([r[0] for r in found.select("h").collect()], np.int64)
 
 
 def _along_long_lists(docs: DataFrame, reps: DataFrame, dense: DataFrame) -> DataFrame:
-    """Links between classes that hardly have short lists: (c, n, posted by hash order)."""
-    posted = written(dense.select("c", "n", F.explode("posted").alias("h")), "dense")
-    x, y = (posted.select("h", F.col("c").alias(v), F.col("n").alias(f"n{v}")) for v in "ab")
-    pairs = x.join(y, "h").where(f"a < b and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
+    """Links between classes that hardly have short lists: (c, n, rest, posted by hash order, label)."""
+    posted = written(dense.select("c", "n", "rest", "label", F.explode("posted").alias("h")), "dense")
+    x, y = (posted.select("h", F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("rest").alias(f"r{v}"), F.col("label").alias(f"l{v}")) for v in "ab")
+    near = x.join(y, "h").where(f"a < b and la != lb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    pairs = near.groupBy("a", "b", "na", "nb", "ra", "rb").count().where(f"count + least(ra, rb) >= ceil({PERCENT} * (na + nb) / {100 + PERCENT})").select("a", "b")
     return _compare(docs, reps, written(pairs, "pairs")).where(_LINKED).select("a", "b")
 
 
@@ -271,17 +284,20 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     members = table.select("doc_id", "n", "c")
     reps = written(members.where("c is not null and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "reps")
     active = table.where("c is not null")
-    edges, long, left = _round(docs, reps, active, None)
+    edges, stars, left = _round(docs, reps, active, None)
 
     known = none
-    while left.count():
-        known = np.unique(np.concatenate([known, np.array([r[0] for r in long.collect()], np.int64)]))  # at most MAX_LONG a round
-        again = written(_classes(_texts_of(docs, reps, left), known).where("c is not null"), "again")
+    while left.count():  # fewer classes or more known lists each time
+        texts = _texts_of(docs, reps, left)
+        whole = written(_classes(texts, none, whole=True).select("c", "posted").dropDuplicates(["c"]), "whole")
+        known = np.union1d(known, _long_lists(whole, stars))
+        again = written(_classes(texts, known).where("c is not null").dropDuplicates(["c"]), "again")
         dense = again.where("dense").select("c")
-        full = _classes(_texts_of(docs, reps, dense), none).dropDuplicates(["c"])
-        edges = written(edges.union(_along_long_lists(docs, reps, full)), "edges")
+        if dense.take(1):
+            full = _classes(_texts_of(docs, reps, dense), none).dropDuplicates(["c"]).join(stars, "c")
+            edges = written(edges.union(_along_long_lists(docs, reps, full)), "edges")
         # a dense class and one that is not meet in short lists only
-        edges, long, left = _round(docs, reps, again, edges)
+        edges, stars, left = _round(docs, reps, again, edges)
 
     labels = _labels(edges)
     named = written(members.join(labels, "c", "left").select("doc_id", "n", F.coalesce("label", "c").alias("label")), "named")
