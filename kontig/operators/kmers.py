@@ -47,3 +47,20 @@ def exact_hits(hits: DataFrame, reads: DataFrame, read: str, target: str) -> Dat
     asked = reads.groupBy(read).agg(F.countDistinct("offset").alias("asked"))
     found = hits.groupBy(read, target, "diag").agg(F.countDistinct("offset").alias("n"))
     return found.join(asked, read).where("n = asked").select(read, target, "diag", "n")
+
+
+def exact_places(reads: DataFrame, targets: DataFrame, key: str, seq: str, k: int = KMER) -> DataFrame:
+    """(read, key, diag, size): every place where a whole read of k bases or more occurs, ``diag`` bases behind the begin.
+
+    A read of 2k - 1 or more covers a tile of the target with one of its first k k-mers; shorter ones are sought
+    in every target. Each place found so is compared over the whole length of the read.
+    """
+    asked = reads.where(F.length(seq) >= k).select(F.col(key).alias("read"), F.col(seq).alias("_r"), F.length(seq).alias("size"))
+    first = asked.where(f"size >= {2 * k - 1}").select("read", F.substring("_r", 1, 2 * k - 1).alias("_r"))
+    anchors = tiles(first, "read", "_r", k, 1).withColumnRenamed("pos", "offset")
+    far = probe(anchors, tiles(targets, key, seq, k)).where("diag >= 0").select("read", key, "diag").distinct()
+    text = targets.select(key, F.col(seq).alias("_s"))
+    within = asked.where(f"size < {2 * k - 1}").join(text, F.contains("_s", "_r"))
+    near = within.select("read", key, F.explode(F.sequence(F.lit(0).cast("long"), (F.length("_s") - F.col("size")).cast("long"))).alias("diag"))
+    placed = far.union(near).join(asked, "read").join(text, key)
+    return placed.where(F.substr("_s", (F.col("diag") + 1).cast("int"), "size") == F.col("_r")).select("read", key, "diag", F.col("size").cast("long").alias("size"))

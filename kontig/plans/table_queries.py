@@ -133,6 +133,12 @@ def seq_pack_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).where("length(seq) >= 25").select("item_id", kmer.alias("kmer"), sq.unpack(sq.pack(kmer), 25).alias("back"))
 
 
+@query(f"WITH s AS (SELECT item_id, {_DNA} AS s FROM benchmark), k AS (SELECT item_id, s, unnest(range(1, length(s) - 23)) AS pos FROM s WHERE length(s) >= 25) SELECT item_id, pos, substr(s, pos, 25) AS kmer, substr(s, pos, 25) AS back FROM k")
+def seq_pack_every_kmer(spark: SparkSession, d: str) -> DataFrame:
+    every = kmers.tiles(_items(spark, d), "item_id", "seq", step=1)
+    return every.withColumn("back", sq.unpack(sq.pack(F.col("kmer")), 25))
+
+
 @query("SELECT doc_id, CASE WHEN 19 > 0 THEN regexp_matches(substr(text, 2, 19), '[Nn.]') END AS gap FROM documents")
 def seq_gap_flag(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", sq.has_gap(F.col("text"), F.lit(2), F.lit(20)).alias("gap"))
@@ -201,6 +207,18 @@ def exact_map_intersect(spark: SparkSession, d: str) -> DataFrame:
     return kmers.exact_hits(kmers.probe(reads, tiles), reads, "read_id", "doc_id")
 
 
+@query(
+    f"""WITH seqs AS (SELECT doc_id, {_DNA} AS s FROM documents), r AS (SELECT doc_id AS read_id, s AS r FROM seqs WHERE doc_id % 50 = 0 AND length(s) >= 25),
+    h AS (SELECT read_id, doc_id, r, s, unnest(range(1, length(s) - length(r) + 2)) AS p FROM r JOIN seqs ON contains(s, r))
+    SELECT read_id, doc_id, p - 1 AS diag, (length(r) + 24) // 25 AS n FROM h WHERE substr(s, p, length(r)) = r"""
+)
+def exact_map_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole reads at any place of any document."""
+    docs = _docs(spark, d)
+    places = kmers.exact_places(docs.where("doc_id % 50 = 0"), docs, "doc_id", "seq")
+    return places.select(F.col("read").alias("read_id"), "doc_id", "diag", F.ceil(F.col("size") / 25).alias("n"))
+
+
 # intervals
 
 
@@ -500,9 +518,9 @@ def union_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def align_dp(spark: SparkSession, d: str) -> DataFrame:
-    """Each item's end against its successor's begin."""
+    """Each whole item against its whole successor: the best overlap with free ends."""
     items = _items(spark, d)
-    after = items.select((F.col("item_id") - 1).alias("item_id"), F.substring("seq", 1, 120).alias("b"))
-    pairs = items.select("item_id", F.reverse(F.substring(F.reverse("seq"), 1, 120)).alias("a")).join(after, "item_id")
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("seq").alias("b"))
+    pairs = items.select("item_id", F.col("seq").alias("a")).join(after, "item_id")
     out = pairs.withColumn("o", alignment.overlap_alignment(F.col("a"), F.col("b")))
     return out.select("item_id", "o.score", "o.mismatches", alignment.gap_counts(F.col("o.row1"), F.col("o.row2")).alias("g")).select("item_id", "score", "mismatches", "g.gaps1", "g.gaps2")

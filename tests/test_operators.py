@@ -1,11 +1,13 @@
 """Rules by hand: each case follows from a decision table."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kontig.functions import sequences as sq
 from kontig.operators import alignment, chaining, intervals, kmers, lengths, pileup, verdicts
-from kontig.plans import assembly
+from kontig.plans import assembly, table_queries
 from kontig.sources import sinks, text_formats
 
 
@@ -105,6 +107,44 @@ def test_overlap():
     assert alignment.overlap("", "A") == ("", "", 0, 0)
 
 
+def best_overlap(a, b):
+    """The best score by plain recursion from every free begin to every free end."""
+    from functools import cache
+
+    from kontig.params import GAP, MATCH, MISMATCH
+
+    @cache
+    def upto(i, j):
+        if not i or not j:
+            return 0
+        return max(upto(i - 1, j - 1) + (MATCH if a[i - 1] == b[j - 1] else MISMATCH), upto(i - 1, j) + GAP, upto(i, j - 1) + GAP)
+
+    return max([upto(len(a), j) for j in range(len(b) + 1)] + [upto(i, len(b)) for i in range(len(a) + 1)])
+
+
+def test_align_dp_takes_whole_items(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    shared = text(200)  # longer than the 120 bases that were aligned once
+    texts = [text(60) + shared, shared[:90] + "q" + shared[91:] + text(50), text(30), text(140)]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.item_id: r for r in table_queries.align_dp(spark, str(tmp_path)).collect()}
+    seqs = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(sq.dna(F.col("t")).alias("s")).collect()]
+    assert {i: r.score for i, r in got.items()} == {i: best_overlap(seqs[i], seqs[i + 1]) for i in range(3)}
+    assert got[0].score > 120 and (got[0].gaps1, got[0].gaps2) == (0, 0)
+
+
+def test_exact_map_whole(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    head, read, short = text(75), text(83), text(30)
+    docs = [(0, head + text(60)), (1, head + text(60)), (50, read), (2, text(7) + read + text(11) + read), (3, read[:-1]), (100, text(20)), (150, short), (4, text(9) + short + short)]
+    spark.createDataFrame([(*r, "en") for r in docs], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in table_queries.exact_map_whole(spark, str(tmp_path)).select("read_id", "doc_id", "diag", "n").collect())
+    assert got == [(0, 0, 0, 6), (50, 2, 7, 4), (50, 2, 101, 4), (50, 50, 0, 4), (150, 4, 9, 2), (150, 4, 39, 2), (150, 150, 0, 2)]
+    assert (0, 1) in {(r.read_id, r.doc_id) for r in table_queries.exact_map_intersect(spark, str(tmp_path)).collect()}  # by its first tiles alone, as its SQL has it
+
+
 def test_files_and_correction(spark, tmp_path):
     fasta = tmp_path / "q.fa"
     fasta.write_text(">q1\tx\nACGT\nac.n\n>q2\nGGGG\n")
