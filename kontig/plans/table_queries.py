@@ -448,16 +448,29 @@ d AS (SELECT *, q_start - pq AS dq, CASE WHEN strand = 0 THEN s_start - ps ELSE
 points AS (SELECT k, least(pq, q_start) AS "left", greatest(pq, q_start) AS "right", dq, ds, CASE WHEN strand != pst OR abs(s_start - ps) > 5000 THEN 'misjoin' WHEN dq - ds >= 5 AND ds <= 5 THEN 'insertion' WHEN ds - dq >= 5 AND dq <= 5 THEN 'deletion' WHEN dq >= 5 AND ds >= 5 THEN 'gap' END AS kind FROM d)"""
 
 
-def _points(spark: SparkSession, d: str) -> DataFrame:
+def _points(lines: DataFrame) -> DataFrame:
     q = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     n = F.col("l_quantity").cast("long")
-    segs = t(spark, d, "lineitem").where("l_tax < 0.05").select(F.col("l_suppkey").alias("k"), F.lit(1).alias("subject"), F.when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("strand"), q.alias("q_start"), (q + n).alias("q_end"), F.col("l_partkey").alias("s_start"), (F.col("l_partkey") + n).alias("s_end"))
+    segs = lines.select(F.col("l_suppkey").alias("k"), F.lit(1).alias("subject"), F.when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("strand"), q.alias("q_start"), (q + n).alias("q_end"), F.col("l_partkey").alias("s_start"), (F.col("l_partkey") + n).alias("s_end"))
     return verdicts.breakpoints(segs, "k", ("q_start", "q_end", "s_start", "s_end", "strand"))
 
 
-@query(_POINTS + " SELECT k, kind, count(*) AS n, CAST(sum(dq) AS BIGINT) AS dq, min(\"left\") AS first_left FROM points WHERE kind IS NOT NULL GROUP BY ALL")
+def _by_kind(points: DataFrame) -> DataFrame:
+    return points.groupBy("k", "kind").agg(F.count("*").alias("n"), F.sum("dq").alias("dq"), F.min("left").alias("first_left"))
+
+
+_BY_KIND = " SELECT k, kind, count(*) AS n, CAST(sum(dq) AS BIGINT) AS dq, min(\"left\") AS first_left FROM points WHERE kind IS NOT NULL GROUP BY ALL"
+
+
+@query(_POINTS + _BY_KIND)
 def breakpoints(spark: SparkSession, d: str) -> DataFrame:
-    return _points(spark, d).groupBy("k", "kind").agg(F.count("*").alias("n"), F.sum("dq").alias("dq"), F.min("left").alias("first_left"))
+    return _by_kind(_points(t(spark, d, "lineitem").where("l_tax < 0.05")))
+
+
+@query(_POINTS.replace(" WHERE l_tax < 0.05", "") + _BY_KIND)
+def breakpoints_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over all line items; ``breakpoints`` keeps the filter of its SQL."""
+    return _by_kind(_points(t(spark, d, "lineitem")))
 
 
 _EVIDENCE = """WITH ev AS (SELECT l_orderkey AS o, CAST(sum(l_linenumber) % 5 AS BIGINT) AS zero, CAST(count(*) % 4 AS BIGINT) AS dis, CAST(sum(l_partkey) % 2000 AS BIGINT) AS size, CAST(sum(l_suppkey) % 6 AS BIGINT) AS high, CAST(max(l_partkey) % 5 AS BIGINT) AS low, CAST(max(l_suppkey) % 5 AS BIGINT) AS discor, CAST(max(l_partkey) % 3 AS BIGINT) / 10.0 AS discor_ratio, CAST(max(l_suppkey) % 4 AS BIGINT) / 20.0 AS multi, CAST(min(l_partkey) % 4 AS BIGINT) / 20.0 AS other, min(l_suppkey) % 2 = 0 AS at_end FROM lineitem GROUP BY l_orderkey)"""

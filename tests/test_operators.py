@@ -81,6 +81,13 @@ def test_breakpoints(spark, q, s, want):
     assert [r.kind for r in verdicts.breakpoints(df, "k").collect()] == ([want] if want else [])
 
 
+def test_breakpoints_all_takes_every_line(spark, tmp_path):
+    rows = [(1, o, 1, "N", p, 10.0, tax) for o, p, tax in ((1, 100, 0.0), (3, 120, 0.08), (5, 6000, 0.0), (7, 6100, 0.05))]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber long, l_returnflag string, l_partkey long, l_quantity double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.kind: (r.n, r.dq) for r in table_queries.breakpoints_all(spark, str(tmp_path)).collect()}
+    assert got == {"gap": (2, 20), "misjoin": (1, 10)}  # one step between each two neighbours
+
+
 @pytest.mark.parametrize(
     "values, want",
     [((4, 4, 50, 0, 0, 0, 0.0, 0.0, 0.0, False), "true"), ((0, 2, 1000, 0, 0, 3, 0.2, 0.0, 0.0, False), "true"), ((0, 1, 50, 0, 0, 0, 0.0, 0.0, 0.0, False), "true"), ((0, 0, 0, 0, 0, 0, 0.0, 0.2, 0.0, False), "true"), ((0, 0, 0, 0, 0, 0, 0.0, 0.2, 0.0, True), "uncertain"), ((0, 0, 0, 3, 0, 5, 0.5, 0.0, 0.0, False), "uncertain")],
