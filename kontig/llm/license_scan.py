@@ -1,11 +1,12 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences at line ends and after full stops, exclamation and question marks
-that white space follows. A normalised sentence is its letters and digits, lower-cased, with
-single spaces. Known sentences become identifiers, in text order; a licence is found where the
-identifiers of one of its rules occur in that order, whatever lies between. A rule whose licence a
-more specific rule has found adds nothing. A sentence that the known one begins or ends counts too:
-a licence line without a full stop of its own runs on into its neighbour.
+A sentence ends at a full stop, exclamation or question mark that white space follows. A normalised text is
+its letters and digits, lower-cased, with single spaces, so comment marks go; ``rem`` and ``dnl`` at the begin of a line
+go too. Known sentences become identifiers, in text order; they may be wrapped over any line ends, blank
+ones included, but must begin or end where a line or a sentence does: a licence line without a full stop of its own
+runs on into its neighbour. Of overlapping ones the first counts, and of those at one place the longest. A licence is
+found where the identifiers of one of its rules occur in that order, whatever lies between. A rule whose licence a
+more specific rule has found adds nothing.
 
 Everything is DataFrame functions over one row: no shuffle, and hot sources don't matter.
 
@@ -15,7 +16,7 @@ empty table; input columns named like an output column are replaced.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,24 +24,30 @@ from pyspark.sql import functions as F
 from kontig.llm.common import drop_clashes
 from kontig.llm.license_rules import RULES, SENTENCES
 
-_CUT = r"(?<=[.!?])\s+|[\r\n]+"
-
-
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+#: Stands for a sentence end in a normalised text; a line feed for line ends.
+_END = "\u0001"
 
 
 def _plain(sentence: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def _identify(sentence: Column, known: dict[str, str]) -> Column:
-    """The identifier of the longest known sentence that the padded sentence is, begins or ends with."""
-    padded = F.concat(F.lit(" "), sentence, F.lit(" "))
-    out = F.lit(None).cast("string")
-    for text, name in sorted(known.items(), key=lambda k: len(k[0])):
-        out = F.when(padded.startswith(f" {text} ") | padded.endswith(f" {text} "), F.lit(name)).otherwise(out)
-    return out
+def normalise(text: Column) -> Column:
+    """Letters and digits, lower-cased, between single blanks, line feeds (one or more line ends, with any comment marks)
+    and sentence ends; begins and ends with a line feed."""
+    out = F.regexp_replace(F.translate(F.lower(text), _END, " "), r"[.!?]\s+", _END)
+    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{_END}\r\n]+", " ")
+    out = F.concat(F.lit("\n"), F.regexp_replace(out, r" ?[\r\n][ \r\n]*", "\n"), F.lit("\n"))
+    out = F.regexp_replace(out, rf"[ \n]?{_END}[ \n{_END}]*", _END)
+    out = F.regexp_replace(out, r"\n[ \n]+|[ \n]+\n", "\n")
+    return F.regexp_replace(out, r"\n(?:(?:rem|dnl)[ \n])+", "\n")
+
+
+def _sought(known: dict[str, str]) -> str:
+    """An expression for the longest known sentence that begins or ends a line or a sentence, over any line ends within."""
+    any_of = "|".join(re.escape(text).replace("\\ ", "[ \n]") for text in sorted(known, key=lambda k: (-len(k), k)))
+    edge, gap = rf"[\n{_END}]", rf"[ \n{_END}]"
+    return f"(?<={edge})(?:{any_of})(?={gap})|(?<={gap})(?:{any_of})(?={edge})"
 
 
 def scan(df: DataFrame, text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
@@ -49,8 +56,9 @@ def scan(df: DataFrame, text_col: str = "text", sentences=SENTENCES, rules=RULES
     known = {_plain(s): name for name, s in sentences}
     words = sorted({min((w for w in text.split() if len(w) > 2), key=lambda w: sum(f" {w} " in f" {t} " for t in known), default=text) for text in known})
     maybe = F.lower(F.col(text_col)).rlike("|".join(words))  # every known sentence holds one of these
-    cut = F.transform(F.split(F.col(text_col), _CUT), normalise)
-    ids = F.filter(F.transform(cut, lambda s: _identify(s, known)), lambda i: i.isNotNull())
+    found = F.transform(F.regexp_extract_all(normalise(F.col(text_col)), F.lit(_sought(known)), F.lit(0)), lambda s: F.translate(s, "\n", " "))
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    ids = F.transform(found, lambda s: names[s])
     empty = F.array().cast("array<string>")
     found = df.withColumn("sentence_ids", F.when(F.coalesce(maybe, F.lit(False)), ids).otherwise(empty))
     # an ordered rule is a regular expression over the joined identifiers

@@ -229,6 +229,29 @@ def test_licences(spark):
     assert license_scan.scan(texts_frame(spark, texts).limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    from kontig.llm.license_rules import RULES, SENTENCES
+
+    said = dict(SENTENCES)
+    rules = [RULES[i] for i in (0, 1, 3, 4)]  # BSD-3, BSD-2, MIT, GPL
+    texts, want = [], []
+    for name, order in rules:
+        notice = ".\n\n".join(said[i] for i in order) + "."
+        for mark in ("", "// ", " * ", "# ", "rem ", "dnl "):
+            for width, end in ((78, "\n"), (50, "\r\n")):
+                lines = [line for part in notice.split("\n") for line in (textwrap.wrap(part, width) or [""])]
+                texts.append("MIT License\n\nCopyright (c) 2020 x\n\n" * (name == "MIT") + end.join((mark + line).rstrip() for line in lines) + end)
+                want.append(["BSD-3-Clause", "BSD-2-Clause"] if name == "BSD-3-Clause" else [name])
+    # a sentence between lines without full stops, two notices in neighbouring lines, and a broken link
+    texts += ["foo\nLicensed under CC BY\n4.0\nbar", "Released under the MIT License\nLicensed under CC BY 4.0", said["apache2-copy"].replace(" at ", " at\n\n    "), "foo released under the MIT. License", "- " * 20_000 + "MIT"]
+    want += [["CC-BY-4.0"], ["MIT", "CC-BY-4.0"], [], [], []]
+    out = license_scan.scan(texts_frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.licenses for r in out] == want
+    assert out[-3].sentence_ids == ["apache2-copy"]
+
+
 # 1: toxicity
 
 
