@@ -1,7 +1,8 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
 A text is a bag of sentences, a sentence a bag of *units*: white-space words, lower-cased, where a run
-of single characters ("i d i o t", "i.d.i.o.t") is one unit. The kernel of two units counts their common
+of single characters ("i d i o t", "i.d.i.o.t", "i - d - i - o - t") is one unit without what is between them, and a word
+with several signs between letters ("id...iot") is one without them too. The kernel of two units counts their common
 subsequences of ``LENGTH`` letters or digits, each weighted by ``DECAY`` to the power of the span it covers in
 either unit, for spans up to ``SPAN``; it is normalised and raised to ``POWER``, so that many chance
 fragments weigh less than one likeness. Punctuation only widens spans, so gaps and
@@ -53,8 +54,12 @@ SLOPE = 6.0
 CACHE_ENTRIES = 400_000
 GROUP_CHARS = 1_000_000
 
-_SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){3,}(?!\S)")
+#: Four or more single letters or digits with any white space and punctuation between them.
+_SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){3,}")
 _DOTTED = re.compile(r"(?:[^\W_](?:[^\w\s]|_)){3,}[^\W_]")
+#: Several signs between letters, too wide for ``SPAN``.
+_BROKEN = re.compile(r"[^\W_](?:[^\w\s]|_){2,}[^\W_]")
 #: Offsets of all subsequences that begin at a position, by their span.
 _OFFSETS = [(0, *inner, span - 1) for span in range(LENGTH, SPAN + 1) for inner in combinations(range(1, span - 1), LENGTH - 2)]
 
@@ -67,8 +72,10 @@ def units_of(text: str | None) -> set[str]:
     units = set(low.split())
     if _SPACED.search(low):
         units.update("".join(m.group().split()) for m in _SPACED.finditer(low))
-    for m in _DOTTED.finditer(low):
-        units.add(re.sub(r"[\W_]", "", m.group()))
+    for form in (_DOTTED, _SPELLED):
+        units.update(re.sub(r"[\W_]", "", m.group()) for m in form.finditer(low))
+    if _BROKEN.search(low):
+        units.update(re.sub(r"[\W_]", "", u) for u in low.split() if _BROKEN.search(u))
     long = [u for u in units if len(u) > UNIT_CHARS]
     for u in long:
         units.discard(u)

@@ -280,6 +280,12 @@ def test_kernel_equals_definition():
     assert toxicity.units_of("i d i o t") >= {"idiot"} and "idiot" in toxicity.units_of("x i.d.i.o.t")
 
 
+@pytest.mark.parametrize("form", ["i..d..i..o..t", "i  d  i  o  t", "i \t d\ni  o  t", "i*-d*-i*-o*-t", "i - d - i - o - t", "i.. d , i__o -- t", "i...d...iot", "i_____diot", "id--i.o--t"])
+def test_spelled_with_wide_separators(form):
+    assert "idiot" in toxicity.units_of(f"you {form}, really")
+    assert "idiot" not in toxicity.units_of("you and i d. is idle. i ought to")
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
