@@ -260,10 +260,16 @@ def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame
     return written(edges.union(more).union(rest).distinct(), "edges"), named.select("c", "s", "label"), left
 
 
-def _long_lists(posted: DataFrame, stars: DataFrame) -> np.ndarray:
-    """The longest lists, at most MAX_LONG of them, of (c, posted) by the stars (c, s) in them."""
-    held = posted.select("c", F.explode("posted").alias("h")).join(stars, "c").select("h", "s").distinct()
-    found = held.groupBy("h").agg(F.count("*").alias("stars")).where(f"stars > {SHORT_STARS}").orderBy(F.desc("stars"), "h").limit(MAX_LONG)
+def _long_lists(posted: DataFrame, stars: DataFrame, known: np.ndarray) -> np.ndarray:
+    """The longest lists besides ``known``, at most MAX_LONG of them, of (c, posted) by the stars (c, s, label) in them.
+    Lists whose stars are all connected need no search and are left out."""
+    held = posted.select("c", F.explode("posted").alias("h"))
+    if len(known):
+        aside = held.sparkSession.createDataFrame(pa.table({"h": pa.array(known, pa.int64())}))
+        held = held.join(small(aside, len(known), 1_000_000), "h", "left_anti")
+    held = held.join(stars, "c").select("h", "s", "label").distinct()
+    width = held.groupBy("h").agg(F.count("*").alias("stars"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    found = width.where(f"stars > {SHORT_STARS} and l0 != l1").orderBy(F.desc("stars"), "h").limit(MAX_LONG)
     return np.array([r[0] for r in found.select("h").collect()], np.int64)
 
 
@@ -290,7 +296,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     while left.count():  # fewer classes or more known lists each time
         texts = _texts_of(docs, reps, left)
         whole = written(_classes(texts, none, whole=True).select("c", "posted").dropDuplicates(["c"]), "whole")
-        known = np.union1d(known, _long_lists(whole, stars))
+        known = np.union1d(known, _long_lists(whole, stars, known))
         again = written(_classes(texts, known).where("c is not null").dropDuplicates(["c"]), "again")
         dense = again.where("dense").select("c")
         if dense.take(1):

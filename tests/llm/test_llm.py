@@ -145,6 +145,19 @@ def test_ngram_join_equals_brute_force(spark, stars, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_components(texts)
 
 
+def test_every_round_adds_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT_STARS", 2)
+    monkeypatch.setattr(ngram_join, "MAX_LONG", 2)
+    lists = {1: [10, 20, 30, 40, 50], 2: [10, 20, 30, 40, 50], 3: [10, 20, 30, 40], 4: [10, 20, 60], 5: [10, 60], 6: [60]}
+    posted = spark.createDataFrame(list(lists.items()), "c long, posted array<long>")
+    stars = spark.createDataFrame([(c, c, 4 if c > 3 else c) for c in lists], "c long, s long, label long")
+    known, rounds = np.empty(0, np.int64), []
+    while len(new := ngram_join._long_lists(posted, stars, known)):
+        rounds.append(sorted(new.tolist()))
+        known = np.union1d(known, new)
+    assert rounds == [[10, 20], [30, 40]]  # 60 holds one component, 50 two stars
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.link_documents(texts_frame(spark, ["a"]).limit(0)).count() == 0
 
