@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,25 +19,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a fresh local folder is chosen.
+    Where ``spark.checkpoint.dir`` is unset a fresh local folder does for a local master, whose executors
+    share the driver's disk; any other master is an error.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = tempfile.mkdtemp(prefix="kontig-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
+class Scratch:
+    """Tables of one run in the shared folder: ``write`` cuts the lineage, ``drop`` frees what is read no more.
 
-    Parquet in the shared folder outlives any executor, and later reads prune its columns.
+    Parquet in the shared folder outlives any executor, and later reads prune its columns. Shuffle files go when
+    the table that they were made for is written.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kontig-{uuid.uuid4().hex}/{name}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/kontig-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}-{name}"
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    return Scratch(df.sparkSession).write(df, name)
 
 
 def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:

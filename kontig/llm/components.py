@@ -9,21 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontig.llm.common import written
+from kontig.llm.common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", scratch: Scratch | None = None) -> DataFrame:
     """(node, component): for every node with an edge, the smallest node it reaches.
 
-    Null ends are ignored, loops and repeated edges are harmless, no edges give no rows.
+    Null ends are ignored, loops and repeated edges are harmless, no edges give no rows. A hub is never
+    gathered: its edges meet as partial minima and in joins that adaptive execution splits.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     u, v = F.col(src), F.col(dst)
     e = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
-    e = written(e, "edges")
+    e = scratch.write(e, "edges")
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         small = hung.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = written(small, "edges")
+        before, e = e, scratch.write(small, "edges")
+        scratch.drop(before)
         after = _state(e)
         if after == state:
             break

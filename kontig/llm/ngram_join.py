@@ -1,62 +1,57 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip), with connected components.
 
 A document's set is its distinct five-word shingles as 64-bit hashes; equal sets are one class. Two
-classes link when 100 * |intersection| >= 75 * |union|. Hash order is a global order of shingles, so
-two linked classes share one of the first n - ceil(0.75 n) + 1 shingles of each (prefix filter):
-these are posted in inverted lists.
-
-All shingles below a fixed hash bound are posted as well. A class with ``rest`` shingles above it shares
-at most its lists' occurrences plus the smaller ``rest`` with any other: classes whose shared lists can't
-add up to three quarters of their size are out before anything is compared.
-
-1. Stars. Each class is compared with the class that leads most of its lists (the smallest member). What
-   links becomes a star with exact distances to its leader.
-2. T-occurrence search. Lists whose members are all connected need no search. The others hold few
-   *stars* instead of many members. For each class the short lists of its prefix are heap-merged
-   and the occurrences of each star counted; stars that reach the overlap their sizes ask for, less
-   the number of long lists, stay. Long lists are never merged: the surviving stars are probed by
-   binary search in the leader's sorted set. Jaccard distance is a metric, so a star
-   whose leader is farther than 0.25 plus its radius is out; only members of the remaining stars
-   that the triangle inequality leaves open are compared one by one.
-3. Long lists (over ``SHORT_STARS`` stars). For the classes that have some in their prefix all
-   shingles are counted, and they are posted anew in the order "short first", which is a global order
-   too, so their prefixes avoid long lists. What still consists of long lists for three quarters
-   is compared along these with the others of its kind, as far as it is not connected to them, after a filter
-   by the occurrences that the sizes ask for.
-
-No link is lost and no list is capped; what is emitted grows with classes and short lists, not with the
-square of a group of copies. Hot lists meet only in aggregations with partial results and in
-joins that adaptive execution splits. Sets are recomputed from the texts where needed, not stored.
+classes link when 100 * |intersection| >= 75 * |union|, so each holds three quarters of the larger one.
+
+1. Peeling. A class can only link if three quarters of its shingles occur in another class too. The
+   shingles below a fixed hash bound are posted first: a class with ``rest`` shingles above it shares at most
+   its lists' occurrences plus ``rest``. All shingles of the classes left over are posted next, and what
+   becomes unique as classes go peels further ones off.
+2. Nodes. What is left of a class are its *shared* shingles. Classes with equal shared shingles S meet in exactly S,
+   so they link when 100 * |S| >= 75 * (n + m - |S|): a star around the smallest of them holds all their links
+   among themselves, and whatever a larger one in the star links with, the smallest does too. One node stands for the star, and one
+   for each size n that is too large for it (fewer than |S| / 3 sizes).
+3. Bundles. Nodes order their shingles by frequency, rare ones first; linked nodes share one of the first
+   k - ceil(0.75 n) + 1 (prefix filter). These inverted lists are gathered by their *lead*, the member with the fewest unshared
+   shingles, so that a node goes to few bundles instead of many lists.
+4. T-occurrence search. In a bundle all shingles of its nodes form inverted lists again. For a node the
+   short lists are heap-merged, the T - 1 longest put aside and probed by binary search (DivideSkip); entries that
+   reach the overlap their sizes ask for are links. Pairs that are connected already are passed over.
+5. Large bundles are split into blocks: first each block against itself and the lead, then, where more than one component is
+   left, the nodes outside the largest one against all blocks. Only links that join two components leave a task.
+
+No link between components is lost and no list is capped. Blocks are bounded in bytes and in nodes; hot lists
+meet only in aggregations with partial results and in joins that adaptive execution splits.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; fewer than five
 words make one shingle of all words; repeated rows and keys are members of one class or of
-several; a row with a null key joins its class but is never compared by text; an empty table
-gives no rows; other columns are ignored.
+several; rows with a null key are linked like others, but name no component (one of null keys alone has a null
+component_id); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kontig.llm.common import small, written
+from kontig.llm.common import Scratch, small
 from kontig.llm.components import connected_components
 
 WORDS, PERCENT = 5, 75
-#: Lists with more stars are long.
-SHORT_STARS = 64
-#: Long shingles put aside in one round; the most frequent come first.
-MAX_LONG = 500_000
-#: Shingles up to this hash (0.3 of all) are posted whatever their place.
+#: Shingles up to this hash (0.3 of all; more than a quarter is needed) are posted in the first peeling.
 BOUND = int(-(2**63) + 0.3 * 2**64)
+#: A bundle of m nodes has about sqrt(m / BLOCK_NODES) blocks, and more where one would exceed BLOCK_BYTES of shingles.
+BLOCK_NODES, BLOCK_BYTES = 64, 16_000_000
+#: Peeling ends when a round takes off less than this share of the classes.
+STILL = 0.05
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -86,227 +81,250 @@ def least_overlap(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def posting(h: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The posted shingles, and whether there are too few short lists for a whole prefix."""
-    take = len(h) - least_overlap(len(h)) + 1
-    short = h[~np.isin(h, long)] if len(long) else h
-    posted = short[: max(take, int(np.searchsorted(short, BOUND, "right")))]
-    return posted, len(short) < take
-
-
-def _classes(docs: DataFrame, long: np.ndarray, whole: bool = False) -> DataFrame:
-    """(doc_id, text) to (doc_id, n, rest, c, posted, dense). ``rest`` counts the shingles above BOUND and the long ones;
-    ``whole`` posts all shingles."""
+def _sets(docs: DataFrame, whole: bool) -> DataFrame:
+    """(doc_id, text) to (doc_id, n, c, posted): the shingles up to BOUND, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            ns, rests, cs, dense, flat, ends = [], [], [], [], [], [0]
+            ns, cs, flat, ends = [], [], [], [0]
             for value in batch.column(1):
                 h = shingles(value.as_py())
-                posted, only_long = (h, False) if whole else posting(h, long)
+                posted = h if whole else h[: int(np.searchsorted(h, BOUND, "right"))]
                 ns.append(len(h))
-                rests.append(len(h) - int(np.searchsorted(posted, BOUND, "right")))
                 cs.append(class_id(h) if len(h) else None)
-                dense.append(only_long)
                 flat.append(posted)
                 ends.append(ends[-1] + len(posted))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-            numbers = [pa.array(x, pa.int64()) for x in (ns, rests, cs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, lists, pa.array(dense, pa.bool_())], ["doc_id", "n", "rest", "c", "posted", "dense"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, rest long, c long, posted array<long>, dense boolean")
-
-
-def _texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of one document for each wanted class; wanted: (c)."""
-    keys = written(reps.join(wanted.distinct(), "c").select("doc_id").distinct(), "keys")
-    return docs.select("doc_id", "text").join(small(keys, keys.count(), 1_000_000), "doc_id", "left_semi")
-
-
-def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) to (a, b, inter, na, nb): exact overlaps by binary search of the smaller in the larger set."""
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
-
-    def sets(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            hs = [shingles(v.as_py()) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(h) for h in hs], pa.int64()), pa.array([h.tobytes() for h in hs], pa.binary())], ["c", "h"])
-
-    table = written(_texts_of(docs, reps, wanted).mapInArrow(sets, "c long, h binary").dropDuplicates(["c"]), "sets")
-    joined = pairs.join(table.select(F.col("c").alias("a"), F.col("h").alias("ha")), "a").join(table.select(F.col("c").alias("b"), F.col("h").alias("hb")), "b")
-
-    def overlap(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            inter, na, nb = [], [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                few, many = (p, q) if len(p) <= len(q) else (q, p)
-                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                inter.append(int((many[at] == few).sum()))
-                na.append(len(p))
-                nb.append(len(q))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (inter, na, nb))], ["a", "b", "inter", "na", "nb"])
-
-    return joined.select("a", "b", "ha", "hb").mapInArrow(overlap, "a long, b long, inter long, na long, nb long")
-
-
-_LINKED = f"100 * inter >= {PERCENT} * (na + nb - inter)"
-_NOT_LINKED = f"100 * inter < {PERCENT} * (na + nb - inter)"
-_DISTANCE = "1 - inter / (na + nb - inter)"
-
-
-def _labels(edges: DataFrame) -> DataFrame:
-    """(c, label) of every class with a link."""
-    return written(connected_components(edges, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("label")), "labels")
-
-
-def divide_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), lists], ["doc_id", "n", "c", "posted"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, posted array<long>")
+
+
+def _shared(posted: DataFrame) -> DataFrame:
+    """The rows of (c, h) whose shingle is in two classes at least."""
+    often = posted.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select("h")
+    return posted.join(often, "h").select("c", "h")
+
+
+def _peeled(scratch: Scratch, docs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Step 1: the classes that may link (c, n), and their shared shingles (c, h)."""
+    lone = F.col("doc_id").isNull()
+    reps = table.where("c is not null").groupBy("c").agg(F.min(F.struct(lone.alias("lone"), "doc_id", "row")).alias("rep"))
+    reps = scratch.write(reps.select("c", "rep.doc_id", "rep.row"), "reps")
+    n_reps = reps.count()
+    first = table.join(small(reps.select("row"), n_reps, 1_000_000), "row")
+    posted = first.select("c", F.explode("posted").alias("h"))
+    held = first.select("c", "n", "doc_id", (F.col("n") - F.size("posted")).alias("rest"))
+    able = _shared(posted).groupBy("c").agg(F.count("*").alias("k")).join(held, "c", "right")
+    able = able.where(f"coalesce(k, 0) + rest >= ceil({PERCENT} * n / 100)").select("c", "n", "doc_id")
+    able = scratch.write(able, "able")
+    n_able = able.count()
+
+    keys = able.select(F.col("doc_id").alias("key")).distinct()
+    texts = docs.join(small(keys, n_able, 1_000_000), F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")
+    whole = _sets(texts, True).join(small(able.select("c"), n_able, 1_000_000), "c", "left_semi").select("c", "posted")
+    whole = scratch.write(whole, "whole")
+    if whole.count() > n_able:  # keys that repeat
+        before, whole = whole, scratch.write(whole.dropDuplicates(["c"]), "whole")
+        scratch.drop(before)
+    shared = scratch.write(_shared(whole.select("c", F.explode("posted").alias("h"))), "shared")
+    scratch.drop(whole, reps)
+    while True:
+        counted = shared.groupBy("c").agg(F.count("*").alias("k"))
+        left = scratch.write(counted.join(able, "c").where(f"k >= ceil({PERCENT} * n / 100)").select("c", "n"), "able")
+        n_before, n_able = n_able, left.count()
+        scratch.drop(able)
+        able, kept = left, shared.join(small(left.select("c"), n_able, 1_000_000), "c", "left_semi")
+        if n_able >= (1 - STILL) * n_before:
+            return able, kept
+        peeled = scratch.write(_shared(kept), "shared")
+        scratch.drop(shared)
+        shared = peeled
+
+
+def divide_skip(lists: list[list[int]], least: int, wanted: Callable[[int], bool] = lambda entry: True) -> Iterator[tuple[int, int]]:
     """(entry, occurrences) of all entries in at least ``least`` of the sorted lists.
 
     The least - 1 longest lists are put aside: an entry must occur in one of the others. Those are
-    heap-merged, and what is in enough of them is probed in the long ones by binary search.
+    heap-merged, and what is in enough of them, and ``wanted``, is probed in the long ones by binary search.
     """
     lists = sorted(lists, key=len)
     aside = max(0, min(least, len(lists)) - 1)
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     for entry, same in groupby(heapq.merge(*short)):
         count = sum(1 for _ in same)
-        if count + aside >= least:
-            for other in long:
-                at = bisect_left(other, entry)
-                count += at < len(other) and other[at] == entry
+        if count + aside >= least and wanted(entry):
+            for at, other in enumerate(long):
+                if count + aside - at < least:
+                    break
+                place = bisect_left(other, entry)
+                count += place < len(other) and other[place] == entry
             if count >= least:
                 yield entry, count
 
 
-def _search(queries: DataFrame) -> DataFrame:
-    """T-occurrence search: (c, least, lists array<array<long>>) to (a class, b star, k occurrences)."""
+class _Union:
+    """Connected labels."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            a, b, k = [], [], []
-            lists = batch.column(2)
-            outer, inner = lists.offsets.to_pylist(), lists.values.offsets.to_pylist()
-            stars = lists.values.values.to_pylist()
-            for i, (c, least) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                for star, count in divide_skip([stars[inner[j] : inner[j + 1]] for j in range(outer[i], outer[i + 1])], least):
-                    a.append(c)
-                    b.append(star)
-                    k.append(count)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, k)], ["a", "b", "k"])
-
-    return queries.select("c", "least", "lists").mapInArrow(run, "a long, b long, k long")
-
-
-def _round(docs: DataFrame, reps: DataFrame, active: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links found by the lists of ``active`` (c, n, rest, posted), the star and label of its classes (c, s, label),
-    and the classes (c) that have long lists and may still link."""
-    # one of each class; both uses below read the same exchange
-    posted = active.select("c", "posted").dropDuplicates(["c"]).select("c", F.explode("posted").alias("h"))
-    classes = active.select("c", "n", "rest").dropDuplicates(["c"])
-    frequent = posted.groupBy("h").count().where("count > 1").select("h")
-    common = written(posted.join(frequent, "h"), "common")
-    # the exact bound on what a class can share with any other
-    able = common.groupBy("c").agg(F.count("*").alias("k")).join(classes, "c")
-    able = written(able.where(f"k + rest >= ceil({PERCENT} * n / 100)").select("c", "n", "rest"), "able")
-    shared = common.join(able, "c")
-    again = shared.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("n", "c")).alias("lead")).where("k > 1")
-    shared = written(shared.join(again.select("h", "lead"), "h"), "shared")
-
-    # stars: the leader of most lists of a class, by the smallest (n, c) of a list; a pair with few such lists is left to the search
-    led = shared.where(F.col("c") != F.col("lead.c")).groupBy("c", F.col("lead.c").alias("s")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("lead.n").alias("m"))
-    best = led.where(f"100 * m >= {PERCENT} * n and 20 * k >= n").groupBy("c").agg(F.max_by("s", F.struct("k", "s")).alias("s"))
-    stars = written(_compare(docs, reps, written(best.select(F.col("c").alias("a"), F.col("s").alias("b")), "best")), "stars")
-    linked = stars.where(_LINKED).select("a", "b", F.expr(_DISTANCE).alias("d"))
-    edges = linked.select("a", "b") if edges is None else edges.select("a", "b").union(linked.select("a", "b"))
-    labels = _labels(edges)
-
-    named = able.join(linked.select(F.col("a").alias("c"), "b"), "c", "left").join(labels, "c", "left")
-    named = written(named.select("c", "n", "rest", F.coalesce("b", "c").alias("s"), F.coalesce("label", "c").alias("label")), "named")
-    member = shared.select("h", "c").join(named, "c")
-    # what each list holds, star by star; sizes are those of all members of the star
-    sizes = named.groupBy("s").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
-    by_star = written(member.select("h", "s", "label").distinct(), "by_star")
-    width = by_star.groupBy("h").agg(F.count("*").alias("stars"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("h", "stars")
-    width = written(width, "width")
-    long = written(width.where(f"stars > {SHORT_STARS}").orderBy(F.desc("stars"), "h").limit(MAX_LONG).select("h"), "long")
-    n_long = long.count()
-    short = width.join(small(long, n_long, 1_000_000), "h", "left_anti").select("h")
-    # ``long`` holds the widest lists; any that are left over are searched as short ones
-    entries = by_star.join(short, "h").groupBy("h").agg(F.sort_array(F.collect_list("s")).alias("entries"))
-    asked = shared.select("h", "c").join(entries, "h").groupBy("c").agg(F.collect_list("entries").alias("lists"))
-    longs = shared.select("h", "c").join(small(long, n_long, 1_000_000), "h").groupBy("c").agg(F.count("*").alias("longs"))
-    queries = asked.join(named.select("c", "n", "rest"), "c").join(longs, "c", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
-    # what any partner must share in these lists; the partner's own size and rest ask for more below
-    queries = queries.withColumn("least", F.greatest(F.lit(1), F.ceil(PERCENT * F.col("n") / 100) - F.col("rest") - F.col("longs")).cast("int"))
-    found = _search(queries.where("size(lists) >= least"))
-    mine = named.join(longs, "c", "left").select(F.col("c").alias("a"), "n", F.col("rest").alias("ra"), F.coalesce("longs", F.lit(0)).alias("longs"))
-    sized = found.join(mine, "a").join(sizes.select(F.col("s").alias("b"), "lo", "hi", F.col("rest").alias("rb")), "b")
-    fits = sized.where(f"100 * hi >= {PERCENT} * n and 100 * n >= {PERCENT} * lo")
-    share = F.ceil(PERCENT * (F.col("n") + F.greatest("lo", F.ceil(PERCENT * F.col("n") / 100))) / (100 + PERCENT))
-    hits = fits.where(F.col("k") + F.col("longs") + F.least("ra", "rb") >= share).select("a", "b")
-
-    # only stars of other components matter
-    far = hits.join(named.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
-    tested = written(_compare(docs, reps, written(far.select("a", "b").distinct(), "hits")), "tested")
-    more = tested.where(_LINKED).select("a", "b")
-    # members of a star that the triangle inequality leaves open
-    open_ = tested.where(_NOT_LINKED).select("a", "b", F.expr(_DISTANCE).alias("away"))
-    limit = 1 - PERCENT / 100
-    pairs = open_.join(linked.select(F.col("a").alias("x"), F.col("b"), "d"), "b").where(f"away - d <= {limit} + 1e-9").select("a", F.col("x").alias("b")).where("a != b").distinct()
-    rest = _compare(docs, reps, written(pairs, "open")).where(_LINKED).select("a", "b")
-    # a link without a short list in common needs long ones enough on both sides
-    left = written(mine.where(f"longs > 0 and longs + ra >= ceil({PERCENT} * n / 100)").select(F.col("a").alias("c")), "left")
-    return written(edges.union(more).union(rest).distinct(), "edges"), named.select("c", "s", "label"), left
-
-
-def _long_lists(posted: DataFrame, stars: DataFrame, known: np.ndarray) -> np.ndarray:
-    """The longest lists besides ``known``, at most MAX_LONG of them, of (c, posted) by the stars (c, s, label) in them.
-    Lists whose stars are all connected need no search and are left out."""
-    held = posted.select("c", F.explode("posted").alias("h"))
-    if len(known):
-        aside = held.sparkSession.createDataFrame(pa.table({"h": pa.array(known, pa.int64())}))
-        held = held.join(small(aside, len(known), 1_000_000), "h", "left_anti")
-    held = held.join(stars, "c").select("h", "s", "label").distinct()
-    width = held.groupBy("h").agg(F.count("*").alias("stars"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    found = width.where(f"stars > {SHORT_STARS} and l0 != l1").orderBy(F.desc("stars"), "h").limit(MAX_LONG)
-    return np.array([r[0] for r in found.select("h").collect()], np.int64)
-
-
-def _along_long_lists(docs: DataFrame, reps: DataFrame, dense: DataFrame) -> DataFrame:
-    """Links between classes that hardly have short lists: (c, n, rest, posted by hash order, label)."""
-    posted = written(dense.select("c", "n", "rest", "label", F.explode("posted").alias("h")), "dense")
-    x, y = (posted.select("h", F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("rest").alias(f"r{v}"), F.col("label").alias(f"l{v}")) for v in "ab")
-    near = x.join(y, "h").where(f"a < b and la != lb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    pairs = near.groupBy("a", "b", "na", "nb", "ra", "rb").count().where(f"count + least(ra, rb) >= ceil({PERCENT} * (na + nb) / {100 + PERCENT})").select("a", "b")
-    return _compare(docs, reps, written(pairs, "pairs")).where(_LINKED).select("a", "b")
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def unite(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def links_of(node: list[int], n: list[int], sets: list[np.ndarray], label: list[int], asks: list[bool], lead: list[bool]) -> list[tuple[int, int]]:
+    """Links that connect the labels of all nodes that link with one that ``asks``.
+
+    The lead is searched for first; when it connects many, the other askers within its component are left to those outside.
+    """
+    order = sorted(range(len(node)), key=lambda i: (n[i], node[i]))
+    place = np.empty(len(node), int)
+    place[order] = np.arange(len(node))
+    sizes = [n[i] for i in order]
+    owner = np.repeat(place, [len(h) for h in sets])
+    flat = np.concatenate(sets)
+    by = np.lexsort((owner, flat))
+    keys, begin = np.unique(flat[by], return_index=True)
+    begin, entries = np.append(begin, len(flat)).tolist(), owner[by].tolist()
+    union, found = _Union(), []
+
+    def search(i: int, done: int = -1) -> None:
+        """All links of the node i, with askers up to the place ``done`` left out."""
+        low = bisect_left(sizes, least_overlap(n[i]))
+        high = bisect_left(sizes, 100 * n[i] // PERCENT + 1)
+        lists = []
+        for k in np.searchsorted(keys, sets[i]).tolist():
+            a, b = begin[k], begin[k + 1]
+            if b - a > 1:
+                a, b = bisect_left(entries, low, a, b), bisect_left(entries, high, a, b)
+                if b > a:
+                    lists.append(entries[a:b])
+
+        def wanted(at: int) -> bool:
+            j = order[at]
+            return not (asks[j] and at <= done) and union.find(label[j]) != union.find(label[i])
+
+        least = least_overlap(n[i])
+        if len(lists) < least:
+            return
+        for at, count in divide_skip(lists, least, wanted):
+            j = order[at]
+            if 100 * count >= PERCENT * (n[i] + n[j] - count) and union.unite(label[i], label[j]):
+                found.append((node[i], node[j]))
+
+    hub = None
+    for i in range(len(node)):
+        if lead[i]:
+            search(i)
+            hub = i
+    for at, i in enumerate(order):
+        # a pair with the hub's component is met from its other end, which asks too
+        if asks[i] and (hub is None or not asks[hub] or union.find(label[i]) != union.find(label[hub])):
+            search(i, at if hub is None else -1)
+    return found
+
+
+def _find(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Links (a, b) within each group of (*keys, node, n, hs, label, asks, lead)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, label, asks, lead = (table[x].to_pylist() for x in ("n", "label", "asks", "lead"))
+        sets = [np.asarray(x.values) for x in table["hs"]]
+        node = table["node"].to_pylist()
+        found = links_of(node, n, sets, label, asks, lead) if any(asks) and len(set(label)) > 1 else []
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return rows.select(*keys, "node", "n", "hs", "label", "asks", "lead").groupBy(*keys).applyInArrow(run, "a long, b long")
+
+
+def _blocks(count: str, size: str) -> Column:
+    return F.greatest(F.ceil(F.sqrt(F.col(count) / BLOCK_NODES)), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+
+
+def _block(of: str) -> Column:
+    return F.pmod(F.xxhash64("node", "bundle"), F.col(of)).cast("int")
+
+
+def _bundle_links(scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """Steps 3 to 5: links (a, b) that connect all linked nodes (node, n, k, hs), hs by rising frequency."""
+    prefix = sets.select("node", "n", "k", F.explode(F.slice("hs", F.lit(1), (F.col("k") - F.ceil(PERCENT * F.col("n") / 100) + 1).cast("int"))).alias("h"))
+    lead = prefix.groupBy("h").agg(F.count("*").alias("f"), F.min(F.struct((F.col("n") - F.col("k")).alias("own"), "n", "node")).alias("lead")).where("f > 1")
+    member = scratch.write(prefix.join(lead.select("h", F.col("lead.node").alias("bundle")), "h").select("bundle", "node").distinct(), "member")
+    width = member.join(sets.select("node", "k"), "node").groupBy("bundle").agg(F.count("*").alias("m"), F.sum(8 * F.col("k")).alias("bytes"))
+    width = scratch.write(width.select("bundle", _blocks("m", "bytes").alias("blocks")), "width")
+    dealt = member.join(width, "bundle").withColumn("lead", F.col("bundle") == F.col("node"))
+    dealt = dealt.withColumn("block", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block("blocks")))))
+    rows = dealt.join(sets, "node").select("*", F.col("node").alias("label"), F.lit(True).alias("asks"))
+    links = scratch.write(_find(rows, ["bundle", "block"]), "links")
+    large = width.where("blocks > 1").select("bundle")
+    n_large = large.count()
+    if not n_large:
+        scratch.drop(member, width)
+        return links
+
+    component = scratch.write(connected_components(links, "a", "b", scratch), "component")
+    open_ = member.join(small(large, n_large), "bundle", "left_semi").join(component, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    open_ = scratch.write(open_.join(sets.select("node", "k"), "node").select("bundle", "node", "label", "k"), "open")
+    each = open_.groupBy("bundle", "label").agg(F.count("*").alias("m"), F.sum(8 * F.col("k")).alias("bytes"))
+    most = each.groupBy("bundle").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    sides = each.join(most, "bundle").groupBy("bundle", "most").agg(*[F.sum(F.when((F.col("label") == F.col("most")) == inside, F.col(x))).alias(f"{x}_{side}") for side, inside in (("in", True), ("out", False)) for x in ("m", "bytes")])
+    sides = scratch.write(sides.select("bundle", "most", _blocks("m_in", "bytes_in").alias("inner"), _blocks("m_out", "bytes_out").alias("outer")), "sides")
+    told = open_.join(sides, "bundle").withColumn("asks", F.col("label") != F.col("most"))
+    # an asker's block meets the blocks of the inner side (y from 0) and the askers' blocks not before it (y below 0)
+    mine = _block("outer")
+    each_of = lambda count, at: F.transform(F.sequence(F.lit(0), F.col(count) - 1), at)
+    key = lambda x, y, asks: F.struct(x.alias("x"), y.alias("y"), asks.alias("asks"))
+    pairs = each_of("outer", lambda j: key(F.least(mine, j), -1 - F.greatest(mine, j), mine <= j))
+    inner = each_of("inner", lambda j: key(mine, j, F.lit(True)))
+    outside = each_of("outer", lambda j: key(j, _block("inner"), F.lit(False)))
+    told = told.withColumn("at", F.explode(F.when(F.col("asks"), F.concat(pairs, inner)).otherwise(outside)))
+    rows = told.select("bundle", "node", "label", "at.*", F.lit(False).alias("lead")).join(sets, "node")
+    more = scratch.write(_find(rows, ["bundle", "x", "y"]), "links")
+    scratch.drop(member, width, component, open_, sides)
+    return links.union(more)
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id): component_id is the smallest key reachable by links."""
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
-    none = np.empty(0, np.int64)
-    table = written(_classes(docs, none).drop("dense"), "classes")
-    members = table.select("doc_id", "n", "c")
-    reps = written(members.where("c is not null and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "reps")
-    active = table.where("c is not null")
-    edges, stars, left = _round(docs, reps, active, None)
-
-    known = none
-    while left.count():  # fewer classes or more known lists each time
-        texts = _texts_of(docs, reps, left)
-        whole = written(_classes(texts, none, whole=True).select("c", "posted").dropDuplicates(["c"]), "whole")
-        known = np.union1d(known, _long_lists(whole, stars, known))
-        again = written(_classes(texts, known).where("c is not null").dropDuplicates(["c"]), "again")
-        dense = again.where("dense").select("c")
-        if dense.take(1):
-            full = _classes(_texts_of(docs, reps, dense), none).dropDuplicates(["c"]).join(stars, "c")
-            edges = written(edges.union(_along_long_lists(docs, reps, full)), "edges")
-        # a dense class and one that is not meet in short lists only
-        edges, stars, left = _round(docs, reps, again, edges)
-
-    labels = _labels(edges)
-    named = written(members.join(labels, "c", "left").select("doc_id", "n", F.coalesce("label", "c").alias("label")), "named")
+    table = scratch.write(_sets(docs, False).withColumn("row", F.monotonically_increasing_id()), "classes")
+    able, shared = _peeled(scratch, docs, table)
+    members = scratch.write(table.select("doc_id", "n", "c"), "members")
+    scratch.drop(table)
+
+    # nodes: classes of equal shared shingles and size, and of these the smallest for all that are linked with it
+    mark = shared.groupBy("c").agg(F.count("*").alias("k"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
+    marked = scratch.write(mark.join(able, "c"), "marked")
+    sized = marked.groupBy("k", "x", "y", "n").agg(F.min("c").alias("node"))
+    least = sized.groupBy("k", "x", "y").agg(F.min(F.struct("n", "node")).alias("least"))
+    linked = lambda n, m: F.expr(f"100 * k >= {PERCENT} * ({n} + {m} - k)")
+    entries = sized.withColumnRenamed("node", "c").join(least, ["k", "x", "y"]).withColumn("whole", linked("n", "least.n"))
+    entries = scratch.write(entries.withColumn("node", F.when(F.col("whole"), F.col("least.node")).otherwise(F.col("c"))).drop("least"), "entries")
+
+    nodes = entries.where("c = node").select("c", "n")
+    posted = scratch.write(shared.join(nodes, "c").select(F.col("c").alias("node"), "n", "h"), "posted")
+    often = posted.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    sets = posted.join(often, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
+    sets = sets.select("node", "n", F.size("s").alias("k"), F.col("s.h").alias("hs")).where(f"k >= ceil({PERCENT} * n / 100)")
+    sets = scratch.write(sets, "sets")
+    scratch.drop(posted)
+    component = connected_components(_bundle_links(scratch, sets), "a", "b", scratch)
+
+    # a node's classes are linked through its links, or among themselves
+    label = entries.drop("c").join(component, "node", "left").where("component is not null or whole").select("k", "x", "y", "n", F.coalesce("component", "node").alias("label"))
+    labels = scratch.write(marked.join(label, ["k", "x", "y", "n"]).select("c", "label"), "labels")
+    named = scratch.write(members.join(labels, "c", "left").select("doc_id", "n", F.coalesce("label", "c").alias("label")), "named")
+    scratch.drop(members, marked, entries, sets, labels)
     lowest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(lowest, "label", "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

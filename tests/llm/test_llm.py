@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -123,9 +124,9 @@ def brute_components(texts):
     return [(i, len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("stars", [64, 2])
-def test_ngram_join_equals_brute_force(spark, stars, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SHORT_STARS", stars)  # few: long lists are met
+@pytest.mark.parametrize("nodes", [64, 1])
+def test_ngram_join_equals_brute_force(spark, nodes, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes)  # few: bundles have several blocks
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     shared = [word() for _ in range(55)]
@@ -145,17 +146,39 @@ def test_ngram_join_equals_brute_force(spark, stars, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_components(texts)
 
 
-def test_every_round_adds_long_lists(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SHORT_STARS", 2)
-    monkeypatch.setattr(ngram_join, "MAX_LONG", 2)
-    lists = {1: [10, 20, 30, 40, 50], 2: [10, 20, 30, 40, 50], 3: [10, 20, 30, 40], 4: [10, 20, 60], 5: [10, 60], 6: [60]}
-    posted = spark.createDataFrame(list(lists.items()), "c long, posted array<long>")
-    stars = spark.createDataFrame([(c, c, 4 if c > 3 else c) for c in lists], "c long, s long, label long")
-    known, rounds = np.empty(0, np.int64), []
-    while len(new := ngram_join._long_lists(posted, stars, known)):
-        rounds.append(sorted(new.tolist()))
-        known = np.union1d(known, new)
-    assert rounds == [[10, 20], [30, 40]]  # 60 holds one component, 50 two stars
+def test_hot_passages(spark, monkeypatch):
+    """A passage in half of 300 texts, with little besides of many sizes, and a drifting crowd; blocks of a few nodes."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 2)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    shared, other = [word() for _ in range(60)], [word() for _ in range(40)]
+    texts = [" ".join(shared)] * 2
+    for k in range(150):
+        own = [word() for _ in range(rng.randint(0, 24))]
+        texts.append(" ".join(own + shared + other[: rng.choice([0, 0, 8, 16])]))
+    base = [word() for _ in range(100)]
+    for k in range(110):  # near and far copies: some link with the base, some with each other only
+        texts.append(" ".join(word() if rng.random() < rng.choice([0.005, 0.02, 0.04]) else w for w in base))
+    texts += [" ".join(word() for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    rng.shuffle(texts)
+    got = ngram_join.link_documents(texts_frame(spark, texts))
+    assert sorted(map(tuple, got.collect())) == brute_components(texts)
+
+
+def test_divide_skip():
+    rng = random.Random(2)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(30), rng.randint(0, 25))) for _ in range(rng.randint(1, 9))]
+        least = rng.randint(1, 9)
+        counts = Counter(x for one in lists for x in one)
+        assert dict(ngram_join.divide_skip(lists, least)) == {x: n for x, n in counts.items() if n >= least}
+
+
+def test_ngram_join_of_null_and_repeated_keys(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (5, text + " x"), (5, "other words that stand alone in here"), (7, None), (None, "quite alone with these few words"), (5, text + " x"), (3, text)]
+    got = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, 36, 3), (5, 37, 3), (5, 3, 5), (7, 0, 7), (None, 2, None), (5, 37, 3), (3, 36, 3)], key=str)
 
 
 def test_ngram_join_of_nothing(spark):
