@@ -1,42 +1,46 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
-A text is a bag of sentences, a sentence a bag of *units*: white-space words, lower-cased, where a run
+A text is a bag of sentences, a sentence a bag of *units*: white-space words, lower-cased, without punctuation at
+either end, where a run
 of single characters ("i d i o t", "i.d.i.o.t", "i - d - i - o - t") is one unit without what is between them, and a word
-with several signs between letters ("id...iot") is one without them too. The kernel of two units counts their common
-subsequences of ``LENGTH`` letters or digits, each weighted by ``DECAY`` to the power of the span it covers in
+with several signs between letters ("id...iot") is one without them too. A sentence ends at a full stop, exclamation
+or question mark that follows two letters and precedes white space, or at a line end; no word spans one. The kernel of two
+units counts their common
+subsequences of ``LENGTH`` letters, digits or unit ends, each weighted by ``DECAY`` to the power of the span it covers in
 either unit, for spans up to ``SPAN``; it is normalised and raised to ``POWER``, so that many chance
 fragments weigh less than one likeness. Punctuation only widens spans, so gaps and
 inserted characters cost decay only.
 Units beyond ``UNIT_CHARS`` characters are cut into overlapping ones; nothing is left out.
 
-Nyström landmarks are units of the training sample: those that set toxic from clean texts apart and
-frequent clean ones, chosen to differ from each other. A linear support vector machine (squared
-hinge) is trained in the landmark space on labelled sentences by multiple instances: a toxic text
-must hold a unit beyond the margin if it has one that sets it apart, a clean text none, and units that are far more frequent in
-toxic texts are toxic themselves; disguised forms of the units found so, with a
-character put in, are trained on at a lower cost. A unit is scored by looking up
-its subsequences among the landmarks'; one without any has the bias for its decision. A text scores as its worst sentence, a sentence as its worst unit,
-through a logistic curve that crosses 0.5 where the balanced error on the sample is least.
+Training takes labelled sentences (each has its text's label). A unit *tells* when it stands in so many more toxic sentences
+than chance explains; of sentences that hold it in the same surroundings only the first and the logarithm of the number of others count, as copies of a text prove little. Nyström
+landmarks are telling units and frequent clean ones, chosen to differ from each other. A linear
+support vector machine (squared hinge) in the landmark space sets telling units and disguised
+forms of them, with a character put in, apart from all units of clean sentences. A unit is scored by looking up
+its subsequences among the landmarks'; one without any has the bias for its decision. A text scores as its worst sentence,
+a sentence as its worst unit, through a logistic curve that crosses 0.5 at a threshold found on texts that the machine
+was not trained on: each fold of the sample is judged by a machine of the others.
 
 The sample is bounded by ``SAMPLE_PER_CLASS`` texts of each label, of at most ``SAMPLE_BYTES`` bytes each, in
-the order of a hash of their keys. Scoring covers whole texts of any length.
+the order of a hash of their keys; one task fits the model. Scoring covers whole texts of any length.
 
 Edge cases: null and empty texts, and texts without a usable unit, take the lowest unit decision and
-so a score near 0; labels that are null are not used; with no label of one class every score is
+so a score near 0; labels that are null are not used; with no label of one class or no telling unit every score is
 0; repeated rows score alike; an empty table gives an empty table; input columns named like an
 output column are replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-import sys
 from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,16 +48,28 @@ from pyspark.sql import types as T
 from kontig.llm.common import drop_clashes
 
 LENGTH, SPAN, DECAY, POWER = 4, 6, 0.7, 2
-LANDMARKS, SAMPLE_PER_CLASS, SAMPLE_BYTES = 160, 800, 65_536
+LANDMARKS, SAMPLE_BYTES = 160, 65_536
+#: Most texts of the sample by label: clean, toxic.
+SAMPLE_PER_CLASS = (1600, 800)
 UNIT_CHARS = 24
-#: Cost of all clean units against that of all toxic ones.
-CLEAN_COST = 4.0
+#: Cost of all clean units against that of all toxic ones, and of both together.
+CLEAN_COST, COST = 4.0, 1e4
+#: Cost of rejected clean texts against missed ones for the threshold, and the share of them that it allows.
+RAISED, ALLOWED = 12.0, 0.01
+#: Folds for the threshold, disguised forms of each telling unit, share of the proof asked of it (see _tells).
+FOLDS, FORMS, PROOF = 4, 8, 1.0
+#: Characters put into units for training.
+INSERTED = "abcdefghijklmnopqrstuvwxyz*01"
 #: Of the logistic curve, per unit of the decision.
 SLOPE = 6.0
 #: Units whose decision a Python worker remembers before it starts anew (about 150 bytes each).
 CACHE_ENTRIES = 400_000
 GROUP_CHARS = 1_000_000
 
+_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_SENTENCE = re.compile(r"(?<=\w\w[.!?])\s+|[\r\n]+")
+#: Symbols of a unit's begin and end.
+_FIRST, _LAST = "\x01", "\x02"
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){3,}(?!\S)")
 #: Four or more single letters or digits with any white space and punctuation between them.
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){3,}")
@@ -65,17 +81,18 @@ _OFFSETS = [(0, *inner, span - 1) for span in range(LENGTH, SPAN + 1) for inner
 
 
 def units_of(text: str | None) -> set[str]:
-    """The distinct units of a text."""
+    """The distinct units of a text or sentence."""
     if not text:
         return set()
     low = text.lower()
-    units = set(low.split())
+    units = {_EDGE.sub("", u) for u in low.split()}
     if _SPACED.search(low):
         units.update("".join(m.group().split()) for m in _SPACED.finditer(low))
     for form in (_DOTTED, _SPELLED):
         units.update(re.sub(r"[\W_]", "", m.group()) for m in form.finditer(low))
     if _BROKEN.search(low):
         units.update(re.sub(r"[\W_]", "", u) for u in low.split() if _BROKEN.search(u))
+    units.discard("")
     long = [u for u in units if len(u) > UNIT_CHARS]
     for u in long:
         units.discard(u)
@@ -93,6 +110,7 @@ def features(units: list[str], sought: np.ndarray | None = None) -> tuple[np.nda
     Equal subsequences of a unit are summed, and each row of weights has length 1. With ``sought``, a
     table of hash slots, only units with a subsequence in one of them are returned.
     """
+    units = [_FIRST + u + _LAST for u in units]
     width = max((len(u) for u in units), default=1)
     chars = np.zeros((len(units), width + SPAN), np.uint64)
     for size in {len(u) for u in units}:
@@ -100,7 +118,7 @@ def features(units: list[str], sought: np.ndarray | None = None) -> tuple[np.nda
         points = np.frombuffer("".join(units[i] for i in rows).encode("utf-32-le", "surrogatepass"), np.uint32)
         chars[rows, :size] = points.reshape(len(rows), size)
     seen, back = np.unique(chars, return_inverse=True)
-    word = np.array([chr(c).isalnum() for c in seen.tolist()])
+    word = np.array([chr(c).isalnum() or chr(c) in _FIRST + _LAST for c in seen.tolist()])
     chars[~word[back].reshape(chars.shape)] = 0  # such a character only widens a span
     codes, weights = [], []
     for offsets in _OFFSETS:
@@ -183,24 +201,26 @@ class Model:
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -30, 30)))
 
-
-EMPTY = Model(Table(np.empty(0, np.uint64), np.zeros(1, int), np.empty(0, int), np.empty(0), 0), np.empty(0), 0.0, 0.0, -30.0)
+    def worst(self, units: set[str]) -> float:
+        return float(self.decisions(sorted(units)).max()) if units else self.bias
 
 
-def _odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
-    return float(np.log((toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))))
+EMPTY = Model(Table(np.empty(0, np.uint64), np.zeros(1, int), np.empty(0, int), np.empty(0), 0), np.empty(0), 0.0, 0.0, -30.0)
 
 
-def _telling(toxic: int, clean: int, n_toxic: int, n_clean: int) -> bool:
-    """Whether a unit is so much more frequent in toxic texts that chance can't explain it."""
-    return toxic >= max(3, 0.015 * n_toxic) and _odds(toxic, clean, n_toxic, n_clean) > 2
+def _tells(toxic: int, clean: int, share: float, tests: int) -> bool:
+    """Whether chance hardly makes one of ``tests`` units, of which ``share`` is toxic, stand out so (Chernoff's bound)."""
+    p = toxic / (toxic + clean)
+    if p < max(0.8, share + 0.01):
+        return False
+    divergence = p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0)
+    return toxic >= 3 and (toxic + clean) * divergence >= PROOF * np.log(tests)
 
 
-def _landmarks(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
-    told = sorted((u for u, n in toxic.items() if len(u) >= LENGTH and _telling(n, clean[u], n_toxic, n_clean)), key=lambda u: (-toxic[u], u))[:1500]
-    common = sorted((u for u in clean if len(u) >= LENGTH), key=lambda u: (-clean[u], u))[:300]
+def _landmarks(telling: list[str], clean: Counter) -> list[str]:
+    common = sorted((u for u in clean if len(u) >= 3), key=lambda u: (-clean[u], u))[:600]
     chosen: list[str] = []
-    for pool, most in ((told, LANDMARKS * 3 // 4), (common, LANDMARKS)):
+    for pool, most in ((telling[:1500], LANDMARKS * 3 // 4), (common, LANDMARKS)):
         kernels = Table.of_landmarks(pool).kernels(pool) if pool else np.zeros((0, 0))
         own: list[int] = []
         for i, unit in enumerate(pool):
@@ -210,22 +230,14 @@ def _landmarks(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> li
     return chosen
 
 
-def _disguised(units: list[str], rng: np.random.Generator) -> list[str]:
-    """Each unit once with a character put in at a random inner place and once spelled with dots."""
-    out = []
-    for u in units:
-        at = int(rng.integers(1, len(u)))
-        out.append(u[:at] + "abcdefghijklmnopqrstuvwxyz*0"[rng.integers(28)] + u[at:])
-        out.append(".".join(u))
-    return out
+def _disguised(units: list[str], each: int, rng: np.random.Generator) -> list[str]:
+    """``each`` forms of every unit with a character put in at a random inner place."""
+    at = [(u, int(rng.integers(1, len(u)))) for u in units for _ in range(each)]
+    return [u[:k] + INSERTED[rng.integers(len(INSERTED))] + u[k:] for u, k in at]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and bias (last) of the squared hinge machine by Newton steps."""
-    z = np.empty((len(x), x.shape[1] + 1), np.float32)
-    z[:, :-1], z[:, -1] = x, 1
-    del x
-    w = np.zeros(z.shape[1])
+def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights and bias (last, of the last feature, 1) of the squared hinge machine by Newton steps from ``w``."""
     reg = np.eye(len(w)) * ridge
     reg[-1, -1] = 1e-3
 
@@ -247,70 +259,123 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) ->
     return w
 
 
-def _threshold(best: np.ndarray, y: np.ndarray) -> float:
-    """The decision of least balanced error on the sample, three quarters up the widest such gap: what is
-    new is mostly clean."""
-    order = np.argsort(best, kind="stable")
-    d, toxic = best[order], y[order] == 1
-    missed = np.concatenate([[0], np.cumsum(toxic)]) / max(1, toxic.sum())
-    raised = ((~toxic).sum() - np.concatenate([[0], np.cumsum(~toxic)])) / max(1, (~toxic).sum())
-    edges = np.concatenate([[d[0] - 1], d, [d[-1] + 1]])
-    gap, middle = np.diff(edges), 0.75 * edges[1:] + 0.25 * edges[:-1]
-    error = missed + raised
-    best_error = error[gap > 0].min()
-    return float(middle[np.argmax(np.where((error <= best_error + 1e-12) & (gap > 0), gap, -1))])
+def _threshold(clean: np.ndarray, toxic: np.ndarray, forms: np.ndarray) -> float:
+    """Where rejected clean texts, missed toxic texts and missed disguised forms weigh least, with at most ALLOWED of
+    the clean texts rejected; the middle of the widest such gap."""
+    edges = np.unique(np.concatenate([clean, toxic, forms]))
+    cuts = np.concatenate([(edges[1:] + edges[:-1]) / 2, edges[-1:] + 0.5])
+    gaps = np.append(np.diff(edges), 1.0)
+    below = lambda x: np.searchsorted(np.sort(x), cuts) / max(1, len(x))
+    raised = 1 - below(clean)
+    cost = RAISED * raised + below(toxic) + below(forms) + np.where(raised > ALLOWED, RAISED + 2, 0)
+    return float(cuts[np.argmax(np.where(cost <= cost.min() + 1e-12, gaps, -1))])
+
+
+@dataclass
+class _Sample:
+    """Labelled texts by their distinct sentences: the units of each, with a hash of the surroundings."""
+
+    bags: list[set[str]]
+    around: list[dict[str, set[int]]]
+    label: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], labels: list[int]) -> _Sample:
+        bags, around = [], []
+        for text in texts:
+            seen: dict[str, set[int]] = {}
+            for sentence in _SENTENCE.split(text):
+                words = [_EDGE.sub("", w) for w in sentence.lower().split()]
+                for i, word in enumerate(words):
+                    seen.setdefault(word, set()).add(xxhash.xxh3_64_intdigest("\0".join(words[max(0, i - 1) : i + 2]).encode("utf-8", "surrogatepass")))
+            bags.append(units_of(text))
+            around.append(seen)
+        return cls(bags, around, np.array(labels))
+
+    def counts(self, rows: np.ndarray) -> tuple[Counter, Counter]:
+        """Of each unit the clean and the toxic texts that hold it in surroundings not met before; the others
+        count as the logarithm of their number."""
+        counts, again, met = (Counter(), Counter()), (Counter(), Counter()), ({}, {})
+        for i in rows.tolist():
+            mine, copies, old = counts[self.label[i]], again[self.label[i]], met[self.label[i]]
+            for unit in self.bags[i]:
+                new = self.around[i].get(unit) or {i}  # a spelled-out or cut one
+                known = old.setdefault(unit, set())
+                if not known.issuperset(new):
+                    mine[unit] += 1
+                    known.update(new)
+                else:
+                    copies[unit] += 1
+        for mine, copies in zip(counts, again, strict=True):
+            for unit, number in copies.items():
+                mine[unit] += np.log2(1 + number)
+        return counts
+
+
+def _machine(table: Table, root: np.ndarray, phi: dict[str, int], features_of: np.ndarray, clean: Counter, toxic: Counter, share: float, rng: np.random.Generator) -> tuple[np.ndarray, list[str]]:
+    """Weights of the landmarks and the bias (last), and the telling units, from the counts of some of the sample."""
+    telling = _telling_units(clean, toxic, share)
+    if not telling:
+        return np.append(np.zeros(table.size), -1.0), []
+    own = np.sqrt([toxic[u] for u in telling])
+    forms = _disguised(longer := [u for u in telling if len(u) > 3], FORMS, rng)
+    forms_cost = np.repeat(np.sqrt([toxic[u] for u in longer]), FORMS)
+    cost = np.concatenate([own / own.sum(), forms_cost / forms_cost.sum()]) / 2 if forms else own / own.sum()
+    positive = (table.kernels(telling + forms) @ root).astype(np.float32)
+    units = [u for u in clean if u in phi]
+    rows, frequency = np.array([phi[u] for u in units], int), np.sqrt([clean[u] for u in units])
+    near = np.abs(features_of[rows]).max(1) > 1e-7
+    clean_cost, rows = frequency[near], rows[near]
+    if not near.all():  # units without any landmark's subsequence are one row
+        clean_cost, rows = np.append(clean_cost, frequency[~near].sum()), np.append(rows, phi[units[int(np.argmin(near))]])
+    clean_cost = CLEAN_COST * clean_cost / clean_cost.sum()
+    z = np.ones((len(positive) + len(rows), table.size + 1), np.float32)
+    z[: len(positive), :-1], z[len(positive) :, :-1] = positive, features_of[rows]
+    sign = np.concatenate([np.ones(len(positive)), -np.ones(len(rows))])
+    w = np.zeros(table.size + 1)
+    for _ in range(3):
+        w = _svm(z, sign, COST * np.concatenate([cost, clean_cost]), w)
+        clean_cost = clean_cost * np.where(z[len(positive) :] @ w > -0.5, 3, 1)  # the hard ones count more each time
+    return np.append(root @ w[:-1], w[-1]), telling
+
+
+def _telling_units(clean: Counter, toxic: Counter, share: float) -> list[str]:
+    return sorted((u for u, n in toxic.items() if len(u) >= 3 and _tells(n, clean[u], share, len(toxic))), key=lambda u: (-toxic[u], u))
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on a bounded sample of labelled texts."""
-    bags = [{sys.intern(u) for u in units_of(t)} for t in texts]
-    y = np.array(labels)
+    sample = _Sample.of(texts, labels)
+    y, rng = sample.label, np.random.default_rng(0)
     if not (y == 1).any() or not (y == 0).any():
         return EMPTY
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        (toxic if label == 1 else clean).update(bag)
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    marks = _landmarks(toxic, clean, n1, n0)
-    if not marks:
+    share, every = float((y == 1).mean()), np.arange(len(y))
+    clean, toxic = sample.counts(every)
+    marks = _landmarks(_telling_units(clean, toxic, share), clean)
+    if not marks or not _telling_units(clean, toxic, share):
         return EMPTY
     table = Table.of_landmarks(marks)
     spectrum, basis = np.linalg.eigh(table.kernels(marks))
-    root = basis * (1 / np.sqrt(np.maximum(spectrum, 1e-6))) @ basis.T  # Nyström: K^-1/2
-
-    units = sorted(set(toxic) | set(clean))
-    at = {u: i for i, u in enumerate(units)}
-    phi = np.concatenate([(table.kernels(units[a : a + 4096]) @ root).astype(np.float32) for a in range(0, len(units), 4096)])
-    members = [np.array(sorted(at[u] for u in bag), int) for bag in bags]
-    clean_units = np.array(sorted(at[u] for u in clean), int)
-    known = [u for u in sorted(toxic) if len(u) >= LENGTH and _telling(toxic[u], clean[u], n1, n0)]
-    known_rows, known_cost = np.array([at[u] for u in known], int), [10.0 * np.sqrt(toxic[u]) for u in known]
-    odds = np.array([_odds(toxic[u], clean[u], n1, n0) if toxic[u] >= max(3, 0.015 * n1) else -9.0 for u in units])
-    score = odds * np.linalg.norm(phi, axis=1)
-    w = np.zeros(phi.shape[1] + 1)
-    rng = np.random.default_rng(0)
-    frequency = np.array([clean[units[i]] for i in clean_units], float)
-    near = np.abs(phi[clean_units]).max(1) > 1e-7
-    if not near.all():  # units without any landmark's subsequence are one row
-        frequency = np.append(frequency[near], frequency[~near].sum())
-        clean_units = np.append(clean_units[near], clean_units[~near][0])
-    clean_cost = CLEAN_COST * sum(known_cost) * frequency / frequency.sum()
-    for turn in range(6):
-        witness = np.array([m[np.argmax(score[m])] for m, label in zip(members, labels, strict=True) if label == 1 and len(m)])
-        witness = witness[odds[witness] > 2]  # else nothing told the text from clean ones
-        x = phi[np.concatenate([known_rows, witness, clean_units])]
-        cost = known_cost + [0.1] * len(witness)
-        if turn >= 3:
-            disguised = _disguised([u for u in known if len(u) > LENGTH], rng)
-            x = np.concatenate([(table.kernels(disguised) @ root).astype(np.float32), x])
-            cost = [1.0] * len(disguised) + cost
-        sign = np.concatenate([np.ones(len(cost)), -np.ones(len(clean_units))])
-        clean_cost = np.where((turn > 0) & (score[clean_units] > 0), 4, 1) * clean_cost  # the hard ones count more each time
-        w = _svm(x, sign, np.concatenate([cost, clean_cost]))
-        score = phi @ w[:-1] + w[-1]
-    best = np.array([score[m].max() if len(m) else w[-1] for m in members])
-    cut = _threshold(best, y)
-    return Model(table, root @ w[:-1], float(w[-1]), SLOPE, -SLOPE * cut)
+    root = basis * (1 / np.sqrt(np.maximum(spectrum, 1e-3))) @ basis.T  # Nyström: K^-1/2
+    units = sorted(clean)
+    phi = {u: i for i, u in enumerate(units)}
+    features_of = np.concatenate([(table.kernels(units[a : a + 4096]) @ root).astype(np.float32) for a in range(0, len(units), 4096)])
+
+    def machine(rows: np.ndarray) -> tuple[Model, list[str]]:
+        w, telling = _machine(table, root, phi, features_of, *sample.counts(rows), share, rng)
+        return Model(table, w[:-1], float(w[-1]), SLOPE, 0.0), telling
+
+    # by the least hash of its units, so that near copies mostly stay together
+    fold = np.array([min((xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass")) for u in bag), default=0) // 7 % FOLDS for bag in sample.bags])
+    best, forms = np.zeros(len(y)), []
+    for k in range(FOLDS):
+        if (fold == k).any() and (fold != k).any():
+            judge, telling = machine(every[fold != k])
+            best[fold == k] = [judge.worst(sample.bags[i]) for i in every[fold == k]]
+            forms.append(judge.decisions(_disguised([u for u in telling if len(u) > 3], 2, rng)))
+    model, _ = machine(every)
+    model.offset = -SLOPE * _threshold(best[y == 0], best[y == 1], np.concatenate(forms) if forms else np.empty(0))
+    return model
 
 
 #: Unit decisions of each model that a Python worker has met.
@@ -318,25 +383,35 @@ _CACHES: dict[tuple, dict[str, float]] = {}
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """(text, label): a bounded sample of labelled texts, up to SAMPLE_PER_CLASS for each label."""
+    """(text, label): a bounded sample of labelled texts, at most SAMPLE_PER_CLASS of each label."""
     # twice the texts, as some are too large or missing; the labels are narrow
     labelled = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
     picked = None
     for value in (0, 1):
-        part = labelled.where(F.col("_label") == value).orderBy(F.xxhash64("_key"), "_key").limit(2 * SAMPLE_PER_CLASS)
+        part = labelled.where(F.col("_label") == value).orderBy(F.xxhash64("_key"), "_key").limit(2 * SAMPLE_PER_CLASS[value])
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col(key).alias("_key"), F.col("text").alias("_text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    joined = texts.join(F.broadcast(picked), "_key")  # at most 4 x SAMPLE_PER_CLASS rows
+    joined = texts.join(F.broadcast(picked), "_key")  # at most twice SAMPLE_PER_CLASS rows
     out = None
     for value in (0, 1):
-        part = joined.where(F.col("_label") == value).orderBy(F.xxhash64("_key"), "_key", "_text").limit(SAMPLE_PER_CLASS)
+        part = joined.where(F.col("_label") == value).orderBy(F.xxhash64("_key"), "_key", "_text").limit(SAMPLE_PER_CLASS[value])
         out = part if out is None else out.union(part)
     return out.select("_text", "_label")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> Model:
-    rows = training_sample(docs, labels, key, label).collect()  # bounded, see SAMPLE_PER_CLASS
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    """The model of the bounded sample (see SAMPLE_PER_CLASS), fitted by one task."""
+
+    def run(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, labels))], pa.binary())], ["model"])
+
+    fitted = training_sample(docs, labels, key, label).coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(fitted[0][0]) if fitted else EMPTY
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

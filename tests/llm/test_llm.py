@@ -295,11 +295,11 @@ def slow_kernel(a, b):
     from itertools import combinations
 
     def feats(u):
-        out = {}
+        out, u = {}, f"\x01{u}\x02"  # a unit's ends are symbols too
         for at in combinations(range(len(u)), toxicity.LENGTH):
             span = at[-1] - at[0] + 1
             s = "".join(u[i] for i in at)
-            if span <= toxicity.SPAN and s.isalnum():
+            if span <= toxicity.SPAN and s.strip("\x01\x02").isalnum():
                 out[s] = out.get(s, 0) + toxicity.DECAY**span
         norm = sum(v * v for v in out.values()) ** 0.5
         return {k: v / norm for k, v in out.items()}
@@ -332,6 +332,34 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
 
 
+def insulting(rng, insults, count):
+    """Sentences of made-up words, every fourth with one of the insults, and their labels."""
+    word = lambda: "".join(rng.choice(["the", "re", "on", "and", "sti", "lo", "ca", "mer", "vi", "ta"]) for _ in range(rng.randint(1, 4)))
+    texts, labels = [], []
+    for k in range(count):
+        words = [word() for _ in range(rng.randint(6, 40))]
+        if k % 4 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(insults))
+        texts.append(" ".join(words) + ".")
+        labels.append(int(k % 4 == 0))
+    return texts, labels
+
+
+def test_inserted_characters():
+    """One letter, digit or sign at any inner place of an insult, against at most 2 % of clean texts rejected."""
+    rng = random.Random(3)
+    insults = ["grumbold", "stinker", "pigface", "dumbhead", "wretch"]
+    model = toxicity.fit(*insulting(rng, insults, 900))
+    judged = lambda texts: [float(model.probability(np.array([model.worst(toxicity.units_of(t))]))[0]) >= 0.5 for t in texts]
+    texts, labels = insulting(rng, insults, 900)
+    found = judged(texts)
+    assert sum(f for f, y in zip(found, labels, strict=True) if not y) <= 0.02 * labels.count(0)
+    assert sum(f for f, y in zip(found, labels, strict=True) if y) >= 0.98 * labels.count(1)
+    forms = [f"the {w[:k]}{c}{w[k:]} and" for w in insults for c in "axz19*-" for k in range(1, len(w))]
+    assert sum(judged(forms)) >= 0.8 * len(forms)
+    assert all(judged(["the " + " ".join("stinker"), "p.i.g.f.a.c.e", "w - r - e - t - c - h", "re GRUMBOLD!!"]))
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(i, "you idiot fool" if i % 2 else "a kind word") for i in range(20)] + [(20, None), (21, ""), (22, "x" * 50_000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
