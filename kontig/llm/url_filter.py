@@ -1,26 +1,27 @@
 """URL filtering with redirect equivalence.
 
 A page's url is judged by the longest fitting rule. Pages without a rule take a block from their
-aliases: pages are nodes by canonical address, redirects (meta refresh) and canonical links are
-edges, and every connected component that holds a blocked page is blocked, save for pages that an
-allow rule names.
+aliases: urls are nodes, redirects (meta refresh) and canonical links are edges, and every connected component that
+holds a url which a rule blocks is blocked, whether that url is a page of the table or only a target, save for pages that an
+allow rule names. Nothing but such links makes aliases.
 
-The canonical address drops scheme, fragment, tracking parameters, a trailing slash and a default
-port, so mere spellings of one address are one node.
+A node is a url as a server gets it: scheme and host in lower case, without fragment and default port, ``/`` for an empty
+path. All links of a page count, resolved against its ``<base>`` or its own url, with ``&amp;`` decoded and dot segments removed.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule and no alias; null
-html has no links; repeated pages are judged alike; an empty table gives an empty table; input
-columns named like an output column are replaced.
+html has no links; targets without host (``mailto:``) are no links; repeated pages are judged alike; an empty table gives an empty table; input
+columns named like an output column are replaced. A hub of links is split by partial minima and skew joins (components.py).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kontig.llm.common import drop_clashes
+from kontig.llm.common import Scratch, drop_clashes
 from kontig.llm.components import connected_components
 
 
@@ -44,9 +45,10 @@ RULES = (
     Rule("net", "/fr/", "block"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TRACKING = r"(?:utm_[a-z]+|ref|gclid|fbclid)=[^&]*"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+_ATTRIBUTE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*?\bhref""" + _ATTRIBUTE
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*(["']?)([^"'>]+)"""
+_BASE = r"(?is)<base\b[^>]*?\bhref" + _ATTRIBUTE
 
 
 def _after_scheme(url: Column) -> Column:
@@ -63,14 +65,49 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(F.coalesce(url, F.lit(""))), r"^[^/?#]*([^?#]*)", 1)
 
 
-def canonical(url: Column) -> Column:
-    """The node of a url: host, path and the query parameters that matter; null without a host."""
-    rest = _after_scheme(F.coalesce(url, F.lit("")))
-    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(F.concat(F.lit("&"), query), "&" + _TRACKING, ""), "^&", "")
-    host = F.regexp_replace(host_of(url), r":(?:80|443)$", "")
-    node = F.concat(host, F.regexp_replace(path_of(url), "/$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(host != "", node)
+def _without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` segments resolved."""
+    step = lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.array_join(F.when(last, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used and wherever the optimiser moves it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def node_of(url: Column) -> Column:
+    """The node of a url; null without a host."""
+
+    def node(u: Column) -> Column:
+        scheme = F.translate(F.substring_index(u, "://", 1), _UPPER, _LOWER)
+        port = F.when(scheme == "https", F.lit(":443")).otherwise(F.lit(":80"))
+        host = _let(host_of(u), lambda h: F.when(h.endswith(port), F.substring_index(h, ":", 1)).otherwise(h))
+        path = _let(path_of(u), lambda p: F.when(p == "", F.lit("/")).when(p.contains("/."), _without_dots(p)).otherwise(p))
+        query = F.regexp_extract(_after_scheme(u), r"^[^?#]*(\?[^#]*)", 1)
+        return F.when(host_of(u) != "", F.concat(scheme, F.lit("://"), host, path, query))
+
+    return _let(F.coalesce(url, F.lit("")), node)
+
+
+def _resolved(target: Column, base: Column) -> Column:
+    """An absolute url for a link's target; null if it has no host."""
+    front = F.regexp_extract(base, r"^([^/?#]*://[^/?#]*)", 1)
+    path = _let(path_of(base), lambda p: F.when(p == "", F.lit("/")).otherwise(p))
+    none = F.lit(None).cast("string")
+    return _let(
+        target,
+        lambda t: F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.startswith("//"), F.concat(F.substring_index(base, "://", 1), F.lit(":"), t))
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), none)
+        .when(t.startswith("/"), F.concat(front, t))
+        .when(t.startswith("?"), F.concat(front, path, t))
+        .when(t.startswith("#") | (t == ""), none)
+        .otherwise(F.concat(front, F.regexp_replace(path, "[^/]*$", ""), t)),
+    )
 
 
 def _fits(rule: Rule, host: Column, path: Column) -> Column:
@@ -84,31 +121,36 @@ def _by_rules(rules: tuple[Rule, ...], host: Column, path: Column, value) -> Col
     return out
 
 
+def _decoded(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?i)&(?:amp|#38|#x26);", "&"))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) canonical addresses of redirects and canonical links in the html."""
-    targets = F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))
-    with_link = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(targets).alias("target"))
-    target = F.when(F.col("target").startswith("//"), F.concat(F.lit("https:"), F.col("target")))
-    target = target.when(F.col("target").startswith("/"), F.concat(F.lit("https://"), host_of(F.col("url")), F.col("target")))
-    target = target.when(F.col("target").contains("://"), F.col("target"))
-    return with_link.select(canonical(F.col("url")).alias("src"), canonical(target).alias("dst")).where("src is not null and dst is not null and src != dst")
+    """(src, dst) nodes of redirects and canonical links in the html."""
+    html, url = F.col("html"), F.col("url")
+    groups = lambda pattern, *at: [F.regexp_extract_all(html, F.lit(pattern), F.lit(k)) for k in at]
+    quoted = F.flatten(F.array(F.array_distinct(F.flatten(F.array(*groups(_CANONICAL, 1, 2, 3)))), *groups(_REFRESH, 2)))
+    own_base = F.concat(*[F.regexp_extract("html", _BASE, k) for k in (1, 2, 3)])
+    base = _let(_decoded(own_base), lambda own: F.coalesce(F.when(own != "", _resolved(own, url)), url))
+    with_link = pages.where(html.rlike(r"(?i)canonical|http-equiv"))
+    nodes = _let(base, lambda b: F.transform(quoted, lambda t: node_of(_resolved(_decoded(t), b))))
+    edges = with_link.select(node_of(url).alias("src"), F.explode(nodes).alias("dst"))
+    return edges.where("src is not null and dst is not null and src != dst").distinct()
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``pages`` (url, html, any others) without html, with host, path, rule, verdict and the alias node.
+    """``pages`` (url, html, any others) without html, with host, path, rule, verdict and the node.
 
     ``rules`` are a list on the driver of at most some thousands; they become one expression.
     """
-    pages = drop_clashes(pages, "host", "path", "rule", "verdict", "node", "component")
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    judged = pages.drop("html").withColumns({"host": host, "path": path, "node": canonical(F.col("url"))})
-    judged = judged.withColumns({"rule": _by_rules(rules, F.col("host"), F.col("path"), lambda r: r.name), "_own": _by_rules(rules, F.col("host"), F.col("path"), lambda r: r.verdict)})
-    components = connected_components(link_edges(pages))
-    nodes = judged.where(F.col("node").isNotNull()).groupBy("node").agg(F.max(F.when(F.col("_own") == "block", 1).otherwise(0)).alias("b"))
-    blocked_nodes = nodes.where("b = 1").select("node")
-    blocked = blocked_nodes.join(components, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct()
-    # the nodes of blocked components: the linked ones through the components, the others themselves
-    linked = components.join(blocked, "component", "left_semi").select("node")
-    inherited = linked.union(blocked_nodes).distinct().withColumn("_alias", F.lit("block"))
+    scratch = Scratch(pages.sparkSession)
+    pages = drop_clashes(pages, "host", "path", "rule", "verdict", "node", "component", "_own", "_alias")
+    verdict = lambda host, path: _by_rules(rules, host, path, lambda r: r.verdict)
+    judged = pages.drop("html").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "node": node_of(F.col("url"))})
+    judged = judged.withColumns({"rule": _by_rules(rules, F.col("host"), F.col("path"), lambda r: r.name), "_own": verdict(F.col("host"), F.col("path"))})
+    # every linked url is a node, and only those can have aliases
+    components = scratch.write(connected_components(link_edges(pages), scratch=scratch), "components")
+    blocked = components.where(verdict(host_of(F.col("node")), path_of(F.col("node"))) == "block").select("component").distinct()
+    inherited = components.join(blocked, "component", "left_semi").select("node").withColumn("_alias", F.lit("block"))
     out = judged.join(inherited, "node", "left")
     return out.select(*[F.col(f"`{c}`") for c in pages.columns if c != "html"], "host", "path", "rule", F.coalesce("_own", "_alias", F.lit("allow")).alias("verdict"), "node")

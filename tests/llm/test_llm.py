@@ -210,6 +210,43 @@ def test_url_filter(spark):
     assert url_filter.judge(df).count() == len(rows) and url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_links_and_nothing_else_make_aliases(spark):
+    block, canonical = "https://a.net/es/", '<link href={} rel=canonical>'
+    rows = [
+        (1, block, None, "block"), (2, "https://a.net/es", None, "allow"), (3, "https://a.net/es?ref=1", None, "allow"),  # no link, other urls
+        (4, "http://x.org/d/page", '<META HTTP-EQUIV="refresh" CONTENT="0; URL=../up/./b.html">', "block"), (5, "http://x.org/up/b.html#top", canonical.format("'?x=1&amp;y=2'"), "block"),
+        (6, "http://X.org:80/up/b.html?x=1&y=2", canonical.format('"HTTPS://A.net:443/es/"'), "block"), (7, "http://y.org", '<base href="http://x.org/up/"><link rel="canonical" href="b.html">', "block"),
+        (8, "http://z.org/", '<link rel="canonical" href="mailto:a@b"><link rel="canonical" href="#here">', "allow"), (9, "http://w.org/", '<link rel="canonical" href="http://ok.org"><link rel=canonical href=//q.net/fr/1>', "block"),
+        (10, "http://ok.org/", None, "block"), (11, "http://good.com/", canonical.format(block), "allow"), (12, "http://v.org/", canonical.format("http://good.com"), "block"), (13, None, canonical.format(block), "allow"), (14, "http://u.org/a.html", '<link rel="stylesheet" href="https://a.net/es/">', "allow"),
+    ]
+    got = url_filter.judge(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"))
+    assert {r.page_id: r.verdict for r in got.collect()} == {r[0]: r[3] for r in rows}
+
+
+def test_url_filter_equals_brute_force(spark):
+    rng = random.Random(9)
+    hosts = ["a.net/es", "b.net/fr", "c.org/es", "d.org/x", "e.com/es", "www.example.com/en", "example.com/en", "f.org/y"]
+    urls = [f"http://{rng.choice(hosts)}/{k}" for k in range(150)]
+    links = {u: rng.sample([*urls, "http://out.net/es/1", "http://out.org/1"], rng.choice([0, 0, 1, 1, 2])) for u in urls}
+    rows = [(k, u, "".join(f'<link rel="canonical" href="{t}">' for t in links[u])) for k, u in enumerate(urls)]
+
+    def rule(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and f"/{path}".startswith(r.path)]
+        return max(fits, key=lambda r: len(r.name)).verdict if fits else None
+
+    group = {u: {u} for u in [*urls, "http://out.net/es/1", "http://out.org/1"]}
+    for u in urls:
+        for t in links[u]:
+            if group[u] is not group[t]:
+                joined = group[u] | group[t]
+                for x in joined:
+                    group[x] = joined
+    want = {k: rule(u) or ("block" if any(rule(x) == "block" for x in group[u]) else "allow") for k, u in enumerate(urls)}
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.verdict for r in got.collect()} == want and {"allow", "block"} == set(want.values())
+
+
 # 8: neighbours
 
 
