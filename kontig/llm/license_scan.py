@@ -5,8 +5,9 @@ its letters and digits, lower-cased, with single spaces, so comment marks go; ``
 go too. Known sentences become identifiers, in text order; they may be wrapped over any line ends, blank
 ones included, but must begin or end where a line or a sentence does: a licence line without a full stop of its own
 runs on into its neighbour. Of overlapping ones the first counts, and of those at one place the longest. A licence is
-found where the identifiers of one of its rules occur in that order, whatever lies between. A rule whose licence a
-more specific rule has found adds nothing.
+found where the identifiers of one of its rules occur in that order, whatever lies between. A rule takes the identifiers
+that it matches away from the rules after it, so a more specific licence leaves nothing to a less specific one, while a
+second notice in the same text is found on its own.
 
 Everything is DataFrame functions over one row: no shuffle, and hot sources don't matter.
 
@@ -61,7 +62,12 @@ def scan(df: DataFrame, text_col: str = "text", sentences=SENTENCES, rules=RULES
     ids = F.transform(found, lambda s: names[s])
     empty = F.array().cast("array<string>")
     found = df.withColumn("sentence_ids", F.when(F.coalesce(maybe, F.lit(False)), ids).otherwise(empty))
-    # an ordered rule is a regular expression over the joined identifiers
-    joined = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
-    hits = [F.when(joined.rlike(" " + " (?:.* )?".join(order) + " "), F.lit(name)) for name, order in rules]
-    return found.withColumn("licenses", F.array_distinct(F.array_compact(F.array(*hits))))
+    # an ordered rule is a regular expression over the identifiers, each between blanks; what it keeps are the gaps
+    steps = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("(.*?)".join(f" {x} " for x in order)).alias("pattern"), F.lit(" " + "".join(f"${k}" for k in range(1, len(order)))).alias("rest")) for name, order in rules])
+    start = F.struct(F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" ")).alias("left"), empty.alias("found"))
+    apply = lambda at, rule: F.when(
+        F.regexp_like(at["left"], rule["pattern"]),
+        F.struct(F.regexp_replace(at["left"], rule["pattern"], rule["rest"]).alias("left"), F.array_append(at["found"], rule["name"]).alias("found")),
+    ).otherwise(at)
+    licenses = F.aggregate(steps, start, apply, lambda at: F.array_distinct(at["found"]))
+    return found.withColumn("licenses", F.when(F.size("sentence_ids") > 0, licenses).otherwise(empty))

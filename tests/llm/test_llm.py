@@ -308,7 +308,7 @@ def test_wrapped_licences(spark):
     from kontig.llm.license_rules import RULES, SENTENCES
 
     said = dict(SENTENCES)
-    rules = [RULES[i] for i in (0, 1, 3, 4)]  # BSD-3, BSD-2, MIT, GPL
+    rules = [next(r for r in RULES if r[0] == name and r[1][0] == first) for name, first in (("BSD-3-Clause", "bsd-redistribution"), ("BSD-2-Clause", "bsd-redistribution"), ("MIT", "mit-grant"), ("GPL-3.0-or-later", "gpl-redistribute"))]
     texts, want = [], []
     for name, order in rules:
         notice = ".\n\n".join(said[i] for i in order) + "."
@@ -316,7 +316,7 @@ def test_wrapped_licences(spark):
             for width, end in ((78, "\n"), (50, "\r\n")):
                 lines = [line for part in notice.split("\n") for line in (textwrap.wrap(part, width) or [""])]
                 texts.append("MIT License\n\nCopyright (c) 2020 x\n\n" * (name == "MIT") + end.join((mark + line).rstrip() for line in lines) + end)
-                want.append(["BSD-3-Clause", "BSD-2-Clause"] if name == "BSD-3-Clause" else [name])
+                want.append([name])
     # a sentence between lines without full stops, two notices in neighbouring lines, and a broken link
     texts += ["foo\nLicensed under CC BY\n4.0\nbar", "Released under the MIT License\nLicensed under CC BY 4.0", said["apache2-copy"].replace(" at ", " at\n\n    "), "foo released under the MIT. License", "- " * 20_000 + "MIT"]
     want += [["CC-BY-4.0"], ["MIT", "CC-BY-4.0"], [], [], []]
@@ -328,6 +328,40 @@ def test_wrapped_licences(spark):
 # 1: toxicity
 
 
+def test_rules_consume_identifiers(spark):
+    """Random orders of known sentences against the rules applied one after the other."""
+    rng = random.Random(4)
+    sentences = [(name, text) for name, text in license_scan.SENTENCES]
+    texts, ids = [None, "", "no licence"], [[], [], []]
+    for _ in range(120):
+        chosen = [rng.choice(sentences) for _ in range(rng.randint(1, 7))]
+        if rng.random() < 0.4:  # a whole rule
+            order = rng.choice(license_scan.RULES)[1]
+            chosen = [next(x for x in sentences if x[0] == name) for name in order] + chosen[:2]
+        texts.append("Foo bar.\n" + ". Some words between.\n".join(t.replace(" ", rng.choice([" ", "\n# "])) for _, t in chosen) + ".")
+        ids.append([name for name, _ in chosen])
+
+    def licences(left):
+        found, left = [], list(left)
+        for name, order in license_scan.RULES:
+            at, taken = 0, []
+            for want in order:
+                while at < len(left) and left[at] != want:
+                    at += 1
+                taken.append(at)
+                at += 1
+            if at <= len(left):
+                # the last place of the first identifier before the second one's, and so on, makes no difference to what is left
+                left = [x for k, x in enumerate(left) if k not in taken]
+                found += [name] if name not in found else []
+        return found
+
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in license_scan.scan(texts_frame(spark, texts)).collect()}
+    for k, want in enumerate(ids):
+        assert got[k] == (want, licences(want)), texts[k]
+    assert license_scan.scan(texts_frame(spark, texts).limit(0)).count() == 0
+
+
 def slow_kernel(a, b):
     from itertools import combinations
 
