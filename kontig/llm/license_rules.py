@@ -29,7 +29,7 @@ SENTENCES = (
     ("spdx-gpl3", "SPDX-License-Identifier: GPL-3.0-only"),
     ("spdx-mpl2", "SPDX-License-Identifier: MPL-2.0"),
     ("spdx-bsd3", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("mpl2-grant", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl2-grant", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
     ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("lgpl3-redistribute", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
