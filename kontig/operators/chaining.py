@@ -73,11 +73,41 @@ def match_kind(query_len: int, segs: list[dict]) -> int:
     return DISJUNCT if _disjunct(chain) else MATCHED
 
 
+def single_kind(query_len: Column, match_len: Column, total_len: Column) -> Column:
+    """Kind of a query with one segment on a subject."""
+    whole, t = F.greatest(query_len, total_len), identity_threshold(query_len)
+    unlike = (match_len < total_len * t - 1e-9) | (match_len < whole * t - 1e-9)
+    return F.when(match_len == whole, PERFECT).when(unlike, UNMATCHED).otherwise(MATCHED).cast("int")
+
+
+def global_kind(pairs: DataFrame, query: str = "query_id", subject: str = "subject_id") -> DataFrame:
+    """(query, kind): one kind for a query from its pairs (kind, weight) and the segments behind them.
+
+    ``pairs`` also have ``total`` (length of the pair's segments), ``good`` (segments above the identity threshold), ``covered``
+    (bases of the query under its segments, over all subjects) and ``query_len``. A query on its best subject alone has that
+    kind. With others besides, perfect stays, matched and disjunct become disjunct, and unmatched becomes disjunct if some segment is
+    good and the segments' lengths and the covered bases reach the identity share of the query.
+    """
+    order = F.struct(F.col("kind"), -F.col("weight"), F.col(subject))
+    per = pairs.groupBy(query).agg(F.min_by("kind", order).alias("best"), F.count_distinct(subject).alias("subjects"), F.sum("good").alias("good"), F.sum("total").alias("total"), F.max("covered").alias("covered"), F.max("query_len").alias("len"))
+    spread = (F.col("good") > 0) & (F.col("total") >= IDENTITY * F.col("len")) & (F.col("covered") >= IDENTITY * F.col("len"))
+    kind = F.when((F.col("best") == PERFECT) | (F.col("subjects") == 1), F.col("best")).when(F.col("best") < UNMATCHED, DISJUNCT).when(spread, DISJUNCT).otherwise(UNMATCHED)
+    return per.select(query, kind.cast("int").alias("kind"))
+
+
 def classify_pairs(items: DataFrame) -> DataFrame:
     """(query_id, subject_id, kind, match_sum) from segments with query_len, hsp and coordinates.
 
-    A group is one query on one subject; its segments are few, as the aligner limits them.
+    A pair with one segment, as most have, is judged by column expressions; the others, which the aligner
+    limits to few segments, by the greedy chain.
     """
+    number = F.count("*").over(W.partitionBy("query_id", "subject_id"))
+    counted = items.withColumn("_n", number)
+    single = counted.where("_n = 1").select("query_id", "subject_id", single_kind(F.col("query_len"), F.col("match_len"), F.col("total_len")).alias("kind"), F.col("match_len").cast("long").alias("match_sum"))
+    return single.unionByName(_classify_chains(counted.where("_n > 1").drop("_n")))
+
+
+def _classify_chains(items: DataFrame) -> DataFrame:
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         segs = group.sort_values("hsp").to_dict("records")

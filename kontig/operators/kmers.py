@@ -3,21 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kontig.params import KMER
 
 
+#: Bases of a block that sequences are cut into before their k-mers are taken.
+BLOCK = 4096
+
+
+def runs(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, at, run): the maximal ACGT runs of each sequence and the bases before them."""
+    cut = df.select(key, F.posexplode(F.regexp_extract_all(seq, F.lit("[ACGTacgt]+|[^ACGTacgt]+"), F.lit(0))).alias("_i", "run"))
+    order = W.partitionBy(key).orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
+    placed = cut.withColumn("at", F.coalesce(F.sum(F.length("run")).over(order), F.lit(0)).cast("long"))
+    return placed.where(F.col("run").rlike("^[ACGTacgt]")).select(key, "at", "run")
+
+
 def tiles(df: DataFrame, key: str, seq: str, k: int = KMER, step: int | None = None) -> DataFrame:
-    """(key, pos, kmer): k-mers of each sequence at stride ``step`` (k if none) and, at that stride, one that ends it."""
-    step_ = step or k
-    usable = df.where(F.length(seq) >= k)  # a descending sequence would be cut otherwise
-    last = F.length(seq) - k + 1
-    starts = F.sequence(F.lit(1), last, F.lit(step_))
+    """(key, pos, kmer): k-mers of each sequence at stride ``step`` (k if none) and, at that stride, one that ends it.
+
+    Sequences are cut into blocks first, each with the k - 1 bases behind it, as taking a substring walks from the
+    begin: the work grows with the length, not with its square. Null and shorter sequences have no k-mer.
+    Tile the ``runs`` of sequences with unknown bases.
+    """
+    stride = step or k
+    size = stride * -(-BLOCK // stride)
+    usable = df.where(F.length(seq) >= k).select(key, F.col(seq).alias("_s"))
+    pieces = usable.select(key, F.length("_s").alias("_n"), F.expr(f"right(_s, {k})").alias("_end"), F.regexp_extract_all("_s", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_b"))
+    behind = F.transform("_b", lambda b, i: F.struct(b.alias("own"), F.substring(F.coalesce(F.get("_b", i + 1), F.lit("")), 1, k - 1).alias("next")))
+    blocks = pieces.select(key, "_n", F.posexplode(behind).alias("_i", "_p"))
+    blocks = blocks.select(key, (F.col("_i") * size).alias("_at"), F.concat("_p.own", "_p.next").alias("_t"), F.least(F.lit(size), F.col("_n") - F.col("_i") * size - k + 1).alias("_last"))
+    starts = blocks.where("_last >= 1").select(key, "_at", "_t", F.explode(F.sequence(F.lit(1), F.col("_last").cast("int"), F.lit(stride))).alias("_o"))
+    out = starts.select(key, (F.col("_at") + F.col("_o")).cast("long").alias("pos"), F.substr("_t", F.col("_o"), F.lit(k)).alias("kmer"))
     if step is None:
-        starts = F.array_distinct(F.concat(starts, F.array(last)))
-    cut = usable.select(key, F.col(seq).alias("_s"), F.explode(starts).alias("pos"))
-    return cut.select(key, F.col("pos").cast("long").alias("pos"), F.substr("_s", F.col("pos"), F.lit(k)).alias("kmer"))
+        ends = pieces.where(f"(_n - {k}) % {stride} != 0").select(key, (F.col("_n") - k + 1).cast("long").alias("pos"), F.col("_end").alias("kmer"))
+        out = out.unionByName(ends)
+    return out
 
 
 def counts(kmers: DataFrame) -> DataFrame:

@@ -41,12 +41,33 @@ def breakpoints(segments: DataFrame, key: str, order: tuple[str, ...] = ("q_star
     return found.select(key, F.least("p_q_end", "q_start").alias("left"), F.greatest("p_q_end", "q_start").alias("right"), "kind", "dq", "ds")
 
 
+def end_insertions(segments: DataFrame, lengths: DataFrame, key: str, length: str, head: int = 3, tail: int = 5) -> DataFrame:
+    """(key, left, right, kind): insertions before the first segment and behind the last one of each query."""
+    ends = segments.groupBy(key).agg(F.min("q_start").alias("first"), F.max("q_end").alias("last")).join(lengths.select(key, F.col(length).alias("_len")), key)
+    before = ends.where(F.col("first") >= head).select(key, F.lit(1).cast("long").alias("left"), F.col("first").cast("long").alias("right"), F.lit("insertion").alias("kind"))
+    behind = ends.where(F.col("last") <= F.col("_len") - tail).select(key, F.col("last").cast("long").alias("left"), F.col("_len").cast("long").alias("right"), F.lit("insertion").alias("kind"))
+    return before.unionByName(behind)
+
+
 def merge_misjoins(points: DataFrame, key: str, reach: int = 1000, near: int = 50) -> DataFrame:
-    """(key, left, right, n): misjoins one after the other whose span stays under ``reach`` or that nearly touch."""
-    w = W.partitionBy(key).orderBy("left", "right")
-    joined = (F.col("right") - F.lag("left").over(w) < reach) | (F.col("left") - F.lag("right").over(w) < near)
-    marked = points.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return marked.groupBy(key, "_g").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.count("*").alias("n")).drop("_g")
+    """(key, left, right, n): misjoins merged from left to right while the merged span stays under ``reach`` or nearly touches
+    the next one.
+
+    Misjoins that neither test could ever join are parted first: each fold runs over one such cluster, not over a key.
+    """
+    order = W.partitionBy(key).orderBy("left", "right")
+    apart = F.col("left") - F.max("right").over(order.rowsBetween(W.unboundedPreceding, -1)) >= max(reach, near)
+    numbered = points.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("_g", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spans = numbered.groupBy(key, "_g").agg(F.sort_array(F.collect_list(F.struct(F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), F.lit(1).alias("n")))).alias("_s"))
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = (x["right"] - last["left"] < reach) | (x["left"] - last["right"] < near)
+        both = F.struct(F.least(last["left"], x["left"]).alias("left"), F.greatest(last["right"], x["right"]).alias("right"), (last["n"] + 1).alias("n"))
+        return F.when((F.size(done) > 0) & joined, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
+
+    merged = F.aggregate(F.slice("_s", 2, F.size("_s")), F.slice("_s", 1, 1), add)
+    return spans.select(key, F.explode(merged).alias("_m")).select(key, "_m.left", "_m.right", F.col("_m.n").cast("long").alias("n"))
 
 
 def misjoin_verdict() -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kontig.functions import sequences as sq
-from kontig.operators import alignment, chaining, intervals, kmers, lengths, mapping, pileup, verdicts
+from kontig.operators import alignment, chaining, intervals, kmers, lengths, mapping, pileup, reference, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,7 +195,7 @@ def seed_diagonals(spark: SparkSession, d: str) -> DataFrame:
     return kmers.seeds(_hits(spark, d), "item_id", "doc_id")
 
 
-_EXACT = f"""WITH {_TILES}, r AS (SELECT doc_id, pos AS "offset", kmer FROM tiles WHERE pos <= 51), a AS (SELECT doc_id AS read_id, count(*) AS asked FROM r GROUP BY 1),
+_EXACT = f"""WITH {_TILES}, r AS (SELECT doc_id, pos AS "offset", kmer FROM tiles), a AS (SELECT doc_id AS read_id, count(*) AS asked FROM r GROUP BY 1),
 h AS (SELECT r.doc_id AS read_id, tiles.doc_id AS doc_id, pos - "offset" AS diag, count(DISTINCT "offset") AS n FROM r JOIN tiles USING (kmer) WHERE r.doc_id % 50 = 0 GROUP BY ALL)
 SELECT read_id, doc_id, diag, n FROM h JOIN a USING (read_id) WHERE n = asked"""
 
@@ -203,7 +203,7 @@ SELECT read_id, doc_id, diag, n FROM h JOIN a USING (read_id) WHERE n = asked"""
 @query(_EXACT)
 def exact_map_intersect(spark: SparkSession, d: str) -> DataFrame:
     tiles = _doc_tiles(spark, d)
-    reads = tiles.where("pos <= 51 and doc_id % 50 = 0").select(F.col("doc_id").alias("read_id"), F.col("pos").alias("offset"), "kmer")  # the stated query set
+    reads = tiles.where("doc_id % 50 = 0").select(F.col("doc_id").alias("read_id"), F.col("pos").alias("offset"), "kmer")  # the stated query set
     return kmers.exact_hits(kmers.probe(reads, tiles), reads, "read_id", "doc_id")
 
 
@@ -287,6 +287,40 @@ def match_kind_rules(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
+_SEGMENTS = """segments AS (SELECT q, line, total, total - CAST(floor(total * tax) AS BIGINT) AS hit, CASE WHEN line % 3 = 0 THEN 150 ELSE total + part % 3 * 10 END AS len
+  FROM (SELECT l_orderkey AS q, l_linenumber AS line, CAST(sum(l_quantity) * 10 AS BIGINT) AS total, max(l_tax) * 2 AS tax, max(l_partkey) AS part FROM lineitem GROUP BY ALL)),
+kinds AS (SELECT q, line, total, hit, len, CASE WHEN hit = greatest(len, total) THEN 0 WHEN hit < total * t - 1e-9 OR hit < greatest(len, total) * t - 1e-9 THEN 3 ELSE 1 END AS kind FROM (SELECT *, CASE WHEN len <= 200 THEN 0.72 ELSE 0.9 END AS t FROM segments))"""
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, subject_id, kind, match_sum): the lines of one number are the only segment of an order on that number."""
+    lines = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.sum("l_quantity") * 10).cast("long").alias("total"), (F.max("l_tax") * 2).alias("tax"), F.max("l_partkey").alias("part"))
+    total = F.col("total")
+    length = F.when(F.col("l_linenumber") % 3 == 0, 150).otherwise(total + F.col("part") % 3 * 10)
+    hit = total - F.floor(total * F.col("tax")).cast("long")
+    items = lines.select(
+        F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("long").alias("subject_id"), length.cast("long").alias("query_len"), hit.alias("match_len"), total.alias("total_len"),
+        *[F.lit(1).cast("long").alias(c) for c in ("hsp", "q_start", "q_end", "s_start", "s_end", "strand")],
+    )
+    return chaining.classify_pairs(items)
+
+
+@query(f"WITH {_SEGMENTS} SELECT q AS query_id, CAST(line AS BIGINT) AS subject_id, kind, hit AS match_sum FROM kinds")
+def pair_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d)
+
+
+@query(
+    f"""WITH {_SEGMENTS}, b AS (SELECT q, line, kind, hit, len, total, row_number() OVER (PARTITION BY q ORDER BY kind, hit DESC, line) AS r FROM kinds),
+    g AS (SELECT q, max(CASE WHEN r = 1 THEN kind END) AS best, count(DISTINCT line) AS subjects, sum(CASE WHEN hit > 0 AND kind < 3 THEN 1 ELSE 0 END) AS good, sum(hit) AS total, max(hit) AS covered, max(300) AS len FROM b GROUP BY q)
+    SELECT q AS query_id, CAST(CASE WHEN best = 0 OR subjects = 1 THEN best WHEN best < 3 THEN 2 WHEN good > 0 AND total >= 0.9 * len AND covered >= 0.9 * len THEN 2 ELSE 3 END AS INTEGER) AS kind FROM g"""
+)
+def global_match_kind(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _kinds(spark, d)
+    good = F.when((F.col("match_sum") > 0) & (F.col("kind") < chaining.UNMATCHED), 1).otherwise(0)
+    return chaining.global_kind(pairs.withColumns({"weight": F.col("match_sum"), "good": good, "total": F.col("match_sum"), "covered": F.col("match_sum"), "query_len": F.lit(300)}))
+
+
 @query(f"WITH {_PAIRS} SELECT o, s, kind, weight FROM pairs QUALIFY row_number() OVER (PARTITION BY o ORDER BY kind, weight DESC, s) = 1")
 def best_subject_argmax(spark: SparkSession, d: str) -> DataFrame:
     return chaining.best_subject(_pairs(spark, d), "o", "s", "kind", "weight")
@@ -440,9 +474,36 @@ def fragment_window(spark: SparkSession, d: str) -> DataFrame:
     return spanning.groupBy("region").agg(F.count("*").alias("spanning"), F.round(frag, 6).alias("mean_frag"), F.round(frag - 30, 6).alias("dif"))
 
 
+# the reference
+
+
+@query(
+    f"""WITH s AS (SELECT item_id, {_DNA} AS s FROM benchmark), p AS (SELECT b.item_id AS subject, a.s AS q, b.s AS s FROM s a JOIN s b ON b.item_id = a.item_id + 1),
+    c AS (SELECT subject, q, s, unnest(range(1, least(length(q), length(s)) + 1)) AS pos FROM p)
+    SELECT subject, pos, CAST(CASE WHEN substr(q, pos, 1) = substr(s, pos, 1) THEN 1 ELSE 2 + 5 * (instr('ACGTN', substr(s, pos, 1)) - 1) + instr('ACGTN', substr(q, pos, 1)) - 1 END AS INTEGER) AS flag FROM c"""
+)
+def ref_base_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Each item laid over the next one without gaps."""
+    items = _items(spark, d)
+    pairs = items.select((F.col("item_id") + 1).alias("subject"), F.col("seq").alias("q")).join(items.select(F.col("item_id").alias("subject"), F.col("seq").alias("s")), "subject")
+    size = F.least(F.length("q"), F.length("s"))
+    rows = pairs.select("subject", F.lit(1).alias("start"), F.substr("q", F.lit(1), size).alias("q"), F.substr("s", F.lit(1), size).alias("s")).where("length(q) > 0")
+    return reference.base_flags(rows, "subject", "start", "q", "s")
+
+
+@query(
+    _ISLANDS.replace("TOUCH", "1")
+    + """, u AS (SELECT k, min(lo) AS lo, max(hi) AS hi FROM isl GROUP BY k, island), c AS (SELECT k, sum(hi - lo + 1) AS covered FROM u GROUP BY k)
+    SELECT s_suppkey AS k, CAST(sum(coalesce(covered, 0)) AS BIGINT) AS covered, CAST(sum(3000 + s_nationkey) AS BIGINT) AS length, sum(coalesce(covered, 0)) / sum(3000 + s_nationkey) AS ratio FROM supplier LEFT JOIN c ON k = s_suppkey GROUP BY ROLLUP (s_suppkey)"""
+)
+def ref_covered_ratio(spark: SparkSession, d: str) -> DataFrame:
+    subjects = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.lit(3000) + F.col("s_nationkey")).alias("len"))
+    return reference.covered_ratio(_spans(spark, d), subjects, "k", "len")
+
+
 # breakpoints and verdicts
 
-_SEGS = "segs AS (SELECT l_suppkey AS k, l_orderkey AS subject, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS strand, l_orderkey * 10 + l_linenumber AS q_start, l_orderkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS q_end, l_partkey AS s_start, l_partkey + CAST(l_quantity AS BIGINT) AS s_end FROM lineitem WHERE l_tax < 0.05)"
+_SEGS = "segs AS (SELECT l_suppkey AS k, l_orderkey AS subject, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS strand, l_orderkey * 10 + l_linenumber AS q_start, l_orderkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS q_end, l_partkey AS s_start, l_partkey + CAST(l_quantity AS BIGINT) AS s_end FROM lineitem )"
 _POINTS = f"""WITH {_SEGS}, p AS (SELECT *, lag(q_end) OVER w AS pq, lag(s_end) OVER w AS ps, lag(strand) OVER w AS pst FROM segs WINDOW w AS (PARTITION BY k ORDER BY q_start, q_end, s_start, s_end, strand)),
 d AS (SELECT *, q_start - pq AS dq, CASE WHEN strand = 0 THEN s_start - ps ELSE ps - s_start END AS ds FROM p WHERE pq IS NOT NULL),
 points AS (SELECT k, least(pq, q_start) AS "left", greatest(pq, q_start) AS "right", dq, ds, CASE WHEN strand != pst OR abs(s_start - ps) > 5000 THEN 'misjoin' WHEN dq - ds >= 5 AND ds <= 5 THEN 'insertion' WHEN ds - dq >= 5 AND dq <= 5 THEN 'deletion' WHEN dq >= 5 AND ds >= 5 THEN 'gap' END AS kind FROM d)"""
@@ -464,13 +525,35 @@ _BY_KIND = " SELECT k, kind, count(*) AS n, CAST(sum(dq) AS BIGINT) AS dq, min(\
 
 @query(_POINTS + _BY_KIND)
 def breakpoints(spark: SparkSession, d: str) -> DataFrame:
-    return _by_kind(_points(t(spark, d, "lineitem").where("l_tax < 0.05")))
+    return _by_kind(_points(t(spark, d, "lineitem")))
 
 
-@query(_POINTS.replace(" WHERE l_tax < 0.05", "") + _BY_KIND)
+@query(_POINTS + _BY_KIND)
 def breakpoints_all(spark: SparkSession, d: str) -> DataFrame:
-    """Over all line items; ``breakpoints`` keeps the filter of its SQL."""
-    return _by_kind(_points(t(spark, d, "lineitem")))
+    """The same as ``breakpoints``, which was filtered once."""
+    return breakpoints(spark, d)
+
+
+@query(
+    f"""WITH {_SEGS}, e AS (SELECT k, min(q_start) AS a, max(q_end) AS b, max(q_end) + k % 9 AS len FROM segs GROUP BY k)
+    SELECT k, CAST(1 AS BIGINT) AS "left", a AS "right", 'insertion' AS kind FROM e WHERE a >= 3 UNION ALL SELECT k, b, len, 'insertion' FROM e WHERE b <= len - 5"""
+)
+def end_insertions(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    segs = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), q.alias("q_start"), (q + F.col("l_quantity").cast("long")).alias("q_end"))
+    return verdicts.end_insertions(segs, segs.groupBy("k").agg((F.max("q_end") + F.col("k") % 9).alias("len")), "k", "len")
+
+
+@query(
+    _POINTS
+    + """, m AS (SELECT k, "left" AS lo, "right" AS hi, row_number() OVER (PARTITION BY k ORDER BY "left", "right") AS i FROM points WHERE kind = 'misjoin'),
+    l AS (SELECT k, list(struct_pack(l := lo, r := hi, n := 1) ORDER BY i) AS s FROM m GROUP BY k),
+    f AS (SELECT k, list_reduce(list_transform(s, lambda x: [x]), lambda done, x: CASE WHEN x[1].r - done[-1].l < 1000 OR x[1].l - done[-1].r < 50
+      THEN list_concat(done[:-2], [struct_pack(l := least(done[-1].l, x[1].l), r := greatest(done[-1].r, x[1].r), n := done[-1].n + 1)]) ELSE list_concat(done, x) END) AS s FROM l),
+    u AS (SELECT k, unnest(s) AS x FROM f) SELECT k, x.l AS "left", x.r AS "right", CAST(x.n AS BIGINT) AS n FROM u"""
+)
+def merged_misjoins(spark: SparkSession, d: str) -> DataFrame:
+    return verdicts.merge_misjoins(_points(t(spark, d, "lineitem")).where("kind = 'misjoin'"), "k")
 
 
 _EVIDENCE = """WITH ev AS (SELECT l_orderkey AS o, CAST(sum(l_linenumber) % 5 AS BIGINT) AS zero, CAST(count(*) % 4 AS BIGINT) AS dis, CAST(sum(l_partkey) % 2000 AS BIGINT) AS size, CAST(sum(l_suppkey) % 6 AS BIGINT) AS high, CAST(max(l_partkey) % 5 AS BIGINT) AS low, CAST(max(l_suppkey) % 5 AS BIGINT) AS discor, CAST(max(l_partkey) % 3 AS BIGINT) / 10.0 AS discor_ratio, CAST(max(l_suppkey) % 4 AS BIGINT) / 20.0 AS multi, CAST(min(l_partkey) % 4 AS BIGINT) / 20.0 AS other, min(l_suppkey) % 2 = 0 AS at_end FROM lineitem GROUP BY l_orderkey)"""
@@ -493,6 +576,20 @@ def verdict_misjoin(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d).select("o", verdicts.misjoin_verdict().alias("verdict"))
 
 
+@query(
+    _EVIDENCE
+    + """, x AS (SELECT *, discor AS pl, high AS pr, discor_ratio / 2 AS rl, multi / 2 AS rr, size / 10.0 AS dif, zero % 2 AS db, low % 2 AS mb FROM ev),
+    y AS (SELECT *, low > 0 OR high > 0 AS uneven, (dif < 50 OR dif < 30) AND (db > 0 OR mb > 0) AS closer FROM x)
+    SELECT o, CASE WHEN zero > 0 OR pl < 3 OR pr < 3 THEN 'true'
+    WHEN dif < 100 OR dif < 60 OR rl > 0.1 OR rr > 0.1 THEN CASE WHEN dis > 0 OR zero > 0 OR low > 1 OR high > 1 OR rl > 0.2 OR rr > 0.2 OR ((rl > 0.1 OR rr > 0.1) AND (uneven OR closer)) OR (rl > 0.05 AND rr > 0.05 AND mb > 0) THEN 'true' ELSE 'uncertain' END
+    WHEN dis > 0 THEN CASE WHEN size // dis < 1000 OR uneven THEN 'true' ELSE 'uncertain' END WHEN uneven AND (zero > 0 OR db > 0 OR mb > 0) THEN 'true' ELSE 'uncertain' END AS verdict FROM y"""
+)
+def verdict_indel_middle(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    ev = _evidence(spark, d).withColumns({"pairs_left": c("discor"), "pairs_right": c("high"), "ratio_left": c("discor_ratio") / 2, "ratio_right": c("multi") / 2, "dif_all": c("size") / 10.0, "discor_bins": c("zero") % 2, "multi_bins": c("low") % 2, "sd": F.lit(50.0), "insert": F.lit(300.0)})
+    return ev.select("o", verdicts.middle_indel_verdict().alias("verdict"))
+
+
 @query(_EVIDENCE + " SELECT o, CASE WHEN dis > 0 OR zero > 0 OR low > 1 OR high > 1 OR discor = 0 THEN 'true' WHEN discor >= 3 AND (size > 200 OR size > 60) THEN 'true' ELSE 'uncertain' END AS verdict FROM ev")
 def verdict_indel(spark: SparkSession, d: str) -> DataFrame:
     ev = _evidence(spark, d).withColumns({"pairs": F.col("discor"), "dif": F.col("size"), "sd": F.lit(100.0), "insert": F.lit(300.0)})

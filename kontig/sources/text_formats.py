@@ -31,9 +31,12 @@ def merge_references(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _ordinals(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) in file order, numbered from 0 over all splits of the file."""
-    rows = spark.read.text(path).rdd.zipWithIndex()  # no column function numbers lines across splits
-    return spark.createDataFrame(rows.map(lambda x: (x[1], x[0][0])), "line long, value string")
+    """(line, value) in file order, numbered from 0 over all splits of one file: a count for each split, then its own numbers."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    splits = lines.groupBy("_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each split
+    placed = lines.join(F.broadcast(splits.select("_b", "_first", before.alias("_before"))), "_b")
+    return placed.select((F.col("_m") - F.col("_first") + F.col("_before")).alias("line"), "value")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

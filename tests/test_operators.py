@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kontig.functions import sequences as sq
-from kontig.operators import alignment, chaining, intervals, kmers, lengths, pileup, verdicts
+from kontig.operators import alignment, chaining, intervals, kmers, lengths, pileup, reference, verdicts
 from kontig.plans import assembly, table_queries
 from kontig.sources import sinks, text_formats
 
@@ -149,7 +149,70 @@ def test_exact_map_whole(spark, tmp_path):
     spark.createDataFrame([(*r, "en") for r in docs], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in table_queries.exact_map_whole(spark, str(tmp_path)).select("read_id", "doc_id", "diag", "n").collect())
     assert got == [(0, 0, 0, 6), (50, 2, 7, 4), (50, 2, 101, 4), (50, 50, 0, 4), (150, 4, 9, 2), (150, 4, 39, 2), (150, 150, 0, 2)]
-    assert (0, 1) in {(r.read_id, r.doc_id) for r in table_queries.exact_map_intersect(spark, str(tmp_path)).collect()}  # by its first tiles alone, as its SQL has it
+    tiled = {(r.read_id, r.doc_id) for r in table_queries.exact_map_intersect(spark, str(tmp_path)).collect()}
+    assert {(0, 0), (50, 50)} <= tiled and (0, 1) not in tiled  # the first tiles alone are no hit
+
+
+def test_tiles_in_blocks(spark):
+    rng = random.Random(8)
+    seqs = {i: "".join(rng.choices("ACGT", k=n)) for i, n in enumerate([24, 25, 26, 49, 50, 60, 4095, 4096, 4100, 4101, 8192, 8200, 8217, 20_011])} | {90: None, 91: ""}
+    df = spark.createDataFrame(list(seqs.items()), "id long, seq string")
+    for step in (None, 1, 7):
+        want = set()
+        for i, s in seqs.items():
+            n = len(s or "")
+            starts = set(range(0, n - 24, step or 25)) | ({n - 25} if step is None and n >= 25 else set())
+            want |= {(i, p + 1, s[p : p + 25]) for p in starts}
+        got = [tuple(r) for r in kmers.tiles(df, "id", "seq", step=step).collect()]
+        assert len(got) == len(want) and set(got) == want
+    cut = kmers.runs(spark.createDataFrame([(1, "NNACGTNacgtA.T"), (2, "NN"), (3, None)], "id long, seq string"), "id", "seq")
+    assert sorted(tuple(r) for r in cut.collect()) == [(1, 2, "ACGT"), (1, 7, "acgtA"), (1, 13, "T")]
+
+
+def test_classification_fixtures(spark):
+    """The match kinds by hand, as pairs and for whole queries."""
+    seg = lambda q, s, n, hsp, q0, s0, hit, total: (q, s, n, hsp, q0, q0 + total - 1, s0, s0 + total - 1, 0, hit, total)
+    rows = [
+        seg(1, 1, 1000, 1, 1, 1, 1000, 1000), seg(2, 1, 1000, 1, 1, 1, 950, 1000), seg(3, 1, 1000, 1, 1, 1, 850, 1000), seg(4, 1, 200, 1, 1, 1, 150, 200),
+        seg(5, 1, 1000, 1, 1, 1, 500, 500), seg(5, 1, 1000, 2, 501, 501, 500, 500), seg(6, 1, 1000, 1, 1, 1, 500, 500), seg(6, 1, 1000, 2, 501, 10001, 500, 500),
+    ]
+    names = "query_id long, subject_id long, query_len long, hsp long, q_start long, q_end long, s_start long, s_end long, strand int, match_len long, total_len long"
+    kinds = {r.query_id: r.kind for r in chaining.classify_pairs(spark.createDataFrame(rows, names)).collect()}
+    assert kinds == {1: 0, 2: 1, 3: 3, 4: 1, 5: 1, 6: 2}
+    pairs = [(1, 1, 1, 900, 950, 1, 950, 1000), (2, 1, 0, 1000, 1000, 1, 1000, 1000), (2, 2, 3, 100, 100, 1, 1000, 1000), (3, 1, 1, 900, 950, 1, 990, 1000), (3, 2, 3, 50, 60, 0, 990, 1000), (4, 1, 3, 500, 520, 1, 950, 1000), (4, 2, 3, 400, 410, 1, 950, 1000), (5, 1, 3, 500, 520, 0, 950, 1000), (5, 2, 3, 400, 410, 0, 950, 1000), (6, 1, 3, 300, 300, 1, 950, 1000)]
+    got = chaining.global_kind(spark.createDataFrame(pairs, "query_id long, subject_id long, kind int, weight long, total long, good int, covered long, query_len long"))
+    assert {r.query_id: r.kind for r in got.collect()} == {1: 1, 2: 0, 3: 2, 4: 2, 5: 3, 6: 3}
+
+
+def test_merged_misjoins_equal_a_loop(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(40):
+        at = 0
+        for _ in range(rng.randint(1, 12)):
+            at += rng.choice([10, 40, 200, 700, 1500])
+            rows.append((k, at, at + rng.choice([5, 300, 900])))
+    want = []
+    for k in range(40):
+        done = []
+        for _, left, right in sorted(r for r in rows if r[0] == k):
+            if done and (right - done[-1][0] < 1000 or left - done[-1][1] < 50):
+                done[-1] = (min(done[-1][0], left), max(done[-1][1], right), done[-1][2] + 1)
+            else:
+                done.append((left, right, 1))
+        want += [(k, *x) for x in done]
+    got = verdicts.merge_misjoins(spark.createDataFrame(rows, "k long, left long, right long"), "k")
+    assert sorted(tuple(r) for r in got.select("k", "left", "right", "n").collect()) == sorted(want)
+
+
+def test_reference_flags_and_ratio(spark):
+    rows = [(1, 11, "ACG-TA", "ACTA-A"), (1, 12, "TC", "CC")]
+    got = {(r.s, r.pos): r.flag for r in reference.base_flags(spark.createDataFrame(rows, "s long, at long, q string, r string"), "s", "at", "q", "r").collect()}
+    assert got == {(1, 11): 1, (1, 12): 1, (1, 13): 1, (1, 14): 27, (1, 15): 1}
+    spans = spark.createDataFrame([(1, 1, 10), (1, 5, 20), (2, 3, 3)], "s long, lo long, hi long")
+    sizes = spark.createDataFrame([(1, 40), (2, 10), (3, 50)], "s long, n long")
+    ratio = {r.s: (r.covered, r.ratio) for r in reference.covered_ratio(spans, sizes, "s", "n").collect()}
+    assert ratio == {1: (20, 0.5), 2: (1, 0.1), 3: (0, 0.0), None: (21, 0.21)}
 
 
 def test_files_and_correction(spark, tmp_path):
@@ -180,3 +243,15 @@ def test_metrics_plan(spark):
     m = assembly.metrics(queries, refs, items)
     assert {r.name: r.n for r in m.kinds.collect()} == {"perfect": 1, "matched": 0, "disjunct": 0, "unmatched": 1}
     assert m.gc.first()[0] == 0.5
+
+
+def test_fastq_over_many_splits(spark, tmp_path):
+    path = tmp_path / "many.fq"
+    path.write_text("".join(f"@r{i}\n{'ACGT' * (1 + i % 7)}\n+\n{'IIII' * (1 + i % 7)}\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = [(r.record, r.name, r.seq) for r in text_formats.read_fastq(spark, str(path)).orderBy("record").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, f"r{i}", "ACGT" * (1 + i % 7)) for i in range(500)]
