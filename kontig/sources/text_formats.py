@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,6 +79,40 @@ def read_hit_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", strand.alias("strand"), F.round(F.col("identity") * F.col("total_len") / 100).cast("long").alias("match_len"), hsp.alias("hsp"))
 
 
+def _number(text: Column, pattern: str, group: int = 1) -> Column:
+    found = F.regexp_extract(text, pattern, group)
+    return F.when(found != "", found.cast("long"))
+
+
+def _title(section: Column) -> Column:
+    """The title before ``Length=``, its lines joined by single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_extract(section, r"(?s)^(.*?)(?:\r?\n\s*Length=|$)", 1), r"\s*\r?\n\s*", " "))
+
+
+def read_report(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Segments from a pairwise text report: one row for each, and one of nulls for a query and subject without any.
+
+    (query, query_len, subject, subject_len, hsp, q_start, q_end, s_start, s_end, strand, match_len, total_len, gaps, identity,
+    q_row, s_row). The strand is 0 if the subject's is exactly ``Plus``; else s_start is the larger end. Records are the
+    reader's, cut where a line begins with ``Query=``, so files are read in splits; one row holds the report of one query.
+    """
+    # a file that begins with a query keeps the mark; text before the first query has no length
+    queries = spark.read.option("lineSep", "\nQuery=").text(paths).select(F.regexp_replace("value", "^Query=", "").alias("v")).where(F.col("v").rlike(r"\n\s*Length="))
+    subjects = queries.select(_title(F.col("v")).alias("query"), _number(F.col("v"), r"\n\s*Length=\s*(\d+)").alias("query_len"), F.explode(F.slice(F.split("v", r"\n(?:Subject=|>)"), 2, 2**31 - 1)).alias("s"))
+    named = subjects.select("query", "query_len", _title(F.col("s")).alias("subject"), _number(F.col("s"), r"\n\s*Length=\s*(\d+)").alias("subject_len"), F.split("s", r"\n Score =").alias("p"))
+    rows = named.select("query", "query_len", "subject", "subject_len", F.posexplode_outer(F.slice("p", 2, 2**31 - 1)).alias("_at", "h"))
+    h = F.col("h")
+    lines = lambda side, group: F.regexp_extract_all(h, F.lit(rf"(?m)^{side}\s+(\d+)\s+([A-Za-z*.-]+)\s+(\d+)"), F.lit(group))
+    ends = {x: c for side, a in (("Query", "q"), ("Sbjct", "s")) for x, c in ((f"{a}_start", F.get(lines(side, 1), F.lit(0)).cast("long")), (f"{a}_end", F.try_element_at(lines(side, 3), F.lit(-1)).cast("long")), (f"{a}_row", F.array_join(lines(side, 2), "")))}
+    match, total = _number(h, r"Identities\s*=\s*(\d+)/(\d+)"), _number(h, r"Identities\s*=\s*(\d+)/(\d+)", 2)
+    strand = F.when(h.isNotNull(), F.when(F.regexp_extract(h, r"Strand\s*=\s*\w+\s*/\s*(\w+)", 1) == "Plus", 0).otherwise(1))
+    found = rows.select(
+        "query", "query_len", "subject", "subject_len", (F.col("_at") + 1).cast("long").alias("hsp"), *[ends[x].alias(x) for x in ("q_start", "q_end", "s_start", "s_end")], strand.alias("strand"),
+        match.alias("match_len"), total.alias("total_len"), _number(h, r"Gaps\s*=\s*(\d+)/").alias("gaps"), F.round(F.try_divide(match, total), 4).alias("identity"), ends["q_row"].alias("q_row"), ends["s_row"].alias("s_row"),
+    )
+    return found
+
+
 @dataclass
 class Config:
     queries: list[str] = field(default_factory=list)

@@ -255,3 +255,64 @@ def test_fastq_over_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [(i, f"r{i}", "ACGT" * (1 + i % 7)) for i in range(500)]
+
+
+def test_report_and_its_plan(spark, tmp_path):
+    """A pairwise report, from text to the kinds of its queries."""
+    report = """ALIGNER 1.0
+
+Query= q one
+ wrapped title
+
+Length=12
+
+Subject= r1 x
+
+Length=40
+
+
+ Score = 22 bits (12),  Expect = 1e-5
+ Identities = 12/12 (100%), Gaps = 0/12 (0%)
+ Strand=Plus/Plus
+
+Query  1   ACGTAC  6
+           ||||||
+Sbjct  11  ACGTAC  16
+
+Query  7   GTACGT  12
+           ||||||
+Sbjct  17  GTACGT  22
+
+ Score = 10 bits (5),  Expect = 0.2
+ Identities = 5/6 (83%), Gaps = 1/6 (17%)
+ Strand=Plus/Minus
+
+Query  2   CGTAC-  6
+           |||||
+Sbjct  30  CGTACG  25
+
+Subject= r2
+
+Length=9
+
+***** No hits found *****
+
+Lambda      K        H
+    1.33    0.621     1.12
+
+Query= q2
+
+Length=7
+
+Subject= r1 x
+
+Length=40
+
+***** No hits found *****
+"""
+    (tmp_path / "report.txt").write_text(report)
+    got = [tuple(r) for r in text_formats.read_report(spark, str(tmp_path / "report.txt")).orderBy("query", "subject", "hsp").collect()]
+    none = (None,) * 10
+    assert got[0] == ("q one wrapped title", 12, "r1 x", 40, 1, 1, 12, 11, 22, 0, 12, 12, 0, 1.0, "ACGTACGTACGT", "ACGTACGTACGT")
+    assert got[1] == ("q one wrapped title", 12, "r1 x", 40, 2, 2, 6, 30, 25, 1, 5, 6, 1, 0.8333, "CGTAC-", "CGTACG")
+    assert [r[:5] for r in got[2:]] == [("q one wrapped title", 12, "r2", 9, None), ("q2", 7, "r1 x", 40, None)] and all(r[5:15] == none for r in (got[2], got[3]))
