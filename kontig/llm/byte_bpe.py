@@ -235,6 +235,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
 
     def run(batches):
         bpe = codec(rank_file, pattern)
+        bpe.cache.clear()  # what the worker's last task learnt
         for batch in batches:
             done = 0
             for group in _groups(batch.column(at)):
@@ -244,6 +245,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
                 part = batch.slice(done, len(group))
                 done += len(group)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, ids_col])
+        bpe.cache.clear()  # the worker lives on, beside those of other stages
 
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(run, schema)

@@ -63,8 +63,8 @@ FOLDS, FORMS, PROOF = 4, 16, 1.0
 INSERTED = "abcdefghijklmnopqrstuvwxyz*01"
 #: Of the logistic curve, per unit of the decision.
 SLOPE = 6.0
-#: Units whose decision a Python worker remembers before it starts anew (about 150 bytes each).
-CACHE_ENTRIES = 400_000
+#: Units whose decision a task remembers before it starts anew (about 150 bytes each).
+CACHE_ENTRIES = 300_000
 GROUP_CHARS = 1_000_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -398,10 +398,6 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(table, root @ final[:-1], float(final[-1]), SLOPE, -SLOPE * cut)
 
 
-#: Unit decisions of the model at hand that a Python worker has met.
-_CACHES: dict[tuple, dict[str, float]] = {}
-
-
 def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
     """(text, label): a bounded sample of labelled texts, at most SAMPLE_PER_CLASS of each label."""
     # twice the texts, as some are too large or missing; the labels are narrow
@@ -440,10 +436,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     at = df.columns.index(text_col)
 
     def run(batches):
-        key = (model.bias, model.slope, model.offset, len(model.table.codes))
-        if key not in _CACHES:
-            _CACHES.clear()
-        cache = _CACHES.setdefault(key, {})
+        cache: dict[str, float] = {}  # goes with the task: the worker lives on, beside those of other stages
 
         def group_scores(texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
             bags = [units_of(t) for t in texts]
