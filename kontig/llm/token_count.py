@@ -3,7 +3,9 @@
 A boundary is *stable* where a non-space character is followed by a space or a line feed. The
 pre-token pattern has no look-behind and no branch that runs from a non-space character into white
 space, so tokens on both sides of a stable boundary never depend on each other:
-``tokens(a + b) == tokens(a) + tokens(b)``.
+``tokens(a + b) == tokens(a) + tokens(b)``. This holds for the byte-level pre-tokenizer with its own pattern,
+without a normaliser and without added tokens that hold or strip white space; the tokenizer file is read for
+that, and by any other file whole texts are encoded in one piece.
 
 Huge documents are encoded in overlapping chunks with offsets. Two neighbouring chunks are spliced at
 the first stable boundary inside their overlap that is a token edge in both encodings. If the
@@ -17,6 +19,7 @@ gives an empty table; input columns named like the output column are replaced.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -62,6 +65,15 @@ def splice_counts(text: str, starts: Starts, chunk: int = CHUNK_CHARS, overlap:
             width *= 4
 
 
+def cuts_hold(tokenizer_file: str) -> bool:
+    """Whether the file's tokens never depend on what lies beyond a stable boundary."""
+    with open(tokenizer_file, encoding="utf-8") as lines:
+        said = json.load(lines)
+    before, added = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
+    own = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    return own and said.get("normalizer") is None and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in added)
+
+
 class Counter:
     """Token counts by one tokenizers file."""
 
@@ -73,11 +85,14 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, int] = {}
+        self.cuts = cuts_hold(tokenizer_file)
 
     def starts(self, text: str) -> list[int]:
         return [a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets]
 
     def count_batch(self, texts: list[str | None]) -> list[int]:
+        if not self.cuts:
+            return [len(self.tokenizer.encode(t or "", add_special_tokens=False)) for t in texts]
         pieces = [_PIECE.findall(t) if t and len(t) <= CHUNK_CHARS else [] for t in texts]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()

@@ -1,16 +1,18 @@
 """The training-data operators against brute force, exact round trips and the libraries."""
 
+import json
 import random
 import zlib
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from kontig.llm import byte_bpe, chat_format, components, decontaminate, license_scan, ngram_join, permutation_index, queries, sharding, token_count, toxicity, url_filter
+from kontig.llm import byte_bpe, chat_format, common, components, decontaminate, license_scan, ngram_join, permutation_index, queries, sharding, token_count, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -54,6 +56,36 @@ def test_token_counts_equal_library(spark):
         assert token_count.splice_counts(t, tool.starts, 12, 2) == len(tool.tokenizer.encode(t, add_special_tokens=False))
 
 
+def test_token_counts_by_other_files(spark, tmp_path):
+    """Files for which texts must not be cut: an added token with a blank, one that strips, another pattern."""
+    path = P.path("byte_bpe_50k.json")
+    said = json.loads(open(path, encoding="utf-8").read())
+    added = said["added_tokens"][0]
+    pattern = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"[^\s\p{L}\p{N}]+[\r\n]*|\s+|[\p{L}\p{N}]+"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    changes = [{"added_tokens": [added, added | {"id": 50257, "content": "the cat"}]}, {"added_tokens": [added | {"lstrip": True}]}, {"pre_tokenizer": pattern}]
+    texts = ["see the cat run the cat", "x  <|endoftext|> y", "end.\n\nnew!\n line", None, "", "a b " * 9_000 + "the cat"]
+    assert token_count.cuts_hold(path)
+    for k, change in enumerate(changes):
+        other = tmp_path / f"{k}.json"
+        other.write_text(json.dumps(said | change), encoding="utf-8")
+        assert not token_count.cuts_hold(str(other))
+        tool = token_count.counter(str(other))
+        want = [len(tool.tokenizer.encode(t or "", add_special_tokens=False)) for t in texts]
+        out = token_count.count_tokens(texts_frame(spark, texts), str(other)).orderBy("doc_id")
+        assert [r.n_tokens for r in out.collect()] == want
+
+
+def test_token_counts_edges(spark):
+    path = P.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "a b", 7), (1, "a b", 7), (None, None, 8)], "doc_id long, text string, n_tokens int")
+    assert sorted(r.n_tokens for r in token_count.count_tokens(df, path).collect()) == [0, 2, 2]
+    assert token_count.count_tokens(df.limit(0), path).count() == 0
+    rng = random.Random(12)
+    tool = token_count.counter(path)
+    texts = ["".join(rng.choices(["a", " ", "\n", "\t", "é", "1", "!", "'s", "<|endoftext|>", "the", "  ", "\u3000", "\r\n"], k=rng.randint(0, 60))) for _ in range(400)]
+    assert tool.count_batch(texts) == [len(tool.tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+
+
 # 3: chats
 
 
@@ -276,6 +308,25 @@ def test_recall(spark):
     assert found >= 0.9 * asked
 
 
+def test_recall_on_many(spark):
+    """20,000 vectors with repeated ones, 200 of them asked for, against brute force."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32))
+    x = (centres[rng.integers(60, size=20_000)] + 0.6 * rng.normal(size=(20_000, 32))).round(4)
+    x[5000:5040] = x[4999]
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x.tolist()}))
+    got = {}
+    for r in permutation_index.search(frame, F.col("id") % 100 == 0).collect():
+        got.setdefault(r.query_id, {})[r.id] = r.score
+    found = 0
+    for i in range(0, 20_000, 100):
+        d = np.linalg.norm(x - x[i], axis=1)
+        d[i] = np.inf
+        assert len(got[i]) == 10 and i not in got[i]
+        found += len(set(got[i]) & set(np.lexsort((np.arange(20_000), d))[:10].tolist()))
+    assert found >= 0.9 * 10 * 200
+
+
 # 9: leaks
 
 
@@ -462,6 +513,36 @@ def test_pipeline(spark):
     assert all(i == c for i, _, c in got)  # no near duplicates are left
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Null keys and texts, repeated rows, extra columns with clashing names, and nothing at all."""
+    import corpus_pipeline
+
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, words, "en", "a"), (2, words + " more", "en", "a"), (2, words + " more", "en", "a"), (None, words, None, None), (None, None, None, None), (3, None, "en", "b"), (4, "", "en", "b"), (5, "x" * 200_000, "en", None)]
+    docs = spark.createDataFrame([(*r, 9, "c", 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, component_id string, score double")
+    kept = {"toxicity": len(rows), "ngram_jaccard_join": 6, "decontamination": len(rows), "byte_bpe": len(rows)}  # both rows of the second document go
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == kept[name] and stage(spark, docs.limit(0), SF).count() == 0, name
+        if name != "byte_bpe":
+            assert out.columns == docs.columns
+
+
+def test_shared_folder_is_asked_for():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
 def test_op3_digests(spark):
     row = next(r for r in queries.op3_chat_format(spark, SF).collect() if r.conv_id == -1)
     s = "<|im_end|><|im_start|>assistant ok"
