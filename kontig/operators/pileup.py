@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kontig.params import COVERAGE_BIN, DISAGREE_RATIO
@@ -10,15 +11,44 @@ from kontig.params import COVERAGE_BIN, DISAGREE_RATIO
 ALLELES = ("a", "c", "g", "t", "n")
 
 
+#: Positions of a bin; the steps of a key are summed up bin by bin.
+STEP_BIN = 4096
+
+
+def _running(steps: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """(key, pos, next, *values): running sums of the steps of each key, and the position of the next step.
+
+    A bin's sums go to the bins behind it, so that a window holds one bin of a key, not the key.
+    """
+    binned = steps.withColumn("_bin", F.floor(F.col("pos") / STEP_BIN))
+    order = W.partitionBy(key).orderBy("_bin")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    whole = binned.groupBy(key, "_bin").agg(*[F.sum(v).alias(f"_{v}") for v in values], F.min("pos").alias("_first"))
+    carried = whole.select(key, "_bin", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values], F.lead("_first").over(order).alias("_after"))
+    within = W.partitionBy(key, "_bin").orderBy("pos")
+    upto = within.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return binned.join(carried, [key, "_bin"]).select(key, "pos", F.coalesce(F.lead("pos").over(within), "_after").alias("next"), *[(F.sum(v).over(upto) + F.col(f"_{v}")).alias(v) for v in values])
+
+
 def depth(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     """(key, pos, total) at every position where the depth changes: difference array and running sum."""
-    from pyspark.sql import Window as W
+    up = intervals.select(key, F.col(lo).alias("pos"), F.lit(1).alias("total"))
+    down = intervals.select(key, (F.col(hi) + 1).alias("pos"), F.lit(-1).alias("total"))
+    steps = up.union(down).groupBy(key, "pos").agg(F.sum("total").alias("total")).where("total != 0")
+    return _running(steps, key, ["total"]).drop("next")
+
 
-    up = intervals.select(key, F.col(lo).alias("pos"), F.lit(1).alias("d"))
-    down = intervals.select(key, (F.col(hi) + 1).alias("pos"), F.lit(-1).alias("d"))
-    steps = up.union(down).groupBy(key, "pos").agg(F.sum("d").alias("d")).where("d != 0")
-    order = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return steps.select(key, "pos", F.sum("d").over(order).alias("total"))
+def span_coverage(spans: DataFrame, key: str, lo: str, hi: str, base: str) -> DataFrame:
+    """(key, pos, a, c, g, t, n, total) of the positions under spans that place one base each, by a difference array for each
+    allele: positions are made after the sums, one row each. Null bases count in the total alone."""
+    kind = F.when(F.upper(base).isin("A", "C", "G", "T"), F.lower(base)).when(F.col(base).isNotNull(), "n")
+    named = spans.where(F.col(lo) <= F.col(hi)).select(key, lo, hi, *[F.when(kind == x, 1).otherwise(0).alias(x) for x in ALLELES], F.lit(1).alias("total"))
+    values = [*ALLELES, "total"]
+    up = named.select(key, F.col(lo).cast("long").alias("pos"), *values)
+    down = named.select(key, (F.col(hi) + 1).cast("long").alias("pos"), *[(-F.col(v)).alias(v) for v in values])
+    steps = up.union(down).groupBy(key, "pos").agg(*[F.sum(v).alias(v) for v in values])
+    sums = _running(steps, key, values).where("total > 0")
+    return sums.select(key, F.explode(F.sequence("pos", F.col("next") - 1)).alias("pos"), *values)
 
 
 def allele_coverage(bases: DataFrame, key: str, pos: str, base: str) -> DataFrame:
@@ -53,8 +83,6 @@ def abnormal_bins(bins: DataFrame, key: str) -> DataFrame:
 
 def roll_up(bins: DataFrame, key: str, order: str, skip_head: int, skip_tail: int, sums: list[str]) -> DataFrame:
     """Sums over the bins of a key without its first and last few."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(key)
     numbered = bins.withColumns({"_i": F.row_number().over(w.orderBy(order)), "_n": F.count("*").over(w)})
     kept = numbered.where((F.col("_i") > skip_head) & (F.col("_i") <= F.col("_n") - skip_tail))

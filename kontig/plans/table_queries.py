@@ -403,8 +403,7 @@ _COV = f"""WITH {_SPANS}, b AS (SELECT k, unnest(range(lo, hi + 1)) AS pos, flag
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
-    bases = _spans(spark, d).where("lo <= hi").select("k", F.explode(F.sequence("lo", "hi")).alias("pos"), "flag")
-    return pileup.allele_coverage(bases, "k", "pos", "flag")
+    return pileup.span_coverage(_spans(spark, d), "k", "lo", "hi", "flag")
 
 
 @query(_COV + " SELECT * FROM cov")

@@ -316,3 +316,16 @@ Length=40
     assert got[0] == ("q one wrapped title", 12, "r1 x", 40, 1, 1, 12, 11, 22, 0, 12, 12, 0, 1.0, "ACGTACGTACGT", "ACGTACGTACGT")
     assert got[1] == ("q one wrapped title", 12, "r1 x", 40, 2, 2, 6, 30, 25, 1, 5, 6, 1, 0.8333, "CGTAC-", "CGTACG")
     assert [r[:5] for r in got[2:]] == [("q one wrapped title", 12, "r2", 9, None), ("q2", 7, "r1 x", 40, None)] and all(r[5:15] == none for r in (got[2], got[3]))
+
+
+def test_span_coverage_equals_bases(spark, monkeypatch):
+    monkeypatch.setattr(pileup, "STEP_BIN", 16)  # spans over many bins
+    rng = random.Random(1)
+    rows = [(rng.randint(1, 3), lo := rng.randint(1, 200), lo + rng.randint(-1, 60), rng.choice(["A", "c", "G", "T", "N", ".", None])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "k int, lo long, hi long, b string")
+    got = sorted(tuple(r) for r in pileup.span_coverage(df, "k", "lo", "hi", "b").collect())
+    bases = df.where("lo <= hi").select("k", F.explode(F.sequence("lo", "hi")).alias("pos"), "b")
+    assert got == sorted(tuple(r) for r in pileup.allele_coverage(bases, "k", "pos", "b").collect())
+    at = {(k, p) for k, lo, hi, _ in rows for p in range(lo, hi + 1)}
+    assert len(got) == len(at)
+    assert {(r.k, r.pos) for r in pileup.depth(df.where("lo <= hi"), "k", "lo", "hi").where("total = 0").collect()} == {(k, p + 1) for k, p in at if (k, p + 1) not in at}
