@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kontig.params import KMER
+from kontig.functions.sequences import reverse_complement
+from kontig.params import KMER, MISMATCH_RATIO, OVERHANG_RATIO
 
 
 #: Bases of a block that sequences are cut into before their k-mers are taken.
@@ -87,3 +88,30 @@ def exact_places(reads: DataFrame, targets: DataFrame, key: str, seq: str, k: in
     near = within.select("read", key, F.explode(F.sequence(F.lit(0).cast("long"), (F.length("_s") - F.col("size")).cast("long"))).alias("diag"))
     placed = far.union(near).join(asked, "read").join(text, key)
     return placed.where(F.substr("_s", (F.col("diag") + 1).cast("int"), "size") == F.col("_r")).select("read", key, "diag", F.col("size").cast("long").alias("size"))
+
+
+def extended(reads: DataFrame, targets: DataFrame, read: str, target: str, seq: str = "seq", k: int = KMER) -> DataFrame:
+    """(read, target, strand, diag, start, size, mismatches): placements of whole reads without gaps, on both strands.
+
+    Each k-mer of a read, and of its reverse complement (strand 1), probes the target's tiles; each diagonal found is compared over
+    its whole overlap once. A placement has at most ``MISMATCH_RATIO`` mismatches to the read's length and hangs over the target's ends by at most
+    ``OVERHANG_RATIO`` of it. Mismatches at either end of the overlap are trimmed from ``start`` (on the target), ``size`` and
+    ``mismatches``; they count for acceptance.
+    """
+    named = reads.select(F.col(read).alias("_read"), F.col(seq).alias("_seq"))
+    both = named.withColumn("_strand", F.lit(0)).unionByName(named.select("_read", reverse_complement(F.col("_seq")).alias("_seq"), F.lit(1).alias("_strand")))
+    both = both.withColumn("_key", F.struct("_read", "_strand"))
+    anchors = tiles(both, "_key", "_seq", k, 1).withColumnRenamed("pos", "offset")
+    found = probe(anchors, tiles(targets, target, seq, k)).select("_key", target, "diag").distinct()
+    placed = found.join(both.select("_key", "_seq"), "_key").join(targets.select(target, F.col(seq).alias("_target")), target)
+    first, size = F.greatest(F.lit(1), 1 - F.col("diag")), F.length("_seq")
+    last = F.least(size, F.length("_target") - F.col("diag"))
+    cut = placed.select("_key", target, "diag", size.alias("_n"), first.alias("_first"), (last - first + 1).cast("int").alias("_size"), F.substr("_seq", first.cast("int"), (last - first + 1).cast("int")).alias("_a"), F.substr("_target", (first + F.col("diag")).cast("int"), (last - first + 1).cast("int")).alias("_b"))
+    cut = cut.where(F.col("_n") - F.col("_size") <= F.floor(OVERHANG_RATIO * F.col("_n")))
+    marks = F.array_join(F.zip_with(F.split("_a", ""), F.split("_b", ""), lambda x, y: F.when(x == y, "0").otherwise("1")), "")
+    marked = cut.withColumn("_m", marks).withColumn("_all", F.length(F.translate("_m", "0", ""))).where(F.col("_all") <= F.floor(MISMATCH_RATIO * F.col("_n")))
+    head, tail = F.length(F.regexp_extract("_m", "^1*", 0)), F.length(F.regexp_extract("_m", "1*$", 0))
+    return marked.select(
+        F.col("_key._read").alias(read), target, F.col("_key._strand").alias("strand"), "diag", (F.col("_first") + F.col("diag") + head).cast("long").alias("start"),
+        (F.col("_size") - head - tail).cast("long").alias("size"), (F.col("_all") - head - tail).cast("long").alias("mismatches"),
+    )

@@ -9,6 +9,7 @@ END_IGNORE = 300
 DISJUNCT_DISTANCE = 5000
 MIN_SEGMENT_LEN = 100
 KMER = 25
+MISMATCH_RATIO, OVERHANG_RATIO = 0.05, 0.15
 MATCH, MISMATCH, GAP = 1, -2, -4
 DISAGREE_RATIO = 0.9
 COVERAGE_BIN = 50

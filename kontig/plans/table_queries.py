@@ -219,6 +219,18 @@ def exact_map_whole(spark: SparkSession, d: str) -> DataFrame:
     return places.select(F.col("read").alias("read_id"), "doc_id", "diag", F.ceil(F.col("size") / 25).alias("n"))
 
 
+@query(
+    f"""WITH {_TILES}, r AS (SELECT item_id, 0 AS strand, {_DNA} AS s FROM benchmark UNION ALL SELECT item_id, 1, reverse(translate({_DNA}, 'ACGT', 'TGCA')) FROM benchmark),
+    k AS (SELECT item_id, strand, o AS "offset", substr(s, o, 25) AS kmer FROM (SELECT *, unnest(range(1, length(s) - 23)) AS o FROM r WHERE length(s) >= 25)),
+    f AS (SELECT DISTINCT item_id, strand, doc_id, pos - "offset" AS diag FROM k JOIN tiles USING (kmer)),
+    p AS (SELECT item_id, strand, doc_id, diag, r.s AS a, seqs.s AS b, greatest(1, 1 - diag) AS lo, least(length(r.s), length(seqs.s) - diag) AS hi FROM f JOIN r USING (item_id, strand) JOIN seqs USING (doc_id)),
+    m AS (SELECT *, hamming(substr(a, lo, hi - lo + 1), substr(b, lo + diag, hi - lo + 1)) AS bad FROM p WHERE length(a) - (hi - lo + 1) <= floor(0.15 * length(a)))
+    SELECT item_id, doc_id, CAST(strand AS INTEGER) AS strand, diag FROM m WHERE bad <= floor(0.05 * length(a))"""
+)
+def seed_extend(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.extended(_items(spark, d), _docs(spark, d), "item_id", "doc_id").select("item_id", "doc_id", "strand", "diag")
+
+
 # intervals
 
 

@@ -329,3 +329,17 @@ def test_span_coverage_equals_bases(spark, monkeypatch):
     at = {(k, p) for k, lo, hi, _ in rows for p in range(lo, hi + 1)}
     assert len(got) == len(at)
     assert {(r.k, r.pos) for r in pileup.depth(df.where("lo <= hi"), "k", "lo", "hi").where("total = 0").collect()} == {(k, p + 1) for k, p in at if (k, p + 1) not in at}
+
+
+def test_seed_and_extend(spark):
+    rng = random.Random(21)
+    target = "".join(rng.choices("ACGT", k=400))
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    spoil = lambda s, *at: "".join(other[c] if i in at else c for i, c in enumerate(s))
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = {
+        1: target[40:140], 2: spoil(target[40:140], 3, 50, 51, 70, 99), 3: spoil(target[40:140], 3, 20, 50, 51, 70, 99), 4: back(target[100:180]), 5: "ACGTACGTACGTACG" + target[:85], 6: "ACGTACGTACGTACGTA" + target[:83], 7: target[10:30],
+    }
+    got = kmers.extended(spark.createDataFrame(list(reads.items()), "read long, seq string"), spark.createDataFrame([(9, target)], "id long, seq string"), "read", "id")
+    want = {(1, 9, 0, 40, 41, 100, 0), (2, 9, 0, 40, 41, 99, 4), (4, 9, 1, 100, 101, 80, 0), (5, 9, 0, -15, 1, 85, 0)}
+    assert {tuple(r) for r in got.collect()} == want  # six mismatches of 100 and an overhang of 17 are too many, 20 bases have no k-mer
