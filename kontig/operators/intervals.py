@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Positions of a bin; what the bins before hold of a key goes to the next as one row, so that no window holds a whole key.
+BIN = 65_536
+
+
+def _carried(df: DataFrame, key: str, value: Column, how) -> DataFrame:
+    """``df`` (with ``_bin``) with ``_before``: the aggregate ``how`` of ``value`` over the bins before; null in the first."""
+    before = W.partitionBy(key).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    each = df.groupBy(key, "_bin").agg(how(value).alias("_own"))
+    return df.join(each.select(key, "_bin", how("_own").over(before).alias("_before")), [key, "_bin"])
+
+
+def _numbered(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the running number of its ``_new`` rows as ``name``."""
+    upto = W.partitionBy(key, "_bin").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = _carried(df, key, F.col("_new"), F.sum)
+    return carried.withColumn(name, F.sum("_new").over(upto) + F.coalesce("_before", F.lit(0))).drop("_new", "_before", "_bin")
+
+
 def islands(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", touching: int = 0) -> DataFrame:
     """``df`` with ``island``, numbering runs of overlapping intervals (or at most ``touching`` apart) from 1."""
-    order = W.partitionBy(key).orderBy(lo, hi)
-    reach = F.max(hi).over(order.rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("_new", F.when(F.col(lo) <= reach + touching, 0).otherwise(1)).withColumn("island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
+    carried = _carried(df.withColumn("_bin", F.floor(F.col(lo) / BIN)), key, F.col(hi), F.max)
+    before = W.partitionBy(key, "_bin").orderBy(lo, hi).rowsBetween(W.unboundedPreceding, -1)
+    reach = F.greatest(F.max(hi).over(before), F.col("_before"))  # the one that is not null
+    marked = carried.withColumn("_new", F.when(F.col(lo) <= reach + touching, 0).otherwise(1)).drop("_before")
+    return _numbered(marked, key, [lo, hi], "island")
 
 
 def union(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -65,6 +85,7 @@ def tiles(df: DataFrame, lo: str, hi: str, size: int) -> DataFrame:
 
 def sessions(df: DataFrame, key: str, at: str, row: str, gap: int) -> DataFrame:
     """``df`` with ``session``: a row joins its predecessor's if it follows within ``gap``."""
-    order = W.partitionBy(key).orderBy(at, row)
-    new = F.when(F.col(at) - F.lag(at).over(order) <= gap, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
+    carried = _carried(df.withColumn("_bin", F.floor(F.col(at) / (BIN * gap))), key, F.col(at), F.max)
+    last = F.coalesce(F.lag(at).over(W.partitionBy(key, "_bin").orderBy(at, row)), F.col("_before"))
+    marked = carried.withColumn("_new", F.when(F.col(at) - last <= gap, 0).otherwise(1)).drop("_before")
+    return _numbered(marked, key, [at, row], "session")

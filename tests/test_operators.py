@@ -343,3 +343,26 @@ def test_seed_and_extend(spark):
     got = kmers.extended(spark.createDataFrame(list(reads.items()), "read long, seq string"), spark.createDataFrame([(9, target)], "id long, seq string"), "read", "id")
     want = {(1, 9, 0, 40, 41, 100, 0), (2, 9, 0, 40, 41, 99, 4), (4, 9, 1, 100, 101, 80, 0), (5, 9, 0, -15, 1, 85, 0)}
     assert {tuple(r) for r in got.collect()} == want  # six mismatches of 100 and an overhang of 17 are too many, 20 bases have no k-mer
+
+
+def test_islands_and_sessions_over_bins(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "BIN", 8)
+    rng = random.Random(17)
+    rows = [(rng.randint(1, 4), lo := rng.randint(1, 600), lo + rng.randint(0, 40), i) for i in range(160)]
+    want = {}
+    for k in range(1, 5):
+        number, reach = 0, None
+        for _, lo, hi, i in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            if reach is None or lo > reach:
+                number += 1
+            reach = max(hi, reach or hi)
+            want[i] = number
+    df = spark.createDataFrame(rows, "k int, lo long, hi long, i int")
+    assert {r.i: r.island for r in intervals.islands(df, "k").collect()} == want
+    want = {}
+    for k in range(1, 5):
+        number, last = 0, None
+        for _, lo, _, i in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[3])):
+            number += last is None or lo - last > 3
+            last, want[i] = lo, number
+    assert {r.i: r.session for r in intervals.sessions(df, "k", "lo", "i", 3).collect()} == want
