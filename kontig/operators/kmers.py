@@ -11,7 +11,7 @@ from kontig.params import KMER, MISMATCH_RATIO, OVERHANG_RATIO
 
 
 #: Bases of a block that sequences are cut into before their k-mers are taken.
-BLOCK = 4096
+BLOCK = 256
 
 
 def runs(df: DataFrame, key: str, seq: str) -> DataFrame:
