@@ -228,11 +228,7 @@ def _groups(column: pa.Array) -> Iterator[list]:
         yield group
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with ``ids_col``, the token ids of the whole text as array<int>. Narrow: no shuffle."""
-    df = drop_clashes(df, *({ids_col} - {text_col}))
-    at = df.columns.index(text_col)
-
+def _encoder(rank_file: str, pattern: str, at: int, ids_col: str, keep_text: bool = True):
     def run(batches):
         bpe = codec(rank_file, pattern)
         bpe.cache.clear()  # what the worker's last task learnt
@@ -244,18 +240,14 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
                 part = batch.slice(done, len(group))
                 done += len(group)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, ids_col])
+                kept = [i for i in range(part.num_columns) if keep_text or i != at]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), lists], [*(part.schema.names[i] for i in kept), ids_col])
         bpe.cache.clear()  # the worker lives on, beside those of other stages
 
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """``df`` with ``bytes_col``, the bytes that the ids stand for, as binary. Narrow: no shuffle."""
-    df = drop_clashes(df, *({bytes_col} - {ids_col}))
-    at = df.columns.index(ids_col)
-
+def _decoder(rank_file: str, pattern: str, at: int, bytes_col: str):
     def run(batches):
         bpe = codec(rank_file, pattern)
         for batch in batches:
@@ -263,5 +255,27 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", by
             decoded = [bpe.decode(column[i].values.to_numpy().tolist()) if column[i].is_valid else b"" for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, bytes_col])
 
+    return run
+
+
+def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``df`` with ``ids_col``, the token ids of the whole text as array<int>. Narrow: no shuffle."""
+    df = drop_clashes(df, *({ids_col} - {text_col}))
+    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    return df.mapInArrow(_encoder(rank_file, pattern, df.columns.index(text_col), ids_col), schema)
+
+
+def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``df`` with ``bytes_col``, the bytes that the ids stand for, as binary. Narrow: no shuffle."""
+    df = drop_clashes(df, *({bytes_col} - {ids_col}))
     schema = T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_decoder(rank_file, pattern, df.columns.index(ids_col), bytes_col), schema)
+
+
+def round_trip(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``df`` without its text, with its ids and what they decode to: both steps in one Python worker. Narrow: no shuffle."""
+    df = drop_clashes(df, *({ids_col, bytes_col} - {text_col}))
+    at, others = df.columns.index(text_col), [f for f in df.schema.fields if f.name != text_col]
+    encoder, decoder = _encoder(rank_file, pattern, at, ids_col, keep_text=False), _decoder(rank_file, pattern, len(others), bytes_col)
+    schema = T.StructType([*others, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())])
+    return df.mapInArrow(lambda batches: decoder(encoder(batches)), schema)

@@ -129,8 +129,7 @@ FROM m JOIN n USING (item_id) WHERE n_shared >= 0.75 * n_item
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, rank_file, pattern).drop("text")
-    decoded = byte_bpe.decode(encoded, rank_file, pattern)
+    decoded = byte_bpe.round_trip(docs, rank_file, pattern)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
