@@ -38,8 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text; ``whole`` says whether they decode to the text's bytes."""
     rank_file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     sized = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
-    encoded = byte_bpe.encode(sized, rank_file, pattern).drop("text")
-    decoded = byte_bpe.decode(encoded, rank_file, pattern)
+    decoded = byte_bpe.round_trip(sized, rank_file, pattern)
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("_sha")).alias("whole"))
 
 
