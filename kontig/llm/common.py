@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,15 @@ def drop_clashes(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names an operator is about to add."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def text_slices(batch: pa.RecordBatch, at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts, in column ``at``, have about ``size`` bytes; an empty batch gives itself."""
+    held = begin = 0
+    for i, value in enumerate(batch.column(at)):
+        held += len(value.as_buffer()) if value.is_valid else 0
+        if held >= size:
+            yield batch.slice(begin, i + 1 - begin)
+            held, begin = 0, i + 1
+    if begin < batch.num_rows or not batch.num_rows:
+        yield batch.slice(begin)

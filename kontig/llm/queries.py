@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontig.llm import byte_bpe, chat_format, decontaminate, license_scan, ngram_join, permutation_index, sharding, token_count, toxicity, url_filter
+from kontig.llm import byte_bpe, chat_format, decontaminate, fill_in_middle, importance, language_id, license_scan, ngram_join, permutation_index, sharding, token_count, toxicity, url_filter
 from kontig.llm.common import table, utf8_size
 
 
@@ -138,6 +138,75 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    moved = fill_in_middle.transform(docs, restored=True)
+    return moved.select(
+        "doc_id",
+        F.col("n_points").alias("n"),
+        "form",
+        F.col("prefix_points").alias("prefix_chars"),
+        F.col("middle_points").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS h2,
+  CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM h),
+f AS (SELECT *, least(h1, h2) AS a, greatest(h1, h2) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, '<P>' || substr(t, 1, a) AS pre, '<M>' || substr(t, a + 1, b - a) AS mid, '<S>' || substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN a END AS prefix_chars, CASE WHEN form != 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN pre || suf || mid ELSE suf || pre || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The checksum goes by halves of bytes, over the distinct features only; its table of 16 follows from the polynomial.
+OP12_SQL = r"""
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT i, 0, i FROM range(16) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 4
+), half AS (SELECT list(c ORDER BY i) AS h FROM step WHERE k = 4),
+texts AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', item_id, row_number() OVER (), text FROM benchmark
+), w AS (
+  SELECT side, id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), f AS (
+  SELECT side, id, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+), n AS (SELECT side, r, f, count(*) AS n FROM f GROUP BY ALL),
+codes AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(hex(f)) + 1), lambda i: CAST(instr('0123456789ABCDEF', substr(hex(f), CAST(CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END AS BIGINT), 1)) - 1 AS BIGINT))),
+    lambda c, x: xor(c >> 4, h[CAST(xor(c & 15, x) + 1 AS BIGINT)])), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT f FROM n), half
+), held AS (SELECT side, r, b, sum(n) AS n FROM n JOIN codes USING (f) GROUP BY ALL),
+s AS (SELECT b, sum(n) AS s FROM held WHERE side = 'd' GROUP BY b), t AS (SELECT b, sum(n) AS t FROM held WHERE side = 'b' GROUP BY b),
+gains AS (
+  SELECT b, floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000) AS DOUBLE))) AS gain FROM s LEFT JOIN t USING (b)
+), each AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM held JOIN gains USING (b) WHERE side = 'd' GROUP BY r),
+scored AS (
+  SELECT id AS doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN each USING (r) WHERE side = 'd'
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (words >= 20) OVER () AS eligible FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= 25 * eligible // 100 THEN k END AS rank FROM ranked
+"""
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~_held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -149,9 +218,14 @@ QUERIES = {
     "op8_permutation_index": op8_permutation_index,
     "op9_decontaminate": op9_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_importance": op12_importance,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE_SQL = {
     "op3_chat_format": OP3_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_importance": OP12_SQL,
 }
