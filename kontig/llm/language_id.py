@@ -57,7 +57,7 @@ def _grams(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(chars) - n + 1
         if m < 1:
             break
-        whole = letter[:m] if n == 1 else letter[:m] | letter[n - 1 :][:m]
+        whole = letter if n == 1 else letter[:m] | letter[1:] if n == 2 else np.ones(m, bool)
         for i in range(1, n - 1):
             whole = whole & letter[i : i + m]
         at = np.flatnonzero(whole)
