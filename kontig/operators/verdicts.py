@@ -19,7 +19,7 @@ def _decide(*rules: Column, otherwise: str) -> Column:
 
 
 def breakpoints(segments: DataFrame, key: str, order: tuple[str, ...] = ("q_start", "q_end"), indel: int = INDEL_SIZE) -> DataFrame:
-    """(key, left, right, kind) between neighbouring segments that don't meet.
+    """(key, left, right, kind, dq, ds, subject, s_left, s_right) between neighbouring segments that don't meet.
 
     Segments have q_start, q_end, s_start, s_end, strand and subject. Another subject or strand or
     more than 5000 apart on the subject is a misjoin; else the steps on both sides decide.
@@ -38,7 +38,10 @@ def breakpoints(segments: DataFrame, key: str, order: tuple[str, ...] = ("q_star
         .when((F.col("dq") >= indel) & (F.col("ds") >= indel), "gap")
     )
     found = both.withColumn("kind", kind).where("kind is not null")
-    return found.select(key, F.least("p_q_end", "q_start").alias("left"), F.greatest("p_q_end", "q_start").alias("right"), "kind", "dq", "ds")
+    return found.select(
+        key, F.least("p_q_end", "q_start").alias("left"), F.greatest("p_q_end", "q_start").alias("right"), "kind", "dq", "ds",
+        "subject", F.least("p_s_end", "s_start").alias("s_left"), F.greatest("p_s_end", "s_start").alias("s_right"),
+    )
 
 
 def end_insertions(segments: DataFrame, lengths: DataFrame, key: str, length: str, head: int = 3, tail: int = 5) -> DataFrame:
@@ -87,9 +90,10 @@ def end_indel_verdict() -> Column:
     return _decide(odd, shifted, otherwise=UNCERTAIN)
 
 
-def middle_indel_verdict() -> Column:
+def middle_indel_verdict(kind: Column | None = None) -> Column:
     """Middle: over dis, zero, low, high, size, pairs_left, pairs_right, ratio_left, ratio_right, dif_all,
-    discor_bins, multi_bins, sd and insert."""
+    discor_bins, multi_bins, sd and insert. A ``kind`` other than insertion, deletion and gap stays uncertain unless
+    coverage is missing or pairs are too few."""
     c = F.col
     either = lambda t: (c("ratio_left") > t) | (c("ratio_right") > t)
     odd = (c("dis") > 0) | (c("zero") > 0) | (c("low") > 1) | (c("high") > 1)
@@ -99,6 +103,7 @@ def middle_indel_verdict() -> Column:
     uneven = (c("low") > 0) | (c("high") > 0)
     return (
         F.when((c("zero") > 0) | (c("pairs_left") < 3) | (c("pairs_right") < 3), TRUE)
+        .when(~F.coalesce((F.lit("gap") if kind is None else kind).isin("insertion", "deletion", "gap"), F.lit(False)), UNCERTAIN)
         .when(near, F.when(near_true, TRUE).otherwise(UNCERTAIN))
         .when(c("dis") > 0, F.when((F.floor(F.try_divide(c("size"), c("dis"))) < 1000) | uneven, TRUE).otherwise(UNCERTAIN))
         .when(uneven & ((c("zero") > 0) | (c("discor_bins") > 0) | (c("multi_bins") > 0)), TRUE)
@@ -106,6 +111,12 @@ def middle_indel_verdict() -> Column:
     )
 
 
+def whole_verdict() -> Column:
+    """A query without any segment: over pairs_left, pairs_right, t_dis, t_zero and discor_bins of its tiles."""
+    c = F.col
+    return _decide((c("pairs_left") == 0) | (c("pairs_right") == 0) | (c("t_dis") >= 3) | (c("t_zero") > 0) | (c("discor_bins") > 0), otherwise=UNCERTAIN)
+
+
 def sv_misjoin() -> Column:
     return F.when((F.col("dis") >= 3) | (F.col("zero") > 0) | (F.col("discor_bins") >= 1), UNCERTAIN).otherwise(SV)
 
@@ -129,6 +140,26 @@ def result_label() -> Column:
     return F.when((F.col("verdict") == TRUE) & F.col("in_gap") & (F.col("kind") != "misjoin"), "gap").when(F.col("verdict") == TRUE, "errors").when(F.col("verdict") == SV, "sv").otherwise("warning")
 
 
+def result_regions(regions: DataFrame) -> DataFrame:
+    """(rid, key, result, mis_kind, q_start, q_end, s_start, s_end, subject) of judged regions with rid, key, shape, kind, left, right, len, dq, ds, in_gap,
+    verdict, subject, s_left and s_right.
+
+    A head region goes from the query's begin, a tail one to its end. A gap between segments is an insertion if the query's step is the
+    longer one, else a deletion. Only indels inside or between segments have a place on a subject.
+    """
+    c = F.col
+    placed = c("shape").isin("middle", "inner") & (c("kind") != "misjoin")
+    kind = F.when((c("kind") == "gap") & (c("dq") > c("ds")), "insertion").when(c("kind") == "gap", "deletion").otherwise(c("kind"))
+    result = result_label()
+    prefix = F.when(result == "errors", "err").when(result == "warning", "uncertain").otherwise(result)
+    lo = F.when((c("shape") == "head") & (c("kind") != "misjoin"), 1).when((c("shape") == "tail") & (c("kind") != "misjoin"), c("right")).otherwise(F.least("left", "right"))
+    hi = F.when((c("shape") == "head") & (c("kind") != "misjoin"), c("left")).when((c("shape") == "tail") & (c("kind") != "misjoin"), c("len")).otherwise(F.greatest("left", "right"))
+    return regions.select(
+        "rid", "key", result.alias("result"), F.concat_ws("_", prefix, kind).alias("mis_kind"), lo.cast("long").alias("q_start"), hi.cast("long").alias("q_end"),
+        *[F.when(placed, c(x)).alias(y) for x, y in (("s_left", "s_start"), ("s_right", "s_end"), ("subject", "subject"))],
+    )
+
+
 def split_pieces(cuts: DataFrame, sequences: DataFrame, key: str, length: str) -> DataFrame:
     """(key, piece, lo, hi) of sequences cut at misjoins [left, right]; both sides keep the span of a cut."""
     w = W.partitionBy(key).orderBy("left", "right")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kontig.functions.sequences import count_of
-from kontig.operators import chaining, lengths, verdicts
+from kontig.functions.sequences import has_gap
+from kontig.operators import chaining, evidence, lengths, verdicts
 from kontig.params import MIN_QUERY_LEN
+from kontig.plans.stages import Stages
 
 
 @dataclass
@@ -42,3 +44,116 @@ def correct(queries: DataFrame, regions: DataFrame) -> DataFrame:
     cut = pieces.select("query_id", F.col("piece").cast("int").alias("piece"), F.concat_ws("_", "title", F.col("piece").cast("string"), F.col("lo").cast("string"), F.col("hi").cast("string")).alias("title"), seq.alias("seq"))
     whole = queries.join(cuts.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(0).alias("piece"), "title", "seq")
     return cut.unionByName(whole)
+
+
+_REGION = ("key", "shape", "kind", "left", "right", "dq", "ds", "subject", "s_left", "s_right", "in_gap")
+
+
+def candidates(kinds: DataFrame) -> DataFrame:
+    """Queries (query_id, len, kind) that may hold an error: all but the perfect ones, the longest two marked by ``rank``."""
+    longest = [r.query_id for r in kinds.orderBy(F.desc("len"), "query_id").limit(2).collect()]
+    rank = F.lit(0)
+    for i, query in enumerate(longest, 1):
+        rank = F.when(F.col("query_id") == query, i).otherwise(rank)
+    return kinds.where(F.col("kind") != chaining.PERFECT).withColumn("rank", rank)
+
+
+def find_regions(queries: DataFrame, segments: DataFrame, inner: DataFrame | None = None) -> DataFrame:
+    """Regions of queries (key, seq, len) to judge, with their ids: breaks between segments, ends and whole queries without segments.
+
+    ``segments`` have key, subject, strand, q_start, q_end, s_start and s_end; ``inner`` are indels inside segments as ``alignment.inner_indels`` gives
+    them. Neighbouring misjoins are merged. The id of a region follows from its query and its place there.
+    """
+    points = verdicts.breakpoints(segments, "key", ("q_start", "q_end", "s_start", "s_end")).withColumn("shape", F.lit("middle"))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    subject = segments.schema["subject"].dataType
+    bare = [*none("long", "dq", "ds"), *none(subject, "subject"), *none("long", "s_left", "s_right")]
+    joins = verdicts.merge_misjoins(points.where("kind = 'misjoin'"), "key").select("key", F.lit("middle").alias("shape"), F.lit("misjoin").alias("kind"), "left", "right", *bare)
+    ends = verdicts.end_insertions(segments, queries, "key", "len")
+    head = F.col("left") == 1
+    # the margins of an end are the segment's last position and the one beyond it
+    ends = ends.select("key", F.when(head, "head").otherwise("tail").alias("shape"), "kind", F.when(head, F.col("right") - 1).otherwise(F.col("left")).alias("left"), F.when(head, F.col("right")).otherwise(F.col("left") + 1).alias("right"), *bare)
+    alone = queries.join(segments.select("key").distinct(), "key", "left_anti").select("key", F.lit("whole").alias("shape"), F.lit("insertion").alias("kind"), F.lit(1).cast("long").alias("left"), F.col("len").cast("long").alias("right"), *bare)
+    columns = list(_REGION[:-1])
+    found = points.where("kind != 'misjoin'").select(*columns).unionByName(joins).unionByName(ends).unionByName(alone)
+    if inner is not None:
+        found = found.unionByName(inner.select(*columns))
+    located = found.join(queries.select("key", "seq", F.col("len").cast("long").alias("len")), "key")
+    gap = (F.col("shape").isin("middle", "inner")) & has_gap(F.col("seq"), F.least("left", "right").cast("int"), F.greatest("left", "right").cast("int"))
+    rid = F.xxhash64("key", "shape", "kind", "left", "right")
+    return located.select(rid.alias("rid"), "len", *columns, F.coalesce(gap, F.lit(False)).alias("in_gap")).dropDuplicates(["rid"])
+
+
+def gather_evidence(regions: DataFrame, lengths: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages) -> DataFrame:
+    """``regions`` with their evidence, in one pass over the coverage (key, pos, alleles, total) and one over the placed reads.
+
+    Adds, zero where nothing was found: dis, zero, size, high and low of the evidence window; pairs, frag and ratio on the left and right;
+    t_dis, t_zero, discor_bins and multi_bins of the tiles; discor, discor_ratio, multi and other of a junction; and what the check for structural
+    variation looks at, with ``sv_`` before the name.
+    """
+    index = evidence.prefix_index(stages.write(evidence.index_cells(coverage, lengths, "key", "len"), "coverage"), "key")
+    main, tiles, sv = evidence.main_windows(regions, insert), evidence.tiles_of(evidence.tile_windows(regions, insert)), evidence.tiles_of(evidence.sv_windows(regions).join(regions.select("rid", "shape", "kind"), "rid"))
+    used = lambda df, use: df.select("rid", "key", F.lit(use).alias("use"), "n", "lo", "hi")
+    pieces = used(evidence.bins_of(main), "main").unionByName(used(tiles, "tile")).unionByName(used(sv, "sv"))
+    sums = stages.write(evidence.piece_sums(pieces, index, "key", ["rid", "use", "n"]), "sums")
+    one = lambda df, use: used(df.withColumn("n", F.lit(0).cast("long")), use)
+    windows = used(tiles, "tile").unionByName(used(sv, "sv")).unionByName(one(evidence.junction_windows(regions), "junction"))
+    for prefix, sided in (("", evidence.fragment_windows(regions, insert)), ("sv_", evidence.sv_fragment_windows(regions, insert))):
+        windows = windows.unionByName(sided.select("rid", "key", F.concat(F.lit(prefix), "side").alias("use"), F.lit(0).cast("long").alias("n"), "lo", "hi"))
+    met = stages.write(evidence.in_windows(evidence.placed_mates(placements, insert, sd), windows), "mates")
+    of = lambda df, use: df.where(F.col("use") == use)
+    bins = of(sums, "main").join(main.select("rid", "len", "skip", F.col("lo").alias("w_lo"), F.col("hi").alias("w_hi")), "rid")
+    named = lambda df: df.select("rid", *[F.col(c).alias(f"sv_{c}") for c in df.columns if c != "rid"])
+    near = evidence.mate_counts(evidence.latest_window(of(met, "junction")), ["rid"])
+    kinds = regions.select("rid", "shape", "kind")
+    found = [
+        evidence.window_coverage(bins),
+        *[evidence.fragment_evidence(of(met, side), side) for side in ("left", "right")],
+        evidence.tile_totals(tiles, of(sums, "tile"), evidence.mate_counts(of(met, "tile"), ["rid", "n"])),
+        near.select("rid", "discor", "discor_ratio", F.col("multi_ratio").alias("multi"), F.col("other_ratio").alias("other")),
+        named(evidence.tile_totals(sv.join(kinds, "rid"), of(sums, "sv"), evidence.mate_counts(of(met, "sv"), ["rid", "n"]), evidence.sv_skips())),
+        *[named(evidence.fragment_evidence(of(met, f"sv_{side}"), side)) for side in ("left", "right")],
+    ]
+    out = regions
+    for each in found:
+        out = out.join(each, "rid", "left")
+    return out.na.fill(0, [x for x in out.columns if x not in regions.columns])
+
+
+def judge(regions: DataFrame, insert: float, sd: float) -> DataFrame:
+    """Regions with evidence and their ``verdict``: true, uncertain or sv."""
+    c = F.col
+    dif_left, dif_right = F.when(c("pairs_left") > 0, c("frag_left") - insert).otherwise(0.0), F.when(c("pairs_right") > 0, c("frag_right") - insert).otherwise(0.0)
+    pairs = F.when(c("shape") == "head", c("pairs_left")).otherwise(c("pairs_right"))
+    dif = F.abs(F.when(c("shape") == "head", dif_left).otherwise(dif_right))
+    ready = regions.withColumns({
+        "sd": F.lit(float(sd)), "insert": F.lit(float(insert)), "pairs": pairs, "dif": dif, "dif_all": F.abs(c("dq") - c("ds") - (dif_left + dif_right) / 2),
+        "at_end": (F.least("left", "right") < 200) | (F.greatest("left", "right") > c("len") - 200),
+    })
+    misjoin, shape = c("kind") == "misjoin", c("shape")
+    first = F.when(misjoin, verdicts.misjoin_verdict()).when(shape.isin("head", "tail"), verdicts.end_indel_verdict()).when(shape == "whole", verdicts.whole_verdict()).otherwise(verdicts.middle_indel_verdict(c("kind")))
+    judged = ready.withColumn("verdict", first)
+    # without any pair an average fragment counts as 0 there, as the missing side does
+    moved = F.when((c("sv_pairs_left") > 0) | (c("sv_pairs_right") > 0), F.abs((c("sv_frag_left") + c("sv_frag_right")) / 2 - insert)).otherwise(0.0)
+    again = {"dis": c("sv_t_dis"), "zero": c("sv_t_zero"), "discor_bins": c("sv_discor_bins"), "dif": moved}
+    checked = judged.select("*", *[c(x).alias(f"_{x}") for x in again]).withColumns(again)
+    sv = F.when(c("verdict") != verdicts.UNCERTAIN, c("verdict")).when(misjoin, verdicts.sv_misjoin()).otherwise(verdicts.sv_indel())
+    return checked.withColumns({"verdict": sv, **{x: c(f"_{x}") for x in again}}).select(*regions.columns, "verdict")
+
+
+@dataclass
+class Validation:
+    regions: DataFrame
+    results: DataFrame
+    queries: DataFrame
+    corrected: DataFrame
+
+
+def validate(queries: DataFrame, segments: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages, inner: DataFrame | None = None) -> Validation:
+    """From aligned segments and placed reads to judged regions, result rows, verdicts of queries (key, title, seq, len) and the corrected
+    assembly. Each stage is a written table that the next ones read."""
+    regions = stages.write(find_regions(queries, segments, inner), "regions")
+    gathered = stages.write(gather_evidence(regions, queries.select("key", "len"), coverage, placements, insert, sd, stages), "evidence")
+    judged = stages.write(judge(gathered, insert, sd), "judged")
+    renamed = lambda df: df.withColumnRenamed("key", "query_id")
+    return Validation(judged, verdicts.result_regions(judged), verdicts.query_verdict(judged, "key"), correct(renamed(queries), renamed(judged)))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from kontig.functions import sequences as sq
 from kontig.operators import alignment, chaining, intervals, kmers, lengths, mapping, pileup, reference, verdicts
+from kontig.plans import assembly
+from kontig.plans.stages import Stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -613,6 +615,135 @@ def verdict_sv(spark: SparkSession, d: str) -> DataFrame:
     return ev.select("o", verdicts.sv_misjoin().alias("misjoin"), verdicts.sv_indel().alias("indel"))
 
 
+# evidence from coverage and mates
+
+#: Insert size and its deviation of the reads below.
+_INSERT, _SD = 320.5, 30.0
+
+
+def _reads_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Placed reads (read_id, key, pos, orient, size, multi, base): the lines of an order are mates in pairs, 300 orders lie on one query."""
+    c = F.col
+    lines = t(spark, d, "lineitem").groupBy(c("l_orderkey").alias("o"), c("l_linenumber").cast("long").alias("i")).agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max("l_quantity").cast("long").alias("n"))
+    second = c("i") % 2 == 0
+    pos = c("o") * 37 % 3900 + 1 + F.floor((c("i") - 1) / 2) * 17 + F.when(second, 230 + c("n")).otherwise(0) + F.when(c("p") % 40 == 0, 400).otherwise(0)
+    return lines.select(
+        (c("o") * 8 + c("i")).alias("read_id"), (F.floor(c("o") / 300) + F.when(c("p") % 25 == 0, 1).otherwise(0)).cast("long").alias("key"), pos.cast("long").alias("pos"),
+        F.when(second != (c("p") % 50 == 7), 1).otherwise(0).alias("orient"), (60 + c("s") % 30).alias("size"), (c("p") % 15 == 0).alias("multi"), F.when(c("p") % 90 == 1, "C").otherwise("A").alias("base"),
+    )
+
+
+def _regions_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    o, digit = c("o_orderkey"), c("o_orderkey") % 10
+    shape = F.when(digit == 0, "head").when(digit == 1, "tail").when(digit == 2, "whole").when(digit == 3, "inner").otherwise("middle")
+    kind = F.when(digit >= 8, "misjoin").when(c("o_custkey") % 3 == 0, "insertion").when(c("o_custkey") % 3 == 1, "deletion").otherwise("gap")
+    at = 20 + (o * 53 + c("o_custkey")) % 4600
+    key = F.floor(o / 300).cast("long")
+    size = 4800 + key % 7 * 50
+    left = F.when(digit == 2, 1).otherwise(at)
+    right = F.when(digit < 2, at + 1).when(digit == 2, size).otherwise(at + c("o_custkey") % 130 - 15)
+    return t(spark, d, "orders").select(
+        o.alias("rid"), key.alias("key"), size.alias("len"), shape.alias("shape"), kind.alias("kind"), left.cast("long").alias("left"), right.cast("long").alias("right"),
+        (c("o_custkey") % 60).alias("dq"), (o % 60).alias("ds"), c("o_custkey").alias("subject"), at.alias("s_left"), (at + 9).alias("s_right"), (c("o_custkey") % 4 == 0).alias("in_gap"),
+    )
+
+
+def _evidence_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    reads, regions = _reads_of_lines(spark, d), _regions_of_orders(spark, d)
+    coverage = pileup.span_coverage(reads.withColumn("end", F.col("pos") + F.col("size") - 1), "key", "pos", "end", "base")
+    return assembly.gather_evidence(regions, regions.select("key", "len").distinct(), coverage, reads, _INSERT, _SD, Stages(spark))
+
+
+_EVIDENCE_WINDOWS = """WITH lines AS (SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS i, max(l_partkey) AS p, max(l_suppkey) AS s, CAST(max(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY ALL),
+reads AS (SELECT o * 8 + i AS read_id, o // 300 + CASE WHEN p % 25 = 0 THEN 1 ELSE 0 END AS k, o * 37 % 3900 + 1 + (i - 1) // 2 * 17 + CASE WHEN i % 2 = 0 THEN 230 + n ELSE 0 END + CASE WHEN p % 40 = 0 THEN 400 ELSE 0 END AS pos,
+  (i % 2 = 0) != (p % 50 = 7) AS minus, 60 + s % 30 AS size, p % 15 = 0 AS multi, p % 90 = 1 AS c FROM lines),
+regs AS (SELECT o_orderkey AS rid, o_orderkey // 300 AS k, 4800 + o_orderkey // 300 % 7 * 50 AS len, CASE o_orderkey % 10 WHEN 0 THEN 'head' WHEN 1 THEN 'tail' WHEN 2 THEN 'whole' WHEN 3 THEN 'inner' ELSE 'middle' END AS shape,
+  CASE WHEN o_orderkey % 10 >= 8 THEN 'misjoin' WHEN o_custkey % 3 = 0 THEN 'insertion' WHEN o_custkey % 3 = 1 THEN 'deletion' ELSE 'gap' END AS kind, 20 + (o_orderkey * 53 + o_custkey) % 4600 AS x,
+  CASE WHEN o_orderkey % 10 = 2 THEN 1 ELSE 20 + (o_orderkey * 53 + o_custkey) % 4600 END AS l,
+  CASE WHEN o_orderkey % 10 < 2 THEN 21 + (o_orderkey * 53 + o_custkey) % 4600 WHEN o_orderkey % 10 = 2 THEN 4800 + o_orderkey // 300 % 7 * 50 ELSE 5 + (o_orderkey * 53 + o_custkey) % 4600 + o_custkey % 130 END AS r,
+  o_custkey % 60 AS dq, o_orderkey % 60 AS ds, o_custkey AS subject, o_custkey % 4 = 0 AS in_gap FROM orders),
+bases AS (SELECT k, unnest(range(pos, pos + size)) AS p, c FROM reads),
+cov AS (SELECT k, p, count(*) AS total, count(*) FILTER (c) AS c, count(*) FILTER (NOT c) AS a FROM bases GROUP BY k, p),
+places AS (SELECT k, unnest(range(1, len + 1)) AS p FROM (SELECT DISTINCT k, len FROM regs)),
+marks AS (SELECT k, p, coalesce(total, 0) AS total, CASE WHEN total IS NULL OR (10 * greatest(a, c) < 9 * total AND NOT (least(a, c) = 1 AND greatest(a, c) >= 4)) THEN 1 ELSE 0 END AS dis, CASE WHEN total IS NULL THEN 1 ELSE 0 END AS zero FROM places LEFT JOIN cov USING (k, p)),
+means AS (SELECT k, avg(m) AS mean FROM (SELECT k, (p - 1) // 50 AS b, avg(total) AS m FROM marks GROUP BY ALL) GROUP BY k),
+w AS (SELECT *, kind = 'misjoin' AS mj, least(l, r) AS lo, greatest(l, r) AS hi, 320.5 AS ins FROM regs),
+main AS (SELECT rid, k, len, CASE WHEN mj THEN 0 WHEN shape = 'head' THEN 1 WHEN shape = 'tail' THEN 2 ELSE 0 END AS skip,
+  greatest(1, CAST(floor(CASE WHEN mj THEN lo - 3 * ins WHEN shape = 'head' THEN r - 1 - ins ELSE l - ins END) AS BIGINT)) AS a, least(len, CAST(floor(CASE WHEN mj THEN hi + 3 * ins WHEN shape = 'tail' THEN l + 1 + ins ELSE r + ins END) AS BIGINT)) AS b FROM w WHERE mj OR shape != 'whole'),
+main_p AS (SELECT rid, k, len, skip, a, b, unnest(range(a, b + 1)) AS p FROM main),
+bins AS (SELECT rid, (p - a) // 50 AS n, any_value(k) AS k, any_value(len) AS len, any_value(skip) AS skip, any_value(a) AS a, any_value(b) AS b, count(*) AS width, sum(total) / count(*) AS depth, sum(dis) AS dis, sum(zero) AS zero FROM main_p JOIN marks USING (k, p) GROUP BY ALL),
+ok AS (SELECT *, a > 500 AND b <= len - 499 AND (skip = 0 OR (skip = 1 AND n > 0) OR (skip = 2 AND a + n * 50 + 49 <= b - 50)) AS counted FROM bins JOIN means USING (k)),
+cover AS (SELECT rid, sum(dis) AS dis, sum(zero) AS zero, sum(CASE WHEN dis > 0 THEN width ELSE 0 END) AS size, count(*) FILTER (counted AND depth > 1.5 * mean) AS high, count(*) FILTER (counted AND depth < 0.5 * mean) AS low FROM ok GROUP BY rid),
+mates AS (SELECT x.*, x.pos + x.size // 2 - 1 AS mid, y.pos + y.size // 2 AS mate_mid, coalesce(x.k = y.k, false) AS same,
+  CASE WHEN x.k = y.k AND NOT x.minus AND y.minus AND x.pos <= y.pos THEN y.pos + y.size - x.pos WHEN x.k = y.k AND x.minus AND NOT y.minus AND x.pos >= y.pos THEN x.pos + x.size - y.pos END AS span
+  FROM reads x LEFT JOIN reads y ON y.read_id = xor(x.read_id - 1, 1) + 1),
+m AS (SELECT *, same AND coalesce(abs(span - 320.5) > 90, true) AS discor FROM mates),
+fw AS (SELECT rid, k, l, r, len, shape, greatest(1, CAST(floor((CASE WHEN shape = 'head' THEN r - 1 ELSE l END) - ins) AS BIGINT)) AS la, least(len, CASE WHEN shape = 'head' THEN r - 1 ELSE l END) AS lb,
+  greatest(1, CASE WHEN shape = 'tail' THEN l + 1 ELSE r END) AS ra, least(len, CAST(floor((CASE WHEN shape = 'tail' THEN l + 1 ELSE r END) + ins) AS BIGINT)) AS rb,
+  CAST(floor(l - ins) AS BIGINT) AS sa, CAST(floor(r + ins) AS BIGINT) AS sb FROM w WHERE NOT mj),
+fx AS (SELECT *, greatest(1, sa) AS sla, least(len, (sa + sb) // 2) AS slb, greatest(1, (sa + sb) // 2 + 1) AS sra, least(len, sb) AS srb FROM fw),
+sides AS (SELECT rid, k, 'left' AS u, true AS fwd, la AS a, lb AS b FROM fx WHERE shape != 'tail' UNION ALL SELECT rid, k, 'right', false, ra, rb FROM fx WHERE shape != 'head' UNION ALL SELECT rid, k, 'sv_left', true, sla, slb FROM fx UNION ALL SELECT rid, k, 'sv_right', false, sra, srb FROM fx),
+f AS (SELECT rid, u, count(*) FILTER (over) AS pairs, sum(span) FILTER (over) AS bases, count(*) FILTER (discor) AS discor
+  FROM (SELECT s.rid, s.u, m.span, m.discor, m.span IS NOT NULL AND CASE WHEN fwd THEN NOT minus AND mate_mid > b ELSE minus AND mate_mid < a END AS over FROM sides s JOIN m ON m.k = s.k AND m.mid BETWEEN s.a AND s.b) GROUP BY ALL),
+frag AS (SELECT rid, u, pairs, coalesce(bases / nullif(pairs, 0), 0) AS frag, coalesce(discor / nullif(pairs, 0), 0) AS ratio FROM f),
+tw AS (SELECT rid, k, len, shape, mj, 'tile' AS u, greatest(1, CAST(floor(CASE WHEN r - l < ins THEN l - ins ELSE l END) AS BIGINT)) AS a, least(len, CAST(floor(CASE WHEN r - l < ins THEN r + ins ELSE r END) AS BIGINT)) AS b FROM w WHERE NOT mj AND shape NOT IN ('head', 'tail')
+  UNION ALL SELECT rid, k, len, shape, mj, 'sv', greatest(1, CASE WHEN mj THEN lo - 300 WHEN shape = 'head' THEN 1 WHEN shape IN ('tail', 'middle') THEN lo - 200 ELSE l END), least(len, CASE WHEN mj THEN hi + 300 WHEN shape = 'tail' THEN len WHEN shape IN ('head', 'middle') THEN hi + 200 ELSE r END) FROM w),
+tn AS (SELECT *, (b - a) // 500 + 1 AS nt, (b - a + 1) // ((b - a) // 500 + 1) + 1 AS width FROM tw WHERE a <= b),
+tiles AS (SELECT * FROM (SELECT *, unnest(range(0, nt)) AS n FROM tn) WHERE a + n * width <= b),
+tx AS (SELECT *, a + n * width AS ta, least(a + n * width + width - 1, b) AS tb, count(*) OVER (PARTITION BY rid, u) AS tiles FROM tiles),
+tf AS (SELECT *, min((ta + tb) // 2) OVER (PARTITION BY rid, u) AS fm, max((ta + tb) // 2) OVER (PARTITION BY rid, u) AS lm FROM tx),
+ts AS (SELECT *, CASE WHEN u = 'tile' OR mj THEN 0 WHEN shape IN ('head', 'inner', 'whole') OR fm + 1 < 500 THEN 1 ELSE 0 END AS s1, CASE WHEN u = 'tile' OR mj THEN 0 WHEN shape IN ('tail', 'inner', 'whole') OR lm > len - 500 THEN 1 ELSE 0 END AS s2 FROM tf),
+tk AS (SELECT *, least(s1, tiles - 1) AS q1, greatest(tiles - s2 - 1, 0) AS q2 FROM ts),
+tcov AS (SELECT rid, u, n, sum(dis) AS dis, sum(zero) AS zero FROM (SELECT rid, u, n, k, unnest(range(ta, tb + 1)) AS p FROM tk) JOIN marks USING (k, p) GROUP BY ALL),
+tm AS (SELECT t.rid, t.u, t.n, count(*) FILTER (same) AS paired, count(*) FILTER (discor) AS discor, count(*) FILTER (multi) AS multi, count(*) AS reads FROM tk t JOIN m ON m.k = t.k AND m.mid BETWEEN t.ta AND t.tb GROUP BY ALL),
+tt AS (SELECT rid, u, sum(dis) AS t_dis, sum(zero) AS t_zero, count(*) FILTER (discor >= 3 AND discor > 0.1 * paired) AS discor_bins, count(*) FILTER (multi > 0.05 * reads) AS multi_bins
+  FROM tk JOIN tcov USING (rid, u, n) LEFT JOIN tm USING (rid, u, n) WHERE n BETWEEN least(q1, q2) AND greatest(q1, q2) GROUP BY ALL),
+jw AS (SELECT rid, k, greatest(1, CASE WHEN l <= r THEN l - 100 ELSE r - 300 END) AS a, least(len, CASE WHEN l <= r THEN r + 100 ELSE l + 300 END) AS b FROM w WHERE mj),
+jr AS (SELECT j.rid, m.same, m.discor, m.multi FROM jw j JOIN m ON m.k = j.k AND m.mid BETWEEN j.a AND j.b QUALIFY row_number() OVER (PARTITION BY m.read_id ORDER BY j.a DESC, j.rid DESC) = 1),
+j AS (SELECT rid, count(*) FILTER (discor) AS discor, coalesce(count(*) FILTER (discor) / nullif(count(*) FILTER (same), 0), 0) AS discor_ratio, count(*) FILTER (multi) / count(*) AS multi, count(*) FILTER (NOT same) / count(*) AS other FROM jr GROUP BY rid),
+ev AS (SELECT w.rid, w.k, w.len, w.shape, w.kind, w.l, w.r, w.lo, w.hi, w.x, w.mj, w.dq, w.ds, w.subject, w.in_gap, coalesce(c.dis, 0) AS dis, coalesce(c.zero, 0) AS zero, coalesce(c.size, 0) AS size, coalesce(c.high, 0) AS high, coalesce(c.low, 0) AS low,
+  coalesce(fl.pairs, 0) AS pairs_left, coalesce(fl.frag, 0) AS frag_left, coalesce(fl.ratio, 0) AS ratio_left, coalesce(fr.pairs, 0) AS pairs_right, coalesce(fr.frag, 0) AS frag_right, coalesce(fr.ratio, 0) AS ratio_right,
+  coalesce(t1.t_dis, 0) AS t_dis, coalesce(t1.t_zero, 0) AS t_zero, coalesce(t1.discor_bins, 0) AS discor_bins, coalesce(t1.multi_bins, 0) AS multi_bins,
+  coalesce(j.discor, 0) AS discor, coalesce(j.discor_ratio, 0) AS discor_ratio, coalesce(j.multi, 0) AS multi, coalesce(j.other, 0) AS other,
+  coalesce(t2.t_dis, 0) AS sv_t_dis, coalesce(t2.t_zero, 0) AS sv_t_zero, coalesce(t2.discor_bins, 0) AS sv_discor_bins, coalesce(t2.multi_bins, 0) AS sv_multi_bins,
+  coalesce(sl.pairs, 0) AS sv_pairs_left, coalesce(sl.frag, 0) AS sv_frag_left, coalesce(sl.ratio, 0) AS sv_ratio_left, coalesce(sr.pairs, 0) AS sv_pairs_right, coalesce(sr.frag, 0) AS sv_frag_right, coalesce(sr.ratio, 0) AS sv_ratio_right
+  FROM w LEFT JOIN cover c USING (rid) LEFT JOIN frag fl ON fl.rid = w.rid AND fl.u = 'left' LEFT JOIN frag fr ON fr.rid = w.rid AND fr.u = 'right' LEFT JOIN frag sl ON sl.rid = w.rid AND sl.u = 'sv_left' LEFT JOIN frag sr ON sr.rid = w.rid AND sr.u = 'sv_right'
+  LEFT JOIN tt t1 ON t1.rid = w.rid AND t1.u = 'tile' LEFT JOIN tt t2 ON t2.rid = w.rid AND t2.u = 'sv' LEFT JOIN j ON j.rid = w.rid)"""
+
+_COUNTS = ("dis", "zero", "size", "high", "low", "pairs_left", "pairs_right", "t_dis", "t_zero", "discor_bins", "multi_bins", "discor", "sv_t_dis", "sv_t_zero", "sv_discor_bins", "sv_multi_bins", "sv_pairs_left", "sv_pairs_right")
+_RATIOS = ("frag_left", "ratio_left", "frag_right", "ratio_right", "discor_ratio", "multi", "other", "sv_frag_left", "sv_ratio_left", "sv_frag_right", "sv_ratio_right")
+
+
+@query(_EVIDENCE_WINDOWS + " SELECT rid, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _COUNTS) + ", " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _RATIOS) + " FROM ev")
+def evidence_windows(spark: SparkSession, d: str) -> DataFrame:
+    """All evidence of every order's region, from the coverage and the mates of the line items."""
+    return _evidence_of_orders(spark, d).select("rid", *[F.col(c).cast("long").alias(c) for c in _COUNTS], *[F.round(F.col(c).cast("double"), 6).alias(c) for c in _RATIOS])
+
+
+@query(
+    _EVIDENCE_WINDOWS
+    + """, y AS (SELECT *, low > 0 OR high > 0 AS uneven, CASE WHEN shape = 'head' THEN pairs_left ELSE pairs_right END AS pairs, CASE WHEN pairs_left > 0 THEN frag_left - 320.5 ELSE 0 END AS dl, CASE WHEN pairs_right > 0 THEN frag_right - 320.5 ELSE 0 END AS dr FROM ev),
+    z AS (SELECT *, abs(CASE WHEN shape = 'head' THEN dl ELSE dr END) AS dif, abs(dq - ds - (dl + dr) / 2) AS da FROM y),
+    v AS (SELECT *, CASE WHEN mj THEN CASE WHEN zero > 3 OR ((dis > 1 OR zero > 0 OR high > 3 OR low > 3) AND discor >= 3 AND discor_ratio > 0.1) THEN 'true' WHEN dis >= 1 AND (zero > 0 OR uneven OR size // dis < 500) THEN 'true' WHEN (multi > 0.1 OR other > 0.1) AND NOT (lo < 200 OR hi > len - 200) THEN 'true' ELSE 'uncertain' END
+      WHEN shape IN ('head', 'tail') THEN CASE WHEN dis > 0 OR zero > 0 OR low > 1 OR high > 1 OR pairs = 0 OR (pairs >= 3 AND (dif > 60 OR dif > 64.1)) THEN 'true' ELSE 'uncertain' END
+      WHEN shape = 'whole' THEN CASE WHEN pairs_left = 0 OR pairs_right = 0 OR t_dis >= 3 OR t_zero > 0 OR discor_bins > 0 THEN 'true' ELSE 'uncertain' END
+      WHEN zero > 0 OR pairs_left < 3 OR pairs_right < 3 THEN 'true'
+      WHEN da < 60 OR da < 64.1 OR ratio_left > 0.1 OR ratio_right > 0.1 THEN CASE WHEN dis > 0 OR low > 1 OR high > 1 OR ratio_left > 0.2 OR ratio_right > 0.2 OR ((ratio_left > 0.1 OR ratio_right > 0.1) AND (uneven OR ((da < 30 OR da < 32.05) AND (discor_bins > 0 OR multi_bins > 0)))) OR (ratio_left > 0.05 AND ratio_right > 0.05 AND multi_bins > 0) THEN 'true' ELSE 'uncertain' END
+      WHEN dis > 0 THEN CASE WHEN size // dis < 1000 OR uneven THEN 'true' ELSE 'uncertain' END WHEN uneven AND (discor_bins > 0 OR multi_bins > 0) THEN 'true' ELSE 'uncertain' END AS first,
+      CASE WHEN sv_pairs_left > 0 OR sv_pairs_right > 0 THEN abs((sv_frag_left + sv_frag_right) / 2 - 320.5) ELSE 0 END AS moved FROM z),
+    s AS (SELECT *, CASE WHEN first != 'uncertain' THEN first WHEN mj THEN CASE WHEN sv_t_dis >= 3 OR sv_t_zero > 0 OR sv_discor_bins >= 1 THEN 'uncertain' ELSE 'sv' END
+      WHEN ((sv_t_zero > 0 OR sv_discor_bins > 0) AND (moved > 60 OR moved > 64.1)) OR sv_t_dis >= 2 OR (sv_t_dis = 1 AND size < 300 AND (sv_t_zero > 0 OR sv_discor_bins > 0)) THEN 'uncertain' ELSE 'sv' END AS verdict FROM v),
+    o AS (SELECT *, CASE WHEN verdict = 'true' AND in_gap AND NOT mj THEN 'gap' WHEN verdict = 'true' THEN 'errors' WHEN verdict = 'sv' THEN 'sv' ELSE 'warning' END AS result, CASE WHEN kind != 'gap' THEN kind WHEN dq > ds THEN 'insertion' ELSE 'deletion' END AS name, NOT mj AND shape IN ('middle', 'inner') AS placed FROM s)
+    SELECT rid, k AS key, verdict, result, CASE result WHEN 'errors' THEN 'err' WHEN 'warning' THEN 'uncertain' ELSE result END || '_' || name AS mis_kind, CASE WHEN shape = 'head' AND NOT mj THEN 1 WHEN shape = 'tail' AND NOT mj THEN r ELSE lo END AS q_start,
+    CASE WHEN shape = 'head' AND NOT mj THEN l WHEN shape = 'tail' AND NOT mj THEN len ELSE hi END AS q_end, CASE WHEN placed THEN x END AS s_start, CASE WHEN placed THEN x + 9 END AS s_end, CASE WHEN placed THEN subject END AS subject FROM o"""
+)
+def region_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict and result row of every order's region by the evidence of the line items."""
+    judged = assembly.judge(_evidence_of_orders(spark, d), _INSERT, _SD)
+    return verdicts.result_regions(judged).join(judged.select("rid", "verdict"), "rid")
+
+
 @query("SELECT l_orderkey AS o, CASE WHEN bool_or(l_returnflag = 'R' AND (l_linestatus = 'F' OR l_linenumber % 2 = 1)) THEN 'true' ELSE 'uncertain' END AS verdict FROM lineitem WHERE l_linestatus IN ('F', 'O') GROUP BY 1")
 def query_verdict(spark: SparkSession, d: str) -> DataFrame:
     lines = t(spark, d, "lineitem").where("l_linestatus in ('F', 'O')")
