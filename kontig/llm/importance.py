@@ -34,7 +34,7 @@ from kontig.llm.common import Scratch, drop_clashes
 
 BUCKETS = 10_000
 #: Bits of a digit of the radix sort and of the places of a block.
-DIGIT_BITS, BLOCK_BITS = 11, 15
+DIGIT_BITS, BLOCK_BITS = 8, 12
 #: Bytes of a text that are cut into words at once.
 PIECE_BYTES = 1 << 20
 
