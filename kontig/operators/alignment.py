@@ -1,35 +1,60 @@
-"""Pairwise overlap alignment as an Arrow function, vectorised along anti-diagonals-free rows."""
+"""Pairwise overlap alignment, gap normalisation and the scan for indels inside segments, as Arrow functions.
+
+The dynamic programme goes row by row in numpy; each pair of sequences is a small helper's work, Spark deals the pairs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kontig.params import GAP, MATCH, MISMATCH
+from kontig.functions.sequences import reverse_complement
+from kontig.params import ANCHOR, GAP, INDEL_SIZE, MATCH, MISMATCH
 
+#: Windows of the inner scan: their size, the step, how far they widen, and how far an anchor is sought.
+WINDOW, STEP, WIDEST, ANCHOR_REACH = 300, 200, 2_000, 4_000
+_UNKNOWN = frozenset("-Nn.")
+
+
+class Aligned(NamedTuple):
+    """Two aligned rows, their score and mismatches (gaps count), and the bases of either sequence left over at both ends."""
+
+    row1: str
+    row2: str
+    score: int
+    mismatches: int
+    left1: int
+    left2: int
+    right1: int
+    right2: int
 
-def overlap(a: str, b: str) -> tuple[str, str, int, int]:
-    """Best overlap of two sequences with free end gaps: both aligned rows, score and mismatches (gaps count).
+
+def align(a: str, b: str) -> Aligned:
+    """Best overlap of two sequences with free end gaps.
 
     Ties prefer the end in the last row, then a step on both, then one on ``a``.
     """
     n, m = len(a), len(b)
     if not n or not m:
-        return "", "", 0, 0
+        return Aligned("", "", 0, 0, 0, 0, n, m)
     x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    score = np.zeros((n + 1, m + 1), np.int64)
-    slope = GAP * np.arange(m + 1)
+    score = np.zeros((n + 1, m + 1), np.int32)
+    slope = GAP * np.arange(m + 1, dtype=np.int32)
     for i in range(1, n + 1):
-        both = score[i - 1, :-1] + np.where(y == x[i - 1], MATCH, MISMATCH)
-        best = np.concatenate([[0], np.maximum(both, score[i - 1, 1:] + GAP)])
+        best = np.zeros(m + 1, np.int32)
+        np.maximum(score[i - 1, :-1] + np.where(y == x[i - 1], MATCH, MISMATCH), score[i - 1, 1:] + GAP, out=best[1:])
         score[i] = np.maximum.accumulate(best - slope) + slope  # steps along the row
     i, j = n, int(np.argmax(score[n]))
     column = int(np.argmax(score[:, m]))
     if score[column, m] > score[n, j]:
         i, j = column, m
-    top = int(score[i, j])
+    top, right = int(score[i, j]), (n - i, m - j)
     rows: list[tuple[str, str]] = []
     while i and j:
         if score[i, j] == score[i - 1, j - 1] + (MATCH if a[i - 1] == b[j - 1] else MISMATCH):
@@ -42,7 +67,187 @@ def overlap(a: str, b: str) -> tuple[str, str, int, int]:
             rows.append(("-", b[j - 1]))
             j -= 1
     rows.reverse()
-    return "".join(r[0] for r in rows), "".join(r[1] for r in rows), top, sum(p != q for p, q in rows)
+    return Aligned("".join(r[0] for r in rows), "".join(r[1] for r in rows), top, sum(p != q for p, q in rows), i, j, *right)
+
+
+def overlap(a: str, b: str) -> tuple[str, str, int, int]:
+    """The aligned rows of ``align``, their score and mismatches."""
+    return align(a, b)[:4]
+
+
+def count_gaps(row1: str, row2: str) -> tuple[int, int, int]:
+    """Gaps (N and dots too) of the first row, of the second where the first has none, and differing columns."""
+    differ = [(p, q) for p, q in zip(row1, row2, strict=True) if p != q]
+    first = sum(p in _UNKNOWN for p, _ in differ)
+    return first, sum(p not in _UNKNOWN and q in _UNKNOWN for p, q in differ), len(differ)
+
+
+def _slide(rows: list[list[str]], order: range, counts: tuple[int, int, int], barrier: int) -> None:
+    """Move the first run of gaps that ``order`` meets onwards over equal bases, up to the column ``barrier``.
+
+    A run that holds all gaps of its row and all differences has nothing to move towards.
+    """
+    moving = False
+    for i in order:
+        row = next((r for r in (0, 1) if rows[r][i] == "-"), None)
+        if row is None:
+            if moving:
+                return
+            continue
+        own, other = rows[row], rows[1 - row]
+        j = i
+        while j in order and own[j] == "-":
+            j += order.step
+        alone = abs(j - i) >= max(counts[row], counts[2])
+        if alone or j not in order or (barrier - j) * order.step <= 0 or not own[j] == other[j] == other[i]:
+            return
+        own[i], own[j], moving = own[j], "-", True
+
+
+def settle_gaps(row1: str, row2: str) -> tuple[str, str]:
+    """The rows with scattered gaps gathered: the leftmost run moves right over equal bases, and the rightmost one, if it is another, left.
+
+    Score and sequences stay, and settling again changes nothing. Rows whose only difference is one run stay.
+    """
+    counts, columns = count_gaps(row1, row2), range(len(row1))
+    done = None
+    while (row1, row2) != done and "-" in row1 + row2:
+        done, rows = (row1, row2), [list(row1), list(row2)]
+        _slide(rows, columns, counts, len(row1))
+        first = min(r.index("-") for r in rows if "-" in r)
+        run = next(r for r in rows if r[first] == "-")
+        end = next((i for i in range(first, len(run)) if run[i] != "-"), len(run)) - 1
+        _slide(rows, columns[::-1], counts, end)
+        row1, row2 = "".join(rows[0]), "".join(rows[1])
+    return row1, row2
+
+
+def anchored(row1: str, row2: str) -> tuple[bool, bool]:
+    """Whether the rows begin and end with ANCHOR equal columns."""
+    equal = np.frombuffer(row1.encode("utf-32-le"), np.uint32) == np.frombuffer(row2.encode("utf-32-le"), np.uint32)
+    return len(equal) >= ANCHOR and bool(equal[:ANCHOR].all()), len(equal) >= ANCHOR and bool(equal[-ANCHOR:].all())
+
+
+def find_anchor(query: str, subject: str, a: int, b: int) -> tuple[int, int] | None:
+    """Behind the first window from (a, b) on that is equal, or whose alignment ends with an anchor; windows grow by STEP.
+
+    None if the sequences end before, or within ANCHOR_REACH there is none.
+    """
+    for size in range(STEP, ANCHOR_REACH + 1, STEP):
+        if size > STEP and size > len(query) - a:
+            return None
+        q, s = query[a : a + size], subject[b : b + size]
+        if q == s:
+            return a + len(q), b + len(s)
+        found = align(q, s)
+        if anchored(found.row1, found.row2)[1]:
+            return a + len(q) - found.right1, b + len(s) - found.right2
+    return None
+
+
+class Indel(NamedTuple):
+    """Places, from 0 within the two sequences, of the bases around an indel, and the bases that only one of them has."""
+
+    q_left: int
+    q_right: int
+    s_left: int
+    s_right: int
+    q_more: int
+    s_more: int
+
+
+def _indel(found: Aligned, a: int, b: int, q: str, s: str) -> Indel | None:
+    """The indel of a settled window that begins at (a, b), if it is long enough."""
+    in_q, in_s, _ = count_gaps(found.row1, found.row2)
+    if abs(in_q - in_s) < INDEL_SIZE:
+        return None
+    at = [i for i, (x, y) in enumerate(zip(found.row1, found.row2, strict=True)) if x in _UNKNOWN or y in _UNKNOWN]
+    behind = len(found.row1) - 1 - at[-1]
+    return Indel(
+        a + found.left1 + at[0] - 1, a + len(q) - found.right1 - behind,
+        b + found.left2 + at[0] - 1, b + len(s) - found.right2 - behind, in_s, in_q,
+    )
+
+
+def scan_indels(query: str, subject: str) -> Iterator[Indel]:
+    """Indels inside two sequences that align end to end, in windows of both between anchors.
+
+    A window that does not begin with an anchor goes back a step and widens, one that does not end with one widens; where the begin
+    cannot be anchored, the scan starts anew behind what it has seen. Equal windows are passed without an alignment.
+    """
+    begin = find_anchor(query, subject, 0, 0)
+    q_end, s_end = len(query) - STEP, len(subject) - STEP
+    if begin is None:
+        return
+    (a, b), more, seen = begin, 0, begin
+    while a < q_end:
+        size, room = WINDOW + more, (q_end - a, s_end - b)
+        if min(room) <= 0 or size > min(room) + WINDOW:
+            return
+        q, s = query[a : a + min(size, room[0])], subject[b : b + min(size, room[1])]
+        if q == s:
+            a, b = a + len(q), b + len(s)
+        else:
+            raw = align(q, s)
+            found = raw._replace(**dict(zip(("row1", "row2"), settle_gaps(raw.row1, raw.row2), strict=True)))
+            head, tail = anchored(found.row1, found.row2)
+            head = head and not found.left1 and not found.left2
+            back, again, wider = False, False, False
+            if not head:
+                back = a >= begin[0] and a >= STEP and b >= STEP
+                again = seen[0] - (a - STEP * back) >= 3 * WINDOW
+            if not tail and more + STEP * back <= WIDEST:
+                wider = True
+            if again:
+                start = find_anchor(query, subject, *seen)
+                if start is None:
+                    return
+                begin, (a, b), more, seen = start, start, 0, start
+                continue
+            if back or wider:
+                a, b, more = a - STEP * back, b - STEP * back, more + STEP * back + STEP * wider
+                continue
+            if head and tail:
+                indel = _indel(found, a, b, q, s)
+                if indel is not None:
+                    yield indel
+                more = 0
+            if len(q) == found.right1 or len(s) == found.right2:
+                return
+            a, b = a + len(q) - found.right1, b + len(s) - found.right2
+        if a > seen[0]:
+            seen = (a, max(b, seen[1]))
+
+
+def inner_indels(segments: DataFrame, queries: DataFrame, subjects: DataFrame, gaps: str = "gap_num") -> DataFrame:
+    """(key, shape, kind, left, right, dq, ds, subject, s_left, s_right) of indels inside segments with INDEL_SIZE or more gaps.
+
+    ``segments`` have key, subject, strand, q_start, q_end, s_start and s_end (s_start > s_end on the minus strand, 1); ``queries`` key and seq, ``subjects`` subject and
+    seq. A segment's two stretches of sequence are cut out before they reach Python; a segment is one row there.
+    """
+    kept = segments.where(F.col(gaps) >= INDEL_SIZE).select("key", "subject", "strand", *[F.col(c).cast("long").alias(c) for c in ("q_start", "q_end", "s_start", "s_end")])
+    cut = lambda seq, lo, hi: F.substr(F.upper(F.col(seq)), lo.cast("int"), (hi - lo + 1).cast("int"))
+    q = kept.join(queries.select("key", F.col("seq").alias("_q")), "key").withColumn("_q", cut("_q", F.col("q_start"), F.col("q_end")))
+    low = F.least("s_start", "s_end")
+    both = q.join(subjects.select("subject", F.col("seq").alias("_s")), "subject").withColumn("_s", cut("_s", low, F.greatest("s_start", "s_end")))
+    both = both.withColumn("_s", F.when(F.col("strand") == 0, F.col("_s")).otherwise(reverse_complement(F.col("_s"))))
+    parts = [f"{n} long" for n in Indel._fields]
+
+    def run(batches):
+        for batch in batches:
+            found = [[tuple(x) for x in scan_indels(q or "", s or "")] for q, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [i for i, each in enumerate(found) for _ in each]
+            flat = np.array([x for each in found for x in each], np.int64).reshape(-1, len(parts)).T
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[2:]), *map(pa.array, flat)], [*batch.schema.names[2:], *Indel._fields])
+
+    named = both.select("_q", "_s", "key", "subject", "strand", "q_start", "s_start")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields[2:])
+    each = named.mapInArrow(run, f"{kinds}, {', '.join(parts)}")
+    c = F.col
+    side = lambda x: F.when(c("strand") == 0, c("s_start") + c(x)).otherwise(c("s_start") - c(x))
+    kind = F.when(c("q_more") > c("s_more"), "insertion").otherwise("deletion")
+    placed = each.withColumns({"left": c("q_start") + c("q_left"), "right": c("q_start") + c("q_right"), "s1": side("s_left"), "s2": side("s_right")})
+    return placed.select("key", F.lit("inner").alias("shape"), kind.alias("kind"), "left", "right", c("q_more").alias("dq"), c("s_more").alias("ds"), "subject", F.least("s1", "s2").alias("s_left"), F.greatest("s1", "s2").alias("s_right"))
 
 
 def overlap_alignment(a: Column, b: Column) -> Column:

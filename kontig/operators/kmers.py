@@ -12,6 +12,8 @@ from kontig.params import KMER, MISMATCH_RATIO, OVERHANG_RATIO
 
 #: Bases of a block that sequences are cut into before their k-mers are taken.
 BLOCK = 256
+#: Bases of a block of a target that placements are compared with, if no read is longer.
+TARGET_BLOCK = 4_096
 
 
 def runs(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -73,45 +75,61 @@ def exact_hits(hits: DataFrame, reads: DataFrame, read: str, target: str) -> Dat
     return found.join(asked, read).where("n = asked").select(read, target, "diag", "n")
 
 
+def blocks(df: DataFrame, key: str, seq: str, size: int, overlap: int) -> DataFrame:
+    """(key, block, text, n): each sequence of n bases in blocks of ``size``, from 0, each with the ``overlap`` <= size bases behind it."""
+    pieces = df.where(F.length(seq) > 0).select(key, F.length(seq).cast("long").alias("n"), F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_b"))
+    whole = F.transform("_b", lambda b, i: F.concat(b, F.substring(F.coalesce(F.get("_b", i + 1), F.lit("")), 1, overlap)))
+    return pieces.select(key, "n", F.posexplode(whole).alias("block", "text"))
+
+
+def _block_size(reads: DataFrame, seq: str) -> int:
+    """Bases of a block that any read's overlap with a target lies in, together with the block behind."""
+    return max(TARGET_BLOCK, reads.agg(F.max(F.length(seq))).first()[0] or 0)  # one number
+
+
 def exact_places(reads: DataFrame, targets: DataFrame, key: str, seq: str, k: int = KMER) -> DataFrame:
     """(read, key, diag, size): every place where a whole read of k bases or more occurs, ``diag`` bases behind the begin.
 
-    A read of 2k - 1 or more covers a tile of the target with one of its first k k-mers; shorter ones are sought
-    in every target. Each place found so is compared over the whole length of the read.
+    A read of 2k - 1 or more covers a tile of the target with one of its first k k-mers; the first k-mer of shorter ones is sought
+    among all k-mers of the targets. Each place found so is compared over the whole length of the read with the block of the target that holds it.
     """
-    asked = reads.where(F.length(seq) >= k).select(F.col(key).alias("read"), F.col(seq).alias("_r"), F.length(seq).alias("size"))
+    asked = reads.where(F.length(seq) >= k).select(F.col(key).alias("read"), F.col(seq).alias("_r"), F.length(seq).cast("long").alias("size"))
     first = asked.where(f"size >= {2 * k - 1}").select("read", F.substring("_r", 1, 2 * k - 1).alias("_r"))
     anchors = tiles(first, "read", "_r", k, 1).withColumnRenamed("pos", "offset")
-    far = probe(anchors, tiles(targets, key, seq, k)).where("diag >= 0").select("read", key, "diag").distinct()
-    text = targets.select(key, F.col(seq).alias("_s"))
-    within = asked.where(f"size < {2 * k - 1}").join(text, F.contains("_s", "_r"))
-    near = within.select("read", key, F.explode(F.sequence(F.lit(0).cast("long"), (F.length("_s") - F.col("size")).cast("long"))).alias("diag"))
-    placed = far.union(near).join(asked, "read").join(text, key)
-    return placed.where(F.substr("_s", (F.col("diag") + 1).cast("int"), "size") == F.col("_r")).select("read", key, "diag", F.col("size").cast("long").alias("size"))
+    found = probe(anchors, tiles(targets, key, seq, k)).where("diag >= 0").select("read", key, "diag").distinct()
+    short = asked.where(f"size < {2 * k - 1}").select("read", F.substring("_r", 1, k).alias("kmer"), F.lit(1).cast("long").alias("offset"))
+    if not short.isEmpty():
+        found = found.unionByName(probe(short, tiles(targets, key, seq, k, 1)).select("read", key, "diag"))
+    size = _block_size(asked, "_r")
+    placed = found.join(asked, "read").withColumn("block", F.floor(F.col("diag") / size).cast("int")).join(blocks(targets, key, seq, size, size), [key, "block"])
+    return placed.where(F.substr("text", (F.col("diag") % size + 1).cast("int"), F.col("size").cast("int")) == F.col("_r")).select("read", key, "diag", "size")
 
 
 def extended(reads: DataFrame, targets: DataFrame, read: str, target: str, seq: str = "seq", k: int = KMER) -> DataFrame:
-    """(read, target, strand, diag, start, size, mismatches): placements of whole reads without gaps, on both strands.
+    """(read, target, strand, diag, start, size, mismatches, len): placements of whole reads without gaps, on both strands.
 
     Each k-mer of a read, and of its reverse complement (strand 1), probes the target's tiles; each diagonal found is compared over
-    its whole overlap once. A placement has at most ``MISMATCH_RATIO`` mismatches to the read's length and hangs over the target's ends by at most
-    ``OVERHANG_RATIO`` of it. Mismatches at either end of the overlap are trimmed from ``start`` (on the target), ``size`` and
-    ``mismatches``; they count for acceptance.
+    its whole overlap once, with the block of the target in which the overlap begins. A placement has at most ``MISMATCH_RATIO`` mismatches to the read's
+    length ``len`` and hangs over the target's ends by at most ``OVERHANG_RATIO`` of it. Mismatches at either end of the overlap are trimmed
+    from ``start`` (on the target), ``size`` and ``mismatches``; they count for acceptance.
     """
     named = reads.select(F.col(read).alias("_read"), F.col(seq).alias("_seq"))
     both = named.withColumn("_strand", F.lit(0)).unionByName(named.select("_read", reverse_complement(F.col("_seq")).alias("_seq"), F.lit(1).alias("_strand")))
     both = both.withColumn("_key", F.struct("_read", "_strand"))
     anchors = tiles(both, "_key", "_seq", k, 1).withColumnRenamed("pos", "offset")
     found = probe(anchors, tiles(targets, target, seq, k)).select("_key", target, "diag").distinct()
-    placed = found.join(both.select("_key", "_seq"), "_key").join(targets.select(target, F.col(seq).alias("_target")), target)
-    first, size = F.greatest(F.lit(1), 1 - F.col("diag")), F.length("_seq")
-    last = F.least(size, F.length("_target") - F.col("diag"))
-    cut = placed.select("_key", target, "diag", size.alias("_n"), first.alias("_first"), (last - first + 1).cast("int").alias("_size"), F.substr("_seq", first.cast("int"), (last - first + 1).cast("int")).alias("_a"), F.substr("_target", (first + F.col("diag")).cast("int"), (last - first + 1).cast("int")).alias("_b"))
+    block = _block_size(reads, seq)
+    first = F.greatest(F.lit(1).cast("long"), 1 - F.col("diag"))
+    placed = found.join(both.select("_key", "_seq"), "_key").withColumns({"_first": first, "block": F.floor((first + F.col("diag") - 1) / block).cast("int")})
+    placed = placed.join(blocks(targets, target, seq, block, block), [target, "block"])
+    last = F.least(F.length("_seq"), F.col("n") - F.col("diag"))
+    cut = placed.select("_key", target, "diag", F.length("_seq").alias("_n"), "_first", (last - F.col("_first") + 1).cast("int").alias("_size"), "_seq", "text", (F.col("_first") + F.col("diag") - F.col("block") * block).cast("int").alias("_at"))
     cut = cut.where(F.col("_n") - F.col("_size") <= F.floor(OVERHANG_RATIO * F.col("_n")))
+    cut = cut.withColumns({"_a": F.substr("_seq", F.col("_first").cast("int"), F.col("_size")), "_b": F.substr("text", F.col("_at"), F.col("_size"))})
     marks = F.array_join(F.zip_with(F.split("_a", ""), F.split("_b", ""), lambda x, y: F.when(x == y, "0").otherwise("1")), "")
     marked = cut.withColumn("_m", marks).withColumn("_all", F.length(F.translate("_m", "0", ""))).where(F.col("_all") <= F.floor(MISMATCH_RATIO * F.col("_n")))
     head, tail = F.length(F.regexp_extract("_m", "^1*", 0)), F.length(F.regexp_extract("_m", "1*$", 0))
     return marked.select(
         F.col("_key._read").alias(read), target, F.col("_key._strand").alias("strand"), "diag", (F.col("_first") + F.col("diag") + head).cast("long").alias("start"),
-        (F.col("_size") - head - tail).cast("long").alias("size"), (F.col("_all") - head - tail).cast("long").alias("mismatches"),
+        (F.col("_size") - head - tail).cast("long").alias("size"), (F.col("_all") - head - tail).cast("long").alias("mismatches"), F.col("_n").cast("long").alias("len"),
     )

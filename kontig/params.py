@@ -13,6 +13,7 @@ MISMATCH_RATIO, OVERHANG_RATIO = 0.05, 0.15
 MATCH, MISMATCH, GAP = 1, -2, -4
 DISAGREE_RATIO = 0.9
 COVERAGE_BIN = 50
+ANCHOR = 50
 REGION_BIN = 500
 INDEL_SIZE = 5
 POLY_A_RATIO = 0.9

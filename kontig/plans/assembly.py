@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontig.functions.sequences import count_of
-from kontig.functions.sequences import has_gap
-from kontig.operators import chaining, evidence, lengths, verdicts
+from kontig.functions.sequences import count_of, has_gap, read_valid, reverse_complement
+from kontig.operators import chaining, evidence, kmers, lengths, mapping, pileup, verdicts
 from kontig.params import MIN_QUERY_LEN
 from kontig.plans.stages import Stages
 
@@ -157,3 +156,55 @@ def validate(queries: DataFrame, segments: DataFrame, coverage: DataFrame, place
     judged = stages.write(judge(gathered, insert, sd), "judged")
     renamed = lambda df: df.withColumnRenamed("key", "query_id")
     return Validation(judged, verdicts.result_regions(judged), verdicts.query_verdict(judged, "key"), correct(renamed(queries), renamed(judged)))
+
+
+def uncovered(hits: DataFrame, placed: DataFrame, queries: DataFrame, stages: Stages) -> DataFrame:
+    """(key, start, size, zero): positions under each hit that no placed read covers, from a prefix-sum index of the placed ones."""
+    spans = placed.select("key", "start", (F.col("start") + F.col("size") - 1).alias("end"), F.lit("A").alias("base"))
+    cells = stages.write(evidence.index_cells(pileup.span_coverage(spans, "key", "start", "end", "base"), queries, "key", "len"), "first-pass")
+    pieces = hits.select("key", "start", "size").distinct().withColumns({"lo": F.col("start"), "hi": F.col("start") + F.col("size") - 1})
+    return evidence.piece_sums(pieces, evidence.prefix_index(cells, "key"), "key", ["start", "size"]).select("key", "start", "size", "zero")
+
+
+def choose_twice(hits: DataFrame, mated: DataFrame, queries: DataFrame, stages: Stages) -> DataFrame:
+    """Placements of a first pass that takes what is unambiguous, and of a second one over the reads left, by what the first left uncovered."""
+    first = stages.write(mapping.choose(hits, mated), "placed")
+    left = mapping.not_yet_placed(hits, first, "read_id")
+    pairs = first.select(mapping.pair_id(F.col("read_id")).alias("pair")).distinct()
+    # a pair with one mate placed has no mated hits any more: the other mate is chosen on its own
+    again = mapping.choose(left, mated.join(pairs, "pair", "left_anti"), uncovered(hits, first, queries, stages))
+    return first.unionByName(again)
+
+
+@dataclass
+class Placed:
+    placements: DataFrame
+    coverage: DataFrame
+    insert: float
+    sd: float
+
+
+def place_reads(reads: DataFrame, queries: DataFrame, stages: Stages, insert: float | None = None, sd: float | None = None) -> Placed:
+    """Reads (read_id, seq; mates are 2p - 1 and 2p) placed on queries (key, seq, len) in two passes, and their coverage.
+
+    The insert size is estimated if not given; without any pair to estimate it from that is an error. Invalid reads are not placed.
+    """
+    valid = reads.where(read_valid(F.col("seq")))
+    hits = stages.write(kmers.extended(valid, queries, "read_id", "key").select("read_id", "key", "strand", "start", "size", (F.col("start") - F.col("diag") - 1).alias("skip"), "mismatches", "len"), "hits")
+    if insert is None or sd is None:
+        row = mapping.insert_size(mapping.facing_fragments(hits), "pair", "frag").first()  # one row
+        if row is None:
+            raise ValueError("no pair has one facing placement, so the insert size is unknown")
+        insert, sd = row["mean"], row["sd"]
+    mated = stages.write(mapping.mated_hits(hits, insert, sd), "mated")
+    mated = stages.write(mated.unionByName(mapping.rescued_mates(hits, mated, valid, queries, insert, sd)), "pairs")
+    placed = stages.write(choose_twice(hits, mated, queries, stages), "placements")
+    placements = placed.select("read_id", "key", F.col("start").alias("pos"), F.col("strand").alias("orient"), F.col("len").alias("size"), "multi")
+    return Placed(placements, coverage_of(placed, valid), insert, sd)
+
+
+def coverage_of(placed: DataFrame, reads: DataFrame) -> DataFrame:
+    """(key, pos, a, c, g, t, n, total) of placed reads, from their bases as they lie on the query."""
+    turned = placed.join(reads.select("read_id", "seq"), "read_id").withColumn("_seq", F.when(F.col("strand") == 0, F.col("seq")).otherwise(reverse_complement(F.col("seq"))))
+    bases = turned.select("key", "start", F.posexplode(F.split(F.substr("_seq", (F.col("skip") + 1).cast("int"), F.col("size").cast("int")), "")).alias("_i", "base"))
+    return pileup.allele_coverage(bases.where("base != ''").select("key", (F.col("start") + F.col("_i")).cast("long").alias("pos"), "base"), "key", "pos", "base")

@@ -221,14 +221,14 @@ def exact_map_whole(spark: SparkSession, d: str) -> DataFrame:
     return places.select(F.col("read").alias("read_id"), "doc_id", "diag", F.ceil(F.col("size") / 25).alias("n"))
 
 
-@query(
-    f"""WITH {_TILES}, r AS (SELECT item_id, 0 AS strand, {_DNA} AS s FROM benchmark UNION ALL SELECT item_id, 1, reverse(translate({_DNA}, 'ACGT', 'TGCA')) FROM benchmark),
+_EXTENDED = f"""WITH {_TILES}, r AS (SELECT item_id, 0 AS strand, {_DNA} AS s FROM benchmark UNION ALL SELECT item_id, 1, reverse(translate({_DNA}, 'ACGT', 'TGCA')) FROM benchmark),
     k AS (SELECT item_id, strand, o AS "offset", substr(s, o, 25) AS kmer FROM (SELECT *, unnest(range(1, length(s) - 23)) AS o FROM r WHERE length(s) >= 25)),
     f AS (SELECT DISTINCT item_id, strand, doc_id, pos - "offset" AS diag FROM k JOIN tiles USING (kmer)),
     p AS (SELECT item_id, strand, doc_id, diag, r.s AS a, seqs.s AS b, greatest(1, 1 - diag) AS lo, least(length(r.s), length(seqs.s) - diag) AS hi FROM f JOIN r USING (item_id, strand) JOIN seqs USING (doc_id)),
-    m AS (SELECT *, hamming(substr(a, lo, hi - lo + 1), substr(b, lo + diag, hi - lo + 1)) AS bad FROM p WHERE length(a) - (hi - lo + 1) <= floor(0.15 * length(a)))
-    SELECT item_id, doc_id, CAST(strand AS INTEGER) AS strand, diag FROM m WHERE bad <= floor(0.05 * length(a))"""
-)
+    m AS (SELECT *, hamming(substr(a, lo, hi - lo + 1), substr(b, lo + diag, hi - lo + 1)) AS bad FROM p WHERE length(a) - (hi - lo + 1) <= floor(0.15 * length(a)))"""
+
+
+@query(_EXTENDED + " SELECT item_id, doc_id, CAST(strand AS INTEGER) AS strand, diag FROM m WHERE bad <= floor(0.05 * length(a))")
 def seed_extend(spark: SparkSession, d: str) -> DataFrame:
     return kmers.extended(_items(spark, d), _docs(spark, d), "item_id", "doc_id").select("item_id", "doc_id", "strand", "diag")
 
@@ -394,10 +394,70 @@ def unique_flags(spark: SparkSession, d: str) -> DataFrame:
     return mapping.unique_flags(kmers.seeds(_hits(spark, d), "item_id", "doc_id", 1), "item_id")
 
 
-@query(_HITS + ", g AS (SELECT item_id, doc_id, diag, 100 - count(*) AS miss FROM hits GROUP BY ALL), m AS (SELECT *, min(miss) OVER (PARTITION BY item_id) AS low FROM g), b AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM m WHERE miss = low) SELECT item_id, doc_id, diag, miss FROM b WHERE n = 1")
+@query(
+    _EXTENDED
+    + """, c AS (SELECT item_id, doc_id, strand, diag, array_to_string(list_transform(range(lo, hi + 1), lambda i: CASE WHEN substr(a, i, 1) = substr(b, i + diag, 1) THEN '0' ELSE '1' END), '') AS marks FROM m WHERE bad <= floor(0.05 * length(a))),
+    h AS (SELECT item_id, doc_id, strand, diag, length(replace(regexp_replace(regexp_replace(marks, '^1+', ''), '1+$', ''), '0', '')) AS mismatches FROM c),
+    low AS (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY mismatches) AS k FROM h) SELECT item_id, doc_id, CAST(strand AS INTEGER) AS strand, diag, mismatches FROM low WHERE k = 1 QUALIFY count(*) OVER (PARTITION BY item_id) = 1"""
+)
 def best_placement(spark: SparkSession, d: str) -> DataFrame:
-    hits = kmers.seeds(_hits(spark, d), "item_id", "doc_id", 1).withColumn("miss", 100 - F.col("n"))
-    return mapping.sole_best(hits, "item_id", "miss").select("item_id", "doc_id", "diag", "miss")
+    """Items with one placement of fewest mismatches."""
+    hits = kmers.extended(_items(spark, d), _docs(spark, d), "item_id", "doc_id")
+    return mapping.sole_best(hits, "item_id", "mismatches").select("item_id", "doc_id", "strand", "diag", "mismatches")
+
+
+_CANDIDATES = """WITH l AS (SELECT l_orderkey AS read_id, l_suppkey % 4 AS key, l_linenumber % 2 AS strand, 1 + l_partkey % 1900 AS start, min(CAST(l_quantity AS BIGINT) % 4) AS miss FROM lineitem WHERE l_orderkey > 0 GROUP BY ALL),
+hits AS (SELECT read_id, (read_id + 1) // 2 AS pair, (read_id + 1) // 2 // 500 * 10 + key AS key, strand, start, miss FROM l),
+near AS (SELECT a.pair, a.key, a.strand AS s1, a.start AS p1, a.miss AS m1, b.strand AS s2, b.start AS p2, b.miss AS m2, CASE WHEN a.strand = 0 THEN b.start + 100 - a.start ELSE a.start + 100 - b.start END AS frag
+  FROM hits a JOIN hits b ON a.pair = b.pair AND a.key = b.key AND a.strand != b.strand AND a.read_id % 2 = 1 AND b.read_id % 2 = 0),
+mated AS (SELECT * FROM near WHERE abs(frag - 350) <= 300 QUALIFY row_number() OVER (PARTITION BY pair, key, s1, p1 ORDER BY m2, abs(frag - 350), p2, s2) = 1)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Hits: the lines of an order are places of a read of 100 bases, 500 pairs of reads share four queries."""
+    c = F.col
+    lines = t(spark, d, "lineitem").where("l_orderkey > 0").groupBy(c("l_orderkey").alias("read_id"), (c("l_suppkey") % 4).alias("k"), (c("l_linenumber") % 2).cast("long").alias("strand"), (1 + c("l_partkey") % 1900).alias("start"))
+    hits = lines.agg(F.min(c("l_quantity").cast("long") % 4).alias("mismatches"))
+    key = F.floor(mapping.pair_id(c("read_id")) / 500) * 10 + c("k")
+    return hits.select("read_id", key.cast("long").alias("key"), "strand", "start", F.lit(100).cast("long").alias("size"), F.lit(0).cast("long").alias("skip"), "mismatches", F.lit(100).cast("long").alias("len"))
+
+
+@query(_CANDIDATES + " SELECT pair, key, s1, p1, s2, p2, m1 + m2 AS mismatches, frag FROM mated")
+def mated_hits(spark: SparkSession, d: str) -> DataFrame:
+    found = mapping.mated_hits(_candidates(spark, d), 350.0, 50.0)
+    return found.select("pair", "key", F.col("h1.strand").alias("s1"), F.col("h1.start").alias("p1"), F.col("h2.strand").alias("s2"), F.col("h2.start").alias("p2"), (F.col("h1.mismatches") + F.col("h2.mismatches")).alias("mismatches"), "frag")
+
+
+#: One pass over hits H and mated hits M into the table OUT, with equals told by z and tie.
+_PASS = """OUT_h AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS n FROM HITS), OUT_m AS (SELECT *, m1 + m2 AS miss FROM MATED),
+OUT_b AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY pair) AS several, rank() OVER (PARTITION BY pair ORDER BY miss, PAIRTIE) AS k FROM OUT_m) WHERE k = 1 QUALIFY count(*) OVER (PARTITION BY pair) = 1),
+OUT_p AS (SELECT 2 * pair - 1 AS read_id, key, s1 AS strand, p1 AS start, several FROM OUT_b UNION ALL SELECT 2 * pair, key, s2, p2, several FROM OUT_b),
+OUT_s AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY read_id ORDER BY miss, READTIE) AS k FROM OUT_h h WHERE pair NOT IN (SELECT pair FROM OUT_b) AND (n = 1 OR pair NOT IN (SELECT pair FROM OUT_m))) WHERE k = 1 QUALIFY count(*) OVER (PARTITION BY read_id) = 1),
+OUT AS (SELECT read_id, key, strand, start, several > 1 AND n > 1 AS multi FROM OUT_p JOIN (SELECT DISTINCT read_id, n FROM OUT_h) USING (read_id) UNION ALL SELECT read_id, key, strand, start, n > 1 FROM OUT_s)"""
+
+
+def _pass(out: str, hits: str, mated: str, pair: str, read: str) -> str:
+    for name, value in (("OUT", out), ("HITS", hits), ("MATED", mated), ("PAIRTIE", pair), ("READTIE", read)):
+        sql = (_PASS if name == "OUT" else sql).replace(name, value)  # noqa: F821
+    return sql
+
+
+@query(
+    f"""{_CANDIDATES}, {_pass("one", "hits", "mated", "0", "0")},
+    held AS (SELECT DISTINCT key, unnest(range(start, start + 100)) AS p FROM one),
+    under AS (SELECT u.key, u.start, 100 - count(held.p) AS zero FROM (SELECT key, start, unnest(range(start, start + 100)) AS p FROM (SELECT DISTINCT key, start FROM hits)) u LEFT JOIN held ON held.key = u.key AND held.p = u.p GROUP BY ALL),
+    hits2 AS (SELECT h.*, u.zero FROM hits h JOIN under u USING (key, start) WHERE read_id NOT IN (SELECT read_id FROM one)),
+    mated2 AS (SELECT m.*, a.zero + b.zero AS zero FROM mated m JOIN under a ON a.key = m.key AND a.start = m.p1 JOIN under b ON b.key = m.key AND b.start = m.p2 WHERE pair NOT IN (SELECT (read_id + 1) // 2 FROM one)),
+    {_pass("two", "hits2", "mated2", "-zero, md5(concat_ws(':', pair, key, p1, p2))", "-zero, md5(concat_ws(':', read_id, key, start, strand))")}
+    SELECT * FROM one UNION ALL SELECT * FROM two"""
+)
+def placed_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Placements of a first pass that takes what is unambiguous, and of a second one by what the first left uncovered."""
+    hits = _candidates(spark, d)
+    queries = hits.select("key", F.lit(2000).cast("long").alias("len")).distinct()
+    stages = Stages(spark)
+    mated = stages.write(mapping.mated_hits(hits, 350.0, 50.0), "mated")
+    return assembly.choose_twice(hits, mated, queries, stages).select("read_id", "key", "strand", "start", "multi")
 
 
 @query(_HITS + " SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.item_id = b.item_id)")
@@ -557,6 +617,19 @@ def end_insertions(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.end_insertions(segs, segs.groupBy("k").agg((F.max("q_end") + F.col("k") % 9).alias("len")), "k", "len")
 
 
+@query()
+def inner_indels(spark: SparkSession, d: str) -> DataFrame:
+    """Indels between documents that begin with the same 200 letters: each against the first of them."""
+    docs = _docs(spark, d).where(F.length("seq") >= 800).withColumn("head", F.xxhash64(F.substring("seq", 1, 200)))
+    first = docs.groupBy("head").agg(F.min("doc_id").alias("subject"))
+    pairs = docs.join(first, "head").where("doc_id != subject")
+    seqs = _docs(spark, d)
+    sized = pairs.join(seqs.select(F.col("doc_id").alias("subject"), F.length("seq").cast("long").alias("s_end")), "subject")
+    segments = sized.select(F.col("doc_id").alias("key"), "subject", F.lit(0).alias("strand"), F.lit(1).alias("q_start"), F.length("seq").cast("long").alias("q_end"), F.lit(1).alias("s_start"), "s_end", F.lit(9).alias("gap_num"))
+    found = alignment.inner_indels(segments, seqs.select(F.col("doc_id").alias("key"), "seq"), seqs.select(F.col("doc_id").alias("subject"), "seq"))
+    return found.select("key", "subject", "kind", "left", "right", "dq", "ds", "s_left", "s_right")
+
+
 @query(
     _POINTS
     + """, m AS (SELECT k, "left" AS lo, "right" AS hi, row_number() OVER (PARTITION BY k ORDER BY "left", "right") AS i FROM points WHERE kind = 'misjoin'),
