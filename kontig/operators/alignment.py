@@ -219,6 +219,102 @@ def scan_indels(query: str, subject: str) -> Iterator[Indel]:
             seen = (a, max(b, seen[1]))
 
 
+# margins of a misjoin
+
+#: Columns of a window, and the mismatches above which it is dense; bases that are aligned at once, and those taken along beside an overlap.
+DENSITY_WINDOW, DENSE, CHUNK, BESIDE = 100, 10, 1_000, 300
+
+
+def align_chunks(a: str, b: str) -> tuple[str, str]:
+    """Aligned rows of two long sequences that belong together from their begins on, CHUNK by CHUNK; bases between chunks stand against gaps."""
+    rows, i, j = [[], []], 0, 0
+    while i < len(a) and j < len(b):
+        found = align(a[i : i + CHUNK], b[j : j + CHUNK])
+        q, s = len(a[i : i + CHUNK]) - found.right1, len(b[j : j + CHUNK]) - found.right2
+        if not found.row1 or not q or not s:
+            break
+        rows[0] += [a[i : i + found.left1], "-" * found.left2, found.row1]
+        rows[1] += ["-" * found.left1, b[j : j + found.left2], found.row2]
+        i, j = i + q, j + s
+    return "".join(rows[0]), "".join(rows[1])
+
+
+def density_margin(row1: str, row2: str) -> int | None:
+    """The last matching column before rows that begin alike stop being alike; None if they do not, or from the begin on.
+
+    They stop in the first window with over DENSE mismatches that another such window follows, or in the shorter last window if it has over a tenth.
+    The column sought lies before the first mismatch of that window and the one before.
+    """
+    differ = np.frombuffer(row1.encode("utf-32-le"), np.uint32) != np.frombuffer(row2.encode("utf-32-le"), np.uint32)
+    n, size = len(differ), DENSITY_WINDOW
+    dense = np.flatnonzero(differ[: n // size * size].reshape(-1, size).sum(1) > DENSE)
+    rest = differ[n // size * size :]
+    if len(dense) > 1:
+        block = int(dense[0])
+        if block == 0:
+            return None
+    elif len(rest) and rest.sum() * size > DENSE * len(rest):
+        block = n // size
+    else:
+        return None
+    begin = (block - 1) * size
+    for i in np.flatnonzero(differ[max(0, begin) : begin + 2 * size]) + max(0, begin):
+        before = np.flatnonzero(~differ[:i])
+        if len(before):
+            return int(before[-1])
+    return min(n, begin + 2 * size) - 1
+
+
+def end_margin(query: str, subject: str) -> int | None:
+    """How many bases of the query, from its begin, belong to the subject; None for all that the segment has."""
+    row1, row2 = align_chunks(query, subject)
+    at = density_margin(row1, row2)
+    return None if at is None else at + 1 - row1.count("-", 0, at + 1)
+
+
+def _stretch(seq: str, length: str, lo: Column, hi: Column, turned: Column) -> Column:
+    """Bases lo to hi of a circular sequence, as the minus strand reads them where ``turned``."""
+    whole, size = F.col(seq), F.col(length)
+    inside = F.substr(whole, F.greatest(lo, F.lit(1)).cast("int"), (F.least(hi, size) - F.greatest(lo, F.lit(1)) + 1).cast("int"))
+    before = F.when(lo < 1, F.substr(whole, F.greatest(size + lo, F.lit(1)).cast("int"), F.greatest(1 - lo, F.lit(0)).cast("int"))).otherwise("")
+    behind = F.when(hi > size, F.substr(whole, F.lit(1), F.greatest(hi - size, F.lit(0)).cast("int"))).otherwise("")
+    text = F.upper(F.concat(before, inside, behind))
+    return F.when(turned, reverse_complement(text)).otherwise(text)
+
+
+def refine_margins(points: DataFrame, queries: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``points`` with left and right where the two segments beside a misjoin really end.
+
+    Points are neighbouring segments: key, p_q_end, p_s_end, p_strand and p_subject of the first, q_start, s_start, strand and subject of the second. Where they overlap by
+    over 100 bases of the query, each is aligned again from the side on which it surely belongs, with BESIDE bases more, and ends where mismatches become dense;
+    otherwise the margins are the segments' ends. Subjects are circular.
+    """
+    c = F.col
+    points = points.drop("left", "right")
+    deep = c("p_q_end") - c("q_start") > 100
+    plain = points.where(~deep).select("*", F.least("p_q_end", "q_start").alias("left"), F.greatest("p_q_end", "q_start").alias("right"))
+    seqs = lambda name: subjects.select(c("subject").alias(f"_{name}"), c("seq").alias(f"_{name}_seq"), F.length("seq").cast("long").alias(f"_{name}_len"))
+    whole = points.where(deep).join(queries.select("key", c("seq").alias("_seq"), F.length("seq").cast("long").alias("_len")), "key")
+    whole = whole.join(seqs("one"), c("p_subject") == c("_one")).join(seqs("two"), c("subject") == c("_two"))
+    q_lo, q_hi = F.greatest(F.lit(1).cast("long"), c("q_start") - BESIDE), F.least(c("_len"), c("p_q_end") + BESIDE)
+    m1, m2 = c("p_q_end") - q_lo, q_hi - c("q_start")
+    minus1, minus2 = c("p_strand") != 0, c("strand") != 0
+    cut = whole.withColumns({
+        "_lo": q_lo, "_hi": q_hi,
+        "_a": F.upper(F.substr("_seq", q_lo.cast("int"), (m1 + 1).cast("int"))), "_b": F.upper(F.substr("_seq", c("q_start").cast("int"), (m2 + 1).cast("int"))),
+        "_sa": _stretch("_one_seq", "_one_len", F.when(minus1, c("p_s_end")).otherwise(c("p_s_end") - m1), F.when(minus1, c("p_s_end") + m1).otherwise(c("p_s_end")), minus1),
+        "_sb": _stretch("_two_seq", "_two_len", F.when(minus2, c("s_start") - m2).otherwise(c("s_start")), F.when(minus2, c("s_start")).otherwise(c("s_start") + m2), minus2),
+    }).drop("_seq", "_len", "_one", "_two", "_one_seq", "_two_seq", "_one_len", "_two_len")
+
+    @F.pandas_udf("long")
+    def kept(queries: pd.Series, subjects: pd.Series) -> pd.Series:
+        return pd.Series([end_margin(q, s) for q, s in zip(queries, subjects, strict=True)], dtype="Int64")
+
+    ends = cut.withColumns({"_right": c("_lo") + kept("_a", "_sa") - 1, "_left": c("_hi") - kept(F.reverse("_b"), F.reverse("_sb")) + 1})
+    right, left = F.coalesce("_right", "p_q_end"), F.coalesce("_left", "q_start")
+    return plain.unionByName(ends.select(*points.columns, F.least(left, right).alias("left"), F.greatest(left, right).alias("right")))
+
+
 def inner_indels(segments: DataFrame, queries: DataFrame, subjects: DataFrame, gaps: str = "gap_num") -> DataFrame:
     """(key, shape, kind, left, right, dq, ds, subject, s_left, s_right) of indels inside segments with INDEL_SIZE or more gaps.
 

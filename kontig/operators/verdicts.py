@@ -19,7 +19,7 @@ def _decide(*rules: Column, otherwise: str) -> Column:
 
 
 def breakpoints(segments: DataFrame, key: str, order: tuple[str, ...] = ("q_start", "q_end"), indel: int = INDEL_SIZE) -> DataFrame:
-    """(key, left, right, kind, dq, ds, subject, s_left, s_right) between neighbouring segments that don't meet.
+    """(key, left, right, kind, dq, ds, subject, s_left, s_right) between neighbouring segments that don't meet, and what both segments say (p_ is the first).
 
     Segments have q_start, q_end, s_start, s_end, strand and subject. Another subject or strand or
     more than 5000 apart on the subject is a misjoin; else the steps on both sides decide.
@@ -40,7 +40,7 @@ def breakpoints(segments: DataFrame, key: str, order: tuple[str, ...] = ("q_star
     found = both.withColumn("kind", kind).where("kind is not null")
     return found.select(
         key, F.least("p_q_end", "q_start").alias("left"), F.greatest("p_q_end", "q_start").alias("right"), "kind", "dq", "ds",
-        "subject", F.least("p_s_end", "s_start").alias("s_left"), F.greatest("p_s_end", "s_start").alias("s_right"),
+        "subject", F.least("p_s_end", "s_start").alias("s_left"), F.greatest("p_s_end", "s_start").alias("s_right"), "p_subject", "p_strand", "strand", "p_q_end", "p_s_end", "q_start", "s_start",
     )
 
 

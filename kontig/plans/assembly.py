@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontig.functions.sequences import count_of, has_gap, read_valid, reverse_complement
-from kontig.operators import chaining, evidence, kmers, lengths, mapping, pileup, verdicts
+from kontig.operators import alignment, chaining, evidence, kmers, lengths, mapping, pileup, verdicts
 from kontig.params import MIN_QUERY_LEN
 from kontig.plans.stages import Stages
 
@@ -57,17 +57,20 @@ def candidates(kinds: DataFrame) -> DataFrame:
     return kinds.where(F.col("kind") != chaining.PERFECT).withColumn("rank", rank)
 
 
-def find_regions(queries: DataFrame, segments: DataFrame, inner: DataFrame | None = None) -> DataFrame:
+def find_regions(queries: DataFrame, segments: DataFrame, inner: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
     """Regions of queries (key, seq, len) to judge, with their ids: breaks between segments, ends and whole queries without segments.
 
     ``segments`` have key, subject, strand, q_start, q_end, s_start and s_end; ``inner`` are indels inside segments as ``alignment.inner_indels`` gives
-    them. Neighbouring misjoins are merged. The id of a region follows from its query and its place there.
+    them. With ``subjects`` (subject, seq) the margins of misjoins between overlapping segments are refined. Neighbouring misjoins are merged. The id of a region follows from its query and its place there.
     """
     points = verdicts.breakpoints(segments, "key", ("q_start", "q_end", "s_start", "s_end")).withColumn("shape", F.lit("middle"))
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
     subject = segments.schema["subject"].dataType
     bare = [*none("long", "dq", "ds"), *none(subject, "subject"), *none("long", "s_left", "s_right")]
-    joins = verdicts.merge_misjoins(points.where("kind = 'misjoin'"), "key").select("key", F.lit("middle").alias("shape"), F.lit("misjoin").alias("kind"), "left", "right", *bare)
+    apart = points.where("kind = 'misjoin'")
+    if subjects is not None:
+        apart = alignment.refine_margins(apart, queries, subjects)
+    joins = verdicts.merge_misjoins(apart, "key").select("key", F.lit("middle").alias("shape"), F.lit("misjoin").alias("kind"), "left", "right", *bare)
     ends = verdicts.end_insertions(segments, queries, "key", "len")
     head = F.col("left") == 1
     # the margins of an end are the segment's last position and the one beyond it
@@ -148,10 +151,10 @@ class Validation:
     corrected: DataFrame
 
 
-def validate(queries: DataFrame, segments: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages, inner: DataFrame | None = None) -> Validation:
+def validate(queries: DataFrame, segments: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages, inner: DataFrame | None = None, subjects: DataFrame | None = None) -> Validation:
     """From aligned segments and placed reads to judged regions, result rows, verdicts of queries (key, title, seq, len) and the corrected
     assembly. Each stage is a written table that the next ones read."""
-    regions = stages.write(find_regions(queries, segments, inner), "regions")
+    regions = stages.write(find_regions(queries, segments, inner, subjects), "regions")
     gathered = stages.write(gather_evidence(regions, queries.select("key", "len"), coverage, placements, insert, sd, stages), "evidence")
     judged = stages.write(judge(gathered, insert, sd), "judged")
     renamed = lambda df: df.withColumnRenamed("key", "query_id")

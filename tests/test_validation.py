@@ -40,7 +40,7 @@ def small(spark):
     stages = Stages(spark)
     placed = assembly.place_reads(reads, queries, stages)
     inner = alignment.inner_indels(segments, queries, subjects)
-    return placed, assembly.validate(queries, segments, placed.coverage, placed.placements, placed.insert, placed.sd, stages, inner)
+    return placed, assembly.validate(queries, segments, placed.coverage, placed.placements, placed.insert, placed.sd, stages, inner, subjects)
 
 
 def test_reads_are_placed(small):
@@ -311,3 +311,52 @@ def test_span_and_base_coverage_agree(spark):
     bases = spans.select("key", F.explode(F.sequence("lo", "hi")).alias("pos"), "base")
     one, two = pileup.span_coverage(spans, "key", "lo", "hi", "base"), pileup.allele_coverage(bases, "key", "pos", "base")
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.select(*one.columns).collect()))
+
+
+# margins
+
+
+def spoilt(rng, seq, share):
+    return "".join(rng.choice("ACGT") if rng.random() < share else x for x in seq)
+
+
+def test_density_margin():
+    rng = random.Random(23)
+    for clean in (120, 300, 450, 777):
+        good = "".join(rng.choices("ACGT", k=clean))
+        tail = "".join(rng.choices("ACGT", k=600))
+        assert abs(alignment.end_margin(good + tail, good + spoilt(rng, tail, 0.32)) - clean) <= 25
+    same = "".join(rng.choices("ACGT", k=900))
+    assert alignment.end_margin(same, same) is None
+    assert alignment.end_margin(same, spoilt(rng, same, 0.03)) is None  # sparse mismatches are no margin
+    lone = same[:300] + spoilt(rng, same[300:400], 0.5) + same[400:]
+    assert alignment.density_margin(same, lone) is None  # one dense window alone is none
+    assert alignment.density_margin("A" * 400, "C" * 400) is None  # unlike from the begin on
+    assert alignment.density_margin("A" * 250, "A" * 200 + "C" * 50) == 199  # the shorter last window
+    long = "".join(rng.choices("ACGT", k=5_000))
+    row1, row2 = alignment.align_chunks(long, long[:2_500] + long[2_510:])
+    assert row1.replace("-", "") == long[: len(row1.replace("-", ""))] and row2.count("-") >= 10 and len(row1) >= 4_980
+
+
+def test_refined_margins(spark):
+    """Two segments that an aligner drew 200 bases too far into each other, on every pair of strands, some over the subject's end."""
+    rng = random.Random(29)
+    points, queries, subjects = [], [], []
+    base = lambda n: "".join(rng.choices("ACGT", k=n))
+    for key, (s1, s2) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1), (0, 0), (1, 1)]):
+        one, two = base(800), base(800)
+        # beyond their seam the subject goes on with something like the other segment
+        piece1, piece2 = one + spoilt(rng, two[:200], 0.32), spoilt(rng, one[-200:], 0.32) + two
+        subject = base(500) + (turned(piece1) if s1 else piece1) + base(300) + (turned(piece2) if s2 else piece2) + base(500)
+        at = (501 if s1 else 1500, 2800 if s2 else 1801)
+        turn = 0 if key < 4 else 1400 - 800 * s1  # the ring is opened within the first piece
+        queries.append((key, one + two))
+        subjects.append((key, subject[turn:] + subject[:turn]))
+        end1, begin2 = ((p - 1 - turn) % len(subject) + 1 for p in at)
+        points.append((key, 1000, end1, s1, key, 601, begin2, s2, key, "misjoin"))
+    points.append((0, 700, 50, 0, 0, 690, 2_000, 0, 0, "misjoin"))  # overlaps by less than 100: the ends stay
+    df = spark.createDataFrame(points, "key long, p_q_end long, p_s_end long, p_strand int, p_subject long, q_start long, s_start long, strand int, subject long, kind string")
+    found = alignment.refine_margins(df, spark.createDataFrame(queries, "key long, seq string"), spark.createDataFrame(subjects, "subject long, seq string"))
+    rows = [(r.key, r.left, r.right) for r in found.collect()]
+    assert (0, 690, 700) in rows and len(rows) == 7
+    assert all(785 <= left <= right <= 815 for _, left, right in rows if left != 690)
