@@ -105,13 +105,13 @@ def exact_places(reads: DataFrame, targets: DataFrame, key: str, seq: str, k: in
     return placed.where(F.substr("text", (F.col("diag") % size + 1).cast("int"), F.col("size").cast("int")) == F.col("_r")).select("read", key, "diag", "size")
 
 
-def extended(reads: DataFrame, targets: DataFrame, read: str, target: str, seq: str = "seq", k: int = KMER) -> DataFrame:
-    """(read, target, strand, diag, start, size, mismatches, len): placements of whole reads without gaps, on both strands.
+def extended(reads: DataFrame, targets: DataFrame, read: str, target: str, seq: str = "seq", k: int = KMER, length: str | None = None) -> DataFrame:
+    """(read, target, strand, diag, start, size, mismatches): placements of whole reads without gaps, on both strands.
 
     Each k-mer of a read, and of its reverse complement (strand 1), probes the target's tiles; each diagonal found is compared over
     its whole overlap once, with the block of the target in which the overlap begins. A placement has at most ``MISMATCH_RATIO`` mismatches to the read's
-    length ``len`` and hangs over the target's ends by at most ``OVERHANG_RATIO`` of it. Mismatches at either end of the overlap are trimmed
-    from ``start`` (on the target), ``size`` and ``mismatches``; they count for acceptance.
+    length (a last column, if it is named) and hangs over the target's ends by at most ``OVERHANG_RATIO`` of it. Mismatches at either end of the
+    overlap are trimmed from ``start`` (on the target), ``size`` and ``mismatches``; they count for acceptance.
     """
     named = reads.select(F.col(read).alias("_read"), F.col(seq).alias("_seq"))
     both = named.withColumn("_strand", F.lit(0)).unionByName(named.select("_read", reverse_complement(F.col("_seq")).alias("_seq"), F.lit(1).alias("_strand")))
@@ -131,5 +131,5 @@ def extended(reads: DataFrame, targets: DataFrame, read: str, target: str, seq:
     head, tail = F.length(F.regexp_extract("_m", "^1*", 0)), F.length(F.regexp_extract("_m", "1*$", 0))
     return marked.select(
         F.col("_key._read").alias(read), target, F.col("_key._strand").alias("strand"), "diag", (F.col("_first") + F.col("diag") + head).cast("long").alias("start"),
-        (F.col("_size") - head - tail).cast("long").alias("size"), (F.col("_all") - head - tail).cast("long").alias("mismatches"), F.col("_n").cast("long").alias("len"),
+        (F.col("_size") - head - tail).cast("long").alias("size"), (F.col("_all") - head - tail).cast("long").alias("mismatches"), *([F.col("_n").cast("long").alias(length)] if length else []),
     )

@@ -193,7 +193,7 @@ def place_reads(reads: DataFrame, queries: DataFrame, stages: Stages, insert: fl
     The insert size is estimated if not given; without any pair to estimate it from that is an error. Invalid reads are not placed.
     """
     valid = reads.where(read_valid(F.col("seq")))
-    hits = stages.write(kmers.extended(valid, queries, "read_id", "key").select("read_id", "key", "strand", "start", "size", (F.col("start") - F.col("diag") - 1).alias("skip"), "mismatches", "len"), "hits")
+    hits = stages.write(kmers.extended(valid, queries, "read_id", "key", length="len").select("read_id", "key", "strand", "start", "size", (F.col("start") - F.col("diag") - 1).alias("skip"), "mismatches", "len"), "hits")
     if insert is None or sd is None:
         row = mapping.insert_size(mapping.facing_fragments(hits), "pair", "frag").first()  # one row
         if row is None:
