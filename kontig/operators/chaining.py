@@ -323,7 +323,7 @@ def fill_holes(best: DataFrame, pool: DataFrame) -> DataFrame:
     gap = ends.where(c("next") - c("q_end") > END_VARIATION).select("query_id", long(c("ord")).alias("after"), long(c("q_end") + 1).alias("lo"), long(c("next") - 1).alias("hi"))
     holes = head.unionByName(tail).unionByName(gap)
     inside = (c("q_end") >= c("lo") - END_VARIATION) & (c("q_start") <= c("hi") + END_VARIATION)
-    near = pool.select(*columns).join(holes, "query_id").where(inside).select(*columns).distinct()
+    near = pool.select(*columns).join(holes, "query_id").where(inside).select(*columns).distinct().toDF(*columns)  # new names, as both sides may come of one table
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in best.select(*columns).schema.fields)
 
     def one(key: tuple, holes: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontig.functions.sequences import count_of, has_gap, read_valid, reverse_complement
-from kontig.operators import alignment, chaining, evidence, kmers, lengths, mapping, pileup, verdicts
-from kontig.params import MIN_QUERY_LEN
+from kontig.operators import alignment, chaining, evidence, intervals, kmers, lengths, mapping, pileup, verdicts
+from kontig.params import INDEL_SIZE, MIN_QUERY_LEN
 from kontig.plans.stages import Stages
 
 
@@ -45,6 +45,35 @@ def correct(queries: DataFrame, regions: DataFrame) -> DataFrame:
     return cut.unionByName(whole)
 
 
+@dataclass
+class Alignment:
+    kinds: DataFrame
+    segments: DataFrame
+
+
+def align_queries(queries: DataFrame, items: DataFrame, stages: Stages, min_len: int = MIN_QUERY_LEN) -> Alignment:
+    """Kinds (query_id, len, kind, subject_id) and segments of queries (query_id, len) from their aligned items, over all subjects.
+
+    Items of a query and a subject are chained; the best subject's chain stands for the query and its holes are covered by the chains of
+    other subjects. The kind is the one over all subjects. Items have subject_len if subjects are circular.
+    """
+    long = queries.where(F.col("len") >= min_len)
+    kept = items.join(long.select("query_id"), "query_id", "left_semi")
+    pairs = stages.write(chaining.classify_pairs(kept), "pairs")
+    chains = stages.write(chaining.chained(kept), "chains")
+    best = chaining.best_subject(pairs, "query_id", "subject_id", "kind", "match_sum")
+    mine = chains.join(best.select("query_id", "subject_id"), ["query_id", "subject_id"], "left_semi")
+    pool = chaining.other_subjects(chains, best, "query_id", "subject_id").drop("ord")
+    perfect = best.where(F.col("kind") == chaining.PERFECT).select("query_id")
+    segments = stages.write(chaining.fill_holes(mine, pool.join(perfect, "query_id", "left_anti")), "segments")
+    spans = segments.select("query_id", F.col("q_start").alias("lo"), F.col("q_end").alias("hi"))
+    good = F.count_if(F.col("match_len") > chaining.identity_threshold(F.col("query_len")) * F.col("total_len"))
+    sums = segments.groupBy("query_id", "subject_id").agg(good.alias("good"), F.sum("total_len").alias("total"), F.max("query_len").alias("query_len"))
+    each = sums.join(pairs, ["query_id", "subject_id"]).join(intervals.covered(spans, "query_id"), "query_id").withColumnRenamed("match_sum", "weight")
+    kinds = long.select("query_id", "len").join(chaining.global_kind(each), "query_id", "left").join(best.select("query_id", "subject_id"), "query_id", "left")
+    return Alignment(kinds.withColumn("kind", F.coalesce("kind", F.lit(chaining.UNMATCHED))), segments)
+
+
 _REGION = ("key", "shape", "kind", "left", "right", "dq", "ds", "subject", "s_left", "s_right", "in_gap")
 
 
@@ -57,13 +86,13 @@ def candidates(kinds: DataFrame) -> DataFrame:
     return kinds.where(F.col("kind") != chaining.PERFECT).withColumn("rank", rank)
 
 
-def find_regions(queries: DataFrame, segments: DataFrame, inner: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
+def find_regions(queries: DataFrame, segments: DataFrame, inner: DataFrame | None = None, subjects: DataFrame | None = None, indel: int = INDEL_SIZE) -> DataFrame:
     """Regions of queries (key, seq, len) to judge, with their ids: breaks between segments, ends and whole queries without segments.
 
     ``segments`` have key, subject, strand, q_start, q_end, s_start and s_end; ``inner`` are indels inside segments as ``alignment.inner_indels`` gives
     them. With ``subjects`` (subject, seq) the margins of misjoins between overlapping segments are refined. Neighbouring misjoins are merged. The id of a region follows from its query and its place there.
     """
-    points = verdicts.breakpoints(segments, "key", ("q_start", "q_end", "s_start", "s_end")).withColumn("shape", F.lit("middle"))
+    points = verdicts.breakpoints(segments, "key", ("q_start", "q_end", "s_start", "s_end"), indel).withColumn("shape", F.lit("middle"))
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
     subject = segments.schema["subject"].dataType
     bare = [*none("long", "dq", "ds"), *none(subject, "subject"), *none("long", "s_left", "s_right")]
@@ -86,7 +115,7 @@ def find_regions(queries: DataFrame, segments: DataFrame, inner: DataFrame | Non
     return located.select(rid.alias("rid"), "len", *columns, F.coalesce(gap, F.lit(False)).alias("in_gap")).dropDuplicates(["rid"])
 
 
-def gather_evidence(regions: DataFrame, lengths: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages) -> DataFrame:
+def gather_evidence(regions: DataFrame, lengths: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages, single_cell: bool = False) -> DataFrame:
     """``regions`` with their evidence, in one pass over the coverage (key, pos, alleles, total) and one over the placed reads.
 
     Adds, zero where nothing was found: dis, zero, size, high and low of the evidence window; pairs, frag and ratio on the left and right;
@@ -109,7 +138,7 @@ def gather_evidence(regions: DataFrame, lengths: DataFrame, coverage: DataFrame,
     near = evidence.mate_counts(evidence.latest_window(of(met, "junction")), ["rid"])
     kinds = regions.select("rid", "shape", "kind")
     found = [
-        evidence.window_coverage(bins),
+        evidence.window_coverage(bins, single_cell),
         *[evidence.fragment_evidence(of(met, side), side) for side in ("left", "right")],
         evidence.tile_totals(tiles, of(sums, "tile"), evidence.mate_counts(of(met, "tile"), ["rid", "n"])),
         near.select("rid", "discor", "discor_ratio", F.col("multi_ratio").alias("multi"), F.col("other_ratio").alias("other")),
@@ -151,11 +180,11 @@ class Validation:
     corrected: DataFrame
 
 
-def validate(queries: DataFrame, segments: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages, inner: DataFrame | None = None, subjects: DataFrame | None = None) -> Validation:
+def validate(queries: DataFrame, segments: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages, inner: DataFrame | None = None, subjects: DataFrame | None = None, single_cell: bool = False, indel: int = INDEL_SIZE) -> Validation:
     """From aligned segments and placed reads to judged regions, result rows, verdicts of queries (key, title, seq, len) and the corrected
     assembly. Each stage is a written table that the next ones read."""
-    regions = stages.write(find_regions(queries, segments, inner, subjects), "regions")
-    gathered = stages.write(gather_evidence(regions, queries.select("key", "len"), coverage, placements, insert, sd, stages), "evidence")
+    regions = stages.write(find_regions(queries, segments, inner, subjects, indel), "regions")
+    gathered = stages.write(gather_evidence(regions, queries.select("key", "len"), coverage, placements, insert, sd, stages, single_cell), "evidence")
     judged = stages.write(judge(gathered, insert, sd), "judged")
     renamed = lambda df: df.withColumnRenamed("key", "query_id")
     return Validation(judged, verdicts.result_regions(judged), verdicts.query_verdict(judged, "key"), correct(renamed(queries), renamed(judged)))

@@ -31,12 +31,16 @@ def merge_references(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _ordinals(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) in file order, numbered from 0 over all splits of one file: a count for each split, then its own numbers."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    return _numbered(spark.read.text(path), "line")
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """(name, value) in file order, numbered from 0 over all splits of one file: a count for each split, then its own numbers."""
+    lines = rows.select("value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
     splits = lines.groupBy("_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each split
     placed = lines.join(F.broadcast(splits.select("_b", "_first", before.alias("_before"))), "_b")
-    return placed.select((F.col("_m") - F.col("_first") + F.col("_before")).alias("line"), "value")
+    return placed.select((F.col("_m") - F.col("_first") + F.col("_before")).alias(name), "value")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -50,10 +54,20 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return record.select("record", "name", whole.alias("seq"))
 
 
+def read_fasta_reads(spark: SparkSession, path: str) -> DataFrame:
+    """(record, name, seq) of one file of reads, numbered from 0 in file order."""
+    raw = _numbered(spark.read.option("lineSep", "\n>").text(path), "record").where(F.length(F.trim("value")) > 0)
+    v = F.regexp_replace("value", "^>", "")
+    return raw.select("record", F.regexp_replace(F.substring_index(v, "\n", 1), "\r$", "").alias("name"), F.translate(F.regexp_replace(v, "^[^\n]*\n?", ""), "\r\n", "").alias("seq"))
+
+
 def read_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(read_id, pair_id, mate, seq) of two mate files; read_id is odd for the first mate."""
-    one, two = (d.select((F.col("record") + 1).alias("pair_id"), F.lit(m).alias("mate"), "seq") for m, d in ((1, first), (2, second)))
-    return one.unionByName(two).select((2 * (F.col("pair_id") - 1) + F.col("mate")).alias("read_id"), "pair_id", "mate", "seq")
+    """(read_id, pair_id, mate, seq) of two mate files; read_id is odd for the first mate. A mate that is missing in one file raises when it is read."""
+    both = first.select("record", F.struct("seq").alias("one")).join(second.select("record", F.struct("seq").alias("two")), "record", "full")
+    seq = F.when(F.col("one").isNull() | F.col("two").isNull(), F.raise_error(F.lit("the mate files differ in length")).cast("string"))
+    mates = F.array(*[F.struct(F.lit(m).alias("mate"), F.coalesce(seq, F.col(f"{name}.seq")).alias("seq")) for m, name in ((1, "one"), (2, "two"))])
+    each = both.select((F.col("record") + 1).alias("pair_id"), F.explode(mates).alias("m")).select("pair_id", "m.*")
+    return each.select((2 * (F.col("pair_id") - 1) + F.col("mate")).alias("read_id"), "pair_id", "mate", "seq")
 
 
 def interleaved_pairs(reads: DataFrame) -> DataFrame:
@@ -70,6 +84,16 @@ def read_format(spark: SparkSession, path: str) -> str:
     return kind
 
 
+def read_library(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(read_id, pair_id, mate, seq) of a library: two mate files, or one in which mates alternate. All files have one format."""
+    kinds = {read_format(spark, p) for p in paths}
+    if len(kinds) != 1 or len(paths) > 2:
+        raise ValueError(f"one or two read files of one format: {', '.join(paths)}")
+    read = read_fasta_reads if kinds == {"fasta"} else read_fastq
+    reads = [read(spark, p) for p in paths]
+    return read_pairs(*reads) if len(reads) == 2 else interleaved_pairs(reads[0])
+
+
 def read_hit_table(spark: SparkSession, path: str) -> DataFrame:
     """Segments from a tab-separated hit table with the twelve standard columns."""
     names = "query string, subject string, identity double, total_len long, mismatches long, gap_opens long, q_start long, q_end long, s_start long, s_end long, evalue double, score double"
