@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from kontig.llm.common import drop_clashes
+from kontig.llm.common import drop_clashes, released
 
 #: Pre-tokens that a Python worker remembers before it starts anew (about 150 bytes each).
 CACHE_ENTRIES = 300_000
@@ -262,14 +262,16 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
     """``df`` with ``ids_col``, the token ids of the whole text as array<int>. Narrow: no shuffle."""
     df = drop_clashes(df, *({ids_col} - {text_col}))
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(_encoder(rank_file, pattern, df.columns.index(text_col), ids_col), schema)
+    encoder = _encoder(rank_file, pattern, df.columns.index(text_col), ids_col)
+    return df.mapInArrow(lambda batches: released(encoder(batches)), schema)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``df`` with ``bytes_col``, the bytes that the ids stand for, as binary. Narrow: no shuffle."""
     df = drop_clashes(df, *({bytes_col} - {ids_col}))
     schema = T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())])
-    return df.mapInArrow(_decoder(rank_file, pattern, df.columns.index(ids_col), bytes_col), schema)
+    decoder = _decoder(rank_file, pattern, df.columns.index(ids_col), bytes_col)
+    return df.mapInArrow(lambda batches: released(decoder(batches)), schema)
 
 
 def round_trip(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -278,4 +280,4 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, text_col: str = "tex
     at, others = df.columns.index(text_col), [f for f in df.schema.fields if f.name != text_col]
     encoder, decoder = _encoder(rank_file, pattern, at, ids_col, keep_text=False), _decoder(rank_file, pattern, len(others), bytes_col)
     schema = T.StructType([*others, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())])
-    return df.mapInArrow(lambda batches: decoder(encoder(batches)), schema)
+    return df.mapInArrow(lambda batches: released(decoder(encoder(batches))), schema)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kontig.llm.common import Scratch, small
+from kontig.llm.common import Scratch, give_back, released, small
 from kontig.llm.components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -97,7 +97,7 @@ def _sets(docs: DataFrame, whole: bool) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), lists], ["doc_id", "n", "c", "posted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, posted array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), "doc_id long, n long, c long, posted array<long>")
 
 
 def _shared(posted: DataFrame) -> DataFrame:
@@ -241,6 +241,9 @@ def _find(rows: DataFrame, keys: list[str]) -> DataFrame:
         sets = [np.asarray(x.values) for x in table["hs"]]
         node = table["node"].to_pylist()
         found = links_of(node, n, sets, label, asks, lead) if any(asks) and len(set(label)) > 1 else []
+        if table.nbytes > 1 << 20:
+            del sets
+            give_back()
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return rows.select(*keys, "node", "n", "hs", "label", "asks", "lead").groupBy(*keys).applyInArrow(run, "a long, b long")

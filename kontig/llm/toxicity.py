@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kontig.llm.common import drop_clashes
+from kontig.llm.common import drop_clashes, released
 
 LENGTH, SPAN, DECAY, POWER = 4, 6, 0.7, 2
 LANDMARKS, SAMPLE_BYTES = 160, 65_536
@@ -426,7 +426,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, labels))], pa.binary())], ["model"])
 
-    fitted = training_sample(docs, labels, key, label).coalesce(1).mapInArrow(run, "model binary").collect()
+    fitted = training_sample(docs, labels, key, label).coalesce(1).mapInArrow(lambda batches: released(run(batches)), "model binary").collect()
     return pickle.loads(fitted[0][0]) if fitted else EMPTY
 
 
@@ -468,4 +468,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores)), pa.array(units, pa.string())], [*batch.schema.names, score_col, "worst_unit"])
 
     schema = T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField("worst_unit", T.StringType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: released(run(batches)), schema)
