@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,9 +36,25 @@ def islands(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", touching: i
     return _numbered(marked, key, [lo, hi], "island")
 
 
+def _merged(df: DataFrame, key: str, lo: str, hi: str, touching: int, aggregates: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """(key, island, lo, hi, *aggregates) of the islands, numbered from 1; ``aggregates`` are what a name is of rows, and how parts of it are put together.
+
+    Runs within a bin are merged first, in one shuffle of the rows; only what is left of them, a row for each run, meets by key.
+    """
+    within = W.partitionBy(key, "_bin").orderBy(lo, hi)
+    rows = df.withColumn("_bin", F.floor(F.col(lo) / BIN))
+    new = F.when(F.col(lo) <= F.max(hi).over(within.rowsBetween(W.unboundedPreceding, -1)) + touching, 0).otherwise(1)
+    local = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(within.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = local.groupBy(key, "_bin", "_run").agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"), *[rule.alias(name) for name, (rule, _) in aggregates.items()])
+    order = W.partitionBy(key).orderBy("_lo", "_hi")
+    begins = F.when(F.col("_lo") <= F.max("_hi").over(order.rowsBetween(W.unboundedPreceding, -1)) + touching, 0).otherwise(1)
+    numbered = runs.withColumn("_new", begins).withColumn("island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return numbered.groupBy(key, "island").agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), *[join(name).alias(name) for name, (_, join) in aggregates.items()])
+
+
 def union(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """(key, lo, hi): disjoint intervals that cover the same positions."""
-    return islands(df, key, lo, hi, touching=1).groupBy(key, "island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).drop("island")
+    return _merged(df, key, lo, hi, 1, {}).drop("island")
 
 
 def covered(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -46,10 +64,8 @@ def covered(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFram
 
 def cluster_ends(df: DataFrame, key: str, row: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Of each cluster of overlapping intervals its size, the row that begins first and the one that ends last."""
-    marked = islands(df, key, lo, hi)
-    return marked.groupBy(key, "island").agg(
-        F.count("*").alias("n"), F.min_by(row, F.struct(F.col(lo), F.col(row))).alias("first_row"), F.max_by(row, F.struct(F.col(hi), F.col(row))).alias("last_row"), F.min(lo).alias("lo"), F.max(hi).alias("hi")
-    )
+    parts = {"n": (F.count("*"), F.sum), "_first": (F.min(F.struct(F.col(lo).alias("at"), F.col(row).alias("row"))), F.min), "_last": (F.max(F.struct(F.col(hi).alias("at"), F.col(row).alias("row"))), F.max)}
+    return _merged(df, key, lo, hi, 0, parts).select(key, "island", "n", F.col("_first.row").alias("first_row"), F.col("_last.row").alias("last_row"), "lo", "hi")
 
 
 def gaps(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:

@@ -22,7 +22,8 @@ def breakpoints(segments: DataFrame, key: str, order: tuple[str, ...] = ("q_star
     """(key, left, right, kind, dq, ds, subject, s_left, s_right) between neighbouring segments that don't meet, and what both segments say (p_ is the first).
 
     Segments have q_start, q_end, s_start, s_end, strand and subject. Another subject or strand or
-    more than 5000 apart on the subject is a misjoin; else the steps on both sides decide.
+    more than 5000 apart on the subject is a misjoin; else the steps on both sides decide. An insertion or gap whose second segment lies before the first on the
+    subject, read along the strand, is a misjoin too.
     """
     w = W.partitionBy(key).orderBy(*order)
     prev = {c: F.lag(c).over(w).alias(f"p_{c}") for c in ("q_end", "s_end", "strand", "subject", "q_start", "s_start")}
@@ -37,7 +38,8 @@ def breakpoints(segments: DataFrame, key: str, order: tuple[str, ...] = ("q_star
         .when((F.col("ds") - F.col("dq") >= indel) & (F.col("dq") <= indel), "deletion")
         .when((F.col("dq") >= indel) & (F.col("ds") >= indel), "gap")
     )
-    found = both.withColumn("kind", kind).where("kind is not null")
+    turned = F.when(F.col("strand") == 0, F.col("s_end") <= F.col("p_s_start")).otherwise(F.col("s_end") >= F.col("p_s_start"))
+    found = both.withColumn("kind", F.when(kind.isin("insertion", "gap") & turned, "misjoin").otherwise(kind)).where("kind is not null")
     return found.select(
         key, F.least("p_q_end", "q_start").alias("left"), F.greatest("p_q_end", "q_start").alias("right"), "kind", "dq", "ds",
         "subject", F.least("p_s_end", "s_start").alias("s_left"), F.greatest("p_s_end", "s_start").alias("s_right"), "p_subject", "p_strand", "strand", "p_q_end", "p_s_end", "q_start", "s_start",

@@ -17,6 +17,7 @@ from kontig.functions import sequences as sq
 from kontig.operators import alignment, chaining, intervals, kmers, lengths, mapping, pileup, reference, verdicts
 from kontig.plans import assembly
 from kontig.plans.stages import Stages
+from kontig.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,6 +336,42 @@ def global_match_kind(spark: SparkSession, d: str) -> DataFrame:
     return chaining.global_kind(pairs.withColumns({"weight": F.col("match_sum"), "good": good, "total": F.col("match_sum"), "covered": F.col("match_sum"), "query_len": F.lit(300)}))
 
 
+def _items_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Aligned items: the lines of five orders lie on one query of 4000 bases and on two circular subjects, the longest first."""
+    c = F.col
+    size = 110 + c("l_quantity").cast("long") * 9
+    begin, shift = 1 + c("l_partkey") % 3300, c("l_suppkey") % 5 * 1_300
+    plus = c("l_returnflag") != "R"
+    lines = t(spark, d, "lineitem").select(
+        F.floor(c("l_orderkey") / 5).cast("long").alias("query_id"), (c("l_suppkey") % 2).alias("subject_id"), F.lit(4_000).cast("long").alias("query_len"), F.lit(9_000).cast("long").alias("subject_len"), begin.alias("q_start"), (begin + size - 1).alias("q_end"),
+        F.when(plus, begin + shift).otherwise(begin + shift + size - 1).alias("s_start"), F.when(plus, begin + shift + size - 1).otherwise(begin + shift).alias("s_end"), F.when(plus, 0).otherwise(1).alias("strand"),
+        (size - c("l_linenumber")).alias("match_len"), size.alias("total_len"),
+    ).distinct()
+    order = W.partitionBy("query_id", "subject_id").orderBy(F.desc("total_len"), F.desc("match_len"), "q_start", "s_start", "strand")
+    return lines.withColumn("hsp", F.row_number().over(order).cast("long"))
+
+
+@query()
+def chained_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The chain of each query on each subject; tests hold chains against plain loops."""
+    return chaining.chained(_items_of_lines(spark, d)).select("query_id", "subject_id", "ord", "hsp", "q_start", "q_end")
+
+
+@query()
+def holes_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of each query over both subjects: the better one's chain with its holes covered by the other's."""
+    items = _items_of_lines(spark, d)
+    queries = items.select("query_id", F.col("query_len").alias("len")).distinct()
+    found = assembly.align_queries(queries, items, Stages(spark))
+    return found.segments.join(found.kinds.select("query_id", "kind"), "query_id").select("query_id", "kind", "ord", "subject_id", "hsp", "q_start", "q_end")
+
+
+@query("SELECT row_number() OVER (ORDER BY length(text) DESC, doc_id::VARCHAR) AS id, doc_id::VARCHAR AS title, CAST(length(text) AS BIGINT) AS len FROM documents")
+def catalog_ids(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("seq"), F.length("text").alias("len"))
+    return catalog.numbered(docs, "id").select("id", "title", "len")
+
+
 @query(f"WITH {_PAIRS} SELECT o, s, kind, weight FROM pairs QUALIFY row_number() OVER (PARTITION BY o ORDER BY kind, weight DESC, s) = 1")
 def best_subject_argmax(spark: SparkSession, d: str) -> DataFrame:
     return chaining.best_subject(_pairs(spark, d), "o", "s", "kind", "weight")
@@ -428,6 +465,17 @@ def mated_hits(spark: SparkSession, d: str) -> DataFrame:
     return found.select("pair", "key", F.col("h1.strand").alias("s1"), F.col("h1.start").alias("p1"), F.col("h2.strand").alias("s2"), F.col("h2.start").alias("p2"), (F.col("h1.mismatches") + F.col("h2.mismatches")).alias("mismatches"), "frag")
 
 
+@query(
+    _CANDIDATES
+    + """, sole AS (SELECT * FROM hits WHERE miss < 2 QUALIFY count(*) OVER (PARTITION BY read_id) = 1)
+    SELECT a.pair, CASE WHEN a.strand = 0 THEN b.start + 100 - a.start ELSE a.start + 100 - b.start END AS frag FROM sole a JOIN sole b ON a.pair = b.pair AND a.key = b.key AND a.strand != b.strand AND a.read_id % 2 = 1 AND b.read_id % 2 = 0
+    WHERE a.miss = 0 AND b.miss = 0 AND CASE WHEN a.strand = 0 THEN a.start <= b.start ELSE a.start >= b.start END"""
+)
+def facing_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of the pairs that the insert size is estimated from; hits with two or three mismatches are left out first."""
+    return mapping.facing_fragments(_candidates(spark, d).where("mismatches < 2"))
+
+
 #: One pass over hits H and mated hits M into the table OUT, with equals told by z and tie.
 _PASS = """OUT_h AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS n FROM HITS), OUT_m AS (SELECT *, m1 + m2 AS miss FROM MATED),
 OUT_b AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY pair) AS several, rank() OVER (PARTITION BY pair ORDER BY miss, PAIRTIE) AS k FROM OUT_m) WHERE k = 1 QUALIFY count(*) OVER (PARTITION BY pair) = 1),
@@ -577,9 +625,10 @@ def ref_covered_ratio(spark: SparkSession, d: str) -> DataFrame:
 # breakpoints and verdicts
 
 _SEGS = "segs AS (SELECT l_suppkey AS k, l_orderkey AS subject, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS strand, l_orderkey * 10 + l_linenumber AS q_start, l_orderkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS q_end, l_partkey AS s_start, l_partkey + CAST(l_quantity AS BIGINT) AS s_end FROM lineitem )"
-_POINTS = f"""WITH {_SEGS}, p AS (SELECT *, lag(q_end) OVER w AS pq, lag(s_end) OVER w AS ps, lag(strand) OVER w AS pst FROM segs WINDOW w AS (PARTITION BY k ORDER BY q_start, q_end, s_start, s_end, strand)),
+_POINTS = f"""WITH {_SEGS}, p AS (SELECT *, lag(q_end) OVER w AS pq, lag(s_end) OVER w AS ps, lag(s_start) OVER w AS pss, lag(strand) OVER w AS pst FROM segs WINDOW w AS (PARTITION BY k ORDER BY q_start, q_end, s_start, s_end, strand)),
 d AS (SELECT *, q_start - pq AS dq, CASE WHEN strand = 0 THEN s_start - ps ELSE ps - s_start END AS ds FROM p WHERE pq IS NOT NULL),
-points AS (SELECT k, least(pq, q_start) AS "left", greatest(pq, q_start) AS "right", dq, ds, CASE WHEN strand != pst OR abs(s_start - ps) > 5000 THEN 'misjoin' WHEN dq - ds >= 5 AND ds <= 5 THEN 'insertion' WHEN ds - dq >= 5 AND dq <= 5 THEN 'deletion' WHEN dq >= 5 AND ds >= 5 THEN 'gap' END AS kind FROM d)"""
+kinds AS (SELECT *, CASE WHEN strand != pst OR abs(s_start - ps) > 5000 THEN 'misjoin' WHEN dq - ds >= 5 AND ds <= 5 THEN 'insertion' WHEN ds - dq >= 5 AND dq <= 5 THEN 'deletion' WHEN dq >= 5 AND ds >= 5 THEN 'gap' END AS kind FROM d),
+points AS (SELECT k, least(pq, q_start) AS "left", greatest(pq, q_start) AS "right", dq, ds, CASE WHEN kind IN ('insertion', 'gap') AND CASE WHEN strand = 0 THEN s_end <= pss ELSE s_end >= pss END THEN 'misjoin' ELSE kind END AS kind FROM kinds)"""
 
 
 def _points(lines: DataFrame) -> DataFrame:
@@ -617,6 +666,17 @@ def end_insertions(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.end_insertions(segs, segs.groupBy("k").agg((F.max("q_end") + F.col("k") % 9).alias("len")), "k", "len")
 
 
+@query()
+def refined_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Where documents that begin with the same 200 letters stop being alike: each runs on the first of them for up to 800 letters, and on itself from the 401st on."""
+    docs = _docs(spark, d).where(F.length("seq") >= 800)
+    heads = docs.withColumn("head", F.xxhash64(F.substring("seq", 1, 200)))
+    pairs = heads.join(heads.groupBy("head").agg(F.min("doc_id").alias("p_subject")), "head").where("doc_id != p_subject")
+    points = pairs.select(F.col("doc_id").alias("key"), "p_subject", F.col("doc_id").alias("subject"), *[F.lit(n).cast("long").alias(c) for c, n in (("p_q_end", 800), ("p_s_end", 800), ("q_start", 401), ("s_start", 401))], F.lit(0).alias("p_strand"), F.lit(0).alias("strand"))
+    found = alignment.refine_margins(points, docs.select(F.col("doc_id").alias("key"), "seq"), docs.select(F.col("doc_id").alias("subject"), "seq"))
+    return found.select("key", "p_subject", "left", "right")
+
+
 @query()
 def inner_indels(spark: SparkSession, d: str) -> DataFrame:
     """Indels between documents that begin with the same 200 letters: each against the first of them."""
