@@ -58,6 +58,18 @@ def postings(kmers: DataFrame, key: str) -> DataFrame:
     return listed.select("kmer", "n", F.array_join(text, " ").alias("list"))
 
 
+def posting_blocks(kmers: DataFrame, key: str, size: int = 4_096) -> DataFrame:
+    """(kmer, block, n, list): as ``postings``, the places of a k-mer with more than ``size`` of them dealt by their positions to enough blocks.
+
+    Only the frequent k-mers, which are few (a row for each ``size`` places at most), are joined back to their places.
+    """
+    often = kmers.groupBy("kmer").agg(F.count("*").alias("_n")).where(F.col("_n") > size).select("kmer", F.ceil(F.col("_n") / size).cast("long").alias("_blocks"))
+    dealt = kmers.join(often, "kmer", "left").withColumn("block", F.coalesce(F.pmod(F.col("pos") + F.col(key), F.col("_blocks")), F.lit(0)).cast("long"))
+    listed = dealt.groupBy("kmer", "block").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(F.col(key), F.col("pos")))).alias("_p"))
+    text = F.transform("_p", lambda p: F.concat_ws(":", p[key].cast("string"), p["pos"].cast("string")))
+    return listed.select("kmer", "block", "n", F.array_join(text, " ").alias("list"))
+
+
 def probe(reads: DataFrame, index: DataFrame) -> DataFrame:
     """Equi-join of read k-mers (offset) with indexed ones (pos) and the diagonal of each hit."""
     return reads.join(index, "kmer").withColumn("diag", F.col("pos") - F.col("offset"))

@@ -17,6 +17,11 @@ from kontig.params import INSERT_SAMPLE, PAIR_SD
 RESCUE_MISMATCHES, RESCUE_OVERLAP = 3, 0.6
 
 
+def hit_ranks(hits: DataFrame, read: str, mismatches: str, order: tuple[str, ...]) -> DataFrame:
+    """``hits`` with ``rank``, their place among those of their read by mismatches, then ``order``."""
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy(read).orderBy(mismatches, *order)).cast("long"))
+
+
 def pair_id(read_id: Column) -> Column:
     """Mates 2p-1 and 2p are pair p."""
     return F.floor((read_id + 1) / 2).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -85,9 +86,16 @@ def misass(spark: SparkSession, config: Config, options: Options) -> None:
     whole = known.queries.join(suspects.select(F.col("key").alias("query_id")), "query_id", "left_anti").select("query_id", F.lit(0).alias("piece"), "title", "seq")
     sinks.write_fasta(found.corrected.unionByName(whole), "title", "seq", f"{options.out}/query_cor")
     sinks.write_snapshot({"verdicts": found.queries, "regions": found.regions}, f"{options.out}/catalog")
+    sinks.write_table(sizes(spark, {"before": config.queries, "after": [f"{options.out}/query_cor"]}, options.min_len), f"{options.out}/sizes")
     stages.drop()
 
 
+def sizes(spark: SparkSession, files: dict[str, list[str]], min_len: int = MIN_QUERY_LEN) -> DataFrame:
+    """Length metrics of FASTA files, one row under each name, such as an assembly before and after its correction."""
+    rows = [lengths.length_metrics(text_formats.read_fasta(spark, paths), "len", min_len).withColumn("name", F.lit(name)) for name, paths in files.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def everything(spark: SparkSession, config: Config, options: Options) -> None:
     for verb in (merge, metrics, misass):
         verb(spark, config, options)

@@ -188,6 +188,14 @@ def kmer_postings(spark: SparkSession, d: str) -> DataFrame:
     return kmers.postings(_doc_tiles(spark, d), "doc_id")
 
 
+@query(
+    f"""WITH {_TILES}, o AS (SELECT kmer, CAST(ceil(count(*) / 4) AS BIGINT) AS blocks FROM tiles GROUP BY kmer HAVING count(*) > 4)
+    SELECT kmer, CAST(coalesce((pos + doc_id) % blocks, 0) AS BIGINT) AS block, count(*) AS n, string_agg(doc_id || ':' || pos, ' ' ORDER BY doc_id, pos) AS list FROM tiles LEFT JOIN o USING (kmer) GROUP BY ALL"""
+)
+def kmer_posting_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.posting_blocks(_doc_tiles(spark, d), "doc_id", 4)
+
+
 @query(_HITS + " SELECT item_id, doc_id, diag, count(*) AS n FROM hits GROUP BY ALL")
 def kmer_hash_join(spark: SparkSession, d: str) -> DataFrame:
     return kmers.seeds(_hits(spark, d), "item_id", "doc_id", 1)
@@ -297,11 +305,6 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).agg(kind.alias("kind"), F.sum(F.col("l_quantity").cast("long")).alias("weight"))
 
 
-@query(f"WITH {_PAIRS} SELECT kind, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM pairs GROUP BY kind")
-def match_kind_rules(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
-
-
 _SEGMENTS = """segments AS (SELECT q, line, total, total - CAST(floor(total * tax) AS BIGINT) AS hit, CASE WHEN line % 3 = 0 THEN 150 ELSE total + part % 3 * 10 END AS len
   FROM (SELECT l_orderkey AS q, l_linenumber AS line, CAST(sum(l_quantity) * 10 AS BIGINT) AS total, max(l_tax) * 2 AS tax, max(l_partkey) AS part FROM lineitem GROUP BY ALL)),
 kinds AS (SELECT q, line, total, hit, len, CASE WHEN hit = greatest(len, total) THEN 0 WHEN hit < total * t - 1e-9 OR hit < greatest(len, total) * t - 1e-9 THEN 3 ELSE 1 END AS kind FROM (SELECT *, CASE WHEN len <= 200 THEN 0.72 ELSE 0.9 END AS t FROM segments))"""
@@ -320,6 +323,12 @@ def _kinds(spark: SparkSession, d: str) -> DataFrame:
     return chaining.classify_pairs(items)
 
 
+@query(f"WITH {_SEGMENTS} SELECT kind, count(*) AS n, CAST(sum(hit) AS BIGINT) AS weight FROM kinds GROUP BY kind")
+def match_kind_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs of a query and a subject are of each kind, and their matching bases."""
+    return _kinds(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum("match_sum").alias("weight"))
+
+
 @query(f"WITH {_SEGMENTS} SELECT q AS query_id, CAST(line AS BIGINT) AS subject_id, kind, hit AS match_sum FROM kinds")
 def pair_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _kinds(spark, d)
@@ -459,6 +468,11 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("read_id", key.cast("long").alias("key"), "strand", "start", F.lit(100).cast("long").alias("size"), F.lit(0).cast("long").alias("skip"), "mismatches", F.lit(100).cast("long").alias("len"))
 
 
+@query(_CANDIDATES + " SELECT read_id, key, strand, start, miss AS mismatches, row_number() OVER (PARTITION BY read_id ORDER BY miss, key, start, strand) AS rank FROM hits")
+def hit_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.hit_ranks(_candidates(spark, d), "read_id", "mismatches", ("key", "start", "strand")).select("read_id", "key", "strand", "start", "mismatches", "rank")
+
+
 @query(_CANDIDATES + " SELECT pair, key, s1, p1, s2, p2, m1 + m2 AS mismatches, frag FROM mated")
 def mated_hits(spark: SparkSession, d: str) -> DataFrame:
     found = mapping.mated_hits(_candidates(spark, d), 350.0, 50.0)

@@ -67,6 +67,12 @@ def test_result_files(spark, made):
     assert {r.key for r in spark.read.parquet(str(made / "out" / "catalog" / "verdicts")).where("verdict = 'true'").collect()} == {1, 4, 3}  # by length: q2, q5 and q3
 
 
+def test_sizes_before_and_after(spark, made):
+    rows = {r["name"]: (r.cnt, r.total, r.longest) for r in spark.read.csv(str(made / "out" / "sizes"), sep="\t", header=True, inferSchema=True).collect()}
+    total = sum(map(len, QUERIES.values()))
+    assert rows == {"before": (5, total, 8000), "after": (6, total + 2, 5000)}
+
+
 def test_merged_files(spark, made):
     merged = text_formats.read_fasta(spark, str(made / "out" / "reference")).collect()
     assert [(r.title, r.seq) for r in merged] == [("ring", R)]
