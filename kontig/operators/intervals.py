@@ -76,9 +76,8 @@ def gaps(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
 
 def runs(df: DataFrame, key: str, pos: str) -> DataFrame:
     """(key, lo, hi, n): maximal runs of consecutive integers among distinct positions."""
-    distinct = df.select(key, pos).distinct()
-    group = F.col(pos) - F.row_number().over(W.partitionBy(key).orderBy(pos))
-    return distinct.withColumn("_g", group).groupBy(key, "_g").agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.count("*").alias("n")).drop("_g")
+    distinct = df.select(key, pos).where(F.col(pos).isNotNull()).distinct()
+    return _merged(distinct, key, pos, pos, 1, {"n": (F.count("*"), F.sum)}).drop("island")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, key: str, pos: str, lo: str, hi: str, width: int) -> DataFrame:

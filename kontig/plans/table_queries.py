@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kontig.functions import sequences as sq
-from kontig.operators import alignment, chaining, intervals, kmers, lengths, mapping, pileup, reference, verdicts
-from kontig.plans import assembly
+from kontig.operators import alignment, chaining, evidence, intervals, kmers, lengths, mapping, pileup, reference, verdicts
+from kontig.plans import assembly, tracks
 from kontig.plans.stages import Stages
 from kontig.sources import catalog
 
@@ -891,6 +891,28 @@ def region_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.result_regions(judged).join(judged.select("rid", "verdict"), "rid")
 
 
+@query(
+    _EVIDENCE_WINDOWS
+    + """, lens AS (SELECT DISTINCT k, len FROM regs), tt2 AS (SELECT k, len, (len - 1) // 500 + 1 AS nt, len // ((len - 1) // 500 + 1) + 1 AS width FROM lens),
+    t2 AS (SELECT * FROM (SELECT *, unnest(range(0, nt)) AS n FROM tt2) WHERE 1 + n * width <= len), t3 AS (SELECT k, n, 1 + n * width AS lo, least(n * width + width, len) AS hi FROM t2),
+    r2 AS (SELECT t3.k, n, count(*) FILTER (discor) AS d, count(*) FILTER (same) AS s, count(*) FILTER (multi) AS u, count(*) AS c FROM t3 JOIN m ON m.k = t3.k AND m.mid BETWEEN lo AND hi GROUP BY ALL),
+    z2 AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS g FROM marks WHERE zero = 1)
+    SELECT k AS key, 'coverage' AS track, min(p) AS lo, max(p) AS hi, round(least(avg(total), 200), 6) AS value FROM marks GROUP BY k, (p - 1) // 50
+    UNION ALL SELECT k, 'uncovered', min(p), max(p), 0 FROM z2 GROUP BY k, g
+    UNION ALL SELECT k, 'disagreement', p, p, total FROM marks WHERE dis = 1 AND zero = 0
+    UNION ALL SELECT t3.k, 'discordant', lo, hi, round(coalesce(d / nullif(s, 0), 0), 6) FROM t3 LEFT JOIN r2 USING (k, n) UNION ALL SELECT t3.k, 'ambiguous', lo, hi, round(coalesce(u / nullif(c, 0), 0), 6) FROM t3 LEFT JOIN r2 USING (k, n)"""
+)
+def drawing_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage, uncovered and disagreeing positions and mate ratios of the queries that the orders' regions lie on."""
+    reads = _reads_of_lines(spark, d).withColumn("end", F.col("pos") + F.col("size") - 1)
+    lengths = _regions_of_orders(spark, d).select("key", "len").distinct()
+    coverage = pileup.span_coverage(reads, "key", "pos", "end", "base").join(lengths, "key").where("pos <= len").drop("len")
+    spans = reads.select("key", F.col("pos").alias("lo"), F.col("end").alias("hi"))
+    drawn = tracks.coverage_track(coverage, lengths).unionByName(tracks.uncovered_track(spans, lengths)).unionByName(tracks.disagreement_track(coverage))
+    every = drawn.unionByName(tracks.ratio_tracks(evidence.placed_mates(reads, _INSERT, _SD), lengths))
+    return every.withColumn("value", F.round("value", 6))
+
+
 @query("SELECT l_orderkey AS o, CASE WHEN bool_or(l_returnflag = 'R' AND (l_linestatus = 'F' OR l_linenumber % 2 = 1)) THEN 'true' ELSE 'uncertain' END AS verdict FROM lineitem WHERE l_linestatus IN ('F', 'O') GROUP BY 1")
 def query_verdict(spark: SparkSession, d: str) -> DataFrame:
     lines = t(spark, d, "lineitem").where("l_linestatus in ('F', 'O')")

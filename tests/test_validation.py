@@ -7,7 +7,7 @@ from planted import QUERIES, SEGMENTS, R, turned
 from pyspark.sql import functions as F
 
 from kontig.operators import alignment, evidence, kmers, mapping, pileup
-from kontig.plans import assembly
+from kontig.plans import assembly, tracks
 from kontig.plans.stages import Stages
 
 @pytest.fixture(scope="module")
@@ -341,3 +341,13 @@ def test_refined_margins(spark):
     rows = [(r.key, r.left, r.right) for r in found.collect()]
     assert (0, 690, 700) in rows and len(rows) == 7
     assert all(785 <= left <= right <= 815 for _, left, right in rows if left != 690)
+
+
+def test_tracks(spark):
+    lengths = spark.createDataFrame([(1, 10), (2, 4)], "key long, len long")
+    spans = spark.createDataFrame([(1, -3, 2), (1, 5, 6), (1, 6, 20)], "key long, lo long, hi long")
+    assert sorted((r.key, r.lo, r.hi) for r in tracks.uncovered_track(spans, lengths).collect()) == [(1, 3, 4), (2, 1, 4)]
+    unknown = tracks.unknown_track(spark.createDataFrame([(1, "NNACn.GT"), (2, "ACGT"), (3, None)], "key long, seq string"))
+    assert sorted((r.key, r.lo, r.hi, r.value) for r in unknown.collect()) == [(1, 1, 2, 2.0), (1, 5, 6, 2.0)]
+    results = spark.createDataFrame([(1, "sv", 3, 9), (1, "errors", 1, 2)], "key long, result string, q_start long, q_end long")
+    assert sorted((r.lo, r.hi, r.value) for r in tracks.result_track(results).collect()) == [(1, 2, 1.0), (3, 9, 2.0)]
