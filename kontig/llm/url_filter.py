@@ -45,10 +45,13 @@ RULES = (
     Rule("net", "/fr/", "block"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ATTRIBUTE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*?\bhref""" + _ATTRIBUTE
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*(["']?)([^"'>]+)"""
-_BASE = r"(?is)<base\b[^>]*?\bhref" + _ATTRIBUTE
+#: Comments and elements whose content is text: no tag stands in them.
+_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b.*?(?:</\1\s*>|\z)"
+#: A tag, whose quoted values may hold any character, and an attribute of it with its value in one of three groups.
+_TAG = r"""(?is)<(?:link|meta|base)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_ATTRIBUTE = r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+#: What a refresh names: a time, a separator, and the target with or without ``url=`` and quotes.
+_REFRESH = r"""(?is)^\s*[\d.]*\s*(?:[;,]|\s)\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))"""
 
 
 def _after_scheme(url: Column) -> Column:
@@ -125,16 +128,42 @@ def _decoded(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?i)&(?:amp|#38|#x26);", "&"))
 
 
+def _attributes(tag: Column) -> Column:
+    """array<struct<name, value>> of a tag, names in lower case; the first is the tag's own name."""
+    name, *values = [F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(k)) for k in range(1, 5)]
+    joined = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
+    return F.zip_with(name, joined(joined(values[0], values[1]), values[2]), lambda n, v: F.struct(F.translate(n, _UPPER, _LOWER).alias("name"), v.alias("value")))
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of this name; empty if there is none."""
+    return F.coalesce(F.get(F.filter(attributes, lambda a: a["name"] == name), F.lit(0))["value"], F.lit(""))
+
+
+def _target(attributes: Column) -> Column:
+    """Where a link or meta tag leads, if it is a canonical link or a redirect; else empty."""
+    own = attributes[0]["name"]
+    canonical = (own == "link") & F.array_contains(F.split(F.translate(_value(attributes, "rel"), _UPPER, _LOWER), r"\s+"), "canonical")
+    refresh = (own == "meta") & (F.translate(F.trim(_value(attributes, "http-equiv")), _UPPER, _LOWER) == "refresh")
+    content = _value(attributes, "content")
+    named = F.concat(*[F.regexp_extract(content, _REFRESH, k) for k in (1, 2, 3)])
+    return F.when(canonical, _value(attributes, "href")).when(refresh, named).otherwise("")
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) nodes of redirects and canonical links in the html."""
+    """(src, dst) nodes of redirects and canonical links in the html.
+
+    Comments and scripts hold no tags, a quoted value may hold any character, ``rel`` is a list of words, and an attribute is found by its whole name.
+    """
     html, url = F.col("html"), F.col("url")
-    groups = lambda pattern, *at: [F.regexp_extract_all(html, F.lit(pattern), F.lit(k)) for k in at]
-    quoted = F.flatten(F.array(F.array_distinct(F.flatten(F.array(*groups(_CANONICAL, 1, 2, 3)))), *groups(_REFRESH, 2)))
-    own_base = F.concat(*[F.regexp_extract("html", _BASE, k) for k in (1, 2, 3)])
-    base = _let(_decoded(own_base), lambda own: F.coalesce(F.when(own != "", _resolved(own, url)), url))
     with_link = pages.where(html.rlike(r"(?i)canonical|http-equiv"))
-    nodes = _let(base, lambda b: F.transform(quoted, lambda t: node_of(_resolved(_decoded(t), b))))
-    edges = with_link.select(node_of(url).alias("src"), F.explode(nodes).alias("dst"))
+    tags = F.regexp_extract_all(F.regexp_replace(html, _TEXT, " "), F.lit(_TAG), F.lit(0))
+    parsed = with_link.select("url", F.transform(tags, _attributes).alias("_tags"))
+    own_base = F.get(F.filter(F.transform("_tags", lambda t: F.when(t[0]["name"] == "base", _value(t, "href")).otherwise("")), lambda x: x != ""), F.lit(0))
+    base = _let(_decoded(F.coalesce(own_base, F.lit(""))), lambda own: F.coalesce(F.when(own != "", _resolved(own, url)), url))
+    targets = F.array_distinct(F.filter(F.transform("_tags", _target), lambda x: x != ""))
+    nodes = _let(base, lambda b: F.transform(targets, lambda t: node_of(_resolved(_decoded(t), b))))
+    edges = parsed.select(node_of(url).alias("src"), F.explode(nodes).alias("dst"))
     return edges.where("src is not null and dst is not null and src != dst").distinct()
 
 

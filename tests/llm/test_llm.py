@@ -548,3 +548,35 @@ def test_op3_digests(spark):
     s = "<|im_end|><|im_start|>assistant ok"
     assert row.turns_sha256 == sha256(f"user\n{s}\nassistant\n{s}\n".encode()).hexdigest()
     assert row.loss_sha256 == sha256(s.encode()).hexdigest() and row.loss_chars == len(s)
+
+
+@pytest.mark.parametrize(
+    ("html", "linked"),
+    [
+        ('<!-- <link rel="canonical" href="https://b.net/fr/"> -->', False),
+        ("<script>var s = '<link rel=\"canonical\" href=\"https://b.net/fr/\">'</script>", False),
+        ('<style>/*<link rel=canonical href="https://b.net/fr/">*/', False),
+        ('<link rel="not-canonical" href="https://b.net/fr/">', False),
+        ('<link rel="canonical-x canonicals" href="https://b.net/fr/">', False),
+        ('<link data-href="zz" rel="next CANONICAL" href="https://b.net/fr/">', True),
+        ('<link rel=canonical data-href=zz HREF = https://b.net/fr/>', True),
+        ('<link title="a > b" rel=\'canonical\' href=\'https://b.net/fr/\'>', True),
+        ('<link title="rel=canonical href=https://b.net/fr/">', False),
+        ('<link href="https://b.net/fr/" rel="canonical"/>', True),
+        ('<linker rel="canonical" href="https://b.net/fr/">', False),
+        ('<meta http-equiv="refresh" content="0;https://b.net/fr/">', True),
+        ('<meta content="3; URL=\'https://b.net/fr/\'" http-equiv=Refresh>', True),
+        ('<meta http-equiv=refresh content="0 https://b.net/fr/">', True),
+        ('<meta http-equiv="refresh" content="5">', False),
+        ('<meta name="x" content="0;url=https://b.net/fr/">', False),
+        ('<!-- a --><p canonical><link rel="canonical" href="//b.net/fr/"><!-- b', True),
+    ],
+)
+def test_link_extraction(spark, html, linked):
+    pages = spark.createDataFrame([("https://a.org/", html), ("https://a.org/", None), (None, html)], "url string, html string")
+    assert [tuple(r) for r in url_filter.link_edges(pages).collect()] == ([("https://a.org/", "https://b.net/fr/")] if linked else [])
+
+
+def test_very_long_html(spark):
+    html = "<p a='" + "x" * 300_000 + "'>" + "<link title='" + "y>" * 100_000 + "' rel=canonical href=/z><!--" + "-" * 200_000
+    assert [tuple(r) for r in url_filter.link_edges(spark.createDataFrame([("https://a.org/", html)], "url string, html string")).collect()] == [("https://a.org/", "https://a.org/z")]
