@@ -4,7 +4,7 @@ A text is split by the pre-token pattern. Each pre-token that is not itself a vo
 merged in a segment tree over its byte positions: a leaf holds the rank of the pair that starts at
 that byte, an inner node the leftmost minimum of its two children. A merge reads the root, joins the
 pair, and updates the leaves of the two live neighbours and of the byte that died, each along one
-path to the root. Many pre-tokens of one length class are merged side by side as rows of one array.
+path to the root. Many pre-tokens of one length class are merged side by side as rows of one array, few or long ones each in a tree of its own.
 
 Edge cases: a null text counts as empty, an empty text has no ids and decodes to no bytes, a null
 list of ids decodes to no bytes, repeated rows are encoded alike, an empty table gives an empty
@@ -32,6 +32,8 @@ from kontig.llm.common import drop_clashes, released
 CACHE_ENTRIES = 300_000
 #: Leaves of one array of trees: few enough that it stays in a core's cache.
 TREE_LEAVES = 1 << 17
+#: Longest pre-tokens that are merged side by side, and the fewest for which that pays.
+SIDE_BY_SIDE, FEW = 512, 32
 #: Letters and the whole alphabet of texts that the quicker form of the pattern splits alike.
 _LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _BEYOND_LATIN = re.compile(f"[^\\t-\\r -~\u00a1\u00a6-\u00a9\u00ab\u00b0\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7{_LATIN}]")
@@ -163,6 +165,48 @@ class SegmentTreeBpe:
         ends = np.cumsum(mask.sum(1)).tolist()
         return [tuple(values[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def _merge_alone(self, raw: bytes) -> tuple[int, ...]:
+        """Ids of one piece, by a tree in plain arrays: a path ends at the first node that keeps its minimum."""
+        n = len(raw)
+        leaves = 1 << (n - 1).bit_length()
+        start = self.byte_ids[np.frombuffer(raw, np.uint8)]
+        rank = self.pairs.get(start[:-1], start[1:])
+        whole = np.full(2 * leaves, _NONE, np.int64)
+        whole[leaves : leaves + n - 1] = np.where(rank == _NONE, _NONE, np.where(rank == _NONE, 0, rank) << 32 | np.arange(n - 1))
+        low = leaves
+        while low > 1:
+            half = low // 2
+            np.minimum(whole[low : 2 * low : 2], whole[low + 1 : 2 * low : 2], out=whole[half:low])
+            low = half
+        tree, ids = array("q", whole.tobytes()), array("i", start.astype(np.int32).tobytes())
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        ranks, tokens = self.ranks, self.tokens
+        while (best := tree[1]) != _NONE:
+            at, merged = best & 0xFFFFFFFF, best >> 32
+            dead = after[at]
+            far, near = after[dead], before[at]
+            ids[at], ids[dead], after[at] = merged, -1, far
+            changes = [(dead, None)]
+            if far < n:
+                before[far] = at
+                changes.append((at, ranks.get(tokens[merged] + tokens[ids[far]])))
+            else:
+                changes.append((at, None))
+            if near >= 0:
+                changes.append((near, ranks.get(tokens[ids[near]] + tokens[merged])))
+            for place, found in changes:
+                node = leaves + place
+                tree[node] = _NONE if found is None else found << 32 | place
+                node >>= 1
+                while node:
+                    left, right = tree[2 * node], tree[2 * node + 1]
+                    least = left if left < right else right
+                    if tree[node] == least:
+                        break
+                    tree[node] = least
+                    node >>= 1
+        return tuple(i for i in ids if i >= 0)
+
     def _learn(self, pieces: list[str]) -> None:
         """Put the ids of ``pieces`` into the cache."""
         classes: dict[int, list[tuple[str, bytes]]] = {}
@@ -174,6 +218,9 @@ class SegmentTreeBpe:
             else:
                 classes.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((piece, raw))
         for leaves, members in classes.items():
+            if leaves > SIDE_BY_SIDE or len(members) < FEW:
+                self.cache.update((piece, self._merge_alone(raw)) for piece, raw in members)
+                continue
             step = max(1, TREE_LEAVES // leaves)
             for a in range(0, len(members), step):
                 block = members[a : a + step]

@@ -37,6 +37,20 @@ def test_bpe_equals_library(spark):
     assert [x.tolist() for x in codec.encode_batch(texts)] == [ref.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_bpe_of_long_pre_tokens(monkeypatch, few):
+    """Runs of letters, marks and blanks of many lengths, side by side and alone."""
+    import tiktoken
+
+    monkeypatch.setattr(byte_bpe, "FEW", few)
+    codec = byte_bpe.SegmentTreeBpe(byte_bpe.codec(RANKS, P.PATTERN).ranks, P.PATTERN)
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(alphabet, k=n)) for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz", "éß中", "=-", "th") for n in (1, 2, 3, 5, 17, 64, 65, 500, 513, 3_000)]
+    texts += ["a" * 2_049, "x" * 20_000, "=" * 4_096, " " * 5_000 + "y"]
+    assert [x.tolist() for x in codec.encode_batch(texts)] == [ref.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_round_trip(spark):
     df = texts_frame(spark, ODD + ODD).withColumnRenamed("doc_id", "ids").withColumn("doc_id", F.col("ids"))  # a clashing name
     out = byte_bpe.decode(byte_bpe.encode(df, RANKS, P.PATTERN), RANKS, P.PATTERN).orderBy("doc_id").collect()
@@ -103,7 +117,7 @@ def test_chat_round_trip(spark):
 # 4: shards
 
 
-def test_sharding(spark):
+def test_sharding(spark, monkeypatch):
     def jump(key, shards):
         key, b, j = key & (2**64 - 1), -1, 0
         while j < shards:
@@ -114,7 +128,7 @@ def test_sharding(spark):
 
     keys = [*range(-50, 3000), 2**62, 5, 5, None]
     df = spark.createDataFrame([(k, i, 9) for i, k in enumerate(keys)], "doc_id long, row long, shard int")
-    sharding.RANGE_ROWS = 100
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 100)
     out = sharding.assign_shards(df, 8, "doc_id", ("row",)).collect()
     assert {r.row: r.shard for r in out} == {i: jump(k or 0, 8) for i, k in enumerate(keys)}
     assert all(r.grown_shard in (r.shard, 8) for r in out)
