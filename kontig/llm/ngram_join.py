@@ -50,6 +50,8 @@ WORDS, PERCENT = 5, 75
 BOUND = int(-(2**63) + 0.3 * 2**64)
 #: A bundle of m nodes has about sqrt(m / BLOCK_NODES) blocks, and more where one would exceed BLOCK_BYTES of shingles.
 BLOCK_NODES, BLOCK_BYTES = 64, 16_000_000
+#: Nodes beyond which a shingle of a bundle is frequent.
+FREQUENT = 64
 #: Peeling ends when a round takes off less than this share of the classes.
 STILL = 0.05
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -198,28 +200,36 @@ def links_of(node: list[int], n: list[int], sets: list[np.ndarray], label: list[
     union, found = _Union(), []
 
     def search(i: int, done: int = -1) -> None:
-        """All links of the node i, with askers up to the place ``done`` left out."""
-        low = bisect_left(sizes, least_overlap(n[i]))
-        high = bisect_left(sizes, 100 * n[i] // PERCENT + 1)
-        lists = []
-        for k in np.searchsorted(keys, sets[i]).tolist():
-            a, b = begin[k], begin[k + 1]
-            if b - a > 1:
-                a, b = bisect_left(entries, low, a, b), bisect_left(entries, high, a, b)
-                if b > a:
-                    lists.append(entries[a:b])
+        """All links of the node i, with askers up to the place ``done`` left out.
+
+        Sizes for which i's frequent shingles are too few to link are searched on their own: there all frequent lists are put
+        aside, and candidates come from the rare ones.
+        """
+        places = [(begin[k], begin[k + 1]) for k in np.searchsorted(keys, sets[i]).tolist() if begin[k + 1] - begin[k] > 1]
+        least, most = least_overlap(n[i]), 100 * n[i] // PERCENT
+        frequent = sum(b - a > FREQUENT for a, b in places)
+        edge = min(most, frequent * (100 + PERCENT) // PERCENT - n[i])  # the largest size that frequent shingles alone can link with
 
         def wanted(at: int) -> bool:
             j = order[at]
             return not (asks[j] and at <= done) and union.find(label[j]) != union.find(label[i])
 
-        least = least_overlap(n[i])
-        if len(lists) < least:
-            return
-        for at, count in divide_skip(lists, least, wanted):
-            j = order[at]
-            if 100 * count >= PERCENT * (n[i] + n[j] - count) and union.unite(label[i], label[j]):
-                found.append((node[i], node[j]))
+        for smallest, largest in ((least, edge), (max(least, edge + 1), most)):
+            needed = -(-PERCENT * (n[i] + smallest) // (100 + PERCENT))
+            low, high = bisect_left(sizes, smallest), bisect_left(sizes, largest + 1)
+            if low >= high or len(places) < needed:
+                continue
+            lists = []
+            for a, b in places:
+                a, b = bisect_left(entries, low, a, b), bisect_left(entries, high, a, b)
+                if b > a:
+                    lists.append(entries[a:b])
+            if len(lists) < needed:
+                continue
+            for at, count in divide_skip(lists, needed, wanted):
+                j = order[at]
+                if 100 * count >= PERCENT * (n[i] + n[j] - count) and union.unite(label[i], label[j]):
+                    found.append((node[i], node[j]))
 
     hub = None
     for i in range(len(node)):

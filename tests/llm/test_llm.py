@@ -238,6 +238,50 @@ def test_components(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 1, 3, 64])
+def test_links_by_size_bands(monkeypatch, frequent):
+    """The search within a bundle against all pairs, whatever counts as frequent."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    rng = random.Random(frequent)
+
+    def labels(m, links):
+        parent = list(range(m))
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[top(a)] = top(b)
+        return [min(j for j in range(m) if top(j) == top(i)) for i in range(m)]
+
+    for _ in range(200):
+        m, hot = rng.randint(2, 14), range(rng.randint(1, 12))
+        sets = [np.array(sorted({*rng.sample(hot, rng.randint(0, len(hot))), *(100 + rng.randrange(30) for _ in range(rng.randint(1, 8)))})) for _ in range(m)]
+        n = [len(x) + rng.choice([0, 0, 0, 1]) for x in sets]
+        shared = lambda i, j: len({*sets[i].tolist()} & {*sets[j].tolist()})
+        want = [(i, j) for i in range(m) for j in range(i) if 100 * shared(i, j) >= 75 * (n[i] + n[j] - shared(i, j))]
+        got = ngram_join.links_of(list(range(m)), n, sets, list(range(m)), [True] * m, [False] * m)
+        assert labels(m, got) == labels(m, want)
+
+
+def test_boilerplate_is_not_quadratic():
+    """3,000 texts with 80 shingles of boilerplate and 20 of their own, each of which has one near copy with the same boilerplate."""
+    import time
+
+    sets = []
+    for i in range(1_500):
+        own = 1_000 + 40 * i + np.arange(20)
+        near = own.copy()
+        near[0] += 20
+        sets += [np.concatenate([np.arange(80), own]), np.concatenate([np.arange(80), np.sort(near)])]
+    began = time.perf_counter()
+    found = ngram_join.links_of(list(range(3_000)), [100] * 3_000, sets, list(range(3_000)), [True] * 3_000, [False] * 3_000)
+    assert sorted(tuple(sorted(x)) for x in found) == [(2 * i, 2 * i + 1) for i in range(1_500)]
+    assert time.perf_counter() - began < 30
+
+
 # 7: urls
 
 
