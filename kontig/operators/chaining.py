@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kontig.params import DISJUNCT_DISTANCE, END_IGNORE, END_VARIATION, IDENTITY, MIN_QUERY_LEN, MIN_SEGMENT_LEN, SHORT_IDENTITY_FACTOR, SHORT_QUERY_LEN
 
@@ -220,16 +223,38 @@ def classify_pairs(items: DataFrame) -> DataFrame:
 
 def _subject_len(segs: list[dict]) -> int | None:
     n = segs[0].get("subject_len")
-    return None if n is None or pd.isna(n) else int(n)
+    return None if n is None else int(n)
+
+
+def _by_group(df: DataFrame, keys: list[str], order: list[str], each: Callable[[list[dict]], list[dict]], schema: str | T.StructType) -> DataFrame:
+    """The rows that ``each`` makes of every group's rows, which it gets in ``order``.
+
+    Groups stream by in a sorted partition, so that many small ones share a batch; a task holds one group at a time and as many rows as a batch has.
+    """
+    out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        made: list[dict] = []
+        for _, group in groupby(rows, key=lambda row: [row[k] for k in keys]):
+            made += each(list(group))
+            if len(made) >= 10_000:
+                yield pa.RecordBatch.from_pylist(made, arrow)
+                made = []
+        if made:
+            yield pa.RecordBatch.from_pylist(made, arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
 
 
 def _classify_chains(items: DataFrame) -> DataFrame:
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        segs = group.sort_values("hsp").to_dict("records")
-        return pd.DataFrame({"query_id": [segs[0]["query_id"]], "subject_id": [segs[0]["subject_id"]], "kind": [match_kind(int(segs[0]["query_len"]), segs, _subject_len(segs))], "match_sum": [int(group["match_len"].sum())]})
+    def one(segs: list[dict]) -> list[dict]:
+        first = segs[0]
+        return [{"query_id": first["query_id"], "subject_id": first["subject_id"], "kind": match_kind(int(first["query_len"]), segs, _subject_len(segs)), "match_sum": sum(s["match_len"] for s in segs)}]
 
-    return items.groupBy("query_id", "subject_id").applyInPandas(one, "query_id long, subject_id long, kind int, match_sum long")
+    return _by_group(items, ["query_id", "subject_id"], ["hsp"], one, "query_id long, subject_id long, kind int, match_sum long")
 
 
 def chained(items: DataFrame) -> DataFrame:
@@ -237,14 +262,11 @@ def chained(items: DataFrame) -> DataFrame:
 
     With a column subject_len subjects are circular. A pair's segments, as many as the aligner reports, are chained in one call, in n log n steps.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        segs = group.sort_values("hsp").to_dict("records")
-        kept = pd.DataFrame(kept_segments(int(segs[0]["query_len"]), segs, _subject_len(segs)), columns=group.columns)
-        return kept.assign(ord=range(1, len(kept) + 1))
+    def one(segs: list[dict]) -> list[dict]:
+        return [s | {"ord": i} for i, s in enumerate(kept_segments(int(segs[0]["query_len"]), segs, _subject_len(segs)), 1)]
 
-    return items.groupBy("query_id", "subject_id").applyInPandas(one, f"{schema}, ord long")
+    return _by_group(items, ["query_id", "subject_id"], ["hsp"], one, T.StructType([*items.schema.fields, T.StructField("ord", T.LongType())]))
 
 
 def best_subject(pairs: DataFrame, query: str, subject: str, kind: str, weight: str) -> DataFrame:
@@ -323,19 +345,18 @@ def fill_holes(best: DataFrame, pool: DataFrame) -> DataFrame:
     gap = ends.where(c("next") - c("q_end") > END_VARIATION).select("query_id", long(c("ord")).alias("after"), long(c("q_end") + 1).alias("lo"), long(c("next") - 1).alias("hi"))
     holes = head.unionByName(tail).unionByName(gap)
     inside = (c("q_end") >= c("lo") - END_VARIATION) & (c("q_start") <= c("hi") + END_VARIATION)
-    near = pool.select(*columns).join(holes, "query_id").where(inside).select(*columns).distinct().toDF(*columns)  # new names, as both sides may come of one table
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in best.select(*columns).schema.fields)
+    near = pool.select(*columns).join(holes, "query_id").where(inside).select(*columns).distinct()
 
-    def one(key: tuple, holes: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        rows = pool.sort_values(["match_len", "subject_id", "hsp", "q_start", "s_start"], ascending=[False, True, True, True, True]).to_dict("records")
+    def one(rows: list[dict]) -> list[dict]:
+        pool = [r for r in rows if r["after"] is None]
+        pool.sort(key=lambda r: (-r["match_len"], r["subject_id"], r["hsp"], r["q_start"], r["s_start"]))
         used: set[int] = set()
-        out = []
-        for hole in holes.sort_values("lo").to_dict("records"):
-            found = _cover(rows, used, int(hole["lo"]), int(hole["hi"]))
-            out += [s | {"after": hole["after"], "sub": k} for k, s in enumerate(found, 1)]
-        return pd.DataFrame(out, columns=[*pool.columns, "after", "sub"])
+        holes = sorted((r for r in rows if r["after"] is not None), key=lambda r: r["lo"])
+        return [s | {"after": hole["after"], "sub": k} for hole in holes for k, s in enumerate(_cover(pool, used, hole["lo"], hole["hi"]), 1)]
 
-    filled = holes.groupBy("query_id").cogroup(near.groupBy("query_id")).applyInPandas(one, f"{schema}, after long, sub long")
+    both = near.unionByName(holes, allowMissingColumns=True)
+    schema = T.StructType([*best.select(*columns).schema.fields, T.StructField("after", T.LongType()), T.StructField("sub", T.LongType())])
+    filled = _by_group(both, ["query_id"], [], one, schema)
     every = best.select(*columns, long(c("ord")).alias("after"), F.lit(0).cast("long").alias("sub")).unionByName(filled)
     return every.select(*columns, F.row_number().over(W.partitionBy("query_id").orderBy("after", "sub")).cast("long").alias("ord"))
 

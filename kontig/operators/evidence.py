@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from kontig.operators import intervals, pileup
 from kontig.params import COVERAGE_BIN, DISCORDANT_SD, REGION_BIN
 
-#: Positions of an index row, some whole coverage bins, and positions of a bin in which reads and windows meet.
-INDEX_BIN, READ_BIN = 4 * COVERAGE_BIN, 1024
+#: Positions of an index row, one or more whole coverage bins (a look-up goes through a row), and of a bin in which reads and windows meet.
+INDEX_BIN, READ_BIN = COVERAGE_BIN, 1024
 #: Windows nearer than this to a query's end have no abnormal coverage bins.
 END_QUIET = 500
 
