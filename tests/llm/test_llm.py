@@ -140,6 +140,23 @@ def test_sharding(spark, monkeypatch):
     assert sharding.assign_shards(df.limit(0), 8).count() == 0
 
 
+def test_sharding_of_hot_keys(spark, monkeypatch):
+    """A third of the rows under one key, a third without a key: slots stay gapless and by key, and no group holds them all."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, i) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, row long")
+    cuts, parts = sharding._cuts(df, "doc_id")
+    assert parts[-1] == 20 and max(n for r, n in parts.items() if r >= 0) >= 15 and 7.0 in cuts and 8.0 in cuts
+    out = sharding.assign_shards(df, 8, "doc_id", ("row",)).collect()
+    assert sorted(r.row for r in out) == list(range(3_000))
+    for s in range(8):
+        mine = sorted((r for r in out if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        keys = [(r.doc_id is not None, r.doc_id or 0) for r in mine]
+        assert keys == sorted(keys)
+    assert len({r.shard for r in out if r.doc_id == 7}) == len({r.shard for r in out if r.doc_id is None}) == 1
+
+
 def test_op4_columns(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op4_sharding(spark, SF).collect():
