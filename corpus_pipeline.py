@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. A stage
 judges what its predecessor kept. Rows with a null doc_id can't be told apart by key: they pass the
-second and third stage. Rows that repeat a doc_id stay or go together.
+second and third stage. Rows that repeat a doc_id stay or go together. Null and empty texts, which are neither toxic nor alike nor leaked, pass with
+no tokens; texts are whole however long; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontig.llm import byte_bpe, decontaminate, ngram_join, toxicity
-from kontig.llm.common import small, table, written
+from kontig.llm.common import Scratch, small, table, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before, scratch = table(spark, sf_dir, "documents"), None, Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)  # the stage before is read no more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
