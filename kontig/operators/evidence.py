@@ -199,16 +199,6 @@ def in_windows(mates: DataFrame, windows: DataFrame) -> DataFrame:
     return intervals.range_join(mates, windows, "key", "mid", "lo", "hi", READ_BIN)
 
 
-def fragment_evidence(met: DataFrame, side: str) -> DataFrame:
-    """(rid, pairs_x, frag_x, ratio_x) of reads ``in_windows`` on the left (x = left) or right: pairs that lead out of the window over the
-    region, their mean length (0 without any) and the ratio of discordant reads to them."""
-    leaves = (F.col("orient") == 0) & (F.col("mate_mid") > F.col("hi")) if side == "left" else (F.col("orient") == 1) & (F.col("mate_mid") < F.col("lo"))
-    over = F.col("span").isNotNull() & leaves
-    counted = met.groupBy("rid").agg(F.count_if(over).alias("pairs"), F.sum(F.when(over, F.col("span"))).alias("bases"), F.count_if("discor").alias("discor"))
-    ratio = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), "pairs"), F.lit(0.0))
-    return counted.select("rid", F.col("pairs").alias(f"pairs_{side}"), ratio("bases").alias(f"frag_{side}"), ratio("discor").alias(f"ratio_{side}"))
-
-
 def latest_window(met: DataFrame) -> DataFrame:
     """Of the windows that a read meets, the one that begins last, then the one with the greater rid."""
     columns = [c for c in met.columns if c != "read_id"]
@@ -216,13 +206,30 @@ def latest_window(met: DataFrame) -> DataFrame:
 
 
 def mate_counts(met: DataFrame, ids: list[str]) -> DataFrame:
-    """``ids``, paired, discor, multi, other, reads, and the ratios of discordant to paired reads, ambiguous to all and mates elsewhere
-    to these and paired reads."""
-    counts = met.groupBy(*ids).agg(F.count_if("same").alias("paired"), F.count_if("discor").alias("discor"), F.count_if("multi").alias("multi"), F.count_if(~F.col("same")).alias("other"), F.count("*").alias("reads"))
+    """``ids`` of windows and what the reads ``in_windows`` are, summed up before they are shuffled.
+
+    paired, discor, multi, other and reads; the ratios of discordant to paired reads, ambiguous to all, and mates elsewhere to these and paired reads; and the pairs that
+    face each other and lead out of the window: over its end (out_right, with the sum of their lengths span_right) and over its begin (out_left, span_left).
+    """
+    behind = F.col("span").isNotNull() & (F.col("orient") == 0) & (F.col("mate_mid") > F.col("hi"))
+    before = F.col("span").isNotNull() & (F.col("orient") == 1) & (F.col("mate_mid") < F.col("lo"))
+    span = lambda over: F.coalesce(F.sum(F.when(over, F.col("span"))), F.lit(0))
+    counts = met.groupBy(*ids).agg(
+        F.count_if("same").alias("paired"), F.count_if("discor").alias("discor"), F.count_if("multi").alias("multi"), F.count_if(~F.col("same")).alias("other"), F.count("*").alias("reads"),
+        F.count_if(behind).alias("out_right"), span(behind).alias("span_right"), F.count_if(before).alias("out_left"), span(before).alias("span_left"),
+    )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), b), F.lit(0.0))
     return counts.withColumns({"discor_ratio": share("discor", F.col("paired")), "multi_ratio": share("multi", F.col("reads")), "other_ratio": share("other", F.col("other") + F.col("paired"))})
 
 
+def fragment_evidence(counts: DataFrame, side: str) -> DataFrame:
+    """(rid, pairs_x, frag_x, ratio_x) from the counts of windows on the left (x = left) or right of their region: pairs that lead over the
+    region, their mean length (0 without any) and the ratio of discordant reads to them."""
+    over = "right" if side == "left" else "left"
+    ratio = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), f"out_{over}"), F.lit(0.0))
+    return counts.select("rid", F.col(f"out_{over}").alias(f"pairs_{side}"), ratio(f"span_{over}").alias(f"frag_{side}"), ratio("discor").alias(f"ratio_{side}"))
+
+
 def sv_skips() -> tuple[Column, Column]:
     """How many tiles of an indel at the begin and at the end don't count: those at the query's ends and at a side without a segment."""
     shape = F.col("shape")

@@ -116,7 +116,7 @@ def find_regions(queries: DataFrame, segments: DataFrame, inner: DataFrame | Non
 
 
 def gather_evidence(regions: DataFrame, lengths: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages, single_cell: bool = False) -> DataFrame:
-    """``regions`` with their evidence, in one pass over the coverage (key, pos, alleles, total) and one over the placed reads.
+    """``regions`` with their evidence, in one pass over the coverage (key, pos, alleles, total) and one over the placed reads' mates (another for junctions).
 
     Adds, zero where nothing was found: dis, zero, size, high and low of the evidence window; pairs, frag and ratio on the left and right;
     t_dis, t_zero, discor_bins and multi_bins of the tiles; discor, discor_ratio, multi and other of a junction; and what the check for structural
@@ -128,22 +128,24 @@ def gather_evidence(regions: DataFrame, lengths: DataFrame, coverage: DataFrame,
     pieces = used(evidence.bins_of(main), "main").unionByName(used(tiles, "tile")).unionByName(used(sv, "sv"))
     sums = stages.write(evidence.piece_sums(pieces, index, "key", ["rid", "use", "n"]), "sums")
     one = lambda df, use: used(df.withColumn("n", F.lit(0).cast("long")), use)
-    windows = used(tiles, "tile").unionByName(used(sv, "sv")).unionByName(one(evidence.junction_windows(regions), "junction"))
+    windows = used(tiles, "tile").unionByName(used(sv, "sv"))
     for prefix, sided in (("", evidence.fragment_windows(regions, insert)), ("sv_", evidence.sv_fragment_windows(regions, insert))):
         windows = windows.unionByName(sided.select("rid", "key", F.concat(F.lit(prefix), "side").alias("use"), F.lit(0).cast("long").alias("n"), "lo", "hi"))
-    met = stages.write(evidence.in_windows(evidence.placed_mates(placements, insert, sd), windows), "mates")
+    mates = stages.write(evidence.placed_mates(placements, insert, sd), "mates")
+    counts = stages.write(evidence.mate_counts(evidence.in_windows(mates, windows), ["rid", "use", "n"]), "counts")
+    junctions = evidence.latest_window(evidence.in_windows(mates, one(evidence.junction_windows(regions), "junction")))
     of = lambda df, use: df.where(F.col("use") == use)
     bins = of(sums, "main").join(main.select("rid", "len", "skip", F.col("lo").alias("w_lo"), F.col("hi").alias("w_hi")), "rid")
     named = lambda df: df.select("rid", *[F.col(c).alias(f"sv_{c}") for c in df.columns if c != "rid"])
-    near = evidence.mate_counts(evidence.latest_window(of(met, "junction")), ["rid"])
+    near = evidence.mate_counts(junctions, ["rid"])
     kinds = regions.select("rid", "shape", "kind")
     found = [
         evidence.window_coverage(bins, single_cell),
-        *[evidence.fragment_evidence(of(met, side), side) for side in ("left", "right")],
-        evidence.tile_totals(tiles, of(sums, "tile"), evidence.mate_counts(of(met, "tile"), ["rid", "n"])),
+        *[evidence.fragment_evidence(of(counts, side), side) for side in ("left", "right")],
+        evidence.tile_totals(tiles, of(sums, "tile"), of(counts, "tile")),
         near.select("rid", "discor", "discor_ratio", F.col("multi_ratio").alias("multi"), F.col("other_ratio").alias("other")),
-        named(evidence.tile_totals(sv.join(kinds, "rid"), of(sums, "sv"), evidence.mate_counts(of(met, "sv"), ["rid", "n"]), evidence.sv_skips())),
-        *[named(evidence.fragment_evidence(of(met, f"sv_{side}"), side)) for side in ("left", "right")],
+        named(evidence.tile_totals(sv.join(kinds, "rid"), of(sums, "sv"), of(counts, "sv"), evidence.sv_skips())),
+        *[named(evidence.fragment_evidence(of(counts, f"sv_{side}"), side)) for side in ("left", "right")],
     ]
     out = regions
     for each in found:
