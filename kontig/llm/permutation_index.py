@@ -31,14 +31,14 @@ POSTED, VISITED, BLOCK, KEPT = 8, 24, 8_192, 150
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec array<double>) of the vectors that take part."""
+    """(id, vec array<double>) of the vectors that take part; of an id that repeats, the least vector, component by component."""
     v = F.col(vec_col).cast("array<double>")
     ok = F.size(v) > 0
     ok &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok &= F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False)))
     common = rows.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    return rows.where(F.size("vec") == (common[0] if common else 0)).dropDuplicates(["id"])
+    return rows.where(F.size("vec") == (common[0] if common else 0)).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def _nearest_pivots(pivots: np.ndarray, length: int):

@@ -567,6 +567,12 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    rows = [(1, [2.0, 1.0]), (1, [1.0, 9.0]), (1, [1.0, 3.0]), (2, [0.0, 0.0]), (3, [1.0]), (None, [1.0, 1.0]), (4, [-1.0, 5.0])]
+    got = permutation_index.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    assert sorted((r.id, list(r.vec)) for r in got) == [(1, [1.0, 3.0]), (4, [-1.0, 5.0])]
+
+
 # the pipeline
 
 
