@@ -206,7 +206,7 @@ def choose_twice(hits: DataFrame, mated: DataFrame, queries: DataFrame, stages:
     left = mapping.not_yet_placed(hits, first, "read_id")
     pairs = first.select(mapping.pair_id(F.col("read_id")).alias("pair")).distinct()
     # a pair with one mate placed has no mated hits any more: the other mate is chosen on its own
-    again = mapping.choose(left, mated.join(pairs, "pair", "left_anti"), uncovered(hits, first, queries, stages))
+    again = mapping.choose(left, mated.join(pairs, "pair", "left_anti"), uncovered(left, first, queries, stages))
     return first.unionByName(again)
 
 
