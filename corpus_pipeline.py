@@ -50,11 +50,16 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
+#: Rows of an Arrow batch: each holds a whole text, in an executor's JVM and in its Python worker at once.
+BATCH_ROWS = 1_000
+
 #: The first and last stage are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"  # stays set: the last stage runs when the caller reads it
+    spark.conf.set(at_once, min(BATCH_ROWS, int(spark.conf.get(at_once))) if int(spark.conf.get(at_once)) > 0 else BATCH_ROWS)
     docs, before, scratch = table(spark, sf_dir, "documents"), None, Scratch(spark)
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)

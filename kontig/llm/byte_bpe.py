@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from kontig.llm.common import drop_clashes, released
 
 #: Pre-tokens that a Python worker remembers before it starts anew (about 150 bytes each).
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 #: Leaves of one array of trees: few enough that it stays in a core's cache.
 TREE_LEAVES = 1 << 17
 #: Longest pre-tokens that are merged side by side, and the fewest for which that pays.
@@ -259,7 +259,7 @@ def codec(path: str, pattern: str) -> SegmentTreeBpe:
 
 
 #: Texts are split and merged in groups of about so many characters, which bounds a worker's memory.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 250_000
 
 
 def _groups(column: pa.Array) -> Iterator[list]:
