@@ -5,8 +5,8 @@ The dynamic programme goes row by row in numpy; each pair of sequences is a smal
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,13 +43,21 @@ def align(a: str, b: str) -> Aligned:
     n, m = len(a), len(b)
     if not n or not m:
         return Aligned("", "", 0, 0, 0, 0, n, m)
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    score = np.zeros((n + 1, m + 1), np.int32)
+    if a == b:
+        return Aligned(a, b, MATCH * n, 0, 0, 0, 0, 0)
+    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
     slope = GAP * np.arange(m + 1, dtype=np.int32)
+    score = np.zeros((n + 1, m + 1), np.int32)  # without the slope, so that steps along a row cost nothing
+    score[0] = -slope
+    step = {c: np.where(y == ord(c), MATCH - GAP, MISMATCH - GAP).astype(np.int32) for c in set(a)}
+    down = np.empty(m, np.int32)
     for i in range(1, n + 1):
-        best = np.zeros(m + 1, np.int32)
-        np.maximum(score[i - 1, :-1] + np.where(y == x[i - 1], MATCH, MISMATCH), score[i - 1, 1:] + GAP, out=best[1:])
-        score[i] = np.maximum.accumulate(best - slope) + slope  # steps along the row
+        last, row = score[i - 1], score[i]
+        np.add(last[1:], GAP, out=down)
+        np.add(last[:-1], step[a[i - 1]], out=row[1:])
+        np.maximum(row[1:], down, out=row[1:])
+        np.maximum.accumulate(row, out=row)
+    score += slope
     i, j = n, int(np.argmax(score[n]))
     column = int(np.argmax(score[:, m]))
     if score[column, m] > score[n, j]:
@@ -308,18 +316,35 @@ def refine_margins(points: DataFrame, queries: DataFrame, subjects: DataFrame) -
 
     @F.pandas_udf("long")
     def kept(queries: pd.Series, subjects: pd.Series) -> pd.Series:
-        return pd.Series([end_margin(q, s) for q, s in zip(queries, subjects, strict=True)], dtype="Int64")
+        return pd.Series(list(once_each(end_margin, zip(queries, subjects, strict=True))), dtype="Int64")
 
-    ends = cut.withColumns({"_right": c("_lo") + kept("_a", "_sa") - 1, "_left": c("_hi") - kept(F.reverse("_b"), F.reverse("_sb")) + 1})
+    ends = _spread(cut, "_a", "_sa", "_b", "_sb").withColumns({"_right": c("_lo") + kept("_a", "_sa") - 1, "_left": c("_hi") - kept(F.reverse("_b"), F.reverse("_sb")) + 1})
     right, left = F.coalesce("_right", "p_q_end"), F.coalesce("_left", "q_start")
     return plain.unionByName(ends.select(*points.columns, F.least(left, right).alias("left"), F.greatest(left, right).alias("right")))
 
 
+def _spread(df: DataFrame, *texts: str) -> DataFrame:
+    """``df`` dealt by ``texts`` to more partitions than there are cores, since a row costs far more than its bytes tell; rows with equal texts follow each other."""
+    spark = df.sparkSession
+    number = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.withColumn("_h", F.xxhash64(*texts)).repartition(number, "_h").sortWithinPartitions("_h", *texts).drop("_h")
+
+
+def once_each(each: Callable[..., Any], rows: Iterable[tuple]) -> Iterator[Any]:
+    """What ``each`` makes of every row; rows that equal the one before get its result."""
+    last = made = None
+    for row in rows:
+        if row != last:
+            last, made = row, each(*row)
+        yield made
+
+
 def inner_indels(segments: DataFrame, queries: DataFrame, subjects: DataFrame, gaps: str = "gap_num") -> DataFrame:
     """(key, shape, kind, left, right, dq, ds, subject, s_left, s_right) of indels inside segments with INDEL_SIZE or more gaps.
 
     ``segments`` have key, subject, strand, q_start, q_end, s_start and s_end (s_start > s_end on the minus strand, 1); ``queries`` key and seq, ``subjects`` subject and
-    seq. A segment's two stretches of sequence are cut out before they reach Python; a segment is one row there.
+    seq. A segment's two stretches of sequence are cut out before they reach Python; a segment is one row there. Equal stretches hold no indel, and
+    segments with the same two stretches are scanned once in a batch.
     """
     kept = segments.where(F.col(gaps) >= INDEL_SIZE).select("key", "subject", "strand", *[F.col(c).cast("long").alias(c) for c in ("q_start", "q_end", "s_start", "s_end")])
     cut = lambda seq, lo, hi: F.substr(F.upper(F.col(seq)), lo.cast("int"), (hi - lo + 1).cast("int"))
@@ -331,12 +356,12 @@ def inner_indels(segments: DataFrame, queries: DataFrame, subjects: DataFrame, g
 
     def run(batches):
         for batch in batches:
-            found = [[tuple(x) for x in scan_indels(q or "", s or "")] for q, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            found = list(once_each(lambda q, s: [tuple(x) for x in scan_indels(q, s)], zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
             rows = [i for i, each in enumerate(found) for _ in each]
             flat = np.array([x for each in found for x in each], np.int64).reshape(-1, len(parts)).T
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[2:]), *map(pa.array, flat)], [*batch.schema.names[2:], *Indel._fields])
 
-    named = both.select("_q", "_s", "key", "subject", "strand", "q_start", "s_start")
+    named = _spread(both.where("_q != _s").select("_q", "_s", "key", "subject", "strand", "q_start", "s_start"), "_q", "_s")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields[2:])
     each = named.mapInArrow(run, f"{kinds}, {', '.join(parts)}")
     c = F.col
