@@ -18,7 +18,6 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,10 @@ from pyspark.sql import types as T
 
 from kontig.llm.common import drop_clashes, released
 
-#: Pre-tokens that a Python worker remembers before it starts anew (about 150 bytes each).
-CACHE_ENTRIES = 100_000
+#: Pre-tokens that a Python worker remembers before it starts anew (about 200 bytes each, their ids as bytes).
+CACHE_ENTRIES = 50_000
 #: Leaves of one array of trees: few enough that it stays in a core's cache.
-TREE_LEAVES = 1 << 17
+TREE_LEAVES = 1 << 15
 #: Longest pre-tokens that are merged side by side, and the fewest for which that pays.
 SIDE_BY_SIDE, FEW = 512, 32
 #: Letters and the whole alphabet of texts that the quicker form of the pattern splits alike.
@@ -99,7 +98,7 @@ class SegmentTreeBpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.latin = latin_form(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit numbers: an eighth of what a tuple of them takes
 
     @cached_property
     def pairs(self) -> PairTable:
@@ -112,8 +111,8 @@ class SegmentTreeBpe:
                     pairs[left << _SHIFT | right] = rank
         return PairTable(pairs)
 
-    def _merge_class(self, pieces: list[bytes], leaves: int) -> list[tuple[int, ...]]:
-        """Ids of pieces with at most ``leaves`` bytes (a power of two)."""
+    def _merge_class(self, pieces: list[bytes], leaves: int) -> list[bytes]:
+        """Ids, as 32-bit numbers, of pieces with at most ``leaves`` bytes (a power of two)."""
         n = len(pieces)
         size = np.array([len(p) for p in pieces])
         flat = np.frombuffer(b"".join(pieces), np.uint8)
@@ -161,12 +160,12 @@ class SegmentTreeBpe:
 
         kept = ids[:, 1:-1]
         mask = kept >= 0
-        values = kept[mask].tolist()
-        ends = np.cumsum(mask.sum(1)).tolist()
-        return [tuple(values[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        values = kept[mask].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(mask.sum(1))).tolist()
+        return [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _merge_alone(self, raw: bytes) -> tuple[int, ...]:
-        """Ids of one piece, by a tree in plain arrays: a path ends at the first node that keeps its minimum."""
+    def _merge_alone(self, raw: bytes) -> bytes:
+        """Ids, as 32-bit numbers, of one piece, by a tree in plain arrays: a path ends at the first node that keeps its minimum."""
         n = len(raw)
         leaves = 1 << (n - 1).bit_length()
         start = self.byte_ids[np.frombuffer(raw, np.uint8)]
@@ -205,7 +204,7 @@ class SegmentTreeBpe:
                         break
                     tree[node] = least
                     node >>= 1
-        return tuple(i for i in ids if i >= 0)
+        return array("i", (i for i in ids if i >= 0)).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Put the ids of ``pieces`` into the cache."""
@@ -214,7 +213,7 @@ class SegmentTreeBpe:
             raw = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.cache[piece] = (whole,)
+                self.cache[piece] = array("i", (whole,)).tobytes()
             else:
                 classes.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((piece, raw))
         for leaves, members in classes.items():
@@ -240,7 +239,7 @@ class SegmentTreeBpe:
         unknown = set().union(*words)
         unknown.difference_update(self.cache.keys())
         self._learn(list(unknown))
-        return [array("i", chain.from_iterable(map(self.cache.__getitem__, w))) for w in words]
+        return [array("i", b"".join(map(self.cache.__getitem__, w))) for w in words]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -259,7 +258,7 @@ def codec(path: str, pattern: str) -> SegmentTreeBpe:
 
 
 #: Texts are split and merged in groups of about so many characters, which bounds a worker's memory.
-GROUP_CHARS = 250_000
+GROUP_CHARS = 100_000
 
 
 def _groups(column: pa.Array) -> Iterator[list]:

@@ -64,8 +64,8 @@ INSERTED = "abcdefghijklmnopqrstuvwxyz*01"
 #: Of the logistic curve, per unit of the decision.
 SLOPE = 6.0
 #: Units whose decision a task remembers before it starts anew (about 150 bytes each).
-CACHE_ENTRIES = 300_000
-GROUP_CHARS = 1_000_000
+CACHE_ENTRIES = 200_000
+GROUP_CHARS = 250_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"(?<=\w\w[.!?])\s+|[\r\n]+")
