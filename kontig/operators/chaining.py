@@ -6,6 +6,7 @@ from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,43 @@ class _Ends:
             yield d, level
 
 
+#: Segments of a pair up to which a step of its chain scans what is left, which is quicker for so few than an index.
+FEW_SEGMENTS = 48
+
+
+def _scanned(segs: list[dict], useful: list[dict], subject_len: int | None) -> list[dict]:
+    """The greedy chain of ``_chain`` by a scan of the useful segments left for each step."""
+    left = [(s["q_start"], s["q_end"], s["s_start"], s["s_end"], s["strand"], s["hsp"], s) for s in useful]
+    first = segs[0]
+    chain = deque([(first["q_start"], first["q_end"], first["s_start"], first["s_end"], first["strand"], first["hsp"], first)])
+
+    def pick(edge: tuple, right: bool) -> tuple | None:
+        q_start, q_end, s_start, s_end, strand = edge[:5]
+        best = found = None
+        for x in left:
+            if right:
+                if x[0] <= q_start:
+                    continue
+                dq, ds = abs(x[0] - q_end), abs(x[2] - s_end)
+            else:
+                if x[1] >= q_end:
+                    continue
+                dq, ds = abs(q_start - x[1]), abs(s_start - x[3])
+            if subject_len is not None:
+                ds = min(ds, abs(ds - subject_len))
+            tier = 2 if x[4] != strand else 0 if dq <= END_VARIATION and ds <= END_VARIATION else 1
+            rank = (tier, dq, ds, x[5])
+            if best is None or rank < best:
+                best, found = rank, x
+        return found
+
+    for right in (True, False):
+        while left and (found := pick(chain[-1] if right else chain[0], right)) is not None:
+            left.remove(found)
+            (chain.append if right else chain.appendleft)(found)
+    return [x[6] for x in chain]
+
+
 def _chain(segs: list[dict], subject_len: int | None = None) -> list[dict]:
     """Greedy chain from the first segment: to the right, then to the left, the closest that fits; then left-over segments go into its holes.
 
@@ -72,6 +110,9 @@ def _chain(segs: list[dict], subject_len: int | None = None) -> list[dict]:
     the query alone, then on any strand. With ``subject_len`` the subject is circular.
     """
     useful = [s for s in segs[1:] if s["total_len"] > MIN_SEGMENT_LEN]
+    if len(useful) <= FEW_SEGMENTS:
+        few = _scanned(segs, useful, subject_len)
+        return _filled(few, {s["hsp"] for s in few}, segs)
     index = {(strand, end): _Ends([s for s in useful if s["strand"] == strand], end) for strand in {s["strand"] for s in segs} for end in ("q_start", "q_end")}
     chain = deque([segs[0]])
 
@@ -105,7 +146,11 @@ def _chain(segs: list[dict], subject_len: int | None = None) -> list[dict]:
             for end in ("q_start", "q_end"):
                 index[found["strand"], end].remove(found["hsp"])
             (chain.append if right else chain.appendleft)(found)
-    return _fill(list(chain), sorted((s for s in segs if s["hsp"] not in used and s["match_len"] >= MIN_QUERY_LEN), key=lambda s: s["q_start"]))
+    return _filled(list(chain), used, segs)
+
+
+def _filled(chain: list[dict], used: set[int], segs: list[dict]) -> list[dict]:
+    return _fill(chain, sorted((s for s in segs if s["hsp"] not in used and s["match_len"] >= MIN_QUERY_LEN), key=lambda s: s["q_start"]))
 
 
 def _fill(chain: list[dict], left: list[dict], slack: int = 100) -> list[dict]:
@@ -163,8 +208,8 @@ def kept_segments(query_len: int, segs: list[dict], subject_len: int | None = No
     return _perfect_tiling(_chain(segs, subject_len), query_len, subject_len)
 
 
-def match_kind(query_len: int, segs: list[dict], subject_len: int | None = None) -> int:
-    """Kind of one query on one subject, circular if its length is given; ``segs`` in the aligner's order, best first."""
+def match_kind(query_len: int, segs: list[dict], subject_len: int | None = None, chain: list[dict] | None = None) -> int:
+    """Kind of one query on one subject, circular if its length is given; ``segs`` in the aligner's order, best first, ``chain`` their ``kept_segments`` if known."""
     if not segs:
         return UNMATCHED
     first = segs[0]
@@ -174,7 +219,7 @@ def match_kind(query_len: int, segs: list[dict], subject_len: int | None = None)
         return PERFECT
     if first["match_len"] < first["total_len"] * t - 1e-9:
         return UNMATCHED
-    chain = kept_segments(query_len, segs, subject_len)
+    chain = kept_segments(query_len, segs, subject_len) if chain is None else chain
     if len(chain) == 1:
         return MATCHED if chain[0]["match_len"] >= whole * t - 1e-9 else UNMATCHED
     steps = list(zip(chain, chain[1:], strict=False))
@@ -226,6 +271,18 @@ def _subject_len(segs: list[dict]) -> int | None:
     return None if n is None else int(n)
 
 
+def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch; columns of whole numbers without nulls become lists at once."""
+    plain = lambda c: pa.types.is_integer(c.type) and not c.null_count
+    columns = [c.to_numpy().tolist() if plain(c) else c.to_pylist() for c in batch.columns]
+    names = batch.schema.names
+    return (dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True))
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([row[f.name] for row in rows], f.type) for f in schema], schema=schema)
+
+
 def _by_group(df: DataFrame, keys: list[str], order: list[str], each: Callable[[list[dict]], list[dict]], schema: str | T.StructType) -> DataFrame:
     """The rows that ``each`` makes of every group's rows, which it gets in ``order``.
 
@@ -235,17 +292,18 @@ def _by_group(df: DataFrame, keys: list[str], order: list[str], each: Callable[[
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
+        rows = (row for batch in batches for row in _dicts(batch))
         made: list[dict] = []
-        for _, group in groupby(rows, key=lambda row: [row[k] for k in keys]):
+        for _, group in groupby(rows, key=itemgetter(*keys)):
             made += each(list(group))
             if len(made) >= 10_000:
-                yield pa.RecordBatch.from_pylist(made, arrow)
+                yield _batch(made, arrow)
                 made = []
         if made:
-            yield pa.RecordBatch.from_pylist(made, arrow)
+            yield _batch(made, arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+    # by a hash: a repartition by the keys themselves is left out where a union of joins has them already, and adaptive joins then spread a group over tasks
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
 
 
 def _classify_chains(items: DataFrame) -> DataFrame:
@@ -269,6 +327,19 @@ def chained(items: DataFrame) -> DataFrame:
     return _by_group(items, ["query_id", "subject_id"], ["hsp"], one, T.StructType([*items.schema.fields, T.StructField("ord", T.LongType())]))
 
 
+def judged_chains(items: DataFrame) -> DataFrame:
+    """``chained`` items with the ``kind`` and ``match_sum`` of their pair (see ``classify_pairs``) in each row: both from one chain. Each pair has a row with ``ord`` 1."""
+
+    def one(segs: list[dict]) -> list[dict]:
+        size, subject = int(segs[0]["query_len"]), _subject_len(segs)
+        chain = kept_segments(size, segs, subject)
+        pair = {"kind": match_kind(size, segs, subject, chain), "match_sum": sum(s["match_len"] for s in segs)}
+        return [s | pair | {"ord": i} for i, s in enumerate(chain, 1)]
+
+    added = [T.StructField("ord", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("match_sum", T.LongType())]
+    return _by_group(items, ["query_id", "subject_id"], ["hsp"], one, T.StructType([*items.schema.fields, *added]))
+
+
 def best_subject(pairs: DataFrame, query: str, subject: str, kind: str, weight: str) -> DataFrame:
     """One subject for each query: best kind, then the larger weight, then the smaller subject."""
     best = F.min_by(F.struct(F.col(subject), F.col(kind), F.col(weight)), F.struct(F.col(kind), -F.col(weight), F.col(subject)))
@@ -344,11 +415,11 @@ def fill_holes(best: DataFrame, pool: DataFrame) -> DataFrame:
     tail = ends.where(c("next").isNull() & (c("q_end") < c("query_len") - END_IGNORE)).select("query_id", long(c("ord")).alias("after"), long(c("q_end") + 1).alias("lo"), long(c("query_len")).alias("hi"))
     gap = ends.where(c("next") - c("q_end") > END_VARIATION).select("query_id", long(c("ord")).alias("after"), long(c("q_end") + 1).alias("lo"), long(c("next") - 1).alias("hi"))
     holes = head.unionByName(tail).unionByName(gap)
-    inside = (c("q_end") >= c("lo") - END_VARIATION) & (c("q_start") <= c("hi") + END_VARIATION)
-    near = pool.select(*columns).join(holes, "query_id").where(inside).select(*columns).distinct()
+    found = (c("p.query_id") == c("h.query_id")) & (c("p.q_end") >= c("h.lo") - END_VARIATION) & (c("p.q_start") <= c("h.hi") + END_VARIATION)
+    near = pool.select(*columns).alias("p").join(holes.alias("h"), found, "left_semi")
 
     def one(rows: list[dict]) -> list[dict]:
-        pool = [r for r in rows if r["after"] is None]
+        pool = [*{tuple(r.values()): r for r in rows if r["after"] is None}.values()]  # repeated rows are one
         pool.sort(key=lambda r: (-r["match_len"], r["subject_id"], r["hsp"], r["q_start"], r["s_start"]))
         used: set[int] = set()
         holes = sorted((r for r in rows if r["after"] is not None), key=lambda r: r["lo"])

@@ -59,8 +59,8 @@ def align_queries(queries: DataFrame, items: DataFrame, stages: Stages, min_len:
     """
     long = queries.where(F.col("len") >= min_len)
     kept = items.join(long.select("query_id"), "query_id", "left_semi")
-    pairs = stages.write(chaining.classify_pairs(kept), "pairs")
-    chains = stages.write(chaining.chained(kept), "chains")
+    judged = stages.write(chaining.judged_chains(kept), "chains")
+    pairs, chains = judged.where("ord = 1").select("query_id", "subject_id", "kind", "match_sum"), judged.drop("kind", "match_sum")
     best = chaining.best_subject(pairs, "query_id", "subject_id", "kind", "match_sum")
     mine = chains.join(best.select("query_id", "subject_id"), ["query_id", "subject_id"], "left_semi")
     pool = chaining.other_subjects(chains, best, "query_id", "subject_id").drop("ord")

@@ -132,3 +132,25 @@ def test_holes_are_filled_once(spark):
     wide = [seg(1, 2950, 11_900, 1, 8951, subject=3), seg(2, 2, 1950, 1, 1949, subject=3), seg(3, 2940, 3600, 1, 661, subject=4)]
     found = chaining.fill_holes(ordered, frame(spark, wide, 12_000, 8))
     assert [(r.subject_id, r.q_start) for r in found.orderBy("ord").collect()] == [(3, 2), (9, 2000), (3, 2950)]
+
+
+@pytest.mark.parametrize("subject_len", [None, 9_000])
+def test_few_segments_are_chained_by_a_scan(subject_len):
+    """The scan for few segments and the index for many make the same chains."""
+    rng = random.Random(7)
+    for _ in range(300):
+        segs = random_segments(rng, rng.randint(1, 30), rng.choice([900, 6_000, 9_000]))
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(chaining, "FEW_SEGMENTS", -1)
+            indexed = chaining._chain(segs, subject_len)
+        assert chaining._chain(segs, subject_len) == indexed
+
+
+def test_kinds_come_with_chains(spark, monkeypatch):
+    """A pair is chained once for its kind and its chain, which are those of ``classify_pairs`` and ``chained``."""
+    rng = random.Random(5)
+    items = frame(spark, [s | {"subject_id": k, "match_len": s["total_len"] - rng.randint(0, 30)} for k in range(40) for s in random_segments(rng, rng.randint(1, 6), 9_000)])
+    judged = chaining.judged_chains(items)
+    plain = lambda df, *names: sorted(tuple(r) for r in df.select(*names).collect())
+    assert plain(judged.where("ord = 1"), "subject_id", "kind", "match_sum") == plain(chaining.classify_pairs(items), "subject_id", "kind", "match_sum")
+    assert plain(judged, "subject_id", "ord", "hsp") == plain(chaining.chained(items), "subject_id", "ord", "hsp")
