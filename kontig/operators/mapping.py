@@ -165,7 +165,7 @@ def choose(hits: DataFrame, mated: DataFrame, zero: DataFrame | None = None) ->
     pass, equals are told by more uncovered positions, then by a hash. ``multi`` is whether neither the read's hits nor its pair's mated hits are one.
     """
     mates = mated.select("pair", "key", "h1", "h2", (F.col("h1.mismatches") + F.col("h2.mismatches")).alias("_miss"))
-    lone = hits.withColumn("pair", pair_id(F.col("read_id"))).withColumn("_hits", F.count("*").over(W.partitionBy("read_id")))
+    lone = hits.withColumn("pair", pair_id(F.col("read_id"))).repartition("pair").withColumn("_hits", F.count("*").over(W.partitionBy("pair", "read_id")))
     if zero is None:
         mates, lone = mates.withColumns({"_zero": F.lit(0), "_tie": F.lit("")}), lone.withColumns({"_zero": F.lit(0), "_tie": F.lit("")})
     else:
@@ -175,14 +175,18 @@ def choose(hits: DataFrame, mated: DataFrame, zero: DataFrame | None = None) ->
             mates = placed.join(under, ["key", f"_s_{side}", f"_n_{side}"], "left")
         mates = mates.select("pair", "key", "h1", "h2", "_miss", (-(F.coalesce("_h1", F.lit(0)) + F.coalesce("_h2", F.lit(0)))).alias("_zero"), _tie("pair", "key", "h1.start", "h2.start").alias("_tie"))
         lone = lone.join(zero, ["key", "start", "size"], "left").withColumns({"_zero": -F.coalesce("zero", F.lit(0)), "_tie": _tie("read_id", "key", "start", "strand")}).drop("zero")
+    # all below goes by pair: one shuffle of the hits and one of the mated ones
     pair = W.partitionBy("pair")
     rank = F.rank().over(pair.orderBy("_miss", "_zero", "_tie"))
-    ranked = mates.withColumns({"_mated": F.count("*").over(pair), "_rank": rank}).where("_rank = 1").withColumn("_same", F.count("*").over(pair))
-    best = ranked.where("_same = 1")
-    sides = [best.select((2 * F.col("pair") - odd).alias("read_id"), "key", f"{h}.*", (F.col("_mated") != 1).alias("_several")) for odd, h in ((1, "h1"), (0, "h2"))]
-    paired = sides[0].unionByName(sides[1]).join(lone.select("read_id", "_hits").distinct(), "read_id", "left")
-    paired = paired.select("read_id", "key", *_SIDE, (F.col("_several") & (F.coalesce("_hits", F.lit(0)) > 1)).alias("multi"))
-    read = W.partitionBy("read_id")
-    single = lone.join(mates.select("pair").distinct().withColumn("_m", F.lit(True)), "pair", "left").where("_m is null or _hits = 1").join(best.select("pair").distinct(), "pair", "left_anti")
-    single = single.withColumn("_rank", F.rank().over(read.orderBy("mismatches", "_zero", "_tie"))).where("_rank = 1").withColumn("_same", F.count("*").over(read)).where("_same = 1")
-    return paired.unionByName(single.select("read_id", "key", *[F.col(x).cast("long").alias(x) for x in _SIDE], (F.col("_hits") > 1).alias("multi")))
+    ranked = mates.withColumns({"_mated": F.count("*").over(pair), "_rank": rank}).where("_rank = 1")
+    some = F.first(F.struct("key", "h1", "h2", "_mated"))  # of the only one, where it is used
+    pairs = ranked.groupBy("pair").agg(some.alias("_b"), F.count("*").alias("_same"))
+    odd = F.col("read_id") % 2 == 1
+    sizes = hits.groupBy(pair_id(F.col("read_id")).alias("pair")).agg(F.count_if(odd).alias("_n1"), F.count_if(~odd).alias("_n2"))
+    sides = F.array(*[F.struct((2 * F.col("pair") - less).alias("read_id"), F.col(f"_b.{h}").alias("h"), F.coalesce(n, F.lit(0)).alias("n")) for less, h, n in ((1, "h1", "_n1"), (0, "h2", "_n2"))])
+    paired = pairs.where("_same = 1").join(sizes, "pair", "left").select("_b.key", "_b._mated", F.explode(sides).alias("_s"))
+    paired = paired.select("_s.read_id", "key", "_s.h.*", ((F.col("_mated") != 1) & (F.col("_s.n") > 1)).alias("multi"))
+    read = W.partitionBy("pair", "read_id")
+    single = lone.join(pairs.select("pair", "_same"), "pair", "left").where("_same is null or _same > 1 and _hits = 1")
+    single = single.withColumn("_rank", F.rank().over(read.orderBy("mismatches", "_zero", "_tie"))).where("_rank = 1").withColumn("_only", F.count("*").over(read)).where("_only = 1")
+    return paired.select("read_id", "key", *_SIDE, "multi").unionByName(single.select("read_id", "key", *[F.col(x).cast("long").alias(x) for x in _SIDE], (F.col("_hits") > 1).alias("multi")))

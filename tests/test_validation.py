@@ -367,3 +367,23 @@ def test_tracks(spark):
     assert sorted((r.key, r.lo, r.hi, r.value) for r in unknown.collect()) == [(1, 1, 2, 2.0), (1, 5, 6, 2.0)]
     results = spark.createDataFrame([(1, "sv", 3, 9), (1, "errors", 1, 2)], "key long, result string, q_start long, q_end long")
     assert sorted((r.lo, r.hi, r.value) for r in tracks.result_track(results).collect()) == [(1, 2, 1.0), (3, 9, 2.0)]
+
+
+def test_uncovered_positions_of_hits(spark):
+    """Positions under hits that no placed read covers, against sets of positions; nothing is a row for a position."""
+    rng = random.Random(4)
+    spans = lambda n: [(rng.randint(0, 2), rng.randint(1, 900), rng.choice([1, 2, 61, 62, 63, 100, 400])) for _ in range(n)]
+    hits, placed = spans(80), spans(12)
+    frame = lambda rows: spark.createDataFrame(rows, "key long, start long, size long")
+    held = {(k, p) for k, start, size in placed for p in range(start, start + size)}
+    want = {(k, start, size): sum((k, p) not in held for p in range(start, start + size)) for k, start, size in hits}
+    assert {(r.key, r.start, r.size): r.zero for r in assembly.uncovered(frame(hits + hits[:9]), frame(placed)).collect()} == want
+    assert all(r.zero == r.size for r in assembly.uncovered(frame(hits), frame(placed).limit(0)).collect())
+
+
+def test_choice_goes_by_pair(spark):
+    """Hits are shuffled by their pair alone; windows and joins of reads lie within that."""
+    hits = spark.createDataFrame([(1, 7, 0, 10, 100, 0, 0, 100), (2, 7, 1, 260, 100, 0, 1, 100), (3, 7, 0, 40, 100, 0, 0, 100)], "read_id long, key long, strand long, start long, size long, skip long, mismatches long, len long")
+    chosen = mapping.choose(hits, mapping.mated_hits(hits, 350.0, 50.0))
+    assert "hashpartitioning(read_id" not in chosen._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.read_id, r.start, r.multi) for r in chosen.collect()) == [(1, 10, False), (2, 260, False), (3, 40, False)]
