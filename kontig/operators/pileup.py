@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,16 +41,25 @@ def depth(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
 
 
 def span_coverage(spans: DataFrame, key: str, lo: str, hi: str, base: str) -> DataFrame:
-    """(key, pos, a, c, g, t, n, total) of the positions under spans that place one base each, by a difference array for each
-    allele: positions are made after the sums, one row each. Null bases count in the total alone."""
+    """(key, pos, a, c, g, t, n, total) of the positions under spans that place one base each, one row each, made after the sums of ``span_steps``."""
+    return stepped(span_steps(spans, key, lo, hi, base), key)
+
+
+def stepped(steps: DataFrame, key: str) -> DataFrame:
+    """A row (key, pos, *alleles, total) for each position of the stretches of ``span_steps``."""
+    return steps.select(key, F.explode(F.sequence("pos", F.col("next") - 1)).alias("pos"), *ALLELES, "total")
+
+
+def span_steps(spans: DataFrame, key: str, lo: str, hi: str, base: str, write: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(key, pos, next, a, c, g, t, n, total): stretches [pos, next) of equal coverage under spans that place one base each, by a difference array for each
+    allele. Null bases count in the total alone. The differences are read twice, once if ``write`` writes them and reads them back."""
     kind = F.when(F.upper(base).isin("A", "C", "G", "T"), F.lower(base)).when(F.col(base).isNotNull(), "n")
     named = spans.where(F.col(lo) <= F.col(hi)).select(key, lo, hi, *[F.when(kind == x, 1).otherwise(0).alias(x) for x in ALLELES], F.lit(1).alias("total"))
     values = [*ALLELES, "total"]
     up = named.select(key, F.col(lo).cast("long").alias("pos"), *values)
     down = named.select(key, (F.col(hi) + 1).cast("long").alias("pos"), *[(-F.col(v)).alias(v) for v in values])
-    steps = up.union(down).groupBy(key, "pos").agg(*[F.sum(v).alias(v) for v in values])
-    sums = _running(steps, key, values).where("total > 0")
-    return sums.select(key, F.explode(F.sequence("pos", F.col("next") - 1)).alias("pos"), *values)
+    steps = write(up.union(down).groupBy(key, "pos").agg(*[F.sum(v).alias(v) for v in values]))
+    return _running(steps, key, values).where("total > 0")
 
 
 def allele_coverage(bases: DataFrame, key: str, pos: str, base: str) -> DataFrame:

@@ -387,3 +387,12 @@ def test_choice_goes_by_pair(spark):
     chosen = mapping.choose(hits, mapping.mated_hits(hits, 350.0, 50.0))
     assert "hashpartitioning(read_id" not in chosen._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.read_id, r.start, r.multi) for r in chosen.collect()) == [(1, 10, False), (2, 260, False), (3, 40, False)]
+
+
+def test_tracks_read_the_tables_once(spark):
+    """The reads and the steps of their coverage are made once for all tracks: what is drawn comes from written tables alone."""
+    from kontig.plans import table_queries
+
+    drawn = table_queries.drawing_tracks(spark, "/root/testdata/sf0.001")
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(name in plan for name in ("l_orderkey", "o_orderkey")) and {r.track for r in drawn.select("track").distinct().collect()} == {"coverage", "uncovered", "disagreement", "discordant", "ambiguous"}
