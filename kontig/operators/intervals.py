@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 BIN = 65_536
 
 
+#: Rows of a partition where a table has more than Spark's own number of partitions takes: a task's memory does not grow with the table.
+PART_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, in partitions by ``by`` of about PART_ROWS; as it is where the session's number of shuffle partitions does."""
+    parts = -(-rows // PART_ROWS)
+    return df.repartition(parts, *by) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _carried(df: DataFrame, key: str, value: Column, how) -> DataFrame:
     """``df`` (with ``_bin``) with ``_before``: the aggregate ``how`` of ``value`` over the bins before; null in the first."""
     before = W.partitionBy(key).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
@@ -36,13 +46,13 @@ def islands(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", touching: i
     return _numbered(marked, key, [lo, hi], "island")
 
 
-def _merged(df: DataFrame, key: str, lo: str, hi: str, touching: int, aggregates: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+def _merged(df: DataFrame, key: str, lo: str, hi: str, touching: int, aggregates: dict[str, tuple[Column, Callable[[str], Column]]], size: int = 0) -> DataFrame:
     """(key, island, lo, hi, *aggregates) of the islands, numbered from 1; ``aggregates`` are what a name is of rows, and how parts of it are put together.
 
-    Runs within a bin are merged first, in one shuffle of the rows; only what is left of them, a row for each run, meets by key.
+    Runs within a bin are merged first, in one shuffle of the rows, of which ``size`` says how many there are if they may be many; only what is left of them, a row for each run, meets by key.
     """
     within = W.partitionBy(key, "_bin").orderBy(lo, hi)
-    rows = df.withColumn("_bin", F.floor(F.col(lo) / BIN))
+    rows = dealt(df.withColumn("_bin", F.floor(F.col(lo) / BIN)), size, key, "_bin")
     new = F.when(F.col(lo) <= F.max(hi).over(within.rowsBetween(W.unboundedPreceding, -1)) + touching, 0).otherwise(1)
     local = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(within.rowsBetween(W.unboundedPreceding, W.currentRow)))
     runs = local.groupBy(key, "_bin", "_run").agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"), *[rule.alias(name) for name, (rule, _) in aggregates.items()])
@@ -65,7 +75,7 @@ def covered(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFram
 def cluster_ends(df: DataFrame, key: str, row: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Of each cluster of overlapping intervals its size, the row that begins first and the one that ends last."""
     parts = {"n": (F.count("*"), F.sum), "_first": (F.min(F.struct(F.col(lo).alias("at"), F.col(row).alias("row"))), F.min), "_last": (F.max(F.struct(F.col(hi).alias("at"), F.col(row).alias("row"))), F.max)}
-    return _merged(df, key, lo, hi, 0, parts).select(key, "island", "n", F.col("_first.row").alias("first_row"), F.col("_last.row").alias("last_row"), "lo", "hi")
+    return _merged(df, key, lo, hi, 0, parts, df.count()).select(key, "island", "n", F.col("_first.row").alias("first_row"), F.col("_last.row").alias("last_row"), "lo", "hi")
 
 
 def gaps(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:

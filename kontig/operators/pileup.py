@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kontig.operators.intervals import dealt
 from kontig.params import COVERAGE_BIN, DISAGREE_RATIO
 
 ALLELES = ("a", "c", "g", "t", "n")
@@ -17,12 +18,16 @@ ALLELES = ("a", "c", "g", "t", "n")
 STEP_BIN = 4096
 
 
+def _step_bin() -> Column:
+    return F.floor(F.col("pos") / STEP_BIN)
+
+
 def _running(steps: DataFrame, key: str, values: list[str]) -> DataFrame:
     """(key, pos, next, *values): running sums of the steps of each key, and the position of the next step.
 
     A bin's sums go to the bins behind it, so that a window holds one bin of a key, not the key.
     """
-    binned = steps.withColumn("_bin", F.floor(F.col("pos") / STEP_BIN))
+    binned = steps if "_bin" in steps.columns else steps.withColumn("_bin", _step_bin())
     order = W.partitionBy(key).orderBy("_bin")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     whole = binned.groupBy(key, "_bin").agg(*[F.sum(v).alias(f"_{v}") for v in values], F.min("pos").alias("_first"))
@@ -33,11 +38,17 @@ def _running(steps: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 
 def depth(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
-    """(key, pos, total) at every position where the depth changes: difference array and running sum."""
+    """(key, pos, total) at every position where the depth changes."""
+    return depth_stretches(intervals, key, lo, hi).drop("next")
+
+
+def depth_stretches(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+    """(key, pos, next, total): the depth from where it changes to where it changes ``next`` (null behind the last interval): difference array and running sum."""
     up = intervals.select(key, F.col(lo).alias("pos"), F.lit(1).alias("total"))
     down = intervals.select(key, (F.col(hi) + 1).alias("pos"), F.lit(-1).alias("total"))
-    steps = up.union(down).groupBy(key, "pos").agg(F.sum("total").alias("total")).where("total != 0")
-    return _running(steps, key, ["total"]).drop("next")
+    binned = dealt(up.union(down).withColumn("_bin", _step_bin()), 2 * intervals.count(), key, "_bin")
+    steps = binned.groupBy(key, "_bin", "pos").agg(F.sum("total").alias("total")).where("total != 0")
+    return _running(steps, key, ["total"])
 
 
 def span_coverage(spans: DataFrame, key: str, lo: str, hi: str, base: str) -> DataFrame:

@@ -383,3 +383,20 @@ def test_frequent_kmers_of_whole_reads_are_not_paired(spark):
     reads = tiles.selectExpr("doc_id AS read_id", "pos AS offset", "kmer")
     rows = lambda df: {(r.read_id, r.doc_id, r.diag, r.n) for r in df.collect()}
     assert rows(kmers.exact_tiles(reads, tiles, "read_id", "doc_id")) == rows(kmers.exact_hits(kmers.probe(reads, tiles), reads, "read_id", "doc_id"))
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """Depth and clusters of many intervals are dealt to as many partitions as their rows take, with the same results; no window holds a whole key."""
+    monkeypatch.setattr(intervals, "PART_ROWS", 100)
+    df = spark.range(2_000).selectExpr("id % 7 as k", "id as row", "id * 7919 % 90000 as lo", "id * 7919 % 90000 + id % 40 as hi")
+    clusters, depth = intervals.cluster_ends(df, "k", "row"), pileup.depth_stretches(df, "k", "lo", "hi")
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (clusters, depth)]
+    assert ", 20), REPARTITION_BY_NUM" in plans[0] and ", 40), REPARTITION_BY_NUM" in plans[1]
+    held = [[(r.lo, r.hi) for r in df.where(f"k = {k}").collect()] for k in range(7)]
+    want = {(k, p): sum(lo <= p <= hi for lo, hi in held[k]) for k in range(7) for p in {x for lo, hi in held[k] for x in (lo, hi + 1)}}
+    got = {(r.k, r.pos): r for r in depth.collect()}
+    assert all(want[at] == r.total for at, r in got.items())
+    assert sum(r.next - r.pos for r in got.values() if r.total) == len({(k, p) for k in range(7) for lo, hi in held[k] for p in range(lo, hi + 1)})
+    whole = sorted(clusters.collect())
+    monkeypatch.setattr(intervals, "PART_ROWS", 10_000)
+    assert whole == sorted(intervals.cluster_ends(df, "k", "row").collect()) and sum(r.n for r in whole) == 2_000
