@@ -400,3 +400,16 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     whole = sorted(clusters.collect())
     monkeypatch.setattr(intervals, "PART_ROWS", 10_000)
     assert whole == sorted(intervals.cluster_ends(df, "k", "row").collect()) and sum(r.n for r in whole) == 2_000
+
+
+def test_tiles_are_cut_in_one_pass(spark):
+    """Tiles and the k-mer that ends a sequence come from one reading of it, at all lengths around the blocks."""
+    rng = random.Random(2)
+    seqs = ["".join(rng.choices("ACGT", k=n)) for n in (0, 1, 24, 25, 26, 49, 50, 51, 274, 275, 276, 299, 300, 301, 549, 550, 551, 575, 600, 1_000)]
+    df = spark.createDataFrame([*enumerate(seqs), (99, None)], "doc_id long, seq string")
+    for step in (None, 1, 7):
+        found = kmers.tiles(df, "doc_id", "seq", 25, step)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+        want = {(i, p + 1, s[p : p + 25]) for i, s in enumerate(seqs) if len(s) >= 25 for p in [*range(0, len(s) - 24, step or 25), *([len(s) - 25] if step is None else [])]}
+        rows = [tuple(r) for r in found.collect()]
+        assert set(rows) == want and len(rows) == len(want)
