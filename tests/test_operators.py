@@ -153,6 +153,17 @@ def test_exact_map_whole(spark, tmp_path):
     assert {(0, 0), (50, 50)} <= tiled and (0, 1) not in tiled  # the first tiles alone are no hit
 
 
+def test_exact_map_intersect_reads_every_document(spark, tmp_path):
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    read = text(75)
+    docs = [(7, read), (8, read), (9, read + text(50)), (50, text(60)), (51, text(20))]  # one of them with an id that 50 divides
+    spark.createDataFrame(docs, "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in table_queries.exact_map_intersect(spark, str(tmp_path)).select("read_id", "doc_id", "diag").collect()}
+    assert got == {(a, b, 0) for a in (7, 8) for b in (7, 8, 9)} | {(9, 9, 0), (50, 50, 0)}
+    assert "% 50" not in table_queries.ORACLE_SQL["exact_map_intersect"]
+
+
 def test_tiles_in_blocks(spark):
     rng = random.Random(8)
     seqs = {i: "".join(rng.choices("ACGT", k=n)) for i, n in enumerate([24, 25, 26, 49, 50, 60, 4095, 4096, 4100, 4101, 8192, 8200, 8217, 20_011])} | {90: None, 91: ""}
