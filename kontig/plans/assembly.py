@@ -116,40 +116,24 @@ def find_regions(queries: DataFrame, segments: DataFrame, inner: DataFrame | Non
 
 
 def gather_evidence(regions: DataFrame, lengths: DataFrame, coverage: DataFrame, placements: DataFrame, insert: float, sd: float, stages: Stages, single_cell: bool = False) -> DataFrame:
-    """``regions`` with their evidence, in one pass over the coverage (key, pos, alleles, total) and one over the placed reads' mates (another for junctions).
+    """``regions`` with their evidence, in one pass over the coverage (key, pos, alleles, total, or stretches of it with ``next``) and the placed reads' mates by parts of the queries (another for junctions).
 
     Adds, zero where nothing was found: dis, zero, size, high and low of the evidence window; pairs, frag and ratio on the left and right;
     t_dis, t_zero, discor_bins and multi_bins of the tiles; discor, discor_ratio, multi and other of a junction; and what the check for structural
     variation looks at, with ``sv_`` before the name.
     """
-    index = evidence.prefix_index(stages.write(evidence.index_cells(coverage, lengths, "key", "len"), "coverage"), "key")
-    main, tiles, sv = evidence.main_windows(regions, insert), evidence.tiles_of(evidence.tile_windows(regions, insert)), evidence.tiles_of(evidence.sv_windows(regions).join(regions.select("rid", "shape", "kind"), "rid"))
-    used = lambda df, use: df.select("rid", "key", F.lit(use).alias("use"), "n", "lo", "hi")
-    pieces = used(evidence.bins_of(main), "main").unionByName(used(tiles, "tile")).unionByName(used(sv, "sv"))
-    sums = stages.write(evidence.piece_sums(pieces, index, "key", ["rid", "use", "n"]), "sums")
-    one = lambda df, use: used(df.withColumn("n", F.lit(0).cast("long")), use)
-    windows = used(tiles, "tile").unionByName(used(sv, "sv"))
-    for prefix, sided in (("", evidence.fragment_windows(regions, insert)), ("sv_", evidence.sv_fragment_windows(regions, insert))):
-        windows = windows.unionByName(sided.select("rid", "key", F.concat(F.lit(prefix), "side").alias("use"), F.lit(0).cast("long").alias("n"), "lo", "hi"))
+    stretches = stages.write(evidence.stretches_of(coverage), "coverage")
     mates = stages.write(evidence.placed_mates(placements, insert, sd), "mates")
-    counts = stages.write(evidence.mate_counts(evidence.in_windows(mates, windows), ["rid", "use", "n"]), "counts")
-    junctions = evidence.latest_window(evidence.in_windows(mates, one(evidence.junction_windows(regions), "junction")))
-    of = lambda df, use: df.where(F.col("use") == use)
-    bins = of(sums, "main").join(main.select("rid", "len", "skip", F.col("lo").alias("w_lo"), F.col("hi").alias("w_hi")), "rid")
-    named = lambda df: df.select("rid", *[F.col(c).alias(f"sv_{c}") for c in df.columns if c != "rid"])
-    near = evidence.mate_counts(junctions, ["rid"])
-    kinds = regions.select("rid", "shape", "kind")
-    found = [
-        evidence.window_coverage(bins, single_cell),
-        *[evidence.fragment_evidence(of(counts, side), side) for side in ("left", "right")],
-        evidence.tile_totals(tiles, of(sums, "tile"), of(counts, "tile")),
-        near.select("rid", "discor", "discor_ratio", F.col("multi_ratio").alias("multi"), F.col("other_ratio").alias("other")),
-        named(evidence.tile_totals(sv.join(kinds, "rid"), of(sums, "sv"), of(counts, "sv"), evidence.sv_skips())),
-        *[named(evidence.fragment_evidence(of(counts, f"sv_{side}"), side)) for side in ("left", "right")],
-    ]
-    out = regions
-    for each in found:
-        out = out.join(each, "rid", "left")
+    facts = evidence.part_facts(stretches, evidence.query_means(stretches, lengths), mates)
+    sums = evidence.region_sums(regions, facts, insert, single_cell)
+    ratio = lambda x, side: F.coalesce(F.try_divide(F.col(f"{x}_{side}").cast("double"), f"pairs_{side}"), F.lit(0.0))
+    named = lambda side: (("sv_", side[3:]) if side.startswith("sv_") else ("", side))
+    columns = [x for x in evidence.SUMS if not x.startswith(("pairs_", "bases_", "odd_"))]
+    for side in evidence.SIDES:
+        prefix, of = named(side)
+        columns += [F.col(f"pairs_{side}").alias(f"{prefix}pairs_{of}"), ratio("bases", side).alias(f"{prefix}frag_{of}"), ratio("odd", side).alias(f"{prefix}ratio_{of}")]
+    junctions = evidence.junction_evidence(mates, evidence.junction_windows(regions))
+    out = regions.join(sums.select("rid", *columns), "rid", "left").join(junctions, "rid", "left")
     return out.na.fill(0, [x for x in out.columns if x not in regions.columns])
 
 
